@@ -139,6 +139,10 @@ def group_counts(items: DataFrame, keys: Sequence[str], near: Column | None = No
     return items.groupBy(*keys).agg(*aggs)
 
 
+def _equals(symbol: str):
+    return lambda o: o == symbol
+
+
 def op_distribution(items: DataFrame, level: str, ops: str, symbols: Sequence[str]) -> DataFrame:
     """Share of each operator symbol of an array column per level.
 
@@ -147,7 +151,7 @@ def op_distribution(items: DataFrame, level: str, ops: str, symbols: Sequence[st
     total = F.sum(F.size(ops))
     return items.groupBy(level).agg(
         *[
-            (F.sum(F.size(F.filter(F.col(ops), lambda o, s=s: o == s))) / total).alias(f"share_{i}")
+            (F.sum(F.size(F.filter(F.col(ops), _equals(s)))) / total).alias(f"share_{i}")
             for i, s in enumerate(symbols)
         ]
     )

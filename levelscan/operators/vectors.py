@@ -74,29 +74,18 @@ def moment_sums(df: DataFrame, keys: Sequence[str], vector: str, gram: bool = Tr
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     partial = parts.mapInPandas(fold, schema)
-    if gram:
-        return partial.groupBy(*keys).applyInPandas(_sum_partials(keys, schema), schema)
-    spread = partial.select(*keys, "n", "dim", "ss", F.posexplode("s").alias("_i", "_x"))
-    dims = spread.groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
-    sums = dims.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda t: t["_x"]).alias("s")
+    cells = F.concat("s", F.array("ss"), F.coalesce("g", F.array().cast("array<double>")))
+    spread = partial.select(*keys, "n", "dim", F.posexplode(cells).alias("_i", "_x"))
+    summed = spread.groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.sum("n").alias("n"), F.max("dim").alias("dim"))
+    back = summed.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("dim").alias("dim"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda t: t["_x"]).alias("_all"),
+    )
+    d = F.col("dim")
+    return back.select(
+        *keys, "n", "dim", F.slice("_all", 1, d).alias("s"), F.get("_all", d).alias("ss"),
+        F.slice("_all", d + 2, d * d).alias("g"),
     )
-    heads = partial.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("dim").alias("dim"), F.sum("ss").alias("ss"))
-    return heads.join(sums, keys)
-
-
-def _sum_partials(keys, schema):
-    """Adds the partial matrices of one group: one per map task at most, of fixed size dim x dim."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        s = g = 0.0
-        for a, b in zip(pdf["s"], pdf["g"]):
-            s, g = s + np.asarray(a), g + np.asarray(b)
-        out |= {"n": [int(pdf["n"].sum())], "dim": [int(pdf["dim"].max())], "s": [s], "ss": [float(pdf["ss"].sum())], "g": [g]}
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    return add
 
 
 def group_vector_moments(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:

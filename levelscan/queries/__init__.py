@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from levelscan.queries import aggregates, projections  # noqa: F401
+from levelscan.queries import aggregates, joins, projections, ranking, windows  # noqa: F401
 from levelscan.queries.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -91,10 +91,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", P.variant_category(name).alias("category"))
 
 
-@query("prj12_token_cost", """SELECT conv_id, turn, round((length(text) * b.nk + 3 * length(text) * 2 * b.nk) / 1e6, 6) + 0.0 AS cost
+@query("prj12_token_cost", """SELECT conv_id, turn, round((length(text) * b.nk + 3 * length(text) * 2 * b.nk) / 1e6, 9) + 0.0 AS cost
  FROM conversations JOIN (SELECT 'user' AS role, 0.5 AS nk UNION ALL SELECT 'assistant', 2.0 UNION ALL SELECT 'system', 0.1) b USING (role)""")
 def _(spark, d):
     c = table(spark, d, "conversations")
     usage = c.select("conv_id", "turn", F.col("role").alias("model"), F.length("text").alias("tokens_in"), (F.length("text") * 3).alias("tokens_out"))
     prices = spark.createDataFrame([("user", 0.5, 1.0), ("assistant", 2.0, 4.0), ("system", 0.1, 0.2)], "model string, price_in double, price_out double")
-    return P.token_cost(usage, prices).select("conv_id", "turn", r6("cost").alias("cost"))
+    return P.token_cost(usage, prices).select("conv_id", "turn", r6("cost", 9).alias("cost"))
