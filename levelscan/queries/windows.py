@@ -146,8 +146,8 @@ def _(spark, d):
     return N.variance_jump(with_d_star(all_levels(spark, d)))
 
 
-@query("wn19b_variance_rise", f"""WITH {ALL_LV}, t AS (SELECT *, row_number() OVER ({PW}) AS rn, count(*) OVER (PARTITION BY task, model) AS n FROM lvd WHERE level <= d_star),
-b AS (SELECT task, model, quantile_cont(variance, 0.5::DOUBLE) AS base FROM t WHERE rn <= greatest(n // 2, 1) GROUP BY ALL)
+@query("wn19b_variance_rise", f"""WITH {ALL_LV}, t AS (SELECT *, row_number() OVER ({PW}) AS rn, count(*) OVER (PARTITION BY task, model) AS nn FROM lvd WHERE level <= d_star),
+b AS (SELECT task, model, quantile_cont(variance, 0.5::DOUBLE) AS base FROM t WHERE rn <= greatest(nn // 2, 1) GROUP BY ALL)
 SELECT task, model, round(max(base), 6) + 0.0 AS base_variance, min(level) FILTER (WHERE variance > 1.1::DOUBLE * base) AS d_rise FROM t JOIN b USING (task, model) GROUP BY ALL""")
 def _(spark, d):
     return rounded(N.variance_rise(with_d_star(all_levels(spark, d))), "base_variance")
