@@ -19,6 +19,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -184,8 +189,14 @@ def clean_answer(text: Column | str) -> Column:
 
 def fuzzy_match(pred: Column | str, truth: Column | str, aliases: Column) -> Column:
     """struct(correct, score): exact 1.0, containment either way 0.9 (truth, then aliases), else token F1 >= 0.5."""
-    p, g = clean_answer(pred), clean_answer(truth)
-    known = F.concat(F.array(g), F.coalesce(F.transform(aliases, clean_answer), F.array().cast("array<string>")))
+    known = F.concat(F.array(truth), F.coalesce(aliases, F.array().cast("array<string>")))
+    cleaned = F.transform(F.concat(F.array(pred), known), clean_answer)
+    return let(cleaned, _grade)
+
+
+def _grade(cleaned: Column) -> Column:
+    p, g = cleaned[0], cleaned[1]
+    known = F.slice(cleaned, 2, F.size(cleaned) - 1)
     grade = F.transform(
         known,
         lambda a: F.when(p == a, 1.0).when((a != "") & (F.contains(p, a) | F.contains(a, p)), 0.9),
@@ -194,8 +205,9 @@ def fuzzy_match(pred: Column | str, truth: Column | str, aliases: Column) -> Col
     tp, tg = F.array_distinct(F.split(p, r"\s+")), F.array_distinct(F.split(g, r"\s+"))
     common = F.size(F.array_intersect(tp, tg))
     f1 = 2.0 * common / (F.size(tp) + F.size(tg))
-    score = F.when(p == "", 0.0).otherwise(F.coalesce(quick, F.when((g != "") & (f1 >= 0.5), f1), F.lit(0.0)))
-    return F.struct((score > 0).alias("correct"), score.alias("score"))
+    tokens = let(f1, lambda x: F.when((g != "") & (x >= 0.5), x))
+    score = F.when(p == "", 0.0).otherwise(F.coalesce(quick, tokens, F.lit(0.0)))
+    return let(score, lambda x: F.struct((x > 0).alias("correct"), x.alias("score")))
 
 
 def canonical_assignment(assignment: Column | str) -> Column:
@@ -216,42 +228,48 @@ def certainty_autocorr(text: Column | str, hedging: Sequence[str] = HEDGING, ass
     sure, unsure = F.array(*map(F.lit, assertive)), F.array(*map(F.lit, hedging))
 
     def score(step):
-        words = F.split(F.lower(step), r"\s+")
-        good = F.size(F.filter(words, lambda w: F.array_contains(sure, w)))
-        bad = F.size(F.filter(words, lambda w: F.array_contains(unsure, w)))
-        return (good - bad) / F.size(words).cast("double")
+        def share(words):
+            good = F.size(F.filter(words, lambda w: F.array_contains(sure, w)))
+            bad = F.size(F.filter(words, lambda w: F.array_contains(unsure, w)))
+            return (good - bad) / F.size(words).cast("double")
+
+        return let(F.split(F.lower(step), r"\s+"), share)
+
+    def centre(c):
+        return let(_mean(c), lambda m: F.transform(c, lambda x: x - m))
 
-    c = F.transform(steps, score)
-    centred = F.transform(c, lambda x: x - _mean(c))
-    return lag1(centred, F.size(steps))
+    return let(F.transform(steps, score), lambda c: F.when(F.size(c) >= 3, let(centre(c), lag1)))
 
 
-def lag1(centred: Column, n: Column) -> Column:
+def lag1(centred: Column) -> Column:
+    """Lag-1 autocorrelation of a centred series, 0 if it is flat."""
+    n = F.size(centred)
     nxt = F.slice(centred, 2, F.greatest(n - 1, F.lit(0)))
     now = F.slice(centred, 1, F.greatest(n - 1, F.lit(0)))
     cross = F.aggregate(F.zip_with(now, nxt, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     square = F.aggregate(F.transform(centred, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
-    flat = F.sqrt(square / n) < 1e-8
-    return F.when(n < 3, None).when(flat, 0.0).otherwise(cross / (square + 1e-10))
+    return let(square, lambda q: F.when(F.sqrt(q / n) < 1e-8, 0.0).otherwise(cross / (q + 1e-10)))
 
 
 def step_correctness(text: Column | str, expected: Column) -> Column:
     """1/0 per expected integer (the first one is the start value and is skipped), searched greedily in order."""
     numbers = F.transform(F.regexp_extract_all(_c(text), F.lit(r"-?\d+"), F.lit(0)), lambda s: s.try_cast("bigint"))
 
-    def step(state, want):
-        rest = F.slice(state["nums"], state["at"] + 1, F.size(state["nums"]))
-        pos = F.array_position(rest, want.cast("bigint")).cast("int")
-        hit = pos > 0
-        return F.struct(
-            state["nums"].alias("nums"),
-            F.when(hit, state["at"] + pos).otherwise(state["at"]).alias("at"),
-            F.array_append(state["hits"], F.when(hit, 1.0).otherwise(0.0)).alias("hits"),
-        )
-
-    start = F.struct(numbers.alias("nums"), F.lit(0).alias("at"), F.array().cast("array<double>").alias("hits"))
     todo = F.slice(expected, 2, F.greatest(F.size(expected) - 1, F.lit(0)))
-    return F.aggregate(todo, start, step, lambda s: s["hits"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("hits"))
+
+    def search(nums):
+        def step(state, want):
+            rest = F.slice(nums, state["at"] + 1, F.size(nums))
+            pos = F.array_position(rest, want.cast("bigint")).cast("int")
+            return F.struct(
+                (state["at"] + pos).alias("at"),
+                F.array_append(state["hits"], F.when(pos > 0, 1.0).otherwise(0.0)).alias("hits"),
+            )
+
+        return F.aggregate(todo, start, step, lambda s: s["hits"])
+
+    return let(numbers, search)
 
 
 def step_correctness_autocorr(hits: Column | str) -> Column:
@@ -284,7 +302,7 @@ def chain_checks(start, ops, operands, intermediates, output, bound: int = 10000
     vals = replay_chain(start, ops, operands)
     return {
         "replay_ok": F.coalesce(vals == intermediates.cast("array<bigint>"), F.lit(False)),
-        "output_ok": F.coalesce(F.element_at(vals, -1) == output, F.lit(False)),
+        "output_ok": F.coalesce(let(vals, lambda v: F.element_at(v, -1)) == output, F.lit(False)),
         "bounds_ok": F.coalesce(F.forall(vals, lambda v: F.abs(v) <= bound), F.lit(False)),
     }
 
@@ -411,7 +429,8 @@ def _claims_of(line: Column, pattern: str, kind: str, margin: int) -> Column:
             F.substr(line, lo, x["at"] + F.length(x["m"]) + margin - lo).alias("context"),
         )
 
-    return F.transform(joined, pack)
+    none = F.array().cast("array<struct<value_type:string,value:string,context:string>>")
+    return F.when(F.rlike(line, F.lit(pattern)), F.transform(joined, pack)).otherwise(none)
 
 
 def extract_claims(lines: DataFrame, line: str = "line", margin: int = 60) -> DataFrame:

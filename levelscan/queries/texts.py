@@ -17,13 +17,8 @@ from levelscan.sources import sinks as K
 KEY = ["task", "model", "level"]
 
 
-def both_engines(template: str) -> str:
-    """The CASE text below is valid in Spark and in DuckDB."""
-    return template
-
-
 # one answer text per lineitem, in eight writing styles
-INT_TEXT = both_engines("""CASE CAST((l_orderkey + l_linenumber) % 8 AS INT)
+INT_TEXT = """CASE CAST((l_orderkey + l_linenumber) % 8 AS INT)
  WHEN 0 THEN concat('Step 1: 12 + 5. The FINAL answer is ', CAST(l_partkey * 1000 AS VARCHAR(20)))
  WHEN 1 THEN concat('So we add 7 and the result = -', CAST(l_suppkey AS VARCHAR(20)), ' units')
  WHEN 2 THEN concat('3 + 4\n**', CAST(l_partkey AS VARCHAR(20)), '**')
@@ -31,7 +26,7 @@ INT_TEXT = both_engines("""CASE CAST((l_orderkey + l_linenumber) % 8 AS INT)
  WHEN 4 THEN concat('this equals ', CAST(l_partkey AS VARCHAR(20)), ' or so')
  WHEN 5 THEN concat('x = 4 then \\boxed{', CAST(l_suppkey AS VARCHAR(20)), '} done')
  WHEN 6 THEN concat('first 5, then ', CAST(l_suppkey AS VARCHAR(20)), ' apples')
- ELSE 'no number at all' END""")
+ ELSE 'no number at all' END"""
 SPARK_INT_TEXT = INT_TEXT.replace("\\boxed", "\\\\boxed")
 BOOL_TEXT = """CASE CAST((l_orderkey + l_linenumber) % 7 AS INT)
  WHEN 0 THEN concat('The answer is ', CASE WHEN l_quantity > 25 THEN 'true' ELSE 'FALSE' END, '. Not TRUE otherwise')
@@ -52,7 +47,7 @@ FREE_TEXT = """CASE CAST((l_orderkey + l_linenumber) % 6 AS INT)
 
 def _li(spark, d, text):
     t = text if text is not INT_TEXT else SPARK_INT_TEXT
-    t = t.replace("VARCHAR(20)", "STRING").replace("\n", "\\n")
+    t = t.replace("VARCHAR(20)", "STRING")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.expr(t).alias("text"))
 
 
@@ -167,13 +162,13 @@ def _(spark, d):
 
 
 @query("sc09_step_correctness_autocorr", """WITH RECURSIVE r AS (SELECT l_orderkey AS k, list(CAST(l_partkey % 5 AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS nums, list(CAST(l_suppkey % 5 AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS want FROM lineitem GROUP BY ALL),
-s AS (SELECT k, nums, want[2:] AS want, 0 AS i, 0 AS at, []::DOUBLE[] AS hits FROM r
- UNION ALL SELECT k, nums, want, i + 1, CASE WHEN coalesce(list_position(nums[at + 1:], want[i + 1]), 0) > 0 THEN at + list_position(nums[at + 1:], want[i + 1]) ELSE at END,
-  list_append(hits, CASE WHEN coalesce(list_position(nums[at + 1:], want[i + 1]), 0) > 0 THEN 1.0 ELSE 0.0 END) FROM s WHERE i < len(want)),
+s AS (SELECT k, nums, want[2:] AS want, 0 AS i, 0 AS ps, []::DOUBLE[] AS hits FROM r
+ UNION ALL SELECT k, nums, want, i + 1, CASE WHEN coalesce(list_position(nums[ps + 1:], want[i + 1]), 0) > 0 THEN ps + list_position(nums[ps + 1:], want[i + 1]) ELSE ps END,
+  list_append(hits, CASE WHEN coalesce(list_position(nums[ps + 1:], want[i + 1]), 0) > 0 THEN 1.0 ELSE 0.0 END) FROM s WHERE i < len(want)),
 e AS (SELECT k, hits, len(hits) AS n FROM s WHERE i = len(want)),
 u AS (SELECT k, unnest(hits[:-2]) AS a, unnest(hits[2:]) AS b FROM e WHERE n >= 3),
 c AS (SELECT k, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS ac FROM u GROUP BY ALL)
-SELECT e.k, CAST(list_sum(hits) AS BIGINT) AS n_hits, round(c.ac, 6) + 0.0 AS autocorr FROM e LEFT JOIN c ON c.k = e.k""")
+SELECT e.k, CAST(coalesce(list_sum(hits), 0) AS BIGINT) AS n_hits, round(c.ac, 6) + 0.0 AS autocorr FROM e LEFT JOIN c ON c.k = e.k""")
 def _(spark, d):
     li = table(spark, d, "lineitem")
     row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -228,7 +223,7 @@ KB = """concat('1. ', CASE WHEN l_returnflag = 'A' THEN 'No ' ELSE 'Some ' END,
 
 @query("sc14_keyword_baseline", """SELECT l_linenumber AS level, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS n_false, round(avg(CASE WHEN (l_returnflag = 'A' AND l_linestatus = 'F') = (l_quantity > 25) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy FROM lineitem GROUP BY ALL""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").select("l_linenumber", "l_quantity", F.expr(KB.replace("\n", "\\n")).alias("text")).withColumn("p", S.keyword_baseline("text"))
+    li = table(spark, d, "lineitem").select("l_linenumber", "l_quantity", F.expr(KB).alias("text")).withColumn("p", S.keyword_baseline("text"))
     return li.groupBy(F.col("l_linenumber").alias("level")).agg(F.sum((F.col("p") == "FALSE").cast("long")).alias("n_false"), r6(F.avg(((F.col("p") == "FALSE") == (F.col("l_quantity") > 25)).cast("double"))).alias("accuracy"))
 
 
@@ -380,9 +375,10 @@ def _(spark, d):
 @query("src10_read_flat_or_envelope", f"WITH {LV} SELECT model, level, n FROM lv")
 def _(spark, d):
     import tempfile
-    from levelscan.sources.envelope import read_flat_or_envelope
+    from levelscan.sources.envelope import envelope_rows, read_flat_or_envelope
     base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")) + f"/levelscan-flat-{spark.sparkContext.applicationId}"
-    levels(spark, d).select("model", "level", "n").write.mode("overwrite").json(base)
+    pieces = envelope_rows(levels(spark, d).select(F.lit("all").alias("dataset"), "model", "level", "n"), max_rows=50)
+    pieces.select(F.to_json("examples").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(base)
     return read_flat_or_envelope(spark, base).select("model", F.col("level").cast("int").alias("level"), "n")
 
 

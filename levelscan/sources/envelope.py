@@ -60,5 +60,7 @@ def envelope_rows(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def write_envelope(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
+    """Every file is one envelope document with one piece of one dataset."""
     rows = envelope_rows(df, max_rows)
-    rows.select(F.array(F.struct("dataset", "examples")).alias("datasets")).write.mode("overwrite").json(path)
+    doc = rows.select(F.array(F.struct("dataset", "examples")).alias("datasets"))
+    doc.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
