@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+from levelscan.functions.scalars import let
+
 
 def _scaled_erfc(z: float) -> float:
     """erfc(z) * exp(z^2) for z >= 0."""
@@ -40,12 +42,17 @@ ERFC_COEFFICIENTS = _fit()
 
 def erfc_abs(z: Column) -> Column:
     """erfc of a non-negative number."""
-    t = 2.0 / (2.0 + z)
-    s = 2.0 * t - 1.0
-    poly = F.lit(ERFC_COEFFICIENTS[-1])
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = poly * s + c
-    return t * F.exp(poly - z * z)
+
+    def at(x):
+        def horner(s):
+            poly = F.lit(ERFC_COEFFICIENTS[-1])
+            for c in reversed(ERFC_COEFFICIENTS[:-1]):
+                poly = poly * s + c
+            return poly
+
+        return 2.0 / (2.0 + x) * F.exp(let(4.0 / (2.0 + x) - 1.0, horner) - x * x)
+
+    return let(z, at)
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -53,13 +60,11 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def normal_sf(z: Column) -> Column:
-    half = normal_two_sided(z) / 2.0
-    return F.when(z >= 0, half).otherwise(1.0 - half)
+    return let(z, lambda x: let(normal_two_sided(x) / 2.0, lambda half: F.when(x >= 0, half).otherwise(1.0 - half)))
 
 
 def normal_cdf(z: Column) -> Column:
-    half = normal_two_sided(z) / 2.0
-    return F.when(z >= 0, 1.0 - half).otherwise(half)
+    return let(z, lambda x: let(normal_two_sided(x) / 2.0, lambda half: F.when(x >= 0, 1.0 - half).otherwise(half)))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
@@ -67,26 +72,37 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
     Up to 1000: the finite sum in cos(theta), theta = atan(t / sqrt(df)); above: Hill's normal expansion.
     """
-    a = F.abs(t)
-    theta = F.atan(a / F.sqrt(df.cast("double")))
-    sin, cos2 = F.sin(theta), F.pow(F.cos(theta), 2)
+    return let(F.abs(t), lambda a: F.when(df <= 1000, _t_sum(a, df)).otherwise(_t_hill(a, df.cast("double"))))
+
+
+def _t_sum(a: Column, df: Column) -> Column:
     odd = df % 2 == 1
     terms = F.when(odd, (df - 1) / 2).otherwise(df / 2).cast("int")
+    ks = F.when((terms >= 1) & (terms <= 500), F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
 
-    def step(acc, k):
-        nxt = F.when(odd, acc["term"] * cos2 * (2 * k) / (2 * k + 1)).otherwise(acc["term"] * cos2 * (2 * k - 1) / (2 * k))
-        return F.struct(nxt.alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+    def at(theta):
+        def total(cos2):
+            def step(acc, k):
+                nxt = F.when(odd, acc["term"] * cos2 * (2 * k) / (2 * k + 1)).otherwise(acc["term"] * cos2 * (2 * k - 1) / (2 * k))
+                return F.struct(nxt.alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
 
-    first = F.struct(F.when(odd, F.cos(theta)).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("sum"))
-    ks = F.when((terms >= 1) & (terms <= 500), F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(ks, first, step, lambda s: s["sum"])
-    inside = F.when(odd, 2.0 / math.pi * (theta + sin * total)).otherwise(sin * total)
-    n = df.cast("double")
-    a1 = n - 0.5
-    b1 = 48.0 * a1 * a1
-    w = F.sqrt(a1 * F.ln(1.0 + a * a / n))
-    z = w + (F.pow(w, 3) + 3 * w) / b1 - (4 * F.pow(w, 7) + 33 * F.pow(w, 5) + 240 * F.pow(w, 3) + 855 * w) / (10 * b1 * (b1 + 0.8 * F.pow(w, 4) + 100))
-    return F.when(df <= 1000, F.greatest(1.0 - inside, F.lit(0.0))).otherwise(normal_two_sided(z))
+            first = F.struct(F.when(odd, F.cos(theta)).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("sum"))
+            return F.sin(theta) * F.aggregate(ks, first, step, lambda s: s["sum"])
+
+        inside = let(let(F.pow(F.cos(theta), 2), total), lambda x: F.when(odd, 2.0 / math.pi * (theta + x)).otherwise(x))
+        return F.greatest(1.0 - inside, F.lit(0.0))
+
+    return let(F.atan(a / F.sqrt(df.cast("double"))), at)
+
+
+def _t_hill(a: Column, n: Column) -> Column:
+    b = 48.0 * F.pow(n - 0.5, 2)
+
+    def z(w):
+        tail = (4 * F.pow(w, 7) + 33 * F.pow(w, 5) + 240 * F.pow(w, 3) + 855 * w) / (10 * b * (b + 0.8 * F.pow(w, 4) + 100))
+        return normal_two_sided(w + (F.pow(w, 3) + 3 * w) / b - tail)
+
+    return let(F.sqrt((n - 0.5) * F.ln(1.0 + a * a / n)), z)
 
 
 def chi2_even_sf(x: Column, k: Column) -> Column:

@@ -64,19 +64,17 @@ def bca_ci(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
     )
     out = stats.join(acc, keys, "left").join(below, keys)
     out = out.withColumn("_z0", normal_ppf(F.least(F.greatest("_share", F.lit(1e-8)), F.lit(1 - 1e-8))))
-    a = F.when(F.col("_d2") > 0, F.col("_d3") / (6 * F.pow("_d2", 1.5))).otherwise(0.0)
+    out = out.withColumn("_a", F.when(F.col("_d2") > 0, F.col("_d3") / (6 * F.pow("_d2", 1.5))).otherwise(0.0))
     from statistics import NormalDist
 
-    def bound(q):
+    for name, q in (("ci_low", alpha / 2), ("ci_high", 1 - alpha / 2)):
         z = F.col("_z0") + NormalDist().inv_cdf(q)
-        p = normal_cdf(F.col("_z0") + z / (1 - a * z))
-        p = F.least(F.greatest(p, F.lit(0.5 / b)), F.lit(1 - 0.5 / b))
-        at = p * (b - 1)
-        lo = F.get("_reps", F.floor(at).cast("int"))
-        hi = F.get("_reps", F.least(F.floor(at) + 1, F.lit(b - 1)).cast("int"))
-        return F.when(F.col("n") >= 2, lo + (hi - lo) * (at - F.floor(at)))
-
-    return out.select(*keys, "n", "point", bound(alpha / 2).alias("ci_low"), bound(1 - alpha / 2).alias("ci_high"))
+        share = normal_cdf(F.col("_z0") + z / (1 - F.col("_a") * z))
+        out = out.withColumn("_at", F.least(F.greatest(share, F.lit(0.5 / b)), F.lit(1 - 0.5 / b)) * (b - 1))
+        lo = F.get("_reps", F.floor("_at").cast("int"))
+        hi = F.get("_reps", F.least(F.floor("_at") + 1, F.lit(b - 1)).cast("int"))
+        out = out.withColumn(name, F.when(F.col("n") >= 2, lo + (hi - lo) * (F.col("_at") - F.floor("_at"))))
+    return out.select(*keys, "n", "point", "ci_low", "ci_high")
 
 
 def bootstrap_effect(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b_side, order: Sequence[str], b: int = 500, seed: int = 42) -> DataFrame:

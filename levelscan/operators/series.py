@@ -1,7 +1,8 @@
 """Analyses of level series: scaling, leading signals, trends, rankings, controls.
 
 Input is a level table with ``d_star``; rows are (series, level), so all of this is small next to the
-response rows.  Several indicators run together as one long (series, level, indicator, value) table.
+response rows.  Where several branches read the level table it is checkpointed first, so the response
+rows behind it are scanned once.  Several indicators run together as one long (series, level, indicator, value) table.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelscan.operators import statistics as T
 from levelscan.operators.windows import by_level
+from levelscan.plans.session import cut_lineage
 
 SERIES = ("task", "model")
 
@@ -99,6 +101,7 @@ def per_temperature(series: DataFrame, keys: Sequence[str] = ("task", "temperatu
     ``series`` has d_star (missing ones placed after the last level by the caller).
     """
     keys = list(keys)
+    series = cut_lineage(series)
     top = F.max("accuracy").over(W.partitionBy(*keys))
     s = series.withColumn("_relax", F.greatest(F.lit(0.6), 0.7 * top))
     dip, sil = F.col("dip_pvalue") < 0.05, F.col("silhouette_k2") > 0.3
@@ -127,12 +130,13 @@ def dose_response(series: DataFrame, temps: DataFrame, task: str = "task", cols:
 
     ``series``: level rows with temperature; ``temps``: the result of ``per_temperature``.
     """
+    temps = cut_lineage(temps)
     stable = temps.groupBy(task).agg((F.max("d_star") - F.min("d_star")).alias("d_star_range"))
     lead = T.linregress(temps.where(F.col("lead_time_relaxed").isNotNull()), [task], "temperature", "lead_time_relaxed")
     lead = lead.select(task, F.when(F.col("n") >= 3, F.col("slope")).alias("lead_slope"), F.when(F.col("n") >= 3, F.col("p_value")).alias("lead_p"))
     lng = long_table(series, cols, (task, "temperature", "level"))
     rho = T.spearman(lng, [task, "indicator", "level"], "temperature", "value").where("n >= 3")
-    share = rho.groupBy(task).agg(*[F.coalesce(F.avg(F.when(F.col("indicator") == c, (F.coalesce("rho", F.lit(0.0)) > 0).cast("double"))), F.lit(0.0)).alias(f"share_{c}") for c in cols])
+    share = rho.groupBy(task).agg(*[F.coalesce(F.avg(F.when(F.col("indicator") == c, (F.coalesce("rho", F.lit(0.0)) > 1e-9).cast("double"))), F.lit(0.0)).alias(f"share_{c}") for c in cols])
     zone = T.spearman(temps, [task], "temperature", "n_bimodal").select(task, F.coalesce("rho", F.lit(0.0)).alias("zone_rho"), F.coalesce("p_value", F.lit(1.0)).alias("zone_p"))
     out = stable.join(lead, task, "left").join(share, task, "left").join(zone, task, "left")
     checks = [
@@ -155,7 +159,7 @@ def mixture_r2(series: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
 def success_criteria(series: DataFrame, f1: float, baseline_f1: float, keys: Sequence[str] = SERIES, high: float = 0.8) -> DataFrame:
     """One row: flicker coverage, mixture fit, classifier gain, and the verdict by their count (series with a d* only)."""
-    pos = series.where(F.col("d_star").isNotNull())
+    pos = cut_lineage(series).where(F.col("d_star").isNotNull())
     flick = (F.col("accuracy") > high) & (signal_flag("dip") | signal_flag("silhouette"))
     det = pos.groupBy(*keys).agg(F.bool_or(flick).alias("hit"))
     sc1 = det.agg(
@@ -189,6 +193,7 @@ def indicator_ranking(series: DataFrame, expected: Mapping[str, int], keys: Sequ
     """Sensitivity on series with d*, specificity on those without, mean lead, mean |tau| and the composite."""
     cols = list(expected)
     keys = list(keys)
+    series = cut_lineage(series)
     lng = long_table(series, cols)
     flat = lng.groupBy(*keys, "indicator").agg(
         (F.count(F.lit(1)) >= 4).alias("_n"), (F.stddev_pop("value") >= 1e-10).alias("_s"), F.max("d_star").isNotNull().alias("positive"))
@@ -243,7 +248,7 @@ def consistency_matrix(series: DataFrame, cols: Sequence[str] = TREND_COLUMNS, k
 def effect_sizes(series: DataFrame, cols: Sequence[str] = TREND_COLUMNS, keys: Sequence[str] = SERIES) -> DataFrame:
     """Cohen's d and Cliff's delta of near (d*-3..d*) against far (<= d*-5) levels; far needs 3 levels, d* at least 5."""
     z = F.when(F.col("level") <= F.col("d_star") - 5, "far").when(F.col("level").between(F.col("d_star") - 3, F.col("d_star")), "near")
-    lng = long_table(series.where("d_star >= 5"), cols).withColumn("_z", z).where(F.col("_z").isNotNull())
+    lng = long_table(cut_lineage(series.where("d_star >= 5")), cols).withColumn("_z", z).where(F.col("_z").isNotNull())
     k = [*keys, "indicator"]
     d = T.cohens_d(lng, k, "value", "_z", "near", "far").where("n_b >= 3 and n_a >= 1")
     c = T.cliffs_delta(lng, k, "value", "_z", "near", "far")
@@ -256,7 +261,7 @@ def mean_effects(effects: DataFrame) -> DataFrame:
 
 def cross_task_consistency(series: DataFrame, keys: Sequence[str] = SERIES, high: float = 0.8) -> DataFrame:
     """Per indicator over series with d*: share leading, Fisher p of the first level below the accuracy mark; mean variance tau."""
-    pos = series.where(F.col("d_star").isNotNull())
+    pos = cut_lineage(series.where(F.col("d_star").isNotNull()))
     lead = lead_time_summary(pos, ("dip", "silhouette", "bimodality"), keys, high)
     share = lead.groupBy("indicator").agg(F.avg(F.coalesce(F.col("lead_time") > 0, F.lit(False)).cast("double")).alias("share_leading"))
     at = F.when(F.col("accuracy") < high, F.col("level"))

@@ -126,6 +126,17 @@ def critical_level(
     return series.groupBy(*keys).agg(d.alias("d_star"))
 
 
+def attach_critical_level(
+    series: DataFrame, keys: Sequence[str] = SERIES, limit: float = 0.5, default: str | None = None
+) -> DataFrame:
+    """The same d*, as a column beside every level."""
+    w = W.partitionBy(*keys)
+    d = F.min(F.when(F.col("accuracy") < limit, F.col("level"))).over(w)
+    if default == "next":
+        d = F.coalesce(d, F.max("level").over(w) + 1)
+    return series.withColumn("d_star", d)
+
+
 def first_crossing(series: DataFrame, predicate: Column, keys: Sequence[str] = SERIES, guard: Column | None = None) -> DataFrame:
     """First level up to d* where the predicate holds, with lead time and accuracy there."""
     hit = predicate & (F.col("level") <= F.col("d_star"))

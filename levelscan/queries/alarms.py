@@ -117,14 +117,14 @@ ro AS (SELECT *, 'always_cheap' AS policy, false AS use_capable FROM j UNION ALL
 def metrics_sql(src="ro", keys="task", lev="l", batch="20", volume="sum(weight)", name="pm"):
     k = keys
     return f"""{name}a AS (SELECT {k}, policy, {volume} AS n_queries, sum(weight * CASE WHEN use_capable THEN capable_acc ELSE cheap_acc END) / sum(weight) AS accuracy, sum(weight * CASE WHEN use_capable THEN 0.010 ELSE 0.001 END) / sum(weight) * {volume} AS base, coalesce(sum(weight) FILTER (WHERE use_capable) / sum(weight), 0) AS capable_share, max(alarm_level) AS alarm_level FROM {src} GROUP BY ALL),
-{name}b AS (SELECT a.*, CASE WHEN policy = 'alarm' THEN (SELECT count(*) FROM {lev} l WHERE l.task = a.task AND (a.alarm_level IS NULL OR l.level <= a.alarm_level)) * {batch} * 0.001 ELSE 0.0 END AS overhead FROM {name}a a),
+{name}b AS (SELECT a.*, CASE WHEN policy = 'alarm' THEN (SELECT count(*) FROM {lev} l WHERE l.task = a.task AND (a.alarm_level IS NULL OR l.level <= a.alarm_level)) * {batch} * 0.001::DOUBLE ELSE 0.0 END::DOUBLE AS overhead FROM {name}a a),
 {name}c AS (SELECT *, base + overhead AS total_cost FROM {name}b),
 {name}d AS (SELECT *, max(accuracy) FILTER (WHERE policy = 'always_cheap') OVER w AS ca, max(total_cost) FILTER (WHERE policy = 'always_cheap') OVER w AS cc, max(total_cost) FILTER (WHERE policy = 'always_capable') OVER w AS kc, max(accuracy) FILTER (WHERE policy = 'oracle') OVER w AS oa FROM {name}c WINDOW w AS (PARTITION BY {k})),
 {name} AS (SELECT {k}, policy, accuracy, total_cost, overhead, capable_share, n_queries, alarm_level, CASE WHEN 1 - ca > 1e-10 THEN (accuracy - ca) / (1 - ca) * 100 ELSE 0.0 END AS error_reduction, total_cost / kc * 100 AS relative_cost, CASE WHEN total_cost - cc > 1e-6 THEN (accuracy - ca) / (total_cost - cc) ELSE 0.0 END AS efficiency, CASE WHEN abs(oa - ca) < 1e-10 THEN 0.0 ELSE (accuracy - ca) / (oa - ca) * 100 END AS oracle_gap FROM {name}d)"""
 
 
 PCOLS = ["accuracy", "total_cost", "overhead", "capable_share", "n_queries", "error_reduction", "relative_cost", "efficiency", "oracle_gap"]
-PSEL = ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in PCOLS)
+PSEL = ", ".join(f"round({c}::DOUBLE, 5) + 0.0 AS {c}" for c in PCOLS)
 
 
 def _pair(spark, d):
@@ -161,7 +161,7 @@ def _(spark, d):
     return R.pareto_front(p, ["task"], "accuracy", "cost")
 
 
-@query("rt04_break_even", f"""WITH {LV}, {RTE}, {metrics_sql()} SELECT task, round(max(overhead) FILTER (WHERE policy = 'alarm'), 6) + 0.0 AS overhead, round(max(total_cost / n_queries) FILTER (WHERE policy = 'always_capable') - max((total_cost - overhead) / n_queries) FILTER (WHERE policy = 'alarm'), 9) + 0.0 AS saving,
+@query("rt04_break_even", f"""WITH {LV}, {RTE}, {metrics_sql()} SELECT task, round(max(overhead::DOUBLE) FILTER (WHERE policy = 'alarm'), 6) + 0.0 AS overhead, round(max(total_cost / n_queries) FILTER (WHERE policy = 'always_capable') - max((total_cost - overhead) / n_queries) FILTER (WHERE policy = 'alarm'), 9) + 0.0 AS saving,
  round(greatest(max(overhead) FILTER (WHERE policy = 'alarm') / (max(total_cost / n_queries) FILTER (WHERE policy = 'always_capable') - max((total_cost - overhead) / n_queries) FILTER (WHERE policy = 'alarm')), 1), 4) + 0.0 AS break_even FROM pm GROUP BY ALL""")
 def _(spark, d):
     r, lv, _al = _routed(spark, d)
@@ -173,7 +173,7 @@ def _grid_sql():
     x1, x0 = "least(greatest((d + 0.5 - lo) / w, 0), 1)", "least(greatest((d - 0.5 - lo) / w, 0), 1)"
     f = {"uniform": "({x})", "beta_easy": "(1 - power(1 - {x}, 5) * (1 + 5 * {x}))", "beta_hard": "(power({x}, 5) * (6 - 5 * {x}))"}
     cells = " UNION ALL ".join(f"SELECT task, d AS difficulty, '{n}' AS distribution, {e.format(x=x1)} - {e.format(x=x0)} AS weight FROM sp" for n, e in f.items())
-    parts = ", ".join(metrics_sql("rg", "task, distribution", "l", str(b), "1000.0", f"g{b}") for b in (10, 20, 50))
+    parts = ", ".join(metrics_sql("rg", "task, distribution", "l", str(b), "1000.0::DOUBLE", f"g{b}") for b in (10, 20, 50))
     union = " UNION ALL ".join(f"SELECT *, {b}::INTEGER AS batch FROM g{b}" for b in (10, 20, 50))
     return f"""sp AS (SELECT task, lo, greatest(hi - lo, 1)::DOUBLE AS w, unnest(range(lo, hi + 1))::INTEGER AS d FROM (SELECT task, min(level) AS lo, max(level) AS hi FROM l GROUP BY ALL)), ce AS ({cells}),
 jg AS (SELECT ce.task, ce.distribution, ce.difficulty, ce.weight, l.cheap_acc, l.capable_acc, al.alarm_level FROM ce JOIN l ON l.task = ce.task AND l.level = ce.difficulty LEFT JOIN al ON al.task = ce.task),
@@ -186,8 +186,8 @@ def _(spark, d):
     return rounded(R.routing_grid(lv, al, batches=(10, 20, 50)), *PCOLS, digits=5)
 
 
-@query("rt06_method_cost_table", f"""WITH {LV}, u AS (SELECT role AS family, count(*) AS calls, sum(length(text)) * 0.001 AS cost FROM conversations GROUP BY ALL), s AS (SELECT CASE WHEN model = 'click' THEN 'user' WHEN model = 'view' THEN 'assistant' ELSE 'none' END AS family, max(accuracy) AS f1 FROM lv GROUP BY ALL)
-SELECT s.family, coalesce(calls, 0) AS calls, round(coalesce(cost, 0), 6) + 0.0 AS cost, round(f1, 6) + 0.0 AS best_f1 FROM s LEFT JOIN u USING (family)""")
+@query("rt06_method_cost_table", f"""WITH {LV}, u AS (SELECT role AS family, count(*) AS calls, sum(length(text)) * 0.001::DOUBLE AS cost FROM conversations GROUP BY ALL), s AS (SELECT CASE WHEN model = 'click' THEN 'user' WHEN model = 'view' THEN 'assistant' ELSE 'none' END AS family, max(accuracy) AS f1 FROM lv GROUP BY ALL)
+SELECT s.family, coalesce(calls, 0) AS calls, round(coalesce(cost, 0), 6)::DOUBLE + 0.0 AS cost, round(f1, 6) + 0.0 AS best_f1 FROM s LEFT JOIN u USING (family)""")
 def _(spark, d):
     u = table(spark, d, "conversations").select(F.col("role").alias("family"), (F.length("text") * 0.001).alias("cost"))
     fam = F.when(F.col("model") == "click", "user").when(F.col("model") == "view", "assistant").otherwise("none")

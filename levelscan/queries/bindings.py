@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from levelscan.operators.aggregates import level_table
-from levelscan.operators.windows import critical_level
+from levelscan.operators.windows import attach_critical_level
 from levelscan.queries.registry import table
 
 
@@ -58,8 +58,9 @@ def all_levels(spark, d) -> DataFrame:
     return level_table(all_rows(spark, d))
 
 
-def with_d_star(lv: DataFrame, default: str | None = None) -> DataFrame:
-    return lv.join(critical_level(lv, default=default), ["task", "model"], "left")
+def with_d_star(lv: DataFrame) -> DataFrame:
+    """The critical level beside every level, by a window, so the level table is built once."""
+    return attach_critical_level(lv)
 
 
 _EV = """SELECT 'events' AS task, event_type AS model,
