@@ -65,6 +65,16 @@ def group_folds(df: DataFrame, scheme: str, label: str = "label", min_train: int
     return per.withColumn("usable", ok)
 
 
+def in_parallel(jobs: Sequence, threads: int = 8) -> list:
+    """Run independent Spark jobs from driver threads (the way pyspark.ml's CrossValidator does) and keep their order."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+
+
 # ---- models -------------------------------------------------------------------------------------
 
 def _estimator(learner: str, weight_sum: float, c: float, trees: int, seed: int):
@@ -103,11 +113,13 @@ def cv_predictions(df: DataFrame, features: Sequence[str], scheme: str = "pair",
     """Held-out predictions of every usable fold.  ``df`` should be checkpointed: every fold reads it."""
     fold = F.concat_ws("__", *SCHEMES[scheme])
     names = [r["fold"] for r in group_folds(df, scheme, label).where("usable").select("fold").collect()]
-    parts = [
-        fit_predict(df.where(fold != n), df.where(fold == n), features, label, learner, **kw).withColumn("fold", F.lit(n)) for n in sorted(names)]
-    if not parts:
+    if not names:
         raise ValueError(f"no usable fold for {scheme}")
-    return reduce(DataFrame.unionByName, parts)
+
+    def job(n):
+        return lambda: fit_predict(df.where(fold != n), df.where(fold == n), features, label, learner, **kw).withColumn("fold", F.lit(n))
+
+    return reduce(DataFrame.unionByName, in_parallel([job(n) for n in sorted(names)]))
 
 
 def tune_c(train: DataFrame, features: Sequence[str], label: str = "label", grid: Sequence[float] = (0.01, 0.1, 0.5, 1.0, 5.0, 10.0)) -> DataFrame:
@@ -210,8 +222,10 @@ def evaluate(df: DataFrame, features: Sequence[str], scheme: str, learner: str,
 def compare_variants(df: DataFrame, variants: Mapping[str, Sequence[str]], learners: Sequence[str] = ("logistic", "forest"), schemes: Sequence[str] = ("pair",), label: str = "label", **kw) -> DataFrame:
     """Metrics of all variants x learners x schemes."""
     df = cut_lineage(df)
-    return reduce(DataFrame.unionByName, [
-        evaluate(df, f, s, m, label, **kw).withColumn("variant", F.lit(n)) for n, f in variants.items() for m in learners for s in schemes])
+    def job(n, f, m, s):
+        return lambda: evaluate(df, f, s, m, label, **kw).withColumn("variant", F.lit(n))
+
+    return reduce(DataFrame.unionByName, in_parallel([job(n, f, m, s) for n, f in variants.items() for m in learners for s in schemes], 4))
 
 
 def family_gain(table: DataFrame, family: Column, base: str, metric: str = "f1") -> DataFrame:
@@ -274,9 +288,12 @@ def permutation_control(df: DataFrame, features: Sequence[str], p: int = 100, sc
     """Shuffle each feature inside its task, evaluate again: p = share of permuted F1 at or above the observed one."""
     df = cut_lineage(df.withColumn("_id", F.concat_ws("|", "task", "model", F.lpad(F.col("level").cast("string"), 9, "0"))))
     obs = evaluate(df, features, scheme, learner, label, **kw).select(F.col("f1").alias("observed"))
-    perm = [
-        evaluate(cut_lineage(permute_within(df, features, ["task"], "_id", seed)), features, scheme, learner, label, **kw).select("f1") for seed in range(p)]
-    runs = reduce(DataFrame.unionByName, perm).withColumn("_k", F.lit(0)).join(obs.withColumn("_k", F.lit(0)), "_k")
+
+    def job(seed):
+        return lambda: evaluate(cut_lineage(permute_within(df, features, ["task"], "_id", seed)), features, scheme, learner, label, **kw).select("f1")
+
+    runs = reduce(DataFrame.unionByName, in_parallel([job(s) for s in range(p)], 4))
+    runs = runs.withColumn("_k", F.lit(0)).join(obs.withColumn("_k", F.lit(0)), "_k")
     hits = F.sum((F.col("f1") >= F.col("observed")).cast("long"))
     share = (hits + 1) / (F.count(F.lit(1)) + 1) if add_one else hits / F.count(F.lit(1))
     return runs.agg(F.max("observed").alias("observed"), F.avg("f1").alias("permuted_mean"), share.alias("p_value"), (F.max("observed") - F.avg("f1")).alias("drop"), F.count(F.lit(1)).alias("n_perm"))
