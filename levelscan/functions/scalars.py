@@ -292,7 +292,7 @@ def replay_chain(start: Column, ops: Column, operands: Column, bound: int = 1000
 
     def step(vals, op):
         last = F.element_at(vals, -1)
-        nxt = F.when(op["0"] == "+", last + op["1"]).when(op["0"] == "-", last - op["1"]).when(op["0"] == "*", last * op["1"])
+        nxt = F.when(op["0"] == "+", last + op["1"]).when(op["0"] == "-", last - op["1"]).when(op["0"].isin("*", "\u00d7"), last * op["1"])
         return F.array_append(vals, nxt)
 
     return F.aggregate(F.arrays_zip(ops.alias("0"), operands.alias("1")), F.array(start.cast("bigint")), step)

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from levelscan.operators.statistics import safe_corr
 from levelscan.plans.session import cut_lineage
 
 SERIES = ("task", "model")
@@ -168,25 +169,28 @@ def fit_logistic_ddm(series: DataFrame, keys: Sequence[str] = SERIES, rounds: in
     """Sigmoid accuracy by a zooming grid on (midpoint, slope), then variance = d_sq * p(1-p) + c on the fitted accuracy."""
     keys = list(keys)
     series = cut_lineage(series)
-    box = series.groupBy(*keys).agg(
-        F.avg("level").alias("m"), (F.max("level") - F.min("level") + 1.0).alias("mh"), F.lit(0.0).alias("s"), F.lit(2.0).alias("sh"))
+    # logit at the mean level and slope are nearly independent, so a zooming grid does not drift
+    box = series.groupBy(*keys).agg(F.avg("level").alias("x0"), F.lit(0.0).alias("u"), F.lit(6.0).alias("uh"), F.lit(0.0).alias("s"), F.lit(2.0).alias("sh"))
     steps = F.sequence(F.lit(-width), F.lit(width))
+
+    def sigmoid(u, s):
+        return 1.0 / (1.0 + F.exp(F.least(F.greatest(-(u + s * (F.col("level") - F.col("x0"))), F.lit(-500.0)), F.lit(500.0))))
+
     for _ in range(rounds):
         rows = series.select(*keys, "level", "accuracy").join(box, keys)
-        rows = rows.withColumn("_m", F.explode(F.transform(steps, lambda i: F.col("m") + F.col("mh") * i / width))).withColumn(
+        rows = rows.withColumn("_u", F.explode(F.transform(steps, lambda i: F.col("u") + F.col("uh") * i / width))).withColumn(
             "_s", F.explode(F.transform(steps, lambda i: F.col("s") + F.col("sh") * i / width)))
-        p = 1.0 / (1.0 + F.exp(F.least(F.greatest(-F.col("_s") * (F.col("level") - F.col("_m")), F.lit(-500.0)), F.lit(500.0))))
-        sse = rows.groupBy(*keys, "_m", "_s", "mh", "sh").agg(F.sum(F.pow(F.col("accuracy") - p, 2)).alias("_e"))
-        best = sse.groupBy(*keys).agg(F.min_by(F.struct("_m", "_s", "mh", "sh"), F.struct("_e", "_m", "_s")).alias("_b"))
-        box = cut_lineage(best.select(*keys, F.col("_b._m").alias("m"), (F.col("_b.mh") * 2.0 / width).alias("mh"), F.col("_b._s").alias("s"), (F.col("_b.sh") * 2.0 / width).alias("sh")))
-    rows = series.join(box.select(*keys, "m", "s"), keys)
-    p = 1.0 / (1.0 + F.exp(F.least(F.greatest(-F.col("s") * (F.col("level") - F.col("m")), F.lit(-500.0)), F.lit(500.0))))
+        sse = rows.groupBy(*keys, "x0", "_u", "_s", "uh", "sh").agg(F.sum(F.pow(F.col("accuracy") - sigmoid(F.col("_u"), F.col("_s")), 2)).alias("_e"))
+        best = sse.groupBy(*keys).agg(F.min_by(F.struct("x0", "_u", "_s", "uh", "sh"), F.struct("_e", "_u", "_s")).alias("_b"))
+        box = cut_lineage(best.select(*keys, "_b.x0", F.col("_b._u").alias("u"), (F.col("_b.uh") * 2.0 / width).alias("uh"), F.col("_b._s").alias("s"), (F.col("_b.sh") * 2.0 / width).alias("sh")))
+    rows = series.join(box.select(*keys, "x0", "u", "s"), keys)
+    p = sigmoid(F.col("u"), F.col("s"))
     rows = rows.withColumn("_p", p)
     acc = rows.groupBy(*keys).agg(
-        F.sum(F.pow(F.col("accuracy") - F.col("_p"), 2)).alias("_sa"), F.regr_syy("accuracy", "accuracy").alias("_ta"), F.max("m").alias("_m"), F.max("s").alias("c1"))
+        F.sum(F.pow(F.col("accuracy") - F.col("_p"), 2)).alias("_sa"), F.regr_syy("accuracy", "accuracy").alias("_ta"), F.max(F.col("u") - F.col("s") * F.col("x0")).alias("c0"), F.max("s").alias("c1"))
     var = _scored(nonneg_fit(cross_sums(rows, keys, [F.col("_p") * (1 - F.col("_p")), F.lit(1.0)], "variance"), ["d_sq", "c"]), 4)
-    acc = acc.select(*keys, (-F.col("c1") * F.col("_m")).alias("c0"), "c1", r2_of(F.col("_sa"), F.col("_ta")).alias("r2_accuracy"),
-                     F.when(F.abs("c1") > 1e-10, F.col("_m")).alias("implied_d_star"))
+    acc = acc.select(*keys, "c0", "c1", r2_of(F.col("_sa"), F.col("_ta")).alias("r2_accuracy"),
+                     F.when(F.abs("c1") > 1e-10, -F.col("c0") / F.col("c1")).alias("implied_d_star"))
     return var.join(acc, keys)
 
 
@@ -239,7 +243,7 @@ def fit_cusp(
     loss = F.pow((F.col("acc_hat") - F.col("accuracy")) / F.col("_sa"), 2) + F.pow((F.col("var_hat") - F.col("variance")) / F.col("_sv"), 2)
     g = rows.groupBy(*keys, *grid).agg(
         F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n"),
-        F.regr_sxx("variance", "var_hat").alias("_xx"), F.regr_sxy("variance", "var_hat").alias("_xy"), F.regr_syy("variance", "var_hat").alias("sst"), F.corr("accuracy", "acc_hat").alias("_ra"),
+        F.regr_sxx("variance", "var_hat").alias("_xx"), F.regr_sxy("variance", "var_hat").alias("_xy"), F.regr_syy("variance", "var_hat").alias("sst"), safe_corr("accuracy", "acc_hat").alias("_ra"),
         F.min(F.when(27 * F.pow(F.col("a0") + F.col("a1") * F.col("_x"), 2) < 4 * F.pow("beta", 3), F.col("level"))).alias("bimodal_from"),
         F.max(F.when(27 * F.pow(F.col("a0") + F.col("a1") * F.col("_x"), 2) < 4 * F.pow("beta", 3), F.col("level"))).alias("bimodal_to"))
     best = F.min_by(F.struct(*grid, "n", "loss", "_xx", "_xy", "sst", "_ra", "bimodal_from", "bimodal_to"), F.struct(F.round("loss", 9), *grid))

@@ -153,7 +153,7 @@ def mixture_r2(series: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Pearson r of p(1-p) with variance, and its square (0 if either is flat or under three levels)."""
     mix = series.withColumn("_m", F.col("accuracy") * (1 - F.col("accuracy")))
     ok = (F.count(F.lit(1)) >= 3) & (F.stddev_pop("_m") > 1e-10) & (F.stddev_pop("variance") > 1e-10)
-    out = mix.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_levels"), F.when(ok, F.corr("_m", "variance")).alias("r"))
+    out = mix.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_levels"), F.when(ok, T.safe_corr("_m", "variance")).alias("r"))
     return out.withColumn("r2", F.coalesce(F.col("r") * F.col("r"), F.lit(0.0)))
 
 

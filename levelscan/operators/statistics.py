@@ -121,16 +121,22 @@ def inversion_table(spark, n_max: int = 33) -> DataFrame:
     return _fixed_table(spark, rows, ["n", "c", "cdf"])
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; NULL (not an error) when a side is flat."""
+    xx, yy = F.regr_sxx(y, x), F.regr_syy(y, x)
+    return F.when((xx > 0) & (yy > 0), F.regr_sxy(y, x) / F.sqrt(xx * yy))
+
+
 def linregress(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     out = ok.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r")
+        F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), safe_corr(x, y).alias("r")
     )
     return out.withColumn("r2", F.col("r") * F.col("r")).withColumn("p_value", corr_p(F.col("r"), F.col("n")))
 
 
 def corr_p(r: Column, n: Column) -> Column:
-    t = r * F.sqrt((n - 2) / (1 - r * r))
+    t = r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
     return F.when(n < 3, None).when(F.abs(r) >= 1, 0.0).otherwise(D.t_two_sided(t, n - 2))
 
 
@@ -179,13 +185,13 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b
     out = ranks.groupBy(*keys).agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"),
         F.sum(F.col("rank_avg") * F.col("na")).alias("_ra"), F.sum(t * t * t - t).alias("_ties"),
-        (F.sum(v * F.col("na")) / F.sum("na")).alias("mean_a"), (F.sum(v * F.col("nb")) / F.sum("nb")).alias("mean_b"),
+        F.try_divide(F.sum(v * F.col("na")), F.sum("na")).alias("mean_a"), F.try_divide(F.sum(v * F.col("nb")), F.sum("nb")).alias("mean_b"),
     )
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     u = F.col("_ra") - na * (na + 1) / 2
     n = na + nb
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    out = out.withColumn("u", u).withColumn("cliffs_delta", 2 * u / (na * nb) - 1)
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
+    out = out.withColumn("u", u).withColumn("cliffs_delta", F.try_divide(2 * u, na * nb) - 1)
     table = rank_sum_table(df.sparkSession)
     small = (F.col("_ties") == 0) & (F.least(na, nb) <= 8) & (F.greatest(na, nb) <= 30)
     out = out.withColumns({
@@ -194,7 +200,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b
     p = (
         F.when((na < 2) | (nb < 2), F.when(F.col("mean_a") > F.col("mean_b"), 0.0).otherwise(1.0))
         .when(F.col("sf").isNotNull(), F.col("sf"))
-        .when(sd > 0, D.normal_sf((F.col("u") - na * nb / 2 - 0.5) / sd))
+        .when(sd > 0, D.normal_sf(F.try_divide(F.col("u") - na * nb / 2 - 0.5, sd)))
         .otherwise(1.0)
     )
     return out.select(*keys, "n_a", "n_b", "u", p.alias("p_greater"), "cliffs_delta")
@@ -234,13 +240,13 @@ def distribution_distances(df: DataFrame, keys: Sequence[str], value: str, side:
     keys = list(keys)
     counts = _two_sample_counts(df, keys, value, side, a, b)
     run = running_sums(counts, keys, value, ["na", "nb"])
-    gap = F.abs(F.col("cum_na") / F.col("total_na") - F.col("cum_nb") / F.col("total_nb"))
+    gap = F.abs(F.try_divide("cum_na", "total_na") - F.try_divide("cum_nb", "total_nb"))
     out = run.groupBy(*keys).agg(
         F.max("total_na").alias("n_a"), F.max("total_nb").alias("n_b"),
         F.coalesce(F.sum(gap * (F.col("next_value") - F.col(value))), F.lit(0.0)).alias("wasserstein"),
         F.max(gap).alias("ks"),
     )
-    en = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    en = F.sqrt(F.try_divide(F.col("n_a") * F.col("n_b"), F.col("n_a") + F.col("n_b")))
     x = en * F.col("ks")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(50)), F.lit(0.0),
@@ -257,8 +263,8 @@ def cohens_d(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, sm
         F.var_samp(va).alias("_va"), F.var_samp(vb).alias("_vb"), F.stddev_pop(va).alias("std_a"), F.stddev_pop(vb).alias("std_b"),
     )
     na, nb = F.col("n_a"), F.col("n_b")
-    pooled = F.sqrt(((na - 1) * F.col("_va") + (nb - 1) * F.col("_vb")) / (na + nb - 2))
-    d = F.when((na >= 2) & (nb >= 2) & (pooled > 1e-12), (F.col("mean_a") - F.col("mean_b")) / pooled)
+    pooled = F.sqrt(F.try_divide((na - 1) * F.col("_va") + (nb - 1) * F.col("_vb"), na + nb - 2))
+    d = F.when((na >= 2) & (nb >= 2) & (pooled > 1e-12), F.try_divide(F.col("mean_a") - F.col("mean_b"), pooled))
     d = F.coalesce(d, F.lit(small).cast("double")) if small is not None else d
     return out.withColumn("cohens_d", d).drop("_va", "_vb")
 
@@ -269,7 +275,7 @@ def paired_t(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(diff).alias("mean_diff"), F.stddev_samp(diff).alias("_sd"),
         F.sum((diff > 0).cast("long")).alias("wins"),
     )
-    t = F.col("mean_diff") / (F.col("_sd") / F.sqrt(F.col("n").cast("double")))
+    t = F.try_divide("mean_diff", F.col("_sd") / F.sqrt(F.col("n").cast("double")))
     out = out.withColumn("t", F.when((F.col("n") >= 2) & (F.col("_sd") > 0), t))
     return out.withColumn("p_value", F.when(F.col("t").isNotNull(), D.t_two_sided(F.col("t"), F.col("n") - 1))).drop("_sd")
 
@@ -304,11 +310,11 @@ def kde_overlap(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b,
     counts = _two_sample_counts(df, keys, value, side, a, b)
     v = F.col(value).cast("double")
     na, nb = F.sum("na"), F.sum("nb")
-    ma, mb = F.sum(v * F.col("na")) / na, F.sum(v * F.col("nb")) / nb
+    ma, mb = F.try_divide(F.sum(v * F.col("na")), na), F.try_divide(F.sum(v * F.col("nb")), nb)
     stats = counts.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), na.alias("_ta"), nb.alias("_tb"), ma.alias("_ma"), mb.alias("_mb"))
     spread = counts.join(stats, keys).groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("na") * F.pow(v - F.col("_ma"), 2)) / (F.max("_ta") - 1)).alias("_sa"),
-        F.sqrt(F.sum(F.col("nb") * F.pow(v - F.col("_mb"), 2)) / (F.max("_tb") - 1)).alias("_sb"),
+        F.sqrt(F.try_divide(F.sum(F.col("na") * F.pow(v - F.col("_ma"), 2)), F.max("_ta") - 1)).alias("_sa"),
+        F.sqrt(F.try_divide(F.sum(F.col("nb") * F.pow(v - F.col("_mb"), 2)), F.max("_tb") - 1)).alias("_sb"),
     )
     width = F.col("_hi") - F.col("_lo")
     bw = F.greatest(width / 20, F.lit(1e-8))
@@ -342,7 +348,7 @@ def kde_overlap(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b,
     parts = work.mapInPandas(fold, schema).select(*keys, F.posexplode("dens").alias("_i", "_d"))
     sums = parts.groupBy(*keys, "_i").agg(F.sum("_d.a").alias("sa"), F.sum("_d.b").alias("sb")).join(param, keys)
     root = math.sqrt(2 * math.pi)
-    low = F.least(F.col("sa") / (F.col("_ta") * F.col("_ha") * root), F.col("sb") / (F.col("_tb") * F.col("_hb") * root))
+    low = F.least(F.try_divide("sa", F.col("_ta") * F.col("_ha") * root), F.try_divide("sb", F.col("_tb") * F.col("_hb") * root))
     weight = F.when(F.col("_i").isin(0, points - 1), 0.5).otherwise(1.0)
     step = (F.col("_hi") - F.col("_lo") + 4 * F.col("_bw")) / (points - 1)
     area = F.sum(low * weight * step)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from levelscan.queries import aggregates, alarms, fits, indicators, joins, learners, projections, ranking, series, statistics, texts, windows  # noqa: F401
+from levelscan.queries import aggregates, alarms, fits, indicators, joins, learners, projections, ranking, series, statistics, streams, texts, windows  # noqa: F401
 from levelscan.queries.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -10,7 +10,7 @@ from levelscan.queries.statistics import unpivot_sql
 
 K = ["task", "model", "level"]
 PW = "PARTITION BY task, model ORDER BY level"
-SETS = L.feature_sets()
+SETS = L.feature_sets(("variance", "disagreement_rate"))
 
 
 def labelled(spark, d, every=False):
@@ -103,8 +103,8 @@ def _(spark, d):
     return rounded(L.ranking_metrics(x, ["g"], "s", "y"), "auroc", "average_precision")
 
 
-def features(spark, d):
-    return L.feature_table(labelled(spark, d))
+def features(spark, d, base=("variance", "disagreement_rate")):
+    return L.feature_table(labelled(spark, d), base)
 
 
 @query("ml08_compare_variants")

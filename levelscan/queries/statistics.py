@@ -202,7 +202,7 @@ RAT = f"""{UP}, rat AS (SELECT task, model, indicator, CASE WHEN corr(level, val
 
 def _ratings(spark, d):
     up = unpivot(all_levels(spark, d))
-    r = F.corr("level", "value")
+    r = T.safe_corr("level", "value")
     return up.groupBy(*SER, "indicator").agg(F.when(r > 0.3, 1).when(r < -0.3, -1).otherwise(0).alias("rating"))
 
 
