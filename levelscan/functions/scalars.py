@@ -16,7 +16,12 @@ def _c(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Without white space at both ends (plain character trimming, no regular expression)."""
+    return F.btrim(_c(c), F.lit(" \t\n\r\x0b\f"))
+
+
+def drop_final_dots(c: Column) -> Column:
+    return F.rtrim(c, F.lit("."))
 
 
 def let(value: Column, body) -> Column:
@@ -111,7 +116,7 @@ def extract_free_answer(text: Column | str) -> Column:
 
     def found(p):
         hit = F.regexp_extract(t, p, 0) != ""
-        return F.when(hit, F.regexp_replace(strip(F.regexp_extract(t, p, 1)), r"\.+$", ""))
+        return F.when(hit, drop_final_dots(strip(F.regexp_extract(t, p, 1))))
 
     lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda s: s != "")
     tail = F.substring(F.try_element_at(lines, F.lit(-1)), 1, 100)
@@ -181,10 +186,9 @@ def lenient_assignments(text: Column | str, n: Column | int) -> Column:
 
 def clean_answer(text: Column | str) -> Column:
     """Lower, trim, drop final dots, then drop each leading article or preposition once, in order."""
-    t = F.regexp_replace(strip(F.lower(_c(text))), r"\.+$", "")
-    for p in ANSWER_PREFIXES:
-        t = F.regexp_replace(t, f"^{p}", "")
-    return strip(t)
+    t = drop_final_dots(strip(F.lower(_c(text))))
+    once = "".join(f"(?:{p})?" for p in ANSWER_PREFIXES)
+    return strip(F.regexp_replace(t, f"^{once}", ""))
 
 
 def fuzzy_match(pred: Column | str, truth: Column | str, aliases: Column) -> Column:

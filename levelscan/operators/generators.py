@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from levelscan.functions.predicates import short_answer
-from levelscan.functions.scalars import hop_count, self_contained
+from levelscan.functions.scalars import hop_count, let, self_contained
 from levelscan.operators.ranking import edge_set_key
 from levelscan.operators.windows import stratified_pick
 from levelscan.plans.draws import hash32, uniform
@@ -30,19 +30,31 @@ def arithmetic_chains(seeds: DataFrame, item: str = "item_id", level: str = "lev
     """
     start = (10 + hash32(seed, F.col(item), F.lit("start")) % 90).cast("bigint")
 
-    def step(s, i):
-        v = F.element_at(s["vals"], -1)
+    def moves(v):
+        """struct(v, add, sub, all): numbers of legal additions, additions + subtractions, and all moves."""
         add = F.greatest(F.least(F.lit(99), bound - v) - 9, F.lit(0))
         sub = F.greatest(F.least(F.lit(99), bound + v) - 9, F.lit(0))
         mul = F.when(v == 0, 0).otherwise(F.greatest(F.least(F.lit(9), F.floor(bound / F.greatest(F.abs(v), F.lit(1)))) - 1, F.lit(0)))
-        r = hash32(seed, F.col(item), i) % (add + sub + mul)
-        op = F.when(r < add, "+").when(r < add + sub, "-").otherwise("×")
-        arg = F.when(r < add, 10 + r).when(r < add + sub, 10 + r - add).otherwise(2 + r - add - sub)
-        nxt = F.when(r < add, v + arg).when(r < add + sub, v - arg).otherwise(v * arg)
-        return F.struct(F.array_append(s["vals"], nxt).alias("vals"), F.array_append(s["ops"], op).alias("ops"), F.array_append(s["args"], arg).alias("args"))
-
-    first = F.struct(F.array(start).alias("vals"), F.array().cast("array<string>").alias("ops"), F.array().cast("array<bigint>").alias("args"))
-    chain = seeds.withColumn("_c", F.aggregate(F.sequence(F.lit(1), F.col(level)), first, step))
+        return F.struct(v.alias("v"), add.alias("add"), (add + sub).alias("sub"), (add + sub + mul).alias("all"))
+
+    def step(s, i):
+        def draw(m):
+            return let(hash32(seed, F.col(item), i) % m["all"], lambda r: move(m, r))
+
+        def move(m, r):
+            v, add, sub = m["v"], m["add"], m["sub"]
+            return F.when(r < add, F.struct((v + 10 + r).alias("v"), F.lit("+").alias("o"), (10 + r).alias("a"))).when(
+                r < sub, F.struct((v - 10 - r + add).alias("v"), F.lit("-").alias("o"), (10 + r - add).alias("a"))).otherwise(
+                F.struct((v * (2 + r - sub)).alias("v"), F.lit("×").alias("o"), (2 + r - sub).alias("a")))
+
+        return let(let(moves(s["last"]), draw), lambda n: F.struct(n["v"].alias("last"), F.array_append(s["done"], n).alias("done")))
+
+    none = F.array().cast("array<struct<v: bigint, o: string, a: bigint>>")
+    first = F.struct(F.col("_start").alias("last"), none.alias("done"))
+    chain = seeds.withColumn("_start", start)
+    chain = chain.withColumn("_m", F.aggregate(F.sequence(F.lit(1), F.col(level)), first, step, lambda s: s["done"]))
+    chain = chain.withColumn("_c", F.struct(
+        F.concat(F.array("_start"), F.transform("_m", lambda m: m["v"])).alias("vals"), F.transform("_m", lambda m: m["o"]).alias("ops"), F.transform("_m", lambda m: m["a"]).alias("args")))
     words = F.create_map(F.lit("+"), F.lit("Add"), F.lit("-"), F.lit("Subtract"), F.lit("×"), F.lit("Multiply by"))
     lines = F.transform(F.arrays_zip(F.col("_c.ops").alias("o"), F.col("_c.args").alias("a")), lambda x, i: F.concat(
         F.lit("Step "), (i + 1).cast("string"), F.lit(": "), words[x["o"]], F.lit(" "), x["a"].cast("string")))

@@ -51,7 +51,7 @@ def _leading_axis(n: pd.Series, s: pd.Series, g: pd.Series) -> pd.DataFrame:
 def principal_axes(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     """Mean, first principal axis, its eigenvalue and the covariance trace per group (one pass over the rows)."""
     m = moment_sums(df, keys, vector, gram=True)
-    return m.select(*keys, "n", _leading_axis("n", "s", "g").alias("_a")).select(*keys, "n", "_a.*")
+    return m.select(*keys, F.col("_n").alias("n"), _leading_axis("_n", "_s", "_g").alias("_a")).select(*keys, "n", "_a.*")
 
 
 def pc1_scores(df: DataFrame, keys: Sequence[str], vector: str, axes: DataFrame | None = None, out: str = "pc1") -> DataFrame:
@@ -123,17 +123,17 @@ def silhouette_squared(rows: DataFrame, keys: Sequence[str], vector: str, cluste
     v = F.col(vector).cast("array<double>")
     base = rows.select(*keys, F.col(cluster).alias("_c"), v.alias("_v"), dot(v, v).alias("_q"))
     m = base.groupBy(*keys, "_c").agg(
-        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("_v")))).alias("s"), F.sum("_q").alias("q"))
+        F.count(F.lit(1)).alias("_n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("_v")))).alias("_s"), F.sum("_q").alias("_qq"))
     wide = m.groupBy(*keys).agg(*[
-        F.max_by(c, F.when(F.col("_c") == k, 1)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "s", "q")])
+        F.max_by(c, F.when(F.col("_c") == k, 1)).alias(f"{c}{k}") for k in (0, 1) for c in ("_n", "_s", "_qq")])
 
     def total(k):
-        return F.col(f"n{k}") * F.col("_q") - 2 * dot("_v", f"s{k}") + F.col(f"q{k}")
+        return F.col(f"_n{k}") * F.col("_q") - 2 * dot("_v", f"_s{k}") + F.col(f"_qq{k}")
 
     j = base.join(wide, keys).withColumns({"_t0": total(0), "_t1": total(1)})
     zero = F.col("_c") == 0
     own, other = F.when(zero, F.col("_t0")).otherwise(F.col("_t1")), F.when(zero, F.col("_t1")).otherwise(F.col("_t0"))
-    return _silhouette(j, keys, own, other, F.when(zero, F.col("n0")).otherwise(F.col("n1")), F.when(zero, F.col("n1")).otherwise(F.col("n0")))
+    return _silhouette(j, keys, own, other, F.when(zero, F.col("_n0")).otherwise(F.col("_n1")), F.when(zero, F.col("_n1")).otherwise(F.col("_n0")))
 
 
 def _silhouette(j: DataFrame, keys, own: Column, other: Column, n_own: Column, n_other: Column) -> DataFrame:

@@ -70,9 +70,11 @@ def in_parallel(jobs: Sequence, threads: int = 8) -> list:
     from multiprocessing.pool import ThreadPool
 
     from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
 
+    bind = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+        return pool.map(lambda job: bind(job)(), jobs)
 
 
 # ---- models -------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelscan.operators.joins import nearest_level
+from levelscan.plans.session import cut_lineage
 
 COST_CHEAP, COST_CAPABLE = 0.001, 0.010
 POLICIES = ("always_cheap", "always_capable", "oracle", "alarm")
@@ -34,8 +35,8 @@ def route(cells: DataFrame, levels: DataFrame, alarms: DataFrame, keys: Sequence
     return joined.select(*rest, F.explode(pol).alias("_p")).select(*rest, "_p.*")
 
 
-def policy_metrics(routed: DataFrame, levels: DataFrame, keys: Sequence[str] = ("task",), batch: int = 20, volume: float | None = None) -> DataFrame:
-    """Expected accuracy, cost and comparisons per policy.
+def policy_metrics(routed: DataFrame, levels: DataFrame, keys: Sequence[str] = ("task",), batch: int | Sequence[int] = 20, volume: float | None = None) -> DataFrame:
+    """Expected accuracy, cost and comparisons per policy (and per batch size, if several are given).
 
     ``volume``: number of queries the weights stand for (default: their sum).  The alarm policy pays for
     sampling ``batch`` answers at every level up to the alarm (all levels if it never fires).
@@ -51,9 +52,11 @@ def policy_metrics(routed: DataFrame, levels: DataFrame, keys: Sequence[str] = (
         total.alias("n_queries"), (F.sum(w * acc) / F.sum(w)).alias("accuracy"), (F.sum(w * unit) / F.sum(w) * total).alias("_base"),
         (F.sum(F.when(F.col("use_capable"), w)) / F.sum(w)).alias("_cap"), F.max("alarm_level").alias("alarm_level"),
     ).join(seen, keys)
-    over = F.when(F.col("policy") == "alarm", F.col("n_monitored") * batch * COST_CHEAP).otherwise(0.0)
+    sizes = [batch] if isinstance(batch, int) else list(batch)
+    g = g.withColumn("batch", F.explode(F.array(*[F.lit(b) for b in sizes])))
+    over = F.when(F.col("policy") == "alarm", F.col("n_monitored") * F.col("batch") * COST_CHEAP).otherwise(0.0)
     g = g.withColumns({"overhead": over, "capable_share": F.coalesce("_cap", F.lit(0.0))}).withColumn("total_cost", F.col("_base") + F.col("overhead"))
-    full = W.partitionBy(*keys)
+    full = W.partitionBy(*keys, "batch")
 
     def of(policy, c):
         return F.max(F.when(F.col("policy") == policy, F.col(c))).over(full)
@@ -62,7 +65,7 @@ def policy_metrics(routed: DataFrame, levels: DataFrame, keys: Sequence[str] = (
     err, cerr = 1 - F.col("accuracy"), 1 - F.col("_ca")
     extra, gap = F.col("total_cost") - F.col("_cc"), F.col("_oa") - F.col("_ca")
     return g.select(
-        *keys, "policy", "accuracy", "total_cost", "overhead", "capable_share", "n_queries", "alarm_level",
+        *keys, *(["batch"] if not isinstance(batch, int) else []), "policy", "accuracy", "total_cost", "overhead", "capable_share", "n_queries", "alarm_level",
         F.when(cerr > 1e-10, (cerr - err) / cerr * 100).otherwise(0.0).alias("error_reduction"),
         (F.col("total_cost") / F.greatest(F.col("_kc"), F.lit(1e-10)) * 100).alias("relative_cost"),
         F.when(extra > 1e-6, (cerr - err) / extra).otherwise(0.0).alias("efficiency"),
@@ -119,17 +122,14 @@ def distribution_cells(levels: DataFrame, keys: Sequence[str] = ("task",)) -> Da
 def routing_grid(levels: DataFrame, alarms: DataFrame, keys: Sequence[str] = ("task",), batches: Sequence[int] = (10, 15, 20, 30, 50), volume: float = 1000.0) -> DataFrame:
     """task x distribution x batch size x policy; batch only adds overhead, so routing runs once."""
     keys = list(keys)
+    levels, alarms = cut_lineage(levels), cut_lineage(alarms)
     cells = distribution_cells(levels, keys)
     dists = F.array(*[F.lit(n) for n in DISTRIBUTIONS])
     lv = levels.withColumn("distribution", F.explode(dists))
     al = alarms.withColumn("distribution", F.explode(dists))
     k = [*keys, "distribution"]
     routed = route(cells, lv, al, k)
-    out = None
-    for b in batches:
-        m = policy_metrics(routed, lv, k, b, volume).withColumn("batch", F.lit(b))
-        out = m if out is None else out.unionByName(m)
-    return out
+    return policy_metrics(routed, lv, k, list(batches), volume)
 
 
 def method_cost_table(usage: DataFrame, scores: DataFrame, family: str = "family") -> DataFrame:

@@ -37,14 +37,14 @@ def add_arrays(a: Column, b: Column) -> Column:
 
 
 def moment_sums(df: DataFrame, keys: Sequence[str], vector: str, gram: bool = True, unit: bool = False) -> DataFrame:
-    """One row per group: ``n``, ``dim``, vector sum ``s``, sum of squares ``ss`` and flat Gram matrix ``g``."""
+    """One row per group: count ``_n``, ``_dim``, vector sum ``_s``, sum of squares ``_ss`` and flat Gram matrix ``_g``."""
     keys = list(keys)
     parts = df.where(F.col(vector).isNotNull()).select(*keys, _v(vector).alias("_v"))
     fields = [f for f in parts.schema.fields if f.name in keys]
     arr = T.ArrayType(T.DoubleType())
     schema = T.StructType([
-        *fields, T.StructField("n", T.LongType()), T.StructField("dim", T.IntegerType()),
-        T.StructField("s", arr), T.StructField("ss", T.DoubleType()), T.StructField("g", arr),
+        *fields, T.StructField("_n", T.LongType()), T.StructField("_dim", T.IntegerType()),
+        T.StructField("_s", arr), T.StructField("_ss", T.DoubleType()), T.StructField("_g", arr),
     ])
 
     def fold(batches):
@@ -74,17 +74,17 @@ def moment_sums(df: DataFrame, keys: Sequence[str], vector: str, gram: bool = Tr
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     partial = parts.mapInPandas(fold, schema)
-    cells = F.concat("s", F.array("ss"), F.coalesce("g", F.array().cast("array<double>")))
-    spread = partial.select(*keys, "n", "dim", F.posexplode(cells).alias("_i", "_x"))
-    summed = spread.groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.sum("n").alias("n"), F.max("dim").alias("dim"))
+    cells = F.concat("_s", F.array("_ss"), F.coalesce("_g", F.array().cast("array<double>")))
+    spread = partial.select(*keys, "_n", "_dim", F.posexplode(cells).alias("_i", "_x"))
+    summed = spread.groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"), F.max("_dim").alias("_dim"))
     back = summed.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("dim").alias("dim"),
+        F.max("_n").alias("_n"), F.max("_dim").alias("_dim"),
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda t: t["_x"]).alias("_all"),
     )
-    d = F.col("dim")
+    d = F.col("_dim")
     return back.select(
-        *keys, "n", "dim", F.slice("_all", 1, d).alias("s"), F.get("_all", d).alias("ss"),
-        F.slice("_all", d + 2, d * d).alias("g"),
+        *keys, "_n", "_dim", F.slice("_all", 1, d).alias("_s"), F.get("_all", d).alias("_ss"),
+        F.slice("_all", d + 2, d * d).alias("_g"),
     )
 
 
@@ -118,10 +118,10 @@ def group_pair_stats(df: DataFrame, keys: Sequence[str], vector: str) -> DataFra
     moments over pairs follow from the group sums.
     """
     m = moment_sums(df, keys, vector, gram=True, unit=True)
-    n = F.col("n").cast("double")
+    n = F.col("_n").cast("double")
     pairs = n * (n - 1) / 2
-    c1 = (dot("s", "s") - n) / 2 / pairs
-    c2 = (dot("g", "g") - n) / 2 / pairs
+    c1 = (dot("_s", "_s") - n) / 2 / pairs
+    c2 = (dot("_g", "_g") - n) / 2 / pairs
     return m.select(
         *keys,
         pairs.cast("long").alias("n_pairs"),

@@ -5,4 +5,4 @@ from levelscan.queries.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark, folder):
-    return QUERIES["ag00_level_table"](spark, folder)
+    return QUERIES["alm07_alarm_metrics"](spark, folder)
