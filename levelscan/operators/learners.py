@@ -65,14 +65,13 @@ def group_folds(df: DataFrame, scheme: str, label: str = "label", min_train: int
     return per.withColumn("usable", ok)
 
 
-def in_parallel(jobs: Sequence, threads: int = 8) -> list:
+def in_parallel(spark, jobs: Sequence, threads: int = 8) -> list:
     """Run independent Spark jobs from driver threads (the way pyspark.ml's CrossValidator does) and keep their order."""
     from multiprocessing.pool import ThreadPool
 
     from pyspark import inheritable_thread_target
-    from pyspark.sql import SparkSession
 
-    bind = inheritable_thread_target(SparkSession.getActiveSession())
+    bind = inheritable_thread_target(spark)
     with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
         return pool.map(lambda job: bind(job)(), jobs)
 
@@ -121,7 +120,7 @@ def cv_predictions(df: DataFrame, features: Sequence[str], scheme: str = "pair",
     def job(n):
         return lambda: fit_predict(df.where(fold != n), df.where(fold == n), features, label, learner, **kw).withColumn("fold", F.lit(n))
 
-    return reduce(DataFrame.unionByName, in_parallel([job(n) for n in sorted(names)]))
+    return reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [job(n) for n in sorted(names)]))
 
 
 def tune_c(train: DataFrame, features: Sequence[str], label: str = "label", grid: Sequence[float] = (0.01, 0.1, 0.5, 1.0, 5.0, 10.0)) -> DataFrame:
@@ -227,7 +226,7 @@ def compare_variants(df: DataFrame, variants: Mapping[str, Sequence[str]], learn
     def job(n, f, m, s):
         return lambda: evaluate(df, f, s, m, label, **kw).withColumn("variant", F.lit(n))
 
-    return reduce(DataFrame.unionByName, in_parallel([job(n, f, m, s) for n, f in variants.items() for m in learners for s in schemes], 4))
+    return reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [job(n, f, m, s) for n, f in variants.items() for m in learners for s in schemes], 4))
 
 
 def family_gain(table: DataFrame, family: Column, base: str, metric: str = "f1") -> DataFrame:
@@ -294,7 +293,7 @@ def permutation_control(df: DataFrame, features: Sequence[str], p: int = 100, sc
     def job(seed):
         return lambda: evaluate(cut_lineage(permute_within(df, features, ["task"], "_id", seed)), features, scheme, learner, label, **kw).select("f1")
 
-    runs = reduce(DataFrame.unionByName, in_parallel([job(s) for s in range(p)], 4))
+    runs = reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [job(s) for s in range(p)], 4))
     runs = runs.withColumn("_k", F.lit(0)).join(obs.withColumn("_k", F.lit(0)), "_k")
     hits = F.sum((F.col("f1") >= F.col("observed")).cast("long"))
     share = (hits + 1) / (F.count(F.lit(1)) + 1) if add_one else hits / F.count(F.lit(1))
