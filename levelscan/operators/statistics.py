@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelscan.functions import special as D
 from levelscan.plans.prefix import average_ranks, running_sums, value_counts
+from levelscan.plans.session import cut_lineage
 
 
 # ---- rank correlation ---------------------------------------------------------------------------
@@ -36,6 +37,7 @@ def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, large: bool = Fa
         .agg(F.count(F.lit(1)).alias("w"))
     )
     if large:
+        cells = cut_lineage(cells)
         per_y = running_sums(cells.groupBy(*keys, "_y").agg(F.sum("w").alias("_ty")).withColumn("one", F.lit(1)), keys, "_y", ["one"])
         per_y = per_y.select(*keys, "_y", "_ty", (F.col("cum_one") - 1).alias("_r"), F.col("total_one").alias("_m"))
         per_x = cells.groupBy(*keys, "_x").agg(F.sum("w").alias("_tx"))
@@ -235,10 +237,10 @@ def cliffs_delta(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b
     return mann_whitney(df, keys, value, side, a, b).select(*keys, "cliffs_delta")
 
 
-def distribution_distances(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b) -> DataFrame:
+def distribution_distances(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, counts: DataFrame | None = None) -> DataFrame:
     """Wasserstein-1 distance, KS statistic and its asymptotic p, in one pass of running shares."""
     keys = list(keys)
-    counts = _two_sample_counts(df, keys, value, side, a, b)
+    counts = _two_sample_counts(df, keys, value, side, a, b) if counts is None else counts
     run = running_sums(counts, keys, value, ["na", "nb"])
     gap = F.abs(F.try_divide("cum_na", "total_na") - F.try_divide("cum_nb", "total_nb"))
     out = run.groupBy(*keys).agg(
@@ -280,13 +282,13 @@ def paired_t(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     return out.withColumn("p_value", F.when(F.col("t").isNotNull(), D.t_two_sided(F.col("t"), F.col("n") - 1))).drop("_sd")
 
 
-def kl_binned(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, bins: int = 50) -> DataFrame:
+def kl_binned(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, bins: int = 50, counts: DataFrame | None = None) -> DataFrame:
     """KL(a || b) over equal-width bins on the joint range, one added to every bin; a flat range gives 0.
 
     Empty bins are summed in closed form, so only filled bins are rows.
     """
     keys = list(keys)
-    counts = _two_sample_counts(df, keys, value, side, a, b)
+    counts = cut_lineage(_two_sample_counts(df, keys, value, side, a, b)) if counts is None else counts
     stats = counts.groupBy(*keys).agg(
         (F.min(value) - 1e-10).alias("_lo"), (F.max(value) + 1e-10).alias("_hi"), (F.max(value) == F.min(value)).alias("_flat"),
         F.sum("na").alias("_na"), F.sum("nb").alias("_nb"),
@@ -300,14 +302,14 @@ def kl_binned(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, b
     return per.groupBy(*keys).agg(F.when(F.max("_flat"), 0.0).otherwise(kl).alias("kl"))
 
 
-def kde_overlap(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, points: int = 500) -> DataFrame:
+def kde_overlap(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b, points: int = 500, counts: DataFrame | None = None) -> DataFrame:
     """Area under the smaller of two Gaussian density estimates on a common grid; a flat range gives 1.
 
     Each Arrow batch of distinct values folds its kernels into one grid vector per group, and only
     those vectors are shuffled.
     """
     keys = list(keys)
-    counts = _two_sample_counts(df, keys, value, side, a, b)
+    counts = cut_lineage(_two_sample_counts(df, keys, value, side, a, b)) if counts is None else counts
     v = F.col(value).cast("double")
     na, nb = F.sum("na"), F.sum("nb")
     ma, mb = F.try_divide(F.sum(v * F.col("na")), na), F.try_divide(F.sum(v * F.col("nb")), nb)
@@ -358,9 +360,10 @@ def kde_overlap(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b,
 def feature_shift(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b) -> DataFrame:
     """All distances of one long (feature, variant, value) table, ranked by Wasserstein; sides need 3 values."""
     keys = list(keys)
-    base = cohens_d(df, keys, value, side, a, b, small=0.0).where("n_a >= 3 and n_b >= 3")
-    dist = distribution_distances(df, keys, value, side, a, b).drop("n_a", "n_b")
-    out = base.join(dist, keys).join(kl_binned(df, keys, value, side, a, b), keys).join(kde_overlap(df, keys, value, side, a, b), keys)
+    counts = cut_lineage(_two_sample_counts(df, keys, value, side, a, b))  # shared by the three distances
+    out = cohens_d(df, keys, value, side, a, b, small=0.0).where("n_a >= 3 and n_b >= 3")
+    out = out.join(distribution_distances(df, keys, value, side, a, b, counts).drop("n_a", "n_b"), keys)
+    out = out.join(kl_binned(df, keys, value, side, a, b, counts=counts), keys).join(kde_overlap(df, keys, value, side, a, b, counts=counts), keys)
     return out.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("wasserstein").desc(), *keys)))
 
 

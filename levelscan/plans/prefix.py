@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from levelscan.plans.session import cut_lineage
+
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct (keys, value) with ``cnt`` and further sums (map-side combined)."""
@@ -36,8 +38,12 @@ def chunk_of(value: Column, lo: Column, hi: Column, mean: Column, std: Column, c
 def running_sums(
     df: DataFrame, keys: Sequence[str], value: str, cols: Sequence[str], chunks: int = 128
 ) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive), ``total_<c>`` and ``next_value`` to one-row-per-value data."""
+    """Add ``cum_<c>`` (inclusive), ``total_<c>`` and ``next_value`` to one-row-per-value data.
+
+    The data is written once to the shared folder, so the rows it was counted from are scanned once.
+    """
     keys = list(keys)
+    df = cut_lineage(df)  # read three times below
     stats = df.groupBy(*keys).agg(
         F.min(value).cast("double").alias("_lo"),
         F.max(value).cast("double").alias("_hi"),

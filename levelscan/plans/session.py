@@ -1,11 +1,14 @@
-"""Session settings and lineage cuts."""
+"""Session settings, the shared scratch folder, and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName("levelscan")
@@ -21,17 +24,27 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is taken from the session; only where none is configured (tests, laptops) a
-    scratch folder is used.
+    Only where none is configured and Spark runs on one machine (tests, laptops) a scratch folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table once to the shared folder and read it back.
+
+    Used where several branches or rounds read the same intermediate table: the rows behind it are
+    scanned once, a lost executor reads files again, columns are pruned, and Spark knows the size, so
+    it can choose broadcast joins.
+    """
+    path = f"{shared_folder(df.sparkSession)}/levelscan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,5 @@
 """STR and GEN: streams and generators."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from levelscan.functions.scalars import chain_checks
 from levelscan.operators import generators as G
 from levelscan.operators.joins import check_colouring
+from levelscan.plans.session import shared_folder
 from levelscan.queries.alarms import AL
 from levelscan.queries.bindings import EV, LV, levels
 from levelscan.queries.registry import query, rounded, table
@@ -16,8 +16,7 @@ from levelscan.streaming import monitors as S
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/levelscan-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/levelscan-stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):

@@ -3,12 +3,15 @@
 The driver tables hold no model answers, so response texts are written by Spark from their columns.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from levelscan.functions import scalars as S
 from levelscan.operators import audits as U
 from levelscan.operators.joins import tolerance_match
 from levelscan.operators.windows import section_fill
+from levelscan.plans.session import shared_folder
 from levelscan.queries.bindings import ALL_LV, EV, LV, all_levels, ev_rows, levels, with_d_star
 from levelscan.queries.registry import query, r6, rounded, table
 from levelscan.sources import exports as X
@@ -311,10 +314,8 @@ EXP_SQL = f"""{LV}, ex AS (SELECT model, level, d_star, (level % 3) * 0.5::DOUBL
 
 @query("src01_read_envelope", f"WITH {EXP_SQL} SELECT 'task_T' || CASE level % 3 WHEN 0 THEN '0.0' WHEN 1 THEN '0.5' ELSE '1.0' END || '__' || model AS dataset, count(*) AS n, round(avg(accuracy), 6) + 0.0 AS mean_accuracy FROM ex GROUP BY ALL")
 def _(spark, d):
-    import tempfile
     from levelscan.sources.envelope import read_envelope, write_envelope
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{path}/levelscan-envelope-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/levelscan-envelope-{uuid.uuid4().hex}"
     write_envelope(level_export(spark, d), path)
     e = read_envelope(spark, path, "metadata_difficulty_level int, metadata_model string, predict_accuracy string")
     return e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(X.number("predict_accuracy"))).alias("mean_accuracy"))
@@ -365,18 +366,16 @@ def _(spark, d):
 
 @query("src09_load_tier", f"WITH {LV} SELECT model, level, n FROM lv")
 def _(spark, d):
-    import tempfile
     from levelscan.sources.envelope import load_tier, write_envelope
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")) + f"/levelscan-tier-{spark.sparkContext.applicationId}"
+    base = f"{shared_folder(spark)}/levelscan-tier-{uuid.uuid4().hex}"
     write_envelope(levels(spark, d).select(F.lit("levels").alias("dataset"), "model", "level", "n"), f"{base}/levels.json")
     return load_tier(spark, base, "levels.json", "mini").select("model", F.col("level").cast("int").alias("level"), "n")
 
 
 @query("src10_read_flat_or_envelope", f"WITH {LV} SELECT model, level, n FROM lv")
 def _(spark, d):
-    import tempfile
     from levelscan.sources.envelope import envelope_rows, read_flat_or_envelope
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")) + f"/levelscan-flat-{spark.sparkContext.applicationId}"
+    base = f"{shared_folder(spark)}/levelscan-flat-{uuid.uuid4().hex}"
     pieces = envelope_rows(levels(spark, d).select(F.lit("all").alias("dataset"), "model", "level", "n"), max_rows=50)
     pieces.select(F.to_json("examples").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(base)
     return read_flat_or_envelope(spark, base).select("model", F.col("level").cast("int").alias("level"), "n")
