@@ -21,7 +21,7 @@ from levelscan.functions.special import normal_cdf
 from levelscan.operators.aggregates import bimodality
 from levelscan.operators.vectors import dot, group_pair_stats, group_vector_moments, moment_sums
 from levelscan.plans.draws import normal
-from levelscan.plans.prefix import average_ranks
+from levelscan.plans.prefix import average_ranks, running_sums
 from levelscan.plans.session import cut_lineage
 
 _AXIS = T.StructType([
@@ -188,8 +188,8 @@ def silhouette_k2(rows: DataFrame, keys: Sequence[str], row_id: str, vector: str
 
 # ---- dip ----------------------------------------------------------------------------------------
 
-def _hull_values(v: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Greatest convex minorant of the points (v, f), at every v."""
+def _hull_points(v: np.ndarray, f: np.ndarray) -> list[int]:
+    """Corners of the greatest convex minorant of the points (v, f), v rising."""
     keep = [0]
     for i in range(1, len(v)):
         while len(keep) > 1:
@@ -199,6 +199,12 @@ def _hull_values(v: np.ndarray, f: np.ndarray) -> np.ndarray:
             else:
                 break
         keep.append(i)
+    return keep
+
+
+def _hull_values(v: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The minorant at every v."""
+    keep = _hull_points(v, f)
     return np.interp(v, v[keep], f[keep])
 
 
@@ -241,16 +247,87 @@ def _dip_of_cells(values: pd.Series, counts: pd.Series) -> pd.Series:
     return pd.Series([dip_of(np.asarray(v), np.asarray(c)) for v, c in zip(values, counts)])
 
 
-def dip_statistic(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+def dip_statistic(df: DataFrame, keys: Sequence[str], x: str, limit: int = 500_000, block: int = 200_000) -> DataFrame:
     """Dip per group on its distinct values; under four rows 0.
 
-    A group's sorted distinct values travel as one array: the statistic needs the whole ordered sample
-    of one (series, level) cell.
+    A group with up to ``limit`` distinct values is one sorted array in one task; a larger one is searched
+    in blocks of about ``block`` values, with the same result.
     """
+    keys = list(keys)
     cells = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    packed = cells.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sort_array(F.collect_list(F.struct("_x", "_c"))).alias("_s"))
+    cells = cut_lineage(cells)
+    sizes = cells.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_k"))
+    big = sizes.where(F.col("_k") > limit).select(*keys)
+    packed = cells.join(big, keys, "left_anti").groupBy(*keys).agg(F.sum("_c").alias("n"), F.sort_array(F.collect_list(F.struct("_x", "_c"))).alias("_s"))
     dip = _dip_of_cells(F.transform("_s", lambda s: s["_x"]), F.transform("_s", lambda s: s["_c"].cast("double")))
-    return packed.select(*keys, "n", F.when(F.col("n") >= 4, dip).otherwise(0.0).alias("dip_statistic"))
+    small = packed.select(*keys, "n", F.when(F.col("n") >= 4, dip).otherwise(0.0).alias("dip_statistic"))
+    if big.isEmpty():
+        return small
+    return small.unionByName(_dip_in_blocks(cells.join(big, keys, "left_semi"), keys, block))
+
+
+def _dip_in_blocks(cells: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """The same bisection over the mode for groups too large for one task, all groups at once.
+
+    A round builds the convex minorant left of the mode and the concave majorant right of it from the
+    hull points of each block, then measures the gaps block by block.
+    """
+    run = running_sums(cells.withColumn("_one", F.lit(1)), keys, "_x", ["_c", "_one"])
+    pts = cut_lineage(run.select(
+        *keys, "_x", (F.col("cum__c") / F.col("total__c")).alias("_hi"), ((F.col("cum__c") - F.col("_c")) / F.col("total__c")).alias("_lo"),
+        F.col("cum__one").alias("_i"), F.floor((F.col("cum__one") - 1) / block).alias("_b"), F.col("total__one").alias("_k"), F.col("total__c").alias("n")))
+    kf = [f for f in pts.schema.fields if f.name in keys]
+    dbl = T.DoubleType()
+    hull_schema = T.StructType([*kf, T.StructField("_side", T.IntegerType()), T.StructField("_hx", dbl), T.StructField("_hf", dbl)])
+    gap_schema = T.StructType([*kf, T.StructField("_l", dbl), T.StructField("_r", dbl)])
+    rkeys = [f"_k{i}" for i in range(len(keys))]
+
+    def corner_rows(key, side, v, f):
+        at = _hull_points(v, f if side == 0 else -f)
+        return pd.DataFrame({**{k: [key[j]] * len(at) for j, k in enumerate(keys)}, "_side": [side] * len(at), "_hx": v[at], "_hf": f[at]})
+
+    def corners(key, pdf):
+        pdf = pdf.sort_values("_x")
+        left, right = pdf[pdf["_i"] <= pdf["_m"]], pdf[pdf["_i"] >= pdf["_m"]]
+        parts = [corner_rows(key, s, p["_x"].to_numpy(), p[c].to_numpy()) for s, p, c in ((0, left, "_lo"), (1, right, "_hi")) if len(p)]
+        return pd.concat(parts)
+
+    def merge(key, pdf):
+        pdf = pdf.sort_values("_hx")
+        return corner_rows(key, int(pdf["_side"].iloc[0]), pdf["_hx"].to_numpy(), pdf["_hf"].to_numpy())
+
+    def gaps(key, pdf, hull):
+        left, right = pdf[pdf["_i"] < pdf["_m"]], pdf[pdf["_i"] > pdf["_m"]]
+        h = {s: hull[hull["_side"] == s].sort_values("_hx") for s in (0, 1)}
+        lo = (left["_hi"] - np.interp(left["_x"], h[0]["_hx"], h[0]["_hf"])).max() / 2 if len(left) else 0.0
+        hi = (np.interp(right["_x"], h[1]["_hx"], h[1]["_hf"]) - right["_lo"]).max() / 2 if len(right) else 0.0
+        return pd.DataFrame({**{k: [key[j]] for j, k in enumerate(keys)}, "_l": [float(lo)], "_r": [float(hi)]})
+
+    def misses(modes: DataFrame) -> DataFrame:
+        """modes(keys, _m) -> largest half gaps (_l, _r) with the mode at the m-th value."""
+        work = pts.join(modes, keys)
+        hull = work.groupBy(*keys, "_b").applyInPandas(lambda key, pdf: corners(key[:-1], pdf), hull_schema)
+        hull = cut_lineage(hull.groupBy(*keys, "_side").applyInPandas(lambda key, pdf: merge(key[:-1], pdf), hull_schema))
+        blocks = pts.groupBy(*keys).agg(F.max("_b").alias("_nb")).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb")))).drop("_nb")
+        spread = hull.join(blocks, keys).select(*[F.col(k).alias(r) for k, r in zip(keys, rkeys)], "_rb", "_side", "_hx", "_hf")
+        part = work.groupBy(*keys, "_b").cogroup(spread.groupBy(*rkeys, "_rb")).applyInPandas(lambda key, a, h: gaps(key[:-1], a, h), gap_schema)
+        return part.groupBy(*keys).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+
+    state = cut_lineage(pts.groupBy(*keys).agg(F.lit(1).cast("bigint").alias("_a"), F.max("_k").alias("_z"), F.max("n").alias("n")))
+    while not state.where("_a < _z").isEmpty():
+        mid = F.floor((F.col("_a") + F.col("_z")) / 2)
+        at = state.withColumn("_m", mid)
+        done = F.col("_a") >= F.col("_z")
+        j = at.join(misses(at.select(*keys, "_m")), keys)
+        state = cut_lineage(j.select(
+            *keys, F.when(done | (F.col("_l") >= F.col("_r")), F.col("_a")).otherwise(F.col("_m") + 1).alias("_a"),
+            F.when(~done & (F.col("_l") >= F.col("_r")), F.col("_m")).otherwise(F.col("_z")).alias("_z"), "n"))
+    out = None
+    for shift in (0, 1):
+        m = misses(state.select(*keys, F.greatest(F.col("_a") - shift, F.lit(1)).alias("_m")))
+        m = m.select(*keys, F.greatest("_l", "_r").alias(f"_d{shift}"))
+        out = m if out is None else out.join(m, keys)
+    return out.join(state, keys).select(*keys, "n", F.when(F.col("n") >= 4, F.least("_d0", "_d1")).otherwise(0.0).alias("dip_statistic"))
 
 
 def dip_null(sizes: DataFrame, n: str = "n", b: int = 500, seed: int = 42, top: int = 2000) -> DataFrame:

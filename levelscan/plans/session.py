@@ -35,7 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -126,6 +126,15 @@ def test_dip(spark):
     assert p["two"]["dip_pvalue"] == 0.0 and p["one"]["dip_pvalue"] > 0.05 and p["tiny"]["dip_pvalue"] == 1.0
 
 
+def test_dip_of_large_groups_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    data = {"a": np.round(rng.normal(size=60), 2), "b": np.concatenate([rng.normal(0, 1, 40), rng.normal(4, 1, 50)]), "c": rng.random(9)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs], "g string, x double")
+    got = {r["g"]: r["dip_statistic"] for r in I.dip_statistic(df, ["g"], "x", limit=20, block=17).collect()}
+    for g, xs in data.items():
+        assert got[g] == pytest.approx(I.dip_of(xs), abs=1e-12)
+
+
 def test_vector_closed_forms(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, 6)) * np.array([3, 1, 1, 1, 1, 1])
