@@ -117,26 +117,27 @@ def validate_items(
     return out
 
 
-def components(edges: DataFrame, instance: str, max_rounds: int = 60, every: int = 4) -> DataFrame:
+def components(edges: DataFrame, instance: str, max_rounds: int = 60, hops: int = 2) -> DataFrame:
     """Smallest reachable node per (instance, node), by min-label propagation with pointer jumping.
 
-    Each round takes the smallest label of the neighbours and then the label's own label, so the number
-    of rounds grows with the logarithm of the diameter; the lineage is cut every few rounds.
+    A round takes the smallest label of the neighbours ``hops`` times and then the label's own label, so
+    the number of rounds grows with the logarithm of the diameter; each round's labels are written once.
     """
-    both = edges.select(instance, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
+    both = cut_lineage(edges.select(instance, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
         edges.select(instance, F.col("v").alias("a"), F.col("u").alias("b"))
-    ).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy(instance, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for step in range(max_rounds):
-        near = both.join(labels.select(instance, F.col("node").alias("b"), "label"), [instance, "b"]).groupBy(
-            instance, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, [instance, "node"]).select(
-            instance, "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+    ).distinct())
+    labels = cut_lineage(both.groupBy(instance, "a").agg(F.min("b").alias("_b")).select(
+        instance, F.col("a").alias("node"), F.least("a", "_b").alias("label")))
+    for _ in range(max_rounds):
+        moved = labels
+        for _hop in range(hops):
+            near = both.join(moved.select(instance, F.col("node").alias("b"), "label"), [instance, "b"]).groupBy(
+                instance, F.col("a").alias("node")).agg(F.min("label").alias("near"))
+            moved = moved.join(near, [instance, "node"]).select(instance, "node", F.least("label", "near").alias("label"))
+        old = labels.select(instance, "node", F.col("label").alias("old"))
         jump = labels.select(instance, F.col("node").alias("label"), F.col("label").alias("jump"))
-        nxt = moved.join(jump, [instance, "label"], "left").select(
-            instance, "node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        nxt = cut_lineage(nxt)
+        nxt = cut_lineage(moved.join(old, [instance, "node"]).join(jump, [instance, "label"], "left").select(
+            instance, "node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")))
         done = nxt.where("label <> old").isEmpty()
         labels = nxt.drop("old")
         if done:

@@ -62,12 +62,12 @@ def _(spark, d):
     return c.select("chain_id", "answer", F.col("path")[1].alias("hop2"), F.col("path")[2].alias("hop3"))
 
 
-@query("jn06_nearest_level", f"""WITH {EV}, q AS (SELECT 'events' AS task, event_type AS model, event_id AS qid, CAST(floor(value / 8) AS INTEGER) * 3 AS v FROM events), l AS (SELECT DISTINCT task, model, level FROM ev WHERE level % 4 = 1)
+@query("jn06_nearest_level", f"""WITH {EV}, q AS (SELECT 'events' AS task, event_type AS model, event_id AS qid, CAST(floor(value / 8) AS INTEGER) * 3 AS v FROM events), l AS (SELECT DISTINCT task, model, CAST(level // 4 * 4 + 1 AS INTEGER) AS level FROM ev)
 SELECT q.qid, q.v, l.level AS nearest_level FROM q JOIN l USING (task, model) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY abs(l.level - q.v), l.level) = 1""")
 def _(spark, d):
     e = ev_rows(spark, d)
     q = e.select("task", "model", F.col("item_id").alias("qid"), (F.floor(F.col("x") / 8).cast("int") * 3).alias("v"))
-    lv = e.select(*K).distinct().where(F.col("level") % 4 == 1)
+    lv = e.select("task", "model", (F.floor(F.col("level") / 4) * 4 + 1).cast("int").alias("level")).distinct()
     return J.nearest_level(q, lv, "v", ["task", "model"]).select("qid", "v", "nearest_level")
 
 

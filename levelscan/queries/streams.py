@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from levelscan.functions.scalars import chain_checks
 from levelscan.operators import generators as G
 from levelscan.operators.joins import check_colouring
+from levelscan.plans.parallel import spread
 from levelscan.plans.session import shared_folder
 from levelscan.queries.alarms import AL
 from levelscan.queries.bindings import EV, LV, levels
@@ -61,14 +62,14 @@ def _(spark, d):
 @query("gen01_arithmetic_chains", "SELECT o_orderkey AS item_id, CAST(2 + o_custkey % 24 AS INTEGER) AS level, CAST(2 + o_custkey % 24 AS INTEGER) AS n_ops, true AS replay_ok, true AS output_ok, true AS bounds_ok, true AS start_ok FROM orders")
 def _(spark, d):
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (2 + F.col("o_custkey") % 24).cast("int").alias("level"))
-    g = G.arithmetic_chains(s)
+    g = G.arithmetic_chains(spread(s, "item_id"))
     c = chain_checks(g["intermediates"][0], g["operations"], g["operands"], g["intermediates"], g["output"].cast("bigint"))
     return g.select("item_id", "level", F.size("operations").alias("n_ops"), *[x.alias(n) for n, x in c.items()], g["intermediates"][0].between(10, 99).alias("start_ok"))
 
 
 def _graphs(spark, d):
     a = table(spark, d, "orders").select(F.col("o_orderkey").alias("attempt"), (1 + F.col("o_custkey") % 12).cast("int").alias("level"))
-    return G.random_graphs(a)
+    return G.random_graphs(spread(a, "attempt"))
 
 
 GLEV = ", ".join(f"({l}, {n}, {p}::DOUBLE, {k})" for l, n, p, k in G.GRAPH_LEVELS)
@@ -99,7 +100,7 @@ SELECT item_id, level, template, truth, CASE template WHEN 'A' THEN CASE WHEN tr
  array_to_string(list_concat(CASE WHEN template IN ('B', 'D') THEN ['Some'] ELSE ['All'] END, list_transform(range(0, level - 2), lambda x: 'All'), CASE WHEN template IN ('C', 'D') THEN ['No'] ELSE ['All'] END), '-') AS quantifier_pattern, level AS n_premises, level + 1 AS n_entities, true AS lines_ok FROM u""")
 def _(spark, d):
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (2 + F.col("o_custkey") % 21).cast("int").alias("level"), (F.col("o_orderkey") % 20).alias("index"))
-    g = G.syllogism_items(s)
+    g = G.syllogism_items(spread(s, "item_id"))
     lines = F.size(F.filter(F.split("input", "\n"), lambda x: F.rlike(x, F.lit(r"^\d+\. ")))) == F.col("level")
     return g.select("item_id", "level", "template", "truth", "conclusion_type", "quantifier_pattern", "n_premises", F.size(F.array_distinct("entities")).alias("n_entities"), lines.alias("lines_ok"))
 
