@@ -123,21 +123,23 @@ def components(edges: DataFrame, instance: str, max_rounds: int = 60, hops: int
     A round takes the smallest label of the neighbours ``hops`` times and then the label's own label, so
     the number of rounds grows with the logarithm of the diameter; each round's labels are written once.
     """
-    both = cut_lineage(edges.select(instance, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
-        edges.select(instance, F.col("v").alias("a"), F.col("u").alias("b"))
-    ).distinct())
-    labels = cut_lineage(both.groupBy(instance, "a").agg(F.min("b").alias("_b")).select(
-        instance, F.col("a").alias("node"), F.least("a", "_b").alias("label")))
+    u, v = F.col("u"), F.col("v")
+    ends = F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((u, v), (v, u), (u, u), (v, v))])  # a node is its own neighbour
+    both = cut_lineage(edges.select(instance, F.explode(ends).alias("_e")).select(instance, "_e.*").distinct())
+
+    def spread(labels: DataFrame) -> DataFrame:
+        return both.join(labels.select(instance, F.col("node").alias("b"), "label"), [instance, "b"]).groupBy(
+            instance, F.col("a").alias("node")).agg(F.min("label").alias("label"))
+
+    labels = cut_lineage(both.groupBy(instance, F.col("a").alias("node")).agg(F.min("b").alias("label")))
     for _ in range(max_rounds):
         moved = labels
         for _hop in range(hops):
-            near = both.join(moved.select(instance, F.col("node").alias("b"), "label"), [instance, "b"]).groupBy(
-                instance, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-            moved = moved.join(near, [instance, "node"]).select(instance, "node", F.least("label", "near").alias("label"))
+            moved = spread(moved)
         old = labels.select(instance, "node", F.col("label").alias("old"))
         jump = labels.select(instance, F.col("node").alias("label"), F.col("label").alias("jump"))
-        nxt = cut_lineage(moved.join(old, [instance, "node"]).join(jump, [instance, "label"], "left").select(
-            instance, "node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")))
+        nxt = cut_lineage(moved.join(old, [instance, "node"]).join(jump, [instance, "label"]).select(
+            instance, "node", "old", F.least("label", "jump").alias("label")))
         done = nxt.where("label <> old").isEmpty()
         labels = nxt.drop("old")
         if done:
