@@ -410,7 +410,13 @@ CLAIM_PATTERNS = (
 )
 
 
-def _claims_of(line: Column, pattern: str, kind: str, margin: int) -> Column:
+# A piece of plain text every match of the pattern at the same place contains: a cheap test before the scan.
+CLAIM_HINTS = (
+    "F1", "AUROC", "AUC", "%", "R", "alpha", "alpha", "p", "d", "N", "$", "calls", "recision", "ecall", "[", "by", "pairs", "levels", "responses",
+)
+
+
+def _claims_of(line: Column, pattern: str, kind: str, hint: str, margin: int) -> Column:
     """struct array (value_type, value, context); positions are found by scanning the full matches in order."""
     whole = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
     g1 = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
@@ -434,7 +440,8 @@ def _claims_of(line: Column, pattern: str, kind: str, margin: int) -> Column:
         )
 
     none = F.array().cast("array<struct<value_type:string,value:string,context:string>>")
-    return F.when(F.rlike(line, F.lit(pattern)), F.transform(joined, pack)).otherwise(none)
+    hit = F.contains(line, F.lit(hint)) & F.rlike(line, F.lit(pattern))
+    return F.when(hit, F.transform(joined, pack)).otherwise(none)
 
 
 def extract_claims(lines: DataFrame, line: str = "line", margin: int = 60) -> DataFrame:
@@ -443,5 +450,5 @@ def extract_claims(lines: DataFrame, line: str = "line", margin: int = 60) -> Da
     A line without a digit cannot match any pattern and is dropped before the scans.
     """
     digits = lines.where(F.rlike(line, F.lit(r"\d"))).withColumn("_s", strip(line))
-    found = F.concat(*[_claims_of(F.col("_s"), p, k, margin) for p, k in CLAIM_PATTERNS])
+    found = F.concat(*[_claims_of(F.col("_s"), p, k, h, margin) for (p, k), h in zip(CLAIM_PATTERNS, CLAIM_HINTS, strict=True)])
     return digits.withColumn("_c", F.explode(found)).select(*[c for c in lines.columns], "_c.*")
