@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelscan.llm import bpe, exact_dedup, mixing, sharding
+from levelscan.llm import bpe, exact_dedup, language_id, mixing, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.language_of_documents(_documents(spark, folder))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(_documents(spark, folder), bpe.vocabulary_path())
 
@@ -27,5 +31,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10_interleaved_sharding(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op7_exact_dedup, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_bpe, op7_exact_dedup, op8_mixing, op10_sharding)}
 ORACLES = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op10_sharding": sharding.SQL}
