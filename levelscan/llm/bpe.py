@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose encodings a task holds before it starts a new table; a word that comes again is then encoded again.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
 #: Bytes of words whose encodings a task holds at most.
-KNOWN_BYTES = 16_000_000
+KNOWN_BYTES = 32_000_000
 
 # The split pattern of the vocabulary, with white space written out (White_Space of Unicode).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -172,6 +173,19 @@ def encode_words(vocabulary: Vocabulary, words: set[bytes]) -> dict[bytes, list[
     return found
 
 
+class Places(dict):
+    """A running number for each word, given at its first look-up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
+
+
 class Coder:
     """Encodes and decodes texts; keeps the encodings of words already met, up to a bound."""
 
@@ -180,9 +194,12 @@ class Coder:
         self.split = regex.compile(PATTERN)
         marks = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.ids: dict[str, str] = {}
-        self.count: dict[str, int] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places = Places()
+        self.ids: list[str] = []
+        self.decoded: list[bytes] = []
         self.held = 0
 
     def pieces(self, text: str) -> list[str]:
@@ -194,34 +211,41 @@ class Coder:
             out.extend([part] if part in self.vocabulary.special else self.split.findall(part))
         return out
 
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.ids)
-        if len(self.ids) + len(new) > KNOWN_WORDS or self.held > KNOWN_BYTES:
-            self.ids, self.count, self.decoded, self.held, new = {}, {}, {}, 0, set(words)
+    def places_of(self, texts: list[str]) -> list[list[int]]:
+        """For each text the numbers of its words; words met for the first time are encoded in one trie."""
+        if len(self.ids) > KNOWN_WORDS or self.held > KNOWN_BYTES:
+            self.forget()
+        found = [list(map(self.places.__getitem__, self.pieces(text))) for text in texts]
+        new, self.places.new = self.places.new, []
         special = self.vocabulary.special
         codes = encode_words(self.vocabulary, {w.encode() for w in new if w not in special})
         for word in new:
             tokens = [special[word]] if word in special else codes[word.encode()]
-            self.ids[word] = ",".join(map(str, tokens))
-            self.count[word] = len(tokens)
-            self.decoded[word] = b"".join([self.vocabulary.bytes_of[t] for t in tokens])
-            self.held += len(self.ids[word]) + 2 * len(word)
+            self.ids.append(",".join(map(str, tokens)))
+            self.decoded.append(b"".join([self.vocabulary.bytes_of[t] for t in tokens]))
+            self.held += len(self.ids[-1]) + 2 * len(word)
+        return found
 
-    def digest(self, pieces: list[str]) -> tuple[int, str, str]:
+    def digest(self, places: list[int]) -> tuple[int, str, str]:
         """Number of tokens, digest of the ids, digest of the decoded text."""
-        ids, count, decoded = self.ids, self.count, self.decoded
-        text = b"".join([decoded[w] for w in pieces]).decode("utf-8", "replace").encode()
-        return sum([count[w] for w in pieces]), hashlib.sha256(",".join([ids[w] for w in pieces]).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
+        ids, decoded = self.ids, self.decoded
+        listed = ",".join([ids[i] for i in places])
+        text = b"".join([decoded[i] for i in places]).decode("utf-8", "replace")
+        return listed.count(",") + bool(places), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        self.learn(set(pieces))
-        return [int(i) for w in pieces for i in self.ids[w].split(",")]
+        return [int(i) for at in self.places_of([text])[0] for i in self.ids[at].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
+@functools.lru_cache(2)
+def coder_of(path: str) -> Coder:
+    """One coder for all tasks of a worker."""
+    return Coder(path)
+
+
 def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts whose words go into one trie: at least one text, up to so many characters."""
     run: list[str] = []
@@ -245,13 +269,11 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     is no shuffle; a task holds one run of texts, its trie and the encodings of at most KNOWN_WORDS words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = coder_of(path)
         for batch in batches:
             out: list[tuple[int, str, str]] = []
             for texts in groups(batch.column(1).to_pylist()):
-                pieces = [coder.pieces(t) for t in texts]
-                coder.learn(set().union(*pieces))
-                out.extend(coder.digest(p) for p in pieces)
+                out.extend(map(coder.digest, coder.places_of(texts)))
             n, ids, decoded = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -262,7 +284,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids themselves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = coder_of(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.encode(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
