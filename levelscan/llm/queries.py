@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelscan.llm import bpe, exact_dedup, language_id, mixing, sharding
+from levelscan.llm import bpe, exact_dedup, language_id, minhash, mixing, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,9 +27,13 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(_documents(spark, folder))
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, folder), k=2)
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10_interleaved_sharding(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_bpe, op7_exact_dedup, op8_mixing, op10_sharding)}
-ORACLES = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op10_sharding": sharding.SQL}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_bpe, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
+ORACLES = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL}
