@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelscan.llm import bpe, exact_dedup, language_id, minhash, mixing, sharding
+from levelscan.llm import bpe, exact_dedup, language_id, license_scan, minhash, mixing, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_documents(_documents(spark, folder))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_of_documents(_documents(spark, folder))
 
@@ -35,5 +39,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10_interleaved_sharding(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_bpe, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
-ORACLES = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_language_id, op4_bpe, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
+ORACLES = {"op1_license_scan": license_scan.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL}
