@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelscan.llm import bpe, exact_dedup, language_id, license_scan, minhash, mixing, sharding
+from levelscan.llm import ann_tree, bpe, exact_dedup, html_extract, language_id, license_scan, minhash, mixing, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_documents(_documents(spark, folder))
 
 
+def op2_ann_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_tree.nearest_neighbours(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_of_documents(_documents(spark, folder))
 
@@ -23,6 +27,10 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(_documents(spark, folder), bpe.vocabulary_path())
 
 
+def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(_documents(spark, folder))
 
@@ -39,5 +47,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10_interleaved_sharding(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_language_id, op4_bpe, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ann_tree, op3_language_id, op4_bpe, op5_html_extract, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL}
