@@ -8,6 +8,7 @@ from levelscan.llm.common import hex_key, permuted, permuted_sql, source_key, st
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+SLOTS_PER_TASK = 65_536
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 _WORDS = "[ \\t-\\r]+"
@@ -62,7 +63,8 @@ def draws(plan: DataFrame, slots: int, seed: str = "mix", shard_slots: int = SHA
     counts = stored(slot.join(held, (slot["cell"] == held["cell"]) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("quota"))).groupBy("shard", "place", "blocks").agg(F.count("*").alias("n")))
     earlier = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    each = based.select("shard", "place", "blocks", F.explode(F.expr("sequence(base, base + n - 1)")).alias("k")).withColumn("epoch", F.expr("k div blocks"))
+    # listed by as many tasks as there are draws for, whatever the size of the counts
+    each = based.repartition(max(1, slots // SLOTS_PER_TASK), "shard", "place").select("shard", "place", "blocks", F.explode(F.expr("sequence(base, base + n - 1)")).alias("k")).withColumn("epoch", F.expr("k div blocks"))
     block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), f"{seed}-block", F.col("place") * 8 + F.col("epoch"))
     return counts, each.select("shard", "place", block.alias("block"))
 
@@ -92,7 +94,8 @@ def mixed(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, si
     packed = sums_before(rows, ["_src"], "_key", ["doc_id"], {"start": "size", "row": "_one"}).join(plan.select("_src", "place", "source_size", "target"), "_src")
     spans = packed.select("doc_id", *keep, "place", "row", "size", "source_size", "target", "start", F.explode_outer(F.expr(f"CASE WHEN size > 0 THEN sequence(start div {block_words}, (start + size - 1) div {block_words}) END")).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    words = spans.join(uses, ["place", "block"], "left").groupBy("place", "row", "doc_id", *keep, "size", "source_size", "target").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).cast("bigint").alias("taken"))
+    # a draw grows out of a count, which the planner doesn't see: without the hint it broadcasts a table as large as the mix
+    words = spans.join(uses.hint("merge"), ["place", "block"], "left").groupBy("place", "row", "doc_id", *keep, "size", "source_size", "target").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).cast("bigint").alias("taken"))
     return words.select("doc_id", *keep, "size", "source_size", "target", "taken")
 
 
