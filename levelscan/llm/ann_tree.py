@@ -105,6 +105,14 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def inner_products(asked: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Every product summed in the order of the components, so equal vectors have equal scores in every block."""
+    total = np.zeros((len(asked), len(have)))
+    for left, right in zip(asked.T, have.T, strict=True):
+        total += left[:, None] * right
+    return total
+
+
 def best_in_blocks(index: DataFrame, asked: DataFrame, by: list[str], nearest: int) -> DataFrame:
     """(query_id, vec_id, score): the best of each block of the index for each query that asks for it; at most ``nearest`` rows.
 
@@ -121,7 +129,7 @@ def best_in_blocks(index: DataFrame, asked: DataFrame, by: list[str], nearest: i
         if have.empty or ask.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         ids, qids = have["id"].to_numpy(np.int64), ask["id"].to_numpy(np.int64)
-        scores = _matrix(ask["embedding"]) @ _matrix(have["embedding"]).T
+        scores = inner_products(_matrix(ask["embedding"]), _matrix(have["embedding"]))
         scores[qids[:, None] == ids[None, :]] = -np.inf
         # all that tie with the last of the best stay; ``ranked`` decides by id
         least = -np.partition(-scores, nearest - 1, 1)[:, nearest - 1, None] if scores.shape[1] > nearest else np.full((len(qids), 1), -np.inf)
