@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelscan.llm import ann_tree, bpe, exact_dedup, html_extract, language_id, license_scan, minhash, mixing, sharding
+from levelscan.llm import ann_tree, bpe, exact_dedup, html_extract, language_id, license_scan, minhash, mixing, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, folder))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(_documents(spark, folder))
 
@@ -47,5 +51,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10_interleaved_sharding(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ann_tree, op3_language_id, op4_bpe, op5_html_extract, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ann_tree, op3_language_id, op4_bpe, op5_html_extract, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL}
