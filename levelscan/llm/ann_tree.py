@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from levelscan.llm.common import stored
+from levelscan.llm.common import bounded_sample, stored
 
 NEAREST = 20
 SAMPLE = 20_000          # vectors that the tree is fitted on, at most
 BRANCH = 8
-LEAF = 256               # sampled vectors below which a node isn't split
+SPLIT = 32               # a node with more than this fraction (1 / SPLIT) of the sample is split: about 64 leaves at any size
 CALIBRATION = 200        # queries whose true neighbours set the number of leaf visits
 RECALL = 0.93            # over the calibration queries; the contract asks for 0.9
 PARTS = 12               # bins of a full search
@@ -28,6 +28,7 @@ class Tree:
         self.centres: list[np.ndarray] = []
         self.leaf: list[int] = []
         self.leaves = 0
+        self.small = max(1, len(vectors) // SPLIT)
         draw = np.random.default_rng(seed)
         self._grow(vectors, draw)
 
@@ -36,7 +37,7 @@ class Tree:
         self.children.append([])
         self.centres.append(np.zeros((0, vectors.shape[1] if vectors.ndim == 2 else 0)))
         self.leaf.append(-1)
-        distinct = np.unique(vectors, axis=0) if len(vectors) > LEAF else vectors[:1]
+        distinct = np.unique(vectors, axis=0) if len(vectors) > self.small else vectors[:1]
         if len(distinct) <= 1:
             self.leaf[node] = self.leaves
             self.leaves += 1
@@ -152,8 +153,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, sample: int = SAMPLE):
         rows = stored(usable(vectors))
-        # bounded by ``sample``; the seeded order doesn't depend on the partitioning
-        drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
+        drawn = bounded_sample(rows, sample, "vec_id").select("embedding").toPandas()
         self.empty = drawn.empty
         self.tree = Tree(_matrix(drawn["embedding"])) if not self.empty else None
         tree = self.tree
@@ -174,7 +174,7 @@ class Index:
                 yield pd.DataFrame(rows, columns=["query_id", "query", "leaf"]).astype({"query_id": "int64", "leaf": "int64"})
 
         asked = queries.select("vec_id", "embedding").mapInPandas(ask, "query_id bigint, query array<double>, leaf bigint")
-        return ranked(best_in_blocks(self.rows, asked, ["leaf"], nearest), nearest)
+        return ranked(best_in_blocks(self.rows, stored(asked), ["leaf"], nearest), nearest)
 
     def calibrated(self, queries: DataFrame, nearest: int = NEAREST, recall: float = RECALL, sample: int = CALIBRATION) -> tuple[int, float]:
         """(visits, recall): leaf visits are widened until a bounded sample of queries finds that share of its true neighbours.
@@ -183,7 +183,7 @@ class Index:
         leaf each lies in; a neighbour is found once the traversal of its query has come to its leaf.  Once all leaves are
         visited the search is exact.
         """
-        some = stored(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample))
+        some = stored(bounded_sample(queries, sample, "vec_id"))
         spread = self.rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)).cast("int"))
         ask = some.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
         truth = ranked(best_in_blocks(spread.select("part", "vec_id", "embedding"), ask, ["part"], nearest), nearest)

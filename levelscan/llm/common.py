@@ -20,6 +20,16 @@ def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_sample(df: DataFrame, sample: int, *key: str) -> DataFrame:
+    """At most ``sample`` rows, drawn by a hash of the key columns; the same for any partitioning.
+
+    The share is set by a count, so tasks send on about as many rows together as are asked for.
+    """
+    n, at = df.count(), F.xxhash64(*key)
+    some = df if n <= sample else df.where(at <= int(2**64 * 0.9 * sample / n) - 2**63)
+    return some.orderBy(at, *key).limit(sample)
+
+
 def hex_key(seed: str, *cols: Column) -> Column:
     """A seeded md5 in hex; nulls count as a value of their own.  The same in any SQL engine."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]))

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from levelscan.llm.common import bounded_sample
+
 SAMPLE_PAGES = 400   # pages that the trees are fitted on, at most
 TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
 _RUN = 256           # pages whose nodes are scored at once
@@ -266,7 +268,7 @@ def text_of(pieces: list[tuple[int, str | None]], kept: np.ndarray) -> str:
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> BoostedTrees | None:
     """Trees fitted on a bounded sample of pages, drawn by a seeded key; None without a page."""
-    rows = pages.select("page_id", "html").where("html is not null").orderBy(F.xxhash64("page_id", "html")).limit(sample).collect()
+    rows = bounded_sample(pages.select("page_id", "html").where("html is not null"), sample, "page_id", "html").collect()
     xs, ys = [], []
     for r in rows:
         nodes, pieces = parse(r["html"])
