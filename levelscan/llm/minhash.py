@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,7 +14,8 @@ from levelscan.llm.common import drop_stored, stored
 
 BANDS, ROWS = 36, 6      # a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^36 = 1.8e-5
 PERCENT = 80
-SLACK = 0.17             # signatures are estimates: with 216 minima, 0.17 below the threshold is over six deviations
+SLACK = 0.12             # signatures are estimates: with 216 minima, 0.12 below the threshold is over four deviations
+BLOCK = 512              # members of two components that are compared in one task
 _SEED = 20_240_229
 _BLOCK = 4096            # shingles hashed at once
 
@@ -110,6 +112,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def links_between(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of the components a and b of ``pairs`` (with size_a, size_b), one per pair of blocks at least.
+
+    The larger component is the centre.  Its members and the members of all that touch it are cut into blocks; each task
+    compares one block with one block on full shingle sets and returns links, never pairs, so rows grow with blocks.
+    """
+    first = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    sides = stored(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.greatest("size_a", "size_b").alias("inner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("root"), F.least("size_a", "size_b").alias("outer")))
+    grid = sides.groupBy("centre").agg(F.ceil(F.max("inner") / BLOCK).cast("int").alias("ni"), F.ceil(F.sum("outer") / BLOCK).cast("int").alias("no"))
+    inside = grid.withColumn("root", F.col("centre")).withColumn("side", F.lit(0))
+    outside = sides.select("centre", "root").join(grid, "centre").select("centre", "ni", "no", "root", F.lit(1).alias("side"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("ni")).otherwise(F.col("no"))).cast("int")
+    named = inside.select("centre", "ni", "no", "root", "side").union(outside).join(members, "root").withColumn("own", block)
+    needed = stored(named.select("rep").distinct())
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("no")).otherwise(F.col("ni")) - 1))
+    dealt = named.withColumn("other", other).select("centre", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("o"), "side", "root", "rep")
+    rows = dealt.join(texts.join(needed, "rep", "left_semi"), "rep")
+    kind = dict(members.dtypes)["rep"]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles_of(words_of(t), k) for t in group["text"]]
+        rep, root, side = group["rep"].to_numpy(), group["root"].to_numpy(), group["side"].to_numpy()
+        inner, outer = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(inner) or not len(outer):
+            return pd.DataFrame({"a": rep[:0], "b": rep[:0]})
+        number: dict[bytes, int] = {}
+        ids = [np.fromiter((number.setdefault(x, len(number)) for x in sets[i]), np.int64, len(sets[i])) for i in inner]
+        flat, length = np.concatenate(ids), np.array([len(x) for x in ids])
+        starts = np.cumsum(length) - length
+        found, linked = [], set()
+        for j in outer:
+            if root[j] in linked:  # its component is linked to the centre already
+                continue
+            mark = np.zeros(len(number), np.int64)
+            mark[[number[x] for x in sets[j] if x in number]] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            hit = np.flatnonzero(100 * both >= percent * (length + len(sets[j]) - both))
+            if len(hit):
+                found.append((rep[inner[hit[0]]], rep[j]))
+                linked.add(root[j])
+        return pd.DataFrame(found, columns=["a", "b"]).astype({"a": rep.dtype, "b": rep.dtype})
+
+    return rows.select("centre", "i", "o", "side", "root", "rep", "text").groupBy("centre", "i", "o").applyInPandas(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge, by alternating large-star and small-star.
 
@@ -144,13 +191,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     Representatives that share a band are candidates, in two steps that never list the pairs of a bucket at once:
 
     1. Each member of a bucket against the bucket's smallest: signatures, then full sets.  Components of these links.
-    2. Buckets whose members are then in several components: members of different components against each other.
+    2. Components that then share a bucket: their members against each other, in blocks, on full sets (see links_between).
 
-    Any linked pair that shares a band ends up in one component.  Null, empty and white-space texts have no set and are their
+    So any linked pair that shares a band ends up in one component.  Null, empty and white-space texts have no set and are their
     own component; null ids form no component and are kept (component null).  Repeated rows are of one class.
     Empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     signed = stored(signatures(docs, k))
     with_words = signed.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     classes = with_words.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"))
@@ -160,23 +206,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     shared = stored(buckets.join(leaders.drop("n"), "bucket").select("bucket", "a", F.col("rep").alias("b")))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
 
-    first = stored(similar_signatures(shared.where("a < b").select("a", "b").distinct(), reps, percent))
+    tried = stored(shared.where("a < b").select("a", "b").distinct())
+    first = stored(similar_signatures(tried, reps, percent))
     needed = stored(first.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     links = stored(confirmed(first, texts.join(needed, "rep", "left_semi"), k, percent))
     roots = components(links)
 
-    # buckets that hold several components
-    placed = shared.join(roots.withColumnRenamed("node", "b"), "b", "left").select("bucket", "b", F.coalesce("root", "b").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_rows = stored(placed.join(split, "bucket", "left_semi"))
-    x, y = open_rows.select("bucket", F.col("b").alias("a"), F.col("root").alias("root_a")), open_rows.select("bucket", "b", F.col("root").alias("root_b"))
-    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(similar_signatures(across, reps, percent))
-    if not second.isEmpty():
-        needed2 = stored(second.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-        more = confirmed(second, texts.join(needed2, "rep", "left_semi"), k, percent)
-        links = links.union(stored(more))
-        roots = components(links)
+    # components that share a bucket; buckets with the same components count once
+    placed = stored(shared.select("bucket", F.col("b").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", F.coalesce("root", "rep").alias("root")).distinct())
+    alike = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("sum")).where("n > 1").groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))
+    once = stored(placed.join(alike.select("bucket"), "bucket", "left_semi"))
+    members = stored(reps.select("rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")))
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    touching = once.select("bucket", F.col("root").alias("a")).join(once.select("bucket", F.col("root").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
+    sized = stored(touching.join(sizes.select(F.col("root").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("root").alias("b"), F.col("size").alias("size_b")), "b"))
+    single = sized.where("size_a = 1 and size_b = 1").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    rest = sized.where("size_a > 1 or size_b > 1").union(similar_signatures(single, reps, percent).select("a", "b", F.lit(1), F.lit(1)))
+    more = stored(links_between(rest, members, texts, k, percent))
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "cls", "n_shingles").join(of_class, "cls", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from levelscan.llm.common import stored
 
 LENGTH = 200
-GRAM = 32               # bytes of a minimizer
+GRAM = 64               # bytes of a minimizer, a power of two
 LONGEST_RUN = 2048      # windows of a segment at most; a longer run is cut into several
 SHARD_BYTES = 1_000_000 # text of one suffix array
 HOT_SEGMENTS = 4096     # different segments of one key beyond which its windows are keyed one by one
@@ -34,19 +34,17 @@ def suffix_array(text: list[int], symbols: int) -> list[int]:
         return []
     if n == 1:
         return [0]
-    smaller = bytearray(n)  # 1: suffix i is smaller than suffix i + 1; the last is larger than the empty suffix
-    for i in range(n - 2, -1, -1):
-        if text[i] < text[i + 1] or (text[i] == text[i + 1] and smaller[i + 1]):
-            smaller[i] = 1
-    counts = [0] * symbols
-    for c in text:
-        counts[c] += 1
-    heads, tails, total = [0] * symbols, [0] * symbols, 0
-    for c, k in enumerate(counts):
-        heads[c] = total
-        total += k
-        tails[c] = total
-    places = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
+    array = np.array(text, np.int64)
+    # 1: suffix i is smaller than suffix i + 1, told by the next place where symbols differ; the end is smaller than all
+    step = np.append(array[1:] - array[:-1], -1)
+    differ = np.where(step != 0, np.arange(n), n)
+    differ = np.minimum.accumulate(differ[::-1])[::-1]
+    rises = step[differ] > 0
+    smaller = rises.astype(np.uint8).tobytes()
+    counts = np.bincount(array, minlength=symbols)
+    tails = counts.cumsum()
+    heads, tails = (tails - counts).tolist(), tails.tolist()
+    places = (np.flatnonzero(rises[1:] & ~rises[:-1]) + 1).tolist()
 
     def induce(order: list[int]) -> list[int]:
         sa = [-1] * n
@@ -61,16 +59,18 @@ def suffix_array(text: list[int], symbols: int) -> list[int]:
         start[c] += 1
         for j in sa:  # grows ahead of the scan
             if j > 0 and not smaller[j - 1]:
-                c = text[j - 1]
-                sa[start[c]] = j - 1
-                start[c] += 1
+                j -= 1
+                c = text[j]
+                at = start[c]
+                sa[at] = j
+                start[c] = at + 1
         end = tails[:]
-        for at in range(n - 1, -1, -1):
-            j = sa[at]
+        for j in reversed(sa):
             if j > 0 and smaller[j - 1]:
-                c = text[j - 1]
-                end[c] -= 1
-                sa[end[c]] = j - 1
+                j -= 1
+                c = text[j]
+                at = end[c] = end[c] - 1
+                sa[at] = j
         return sa
 
     if not places:
@@ -79,9 +79,7 @@ def suffix_array(text: list[int], symbols: int) -> list[int]:
     following = dict(zip(places, [*places[1:], n - 1], strict=True))
     names = [-1] * n
     name, last = -1, -1
-    for i in sa:
-        if i not in following:
-            continue
+    for i in filter(following.__contains__, sa):
         if last < 0 or text[i:following[i] + 1] != text[last:following[last] + 1] or n - 1 in (following[i], following[last]):
             name += 1
         names[i] = name
@@ -156,7 +154,7 @@ def _sliding(values: np.ndarray, width: int, take) -> np.ndarray:
 def runs_of(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, last, times): runs of windows with the same least gram hash, and how often that gram stands in the run.
 
-    Equal windows have equal keys.  A window is ``length`` bytes; its key is the least hash of its 32-byte grams.
+    Equal windows have equal keys.  A window is ``length`` bytes; its key is the least hash of its grams.
     """
     n = len(data)
     if n < length:
