@@ -89,13 +89,15 @@ def random_graphs(attempts: DataFrame, attempt: str = "attempt", level: str = "l
     return uniq if per_level is None else stratified_pick(uniq, per_level, [level], [F.col(attempt)])
 
 
-def k_colourable(graphs: DataFrame, keys: Sequence[str], edges: str = "edges", n: str = "n", k: str = "k", nodes: int = 12) -> DataFrame:
+def k_colourable(graphs: DataFrame, keys: Sequence[str], edges: str = "edges", n: str = "n", k: str = "k") -> DataFrame:
     """Graphs with a proper colouring, and the smallest one.
 
     Node by node every partial colouring is extended by each allowed colour; a new colour may only be
-    the next unused one, which drops mirror images.  No shuffle until the smallest is taken.
+    the next unused one, which drops mirror images.  No shuffle until the smallest is taken.  All nodes are
+    coloured: their largest number comes from the table.
     """
     keys = list(keys)
+    nodes = graphs.agg(F.max(n)).first()[0] or 1
     rows = graphs.withColumn("colouring", F.array(F.lit(0)))
     for i in range(1, nodes):
         used = F.array_max("colouring")

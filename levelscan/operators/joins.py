@@ -57,31 +57,31 @@ def _norm(c: str) -> Column:
     return F.lower(F.trim(F.col(c)))
 
 
-def extend_chains(chains: DataFrame, facts: DataFrame) -> DataFrame:
+def extend_chains(chains: DataFrame, facts: DataFrame, excluded: int = 1) -> DataFrame:
     """Add one hop: the chain's last answer is the entity of a fact from another source; first fact wins.
 
-    chains(chain_id, source, answer, path), facts(fact_id, source, entity, answer).  Only the two first
-    facts of distinct sources per entity can ever be chosen, so the join partner list is at most two
-    rows per entity whatever the skew.
+    chains(chain_id, source, answer, path), facts(fact_id, source, entity, answer).  The sources of the last ``excluded``
+    hops can't come again; with more than one, the chain carries them in ``used``, latest last.  Only the
+    ``excluded`` + 1 first facts of distinct sources per entity can ever be chosen, so the join partner list
+    is no longer than that whatever the skew.
     """
     per_source = facts.groupBy(_norm("entity").alias("entity"), "source").agg(
         F.min(F.struct("fact_id", "answer")).alias("f")
     )
     rank = F.row_number().over(W.partitionBy("entity").orderBy("f.fact_id"))
-    two = per_source.withColumn("_r", rank).where(F.col("_r") <= 2)
-    packed = two.groupBy("entity").agg(
-        F.min_by(F.struct("source", "f"), "_r").alias("f1"),
-        F.max_by(F.struct("source", "f"), F.when(F.col("_r") == 2, 2)).alias("f2"),
-    )
-    joined = chains.withColumn("entity", _norm("answer")).join(packed, "entity")
-    pick = F.when(F.col("f1.source") != F.col("source"), F.col("f1")).when(
-        F.col("f2.source").isNotNull() & (F.col("f2.source") != F.col("source")), F.col("f2")
-    )
-    return joined.withColumn("_n", pick).where(F.col("_n").isNotNull()).select(
+    first = per_source.withColumn("_r", rank).where(F.col("_r") <= excluded + 1)
+    packed = first.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("_r", "source", "f"))).alias("_facts"))
+    used = F.col("used") if "used" in chains.columns else F.array("source")
+    joined = chains.withColumn("_used", used).withColumn("entity", _norm("answer")).join(packed, "entity")
+    free = F.filter("_facts", lambda x: ~F.array_contains("_used", x["source"]))
+    carried = F.array_append("_used", F.col("_n.source"))
+    latest = [F.slice(carried, -F.least(F.size(carried), F.lit(excluded)), F.lit(excluded)).alias("used")] if excluded > 1 else []
+    return joined.withColumn("_n", F.get(free, 0)).where(F.col("_n").isNotNull()).select(
         "chain_id",
         F.col("_n.source").alias("source"),
         F.col("_n.f.answer").alias("answer"),
         F.array_append("path", F.col("_n.f.fact_id")).alias("path"),
+        *latest,
     )
 
 
