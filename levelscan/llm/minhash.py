@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from levelscan.llm.common import drop_stored, stored
@@ -17,7 +18,7 @@ PERCENT = 80
 SLACK = 0.12             # signatures are estimates: with 216 minima, 0.12 below the threshold is over four deviations
 BLOCK = 512              # members of two components that are compared in one task
 _SEED = 20_240_229
-_BLOCK = 4096            # shingles hashed at once
+_BLOCK = 512             # shingles hashed at once: the buffer stays in the cache
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +44,23 @@ def shingles_of(words: list[bytes], k: int) -> set[bytes]:
 
 def base_hash(shingle_set: set[bytes]) -> np.ndarray:
     """32 well-mixed bits per shingle, for the universal hashes."""
-    return np.fromiter((int.from_bytes(hashlib.blake2b(s, digest_size=4).digest(), "little") for s in shingle_set), np.uint64, len(shingle_set))
+    return np.fromiter(map(xxhash.xxh32_intdigest, shingle_set), np.uint64, len(shingle_set))
 
 
 def minima(base: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The minimum of each multiply-shift hash (a x + b mod 2^64) / 2^32 over the set."""
-    least = np.full(len(a), 2**32 - 1, np.uint64)
+    """The minimum of each multiply-shift hash (a x + b mod 2^64) / 2^32 over the set.
+
+    The shift keeps order, so it is done once, on the minima; one small buffer is used for every block of shingles.
+    """
+    least = np.full(len(a), 2**64 - 1, np.uint64)
+    room = np.empty((len(a), min(_BLOCK, max(len(base), 1))), np.uint64)
     for at in range(0, len(base), _BLOCK):
-        np.minimum(least, ((a * base[at:at + _BLOCK] + b) >> np.uint64(32)).min(1), out=least)
-    return least.astype("<u4")
+        x = base[at:at + _BLOCK]
+        part = room[:, :len(x)]
+        np.multiply(a, x, out=part)
+        np.add(part, b, out=part)
+        np.minimum(least, part.min(1), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
