@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelscan.functions.special import normal_cdf, normal_ppf
-from levelscan.plans.draws import hash32
+from levelscan.plans.draws import hash32, hash60
 
 
 def _group_text(keys: Sequence[str]) -> Column:
@@ -26,7 +26,7 @@ def resample(df: DataFrame, keys: Sequence[str], order: Sequence[str], b: int, s
         *keys, *cols, (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("_pos"), F.count(F.lit(1)).over(w).alias("_n")
     )
     draws = pos.select(*keys, "_pos", "_n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
-    pick = hash32(seed, _group_text(keys), F.col("rep"), F.col("_pos")) % F.col("_n")
+    pick = hash60(seed, _group_text(keys), F.col("rep"), F.col("_pos")) % F.col("_n")
     draws = draws.select(*keys, "rep", pick.alias("_pos"))
     return draws.join(pos.drop("_n"), [*keys, "_pos"]).drop("_pos")
 

@@ -13,11 +13,20 @@ from pyspark.sql import Column, functions as F
 TWO32 = 4294967296.0
 
 
-def hash32(*parts) -> Column:
-    """First 32 bits of md5 over the '|'-joined key parts, as bigint."""
+def _hex_digits(digits: int, parts: tuple) -> Column:
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
     key = F.concat_ws("|", *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("bigint")
+
+
+def hash32(*parts) -> Column:
+    """First 32 bits of md5 over the '|'-joined key parts, as bigint."""
+    return _hex_digits(8, parts)
+
+
+def hash60(*parts) -> Column:
+    """First 60 bits of the same md5: for draws of a place in a group, which may have more than 2^32 rows."""
+    return _hex_digits(15, parts)
 
 
 def uniform(*parts) -> Column:

@@ -241,13 +241,13 @@ def _(spark, d):
     return rounded(T.mean_ci95(e, ["model"], "x").join(pop, "model"), "mean_value", "ci95", "ci95_pop")
 
 
-def hash_sql(parts):
-    return f"('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::UBIGINT"
+def hash_sql(parts, digits=8):
+    return f"('0x' || substr(md5(concat_ws('|', {parts})), 1, {digits}))::UBIGINT"
 
 
-NREP = 200
+NREP = 1000
 BOOT = f"""bp AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY level) - 1 AS pos, count(*) OVER (PARTITION BY model) AS nn FROM lvd),
-bd AS (SELECT model, rep, {hash_sql("'42', model, rep, pos")} % nn AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r),
+bd AS (SELECT model, rep, ({hash_sql("'42', model, rep, pos", 15)} % nn)::BIGINT AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r),
 br AS (SELECT bd.model, bd.rep, bp.level, bp.d_star, bp.accuracy, bp.variance, bp.disagreement_rate, bp.bimodality_coefficient FROM bd JOIN bp ON bp.model = bd.model AND bp.pos = bd.pos)"""
 
 
@@ -267,7 +267,7 @@ def _(spark, d):
 
 
 @query("inf03_bootstrap_effect", f"""WITH {LV}, g AS (SELECT *, CASE WHEN level >= 20 THEN 'near' ELSE 'far' END AS side FROM lvd), bp AS (SELECT model, side, variance, row_number() OVER (PARTITION BY model, side ORDER BY level) - 1 AS pos, count(*) OVER (PARTITION BY model, side) AS nn FROM g),
-bd AS (SELECT model, side, rep, {hash_sql("'42', model, side, rep, pos")} % nn AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r), br AS (SELECT bd.model, bd.side, bd.rep, bp.variance AS v FROM bd JOIN bp ON bp.model = bd.model AND bp.side = bd.side AND bp.pos = bd.pos),
+bd AS (SELECT model, side, rep, ({hash_sql("'42', model, side, rep, pos", 15)} % nn)::BIGINT AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r), br AS (SELECT bd.model, bd.side, bd.rep, bp.variance AS v FROM bd JOIN bp ON bp.model = bd.model AND bp.side = bd.side AND bp.pos = bd.pos),
 c AS (SELECT model, rep, count(*) FILTER (WHERE side = 'near') AS na, count(*) FILTER (WHERE side = 'far') AS nb, avg(v) FILTER (WHERE side = 'near') AS ma, avg(v) FILTER (WHERE side = 'far') AS mb, var_samp(v) FILTER (WHERE side = 'near') AS va, var_samp(v) FILTER (WHERE side = 'far') AS vb FROM br GROUP BY ALL),
 d AS (SELECT model, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM c) SELECT model, round(quantile_cont(d, 0.025::DOUBLE), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975::DOUBLE), 6) + 0.0 AS ci_high, count(d) AS n_reps FROM d GROUP BY ALL""")
 def _(spark, d):
@@ -276,7 +276,7 @@ def _(spark, d):
 
 
 @query("inf04_bootstrap_lead_time", f"""WITH {LV}, pre AS (SELECT * FROM lvd WHERE level <= d_star), bp AS (SELECT *, row_number() OVER (PARTITION BY task, model ORDER BY level) - 1 AS pos, count(*) OVER (PARTITION BY task, model) AS nn FROM pre),
-bd AS (SELECT task, model, rep, {hash_sql("'42', task, model, rep, pos")} % nn AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r), br AS (SELECT bd.task, bd.model, bd.rep, bp.level, bp.d_star, bp.bimodality_coefficient > 0.7 AS hit FROM bd JOIN bp ON bp.task = bd.task AND bp.model = bd.model AND bp.pos = bd.pos),
+bd AS (SELECT task, model, rep, ({hash_sql("'42', task, model, rep, pos", 15)} % nn)::BIGINT AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r), br AS (SELECT bd.task, bd.model, bd.rep, bp.level, bp.d_star, bp.bimodality_coefficient > 0.7 AS hit FROM bd JOIN bp ON bp.task = bd.task AND bp.model = bd.model AND bp.pos = bd.pos),
 s AS (SELECT task, model, rep, max(d_star) - min(level) FILTER (WHERE hit) AS stat FROM br GROUP BY ALL), q AS (SELECT task, model, quantile_cont(stat, 0.025::DOUBLE) AS lo, quantile_cont(stat, 0.975::DOUBLE) AS hi, count(stat) AS n_reps, avg(stat) AS mean_lead FROM s GROUP BY ALL), n AS (SELECT task, model, count(*) AS n_levels FROM pre GROUP BY ALL)
 SELECT task, model, n_reps, n_levels, round(CASE WHEN n_levels >= 4 AND n_reps >= 20 THEN lo END, 6) + 0.0 AS ci_low, round(CASE WHEN n_levels >= 4 AND n_reps >= 20 THEN hi END, 6) + 0.0 AS ci_high, round(CASE WHEN n_levels >= 4 AND n_reps >= 20 THEN mean_lead END, 6) + 0.0 AS mean_lead FROM q JOIN n USING (task, model)""")
 def _(spark, d):
