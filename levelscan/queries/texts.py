@@ -392,11 +392,12 @@ def _(spark, d):
     return t.select("page_id", "line_no", F.md5("line").alias("digest"))
 
 
-@query("snk01_write_envelope", f"WITH {LV} SELECT model AS dataset, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM lv GROUP BY ALL")
+@query("snk01_write_envelope", f"WITH {LV} SELECT model AS dataset, true AS pieces_ok, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM lv GROUP BY ALL")
 def _(spark, d):
     from levelscan.sources.envelope import envelope_rows
     rows = envelope_rows(levels(spark, d).select(F.col("model").alias("dataset"), "level", "n"), max_rows=10)
-    return rows.groupBy("dataset").agg(F.sum(F.size("examples")).alias("n"), F.sum(F.aggregate("examples", F.lit(0).cast("bigint"), lambda s, e: s + e["n"])).alias("total"))
+    numbered = (F.min("piece") >= 0) & (F.count_distinct("piece") == F.count("*")) & (F.max("piece") < F.ceil(F.sum(F.size("examples")) / 10))
+    return rows.groupBy("dataset").agg(numbered.alias("pieces_ok"), F.sum(F.size("examples")).alias("n"), F.sum(F.aggregate("examples", F.lit(0).cast("bigint"), lambda s, e: s + e["n"])).alias("total"))
 
 
 @query("snk02_format_predictions", f"WITH {LV} SELECT model, level, coalesce(CAST(round(accuracy, 4) AS VARCHAR), 'nan') AS predict_accuracy FROM lv")

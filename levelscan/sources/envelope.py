@@ -46,21 +46,21 @@ def load_tier(spark: SparkSession, folder: str, name: str, tier: str = "full") -
 
 
 def envelope_rows(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Nested JSON rows (dataset, examples); a dataset is written in pieces of about ``max_rows`` examples.
+    """Nested JSON rows (dataset, piece, examples); a dataset is written in pieces of about ``max_rows`` examples.
 
-    A piece is a hash bucket, so one huge dataset never meets in one task.
+    A piece is a hash bucket, so one huge dataset never meets in one task; pieces are numbered from 0, a single one too.
     """
     body = [c for c in df.columns if c != "dataset"]
     sizes = df.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("_pieces"))
     piece = F.pmod(F.xxhash64(*body), F.col("_pieces"))
     return (
-        df.join(sizes, "dataset").groupBy("dataset", piece.alias("_piece"))
-        .agg(F.collect_list(F.struct(*body)).alias("examples")).drop("_piece")
+        df.join(sizes, "dataset").groupBy("dataset", piece.alias("piece"))
+        .agg(F.collect_list(F.struct(*body)).alias("examples"))
     )
 
 
 def write_envelope(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
     """Every file is one envelope document with one piece of one dataset."""
     rows = envelope_rows(df, max_rows)
-    doc = rows.select(F.array(F.struct("dataset", "examples")).alias("datasets"))
+    doc = rows.select(F.array(F.struct("dataset", "piece", "examples")).alias("datasets"))
     doc.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
