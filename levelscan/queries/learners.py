@@ -68,7 +68,7 @@ def _(spark, d):
 
 @query("ml04_tune_c")
 def _(spark, d):
-    return rounded(L.tune_c(docs(spark, d), FE, grid=(0.1, 1.0, 10.0)), "f1", "threshold")
+    return rounded(L.tune_c(docs(spark, d), FE), "f1", "threshold")
 
 
 def _cut_sql(src, keys, v, y, n=100):
