@@ -14,7 +14,7 @@ from levelscan.llm.common import stored
 LENGTH = 200
 GRAM = 64               # bytes of a minimizer, a power of two
 LONGEST_RUN = 2048      # windows of a segment at most; a longer run is cut into several
-SHARD_BYTES = 1_000_000 # text of one suffix array
+SHARD_BYTES = 250_000   # text of one suffix array; small enough for a core's cache
 HOT_SEGMENTS = 4096     # different segments of one key beyond which its windows are keyed one by one
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -22,76 +22,74 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
-def suffix_array(text: list[int], symbols: int) -> list[int]:
-    """The suffix array by induced sorting; linear in the text.
+def suffix_array(text: list[int] | np.ndarray, symbols: int) -> list[int]:
+    """The suffix array by induced sorting.
 
     Suffixes are classified as smaller or larger than their right neighbour; substrings between leftmost-smaller places are
-    sorted by inducing, named, and, if names repeat, sorted by the array of the names; the sorted places induce the rest.
-    The end of the text is smaller than every symbol.
+    named in their order and, if names repeat, sorted by the array of the names, recursively; the sorted places induce the
+    rest in two linear scans.  The end of the text is smaller than every symbol.
     """
     n = len(text)
-    if n == 0:
-        return []
-    if n == 1:
-        return [0]
-    array = np.array(text, np.int64)
-    # 1: suffix i is smaller than suffix i + 1, told by the next place where symbols differ; the end is smaller than all
+    if n < 2:
+        return list(range(n))
+    array = np.asarray(text, np.int64)
+    # suffix i is smaller than suffix i + 1, told by the next place where symbols differ; the end is smaller than all
     step = np.append(array[1:] - array[:-1], -1)
     differ = np.where(step != 0, np.arange(n), n)
     differ = np.minimum.accumulate(differ[::-1])[::-1]
     rises = step[differ] > 0
-    smaller = rises.astype(np.uint8).tobytes()
-    counts = np.bincount(array, minlength=symbols)
-    tails = counts.cumsum()
-    heads, tails = (tails - counts).tolist(), tails.tolist()
+    wide = symbols > 255
+    raw = array.astype(">u4" if wide else np.uint8).tobytes()
+    symbol = array.tolist() if wide else raw
     places = (np.flatnonzero(rises[1:] & ~rises[:-1]) + 1).tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        end = tails[:]
-        for i in reversed(order):
-            c = text[i]
-            end[c] -= 1
-            sa[end[c]] = i
-        start = heads[:]
-        c = text[n - 1]
-        sa[start[c]] = n - 1
-        start[c] += 1
-        for j in sa:  # grows ahead of the scan
-            if j > 0 and not smaller[j - 1]:
-                j -= 1
-                c = text[j]
-                at = start[c]
-                sa[at] = j
-                start[c] = at + 1
-        end = tails[:]
-        for j in reversed(sa):
-            if j > 0 and smaller[j - 1]:
-                j -= 1
-                c = text[j]
-                at = end[c] = end[c] - 1
-                sa[at] = j
-        return sa
-
-    if not places:
-        return induce([])
-    sa = induce(places)
-    following = dict(zip(places, [*places[1:], n - 1], strict=True))
-    names = [-1] * n
-    name, last = -1, -1
-    for i in filter(following.__contains__, sa):
-        if last < 0 or text[i:following[i] + 1] != text[last:following[last] + 1] or n - 1 in (following[i], following[last]):
-            name += 1
-        names[i] = name
-        last = i
-    reduced = [names[i] for i in places]
-    if name + 1 == len(places):
-        order = [0] * len(places)
-        for k, v in enumerate(reduced):
-            order[v] = k
-    else:
-        order = suffix_array(reduced, name + 1)
-    return induce([places[k] for k in order])
+    order = _sorted_places(raw, places, 4 if wide else 1) if places else []
+    # by suffix: is the one to its left larger, smaller; the entry at n is for places not filled yet
+    left_larger = np.concatenate([[False], ~rises[:-1], [False]]).astype(np.uint8).tobytes()
+    left_smaller = np.concatenate([[False], rises[:-1], [False]]).astype(np.uint8).tobytes()
+    counts = np.bincount(array, minlength=symbols)
+    ends = counts.cumsum()
+    end, start = ends.tolist(), (ends - counts).tolist()
+    sa = [n] * n
+    for i in reversed(order):
+        at = end[symbol[i]] = end[symbol[i]] - 1
+        sa[at] = i
+    last = symbol[n - 1]
+    sa[start[last]] = n - 1
+    start[last] += 1
+    for j in sa:  # grows ahead of the scan
+        if left_larger[j]:
+            j -= 1
+            c = symbol[j]
+            at = start[c]
+            sa[at] = j
+            start[c] = at + 1
+    end = ends.tolist()
+    for j in reversed(sa):
+        if left_smaller[j]:
+            j -= 1
+            c = symbol[j]
+            at = end[c] = end[c] - 1
+            sa[at] = j
+    return sa
+
+
+def _sorted_places(raw: bytes, places: list[int], width: int) -> list[int]:
+    """The leftmost-smaller places in the order of their suffixes; ``raw`` has ``width`` bytes a symbol, all below the top value.
+
+    A substring reaches up to and including the next such place.  If it begins a longer one, that one falls or stays after its
+    end while the suffix there rises, so the shorter is larger, which a top symbol at its end says; the last one ends with the text.
+    """
+    top = b"\xff" * width
+    pieces = [raw[width * i:width * (e + 1)] + top for i, e in zip(places, places[1:], strict=False)]
+    pieces.append(raw[width * places[-1]:])
+    name = {piece: k for k, piece in enumerate(sorted(set(pieces)))}
+    named = [name[piece] for piece in pieces]
+    if len(name) < len(named):
+        return [places[k] for k in suffix_array(named, len(name))]
+    order = [0] * len(named)
+    for k, v in enumerate(named):
+        order[v] = places[k]
+    return order
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -131,7 +129,7 @@ def repeated_starts(segments: list[bytes], windows: list[int], length: int = LEN
     text = np.frombuffer(joined, np.uint8).astype(np.int64) + 1
     offsets = np.cumsum([0, *(len(s) + 1 for s in segments)])[:-1]
     text[offsets[1:] - 1] = 0  # borders stand in no window
-    sa = np.array(suffix_array(text.tolist(), 257), np.int64)
+    sa = np.array(suffix_array(text, int(text.max()) + 1), np.int64)  # UTF-8 has no byte above F4
     agree = common_prefixes(text, sa, length)
     twice = np.zeros(len(text), bool)
     hit = np.flatnonzero(agree >= length)
