@@ -73,11 +73,15 @@ class Tree:
             stack.extend((child, rows[near == c]) for c, child in enumerate(self.children[node]) if (near == c).any())
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves by best bin first: a priority queue of all branches not taken, nearest centre first."""
+    def visits(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves by best bin first: a priority queue of all branches not taken, nearest centre first.
+
+        With ``sizes`` of leaves it goes on after ``most`` leaves until they hold ``least`` vectors or none is left.
+        """
         queue: list[tuple[float, int]] = [(0.0, 0)]
         found: list[int] = []
-        while queue and len(found) < most:
+        held = 0
+        while queue and (len(found) < most or sizes is not None and held < least):
             _, node = heapq.heappop(queue)
             while self.children[node]:
                 far = -(self.centres[node] @ query)
@@ -87,6 +91,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[c]), child))
                 node = self.children[node][best]
             found.append(self.leaf[node])
+            held += sizes.get(self.leaf[node], 0) if sizes is not None else 0
         return found
 
 
@@ -131,6 +136,8 @@ def best_in_blocks(index: DataFrame, asked: DataFrame, by: list[str], nearest: i
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         ids, qids = have["id"].to_numpy(np.int64), ask["id"].to_numpy(np.int64)
         scores = inner_products(_matrix(ask["embedding"]), _matrix(have["embedding"]))
+        ids, starts = np.unique(ids, return_index=True)  # a repeated id takes one place, with its best score
+        scores = np.maximum.reduceat(scores, starts, axis=1)
         scores[qids[:, None] == ids[None, :]] = -np.inf
         # all that tie with the last of the best stay; ``ranked`` decides by id
         least = -np.partition(-scores, nearest - 1, 1)[:, nearest - 1, None] if scores.shape[1] > nearest else np.full((len(qids), 1), -np.inf)
@@ -145,7 +152,7 @@ def best_in_blocks(index: DataFrame, asked: DataFrame, by: list[str], nearest: i
 
 def ranked(found: DataFrame, nearest: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
 
 
 class Index:
@@ -163,14 +170,20 @@ class Index:
                 yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": batch["embedding"], "leaf": tree.place(_matrix(batch["embedding"]))}) if len(batch) else batch.assign(leaf=np.zeros(0, np.int64))
 
         self.rows = rows if self.empty else stored(rows.mapInPandas(place, "vec_id bigint, embedding array<double>, leaf bigint"))
+        # ids, each counted in one of its leaves: any leaves together hold at least the sum of their sizes
+        once = [] if self.empty else self.rows.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()
+        self.sizes = {r["leaf"]: r["count"] for r in once}
 
     def search(self, queries: DataFrame, visits: int, nearest: int = NEAREST) -> DataFrame:
-        """(query_id, rank, vec_id, score) from the first ``visits`` leaves of each query's traversal."""
-        tree = self.tree
+        """(query_id, rank, vec_id, score) from the first ``visits`` leaves of each query's traversal.
+
+        A query goes on to further leaves until they hold ``nearest`` ids besides its own, or all leaves are visited.
+        """
+        tree, sizes = self.tree, self.sizes
 
         def ask(batches):
             for batch in batches:
-                rows = [(i, e, leaf) for i, e in zip(batch["vec_id"], batch["embedding"], strict=True) for leaf in tree.visits(np.asarray(e, np.float64), visits)]
+                rows = [(i, e, leaf) for i, e in zip(batch["vec_id"], batch["embedding"], strict=True) for leaf in tree.visits(np.asarray(e, np.float64), visits, sizes, nearest + 1)]
                 yield pd.DataFrame(rows, columns=["query_id", "query", "leaf"]).astype({"query_id": "int64", "leaf": "int64"})
 
         asked = queries.select("vec_id", "embedding").mapInPandas(ask, "query_id bigint, query array<double>, leaf bigint")

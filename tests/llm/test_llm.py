@@ -267,6 +267,34 @@ def test_ann_tree(spark):
     assert ann_tree.nearest_neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_ann_tree_goes_on_past_small_leaves(spark):
+    draw = np.random.default_rng(0)
+    centres = 10 * draw.normal(size=(150, 8))
+    vectors = np.repeat(centres, 10, 0) + draw.normal(size=(1500, 8)) * 0.01  # every cluster has fewer than 20 others
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    index = ann_tree.Index(df)
+    got = Counter(r["query_id"] for r in index.search(index.rows.where("vec_id % 20 = 0"), 1).collect())
+    assert got == {i: 20 for i in range(0, 1500, 20)}
+
+
+def test_ann_tree_gives_all_of_a_small_table(spark):
+    vectors = np.random.default_rng(1).normal(size=(20, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in ann_tree.nearest_neighbours(df, every=2).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert found == {q: set(range(20)) - {q} for q in range(0, 20, 2)}
+
+
+def test_ann_tree_counts_a_repeated_id_once(spark):
+    vectors = np.random.default_rng(2).normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(7, (40 * vectors[0] + k).tolist()) for k in range(30)]
+    got = ann_tree.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), every=60).collect()
+    best = max(float(vectors[0] @ np.array(v)) for i, v in rows if i == 7)
+    assert sorted(r["rank"] for r in got) == list(range(1, 21)) and len({r["vec_id"] for r in got}) == 20
+    assert [r["score"] for r in got if r["vec_id"] == 7] == [pytest.approx(best)]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
