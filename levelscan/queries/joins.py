@@ -53,15 +53,30 @@ c2 AS (SELECT c.chain_id, f.source, f.answer, list_append(c.path, f.fact_id) AS
 c3 AS (SELECT c.chain_id, f.source, f.answer, list_append(c.path, f.fact_id) AS path FROM c2 c JOIN f ON f.entity = c.answer AND f.source <> c.source QUALIFY row_number() OVER (PARTITION BY c.chain_id ORDER BY f.fact_id) = 1)"""
 
 
+def _facts(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("fact_id"), (F.col("o_custkey") % 10).alias("source"), F.col("o_custkey").cast("string").alias("entity"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1000).cast("string").alias("answer"))
+
+
 @query("jn05_extend_chains", f"WITH {CHAIN} SELECT chain_id, answer, path[2] AS hop2, path[3] AS hop3 FROM c3")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    f = o.select(F.col("o_orderkey").alias("fact_id"), (F.col("o_custkey") % 10).alias("source"), F.col("o_custkey").cast("string").alias("entity"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1000).cast("string").alias("answer"))
+    f = _facts(spark, d)
     c = f.select(F.col("fact_id").alias("chain_id"), "source", "answer", F.array("fact_id").alias("path"))
     c = J.extend_chains(J.extend_chains(c, f), f)
     return c.select("chain_id", "answer", F.col("path")[1].alias("hop2"), F.col("path")[2].alias("hop3"))
 
 
+CHAIN_ALL = CHAIN.replace("[fact_id] AS path", "[fact_id] AS path, [source] AS used").replace("f.fact_id) AS path FROM", "f.fact_id) AS path, list_append(c.used, f.source) AS used FROM").replace("f.source <> c.source", "NOT list_contains(c.used, f.source)")
+
+
+@query("jn05b_extend_chains_all_sources", f"WITH {CHAIN_ALL} SELECT chain_id, answer, path[2] AS hop2, path[3] AS hop3 FROM c3")
+def _(spark, d):
+    f = _facts(spark, d)
+    c = f.select(F.col("fact_id").alias("chain_id"), "source", "answer", F.array("fact_id").alias("path"), F.array("source").alias("used"))
+    c = J.extend_chains(J.extend_chains(c, f, excluded=2), f, excluded=2)
+    return c.select("chain_id", "answer", F.col("path")[1].alias("hop2"), F.col("path")[2].alias("hop3"))
+
+
 @query("jn06_nearest_level", f"""WITH {EV}, q AS (SELECT 'events' AS task, event_type AS model, event_id AS qid, CAST(floor(value / 8) AS INTEGER) * 3 AS v FROM events), l AS (SELECT DISTINCT task, model, CAST(level // 4 * 4 + 1 AS INTEGER) AS level FROM ev)
 SELECT q.qid, q.v, l.level AS nearest_level FROM q JOIN l USING (task, model) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY abs(l.level - q.v), l.level) = 1""")
 def _(spark, d):
