@@ -85,6 +85,12 @@ def _(spark, d):
     return rounded(f, "gamma", "a", "b", "r2_pre", "r2_all", "aic", "bic", digits=4)
 
 
+@query("fit03b_fold_refined")
+def _(spark, d):
+    f = M.fit_fold(_all(spark, d)).select(*SER, "n", "k", "gamma", "a", "b", "r2_pre", "r2_all", "aic", "bic")
+    return rounded(f, "gamma", "a", "b", "r2_pre", "r2_all", "aic", "bic", digits=4)
+
+
 @query("fit04_logistic_ddm")
 def _(spark, d):
     f = M.fit_logistic_ddm(_all(spark, d)).select(*SER, "n", "c0", "c1", "implied_d_star", "d_sq", "c", "r2_accuracy", "r2", "aic", "bic")
@@ -100,7 +106,7 @@ def _(spark, d):
 @query("fit06_compare_models")
 def _(spark, d):
     s = with_d_star(levels(spark, d)).withColumn("variance", F.col("variance") / 1000)
-    return rounded(M.compare_models(M.model_scores(s, cusp=False, refine=False)), "mean_r2", "median_r2", digits=4)
+    return rounded(M.compare_models(M.model_scores(s)), "mean_r2", "median_r2", digits=4)
 
 
 @query("fit06b_compare_table", f"""WITH {ALL_LV}, s AS (SELECT task, level, model AS fit, round(accuracy, 4) AS r2, round(variance, 3) AS aic FROM lv WHERE task = 'events'), a AS (SELECT *, row_number() OVER (PARTITION BY task, level ORDER BY aic, fit) AS ra, row_number() OVER (PARTITION BY task, level ORDER BY r2 DESC, fit) AS rr FROM s)

@@ -82,7 +82,7 @@ def _(spark, d):
 def _(spark, d):
     e = ev_rows(spark, d)
     dips = I.dip_statistic(e, ["model", "level"], "x")
-    return rounded(I.dip_pvalue(dips, ["model", "level"], b=200), "dip_statistic", "dip_pvalue")
+    return rounded(I.dip_pvalue(dips, ["model", "level"], b=500), "dip_statistic", "dip_pvalue")
 
 
 @query("ind07_ashman_labels", f"WITH {LV} SELECT model, level, round(ashman_d, 6) + 0.0 AS ashman_d FROM lv")
@@ -105,10 +105,15 @@ def _(spark, d):
     return rounded(I.ashman_mixture(ev_rows(spark, d), ["model"], "x", rounds=8), "mu0", "mu1", "pi1", "ashman_d", digits=4)
 
 
+@query("ind08b_ashman_mixture_20", f"WITH {EV}, {_em_sql(20)}")
+def _(spark, d):
+    return rounded(I.ashman_mixture(ev_rows(spark, d), ["model"], "x", rounds=20), "mu0", "mu1", "pi1", "ashman_d", digits=4)
+
+
 @query("ind09_indicator_battery")
 def _(spark, d):
     e = emb(spark, d).withColumn("correct", F.col("embedding")[1] > 0).withColumn("answer", F.floor(F.col("embedding")[2] * 4))
-    b = I.indicator_battery(e, ["label"], "vec_id", "embedding", "correct", "answer", null_reps=100)
+    b = I.indicator_battery(e, ["label"], "vec_id", "embedding", "correct", "answer", null_reps=200)
     return rounded(b, *[c for c in b.columns if c not in ("label", "n")])
 
 

@@ -103,14 +103,13 @@ def _(spark, d):
     return rounded(L.ranking_metrics(x, ["g"], "s", "y"), "auroc", "average_precision")
 
 
-def features(spark, d, base=("variance", "disagreement_rate")):
-    return L.feature_table(labelled(spark, d), base)
+def features(spark, d, base=("variance", "disagreement_rate"), every=False):
+    return L.feature_table(labelled(spark, d, every), base)
 
 
 @query("ml08_compare_variants")
 def _(spark, d):
-    v = {n: SETS[n] for n in ("raw", "z_rel_level", "disagreement_rate_only")}
-    out = L.compare_variants(features(spark, d), v, ("logistic",), ("pair",))
+    out = L.compare_variants(features(spark, d, every=True), SETS, ("logistic", "forest"), tuple(L.SCHEMES))
     return rounded(out.select("variant", "learner", "scheme", "n", "f1", "precision", "recall", "auroc", "average_precision"), "f1", "precision", "recall", "auroc", "average_precision")
 
 
@@ -143,23 +142,23 @@ def _(spark, d):
 
 @query("ml11_permutation_control")
 def _(spark, d):
-    return rounded(L.permutation_control(features(spark, d), ["variance__z", "disagreement_rate__z"], p=2), "observed", "permuted_mean", "p_value", "drop")
+    return rounded(L.permutation_control(features(spark, d), ["variance__z", "disagreement_rate__z"], p=100), "observed", "permuted_mean", "p_value", "drop")
 
 
 @query("ml12_few_shot_curve")
 def _(spark, d):
-    f = L.few_shot_curve(docs(spark, d), FE, "fr", ks=(0, 5), seeds=range(2))
+    f = L.few_shot_curve(docs(spark, d), FE, "fr", ks=(0, 2, 5, 10), seeds=range(20))
     return rounded(f, "mean_f1", "std_f1", "ci95")
 
 
 @query("ml13_noise_sensitivity")
 def _(spark, d):
-    return rounded(L.noise_sensitivity(features(spark, d), ["variance__z", "rel_level"], (10, 50), repeats=1, learner="logistic"), "mean_f1", "std_f1", "ratio")
+    return rounded(L.noise_sensitivity(features(spark, d), ["variance__z", "rel_level"], (10, 15, 20, 25, 30, 40, 50), repeats=50, learner="logistic"), "mean_f1", "std_f1", "ratio")
 
 
 @query("ml14_feature_importance")
 def _(spark, d):
-    return rounded(L.feature_importance(docs(spark, d), FE, trees=20), "importance")
+    return rounded(L.feature_importance(docs(spark, d), FE, trees=100), "importance")
 
 
 @query("ml15_alternative_labels")

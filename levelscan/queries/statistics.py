@@ -6,7 +6,7 @@ from levelscan.functions.special import erfc_sql
 from levelscan.operators import resampling as B
 from levelscan.operators import statistics as T
 from levelscan.queries.bindings import ALL_LV, EV, LV, all_levels, ev_rows, levels, with_d_star
-from levelscan.queries.registry import query, r6, rounded, table
+from levelscan.queries.registry import ORACLES, query, r6, rounded, table
 
 SER = ["task", "model"]
 INDICATORS = ["variance", "disagreement_rate", "bimodality_coefficient"]
@@ -294,6 +294,13 @@ def _(spark, d):
     return rounded(B.paired_permutation_f1(e, ["model"], "event_id", "y", "a", "b", 50, 7), "observed", "p_value")
 
 
+@query("inf05b_paired_permutation_f1_1000", ORACLES["inf05_paired_permutation_f1"].replace("range(0, 51)", "range(0, 1001)"))
+def _(spark, d):
+    v = F.col("value")
+    e = table(spark, d, "events").select(F.col("event_type").alias("model"), "event_id", (v > 60).cast("int").alias("y"), (v > 40).cast("int").alias("a"), (v + F.col("user_id") > 110).cast("int").alias("b"))
+    return rounded(B.paired_permutation_f1(e, ["model"], "event_id", "y", "a", "b", 1000, 7), "observed", "p_value")
+
+
 def _perm_sql(c):
     return f"SELECT model, {c}, row_number() OVER (PARTITION BY model ORDER BY {hash_sql(f"'42', '{c}', level")}, level) AS r FROM lv"
 
