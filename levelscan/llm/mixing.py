@@ -69,7 +69,7 @@ def draws(plan: DataFrame, slots: int, seed: str = "mix", shard_slots: int = SHA
     return counts, each.select("shard", "place", block.alias("block"))
 
 
-def mixed(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, size: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, size: Column | None = None, keep: tuple[str, ...] = (), shrink: bool = False) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken, the words of it that the mix takes, repeats counted.
 
     Documents of a source are laid end to end in a seeded order and packed into blocks of ``block_words`` words (the last may be
@@ -78,22 +78,24 @@ def mixed(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, si
     a block is taken at most three times, and so is a document.
 
     Null sources are one source, the last; null and empty texts have size 0, take nothing and are returned; repeated rows count
-    each; no rows give no rows.  ``keep`` names further columns to carry.  A hot source is packed by 4096 cells of the seeded
+    each; no rows give no rows.  ``keep`` names further columns to carry.  With ``shrink`` the blocks of a source with fewer than
+    ``block_words`` of them are cut to 1 / ``block_words`` of its size, so a source of a few words meets its target too.  A hot source is packed by 4096 cells of the seeded
     order, its draws are listed per output shard, and blocks are spread by (source, block).
     """
     sized = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), *keep)
     rows = stored(sized.withColumns({"_src": source_key(F.col("source")), "_one": F.lit(1).cast("bigint"), "_key": hex_key(seed, F.col("doc_id"), F.col("size"))}))
     plan = targets(rows.groupBy("_src").agg(F.sum("size").alias("source_size")))
-    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
-    plan = plan.withColumn("blocks", blocks).withColumn("quota", F.least(F.round(F.col("target") / block_words).cast("bigint"), F.col("blocks") * MAX_EPOCHS))
+    length = F.expr(f"least({block_words}, greatest(1, source_size div {block_words}))") if shrink else F.lit(block_words)
+    plan = plan.withColumn("length", length.cast("bigint")).withColumn("blocks", F.expr("(source_size + length - 1) div length"))
+    plan = plan.withColumn("quota", F.least(F.round(F.col("target") / F.col("length")).cast("bigint"), F.col("blocks") * MAX_EPOCHS))
     before = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     plan = stored(plan.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0))))
     slots = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     _, taken = draws(plan, slots, seed)
     uses = taken.groupBy("place", "block").agg(F.count("*").alias("uses"))
-    packed = sums_before(rows, ["_src"], "_key", ["doc_id"], {"start": "size", "row": "_one"}).join(plan.select("_src", "place", "source_size", "target"), "_src")
-    spans = packed.select("doc_id", *keep, "place", "row", "size", "source_size", "target", "start", F.explode_outer(F.expr(f"CASE WHEN size > 0 THEN sequence(start div {block_words}, (start + size - 1) div {block_words}) END")).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
+    packed = sums_before(rows, ["_src"], "_key", ["doc_id"], {"start": "size", "row": "_one"}).join(plan.select("_src", "place", "source_size", "target", "length"), "_src")
+    spans = packed.select("doc_id", *keep, "place", "row", "size", "source_size", "target", "start", "length", F.explode_outer(F.expr("CASE WHEN size > 0 THEN sequence(start div length, (start + size - 1) div length) END")).alias("block"))
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest(F.col("start"), F.col("block") * F.col("length"))
     # a draw grows out of a count, which the planner doesn't see: without the hint it broadcasts a table as large as the mix
     words = spans.join(uses.hint("merge"), ["place", "block"], "left").groupBy("place", "row", "doc_id", *keep, "size", "source_size", "target").agg(F.coalesce(F.sum(overlap * F.col("uses")), F.lit(0)).cast("bigint").alias("taken"))
     return words.select("doc_id", *keep, "size", "source_size", "target", "taken")
@@ -105,7 +107,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Documents without words are in no mix.  All columns as they are.
     """
     row = F.xxhash64("doc_id", "text")
-    shares = mixed(docs.withColumn("_row", row), seed, keep=("_row",)).where("taken > 0")
+    shares = mixed(docs.withColumn("_row", row), seed, keep=("_row",), shrink=True).where("taken > 0")
     # repeated rows share a key: their takings are added and each row gets the mean
     per_row = shares.groupBy("_row").agg((F.sum("taken") / F.sum("size")).alias("_share"))
     draw = F.conv(F.substring(hex_key(seed + "-copies", F.col("_row")), 1, 12), 16, 10).cast("double") / float(16**12)

@@ -169,6 +169,14 @@ def test_mixing(docs, none, spark):
     assert set(mixing.mix_documents(docs).columns) == set(docs.columns)
 
 
+def test_mixing_keeps_small_sources(spark):
+    rows = [(1, "w " * 10, "a"), (2, "w " * 70, "b"), (3, "w " * 20000, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mixed(df, shrink=True).collect()}
+    assert got[1]["taken"] == got[1]["target"] == 30 and got[2]["taken"] == got[2]["target"] == 210
+    assert Counter(r["doc_id"] for r in mixing.mix_documents(df).collect())[1] == 3
+
+
 def test_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
