@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelscan.llm import ann_tree, bpe, exact_dedup, html_extract, language_id, license_scan, minhash, mixing, sharding, suffix_dedup
+from levelscan.llm import ann_tree, bpe, exact_dedup, html_extract, language_id, lexical_search, license_scan, line_dedup, minhash, mixing, periodic_runs, sharding, suffix_dedup
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,5 +51,17 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.op10_interleaved_sharding(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ann_tree, op3_language_id, op4_bpe, op5_html_extract, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding)}
-ORACLES = {"op1_license_scan": license_scan.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked_search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(_documents(spark, folder))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_digests(_documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ann_tree, op3_language_id, op4_bpe, op5_html_extract, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_minhash, op10_sharding, op11_lexical_search, op12_periodic_runs, op13_line_dedup)}
+ORACLES = {"op1_license_scan": license_scan.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op9_minhash": minhash.SQL, "op10_sharding": sharding.SQL, "op11_lexical_search": lexical_search.SQL, "op13_line_dedup": line_dedup.SQL}
