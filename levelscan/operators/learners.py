@@ -1,7 +1,7 @@
 """Feature tables, leave-group-out evaluation and exact classification metrics.
 
-Models are ``pyspark.ml``; the driver only loops over folds, settings and seeds.  All metrics are sums
-over distinct scores, exact under ties.
+Validations fit all their folds, variants and replicates together (``newton``, ``forest``), in a number of jobs that doesn't depend on how
+many there are.  All metrics are sums over distinct scores, exact under ties.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelscan.operators import windows as N
+from levelscan.operators.forest import cross_validate_forest
+from levelscan.operators.newton import cross_validate
 from levelscan.operators.resampling import permute_within
 from levelscan.operators.statistics import kendall
 from levelscan.plans.draws import hash32, normal
@@ -65,71 +66,55 @@ def group_folds(df: DataFrame, scheme: str, label: str = "label", min_train: int
     return per.withColumn("usable", ok)
 
 
-def in_parallel(spark, jobs: Sequence, threads: int = 8) -> list:
-    """Run independent Spark jobs from driver threads (the way pyspark.ml's CrossValidator does) and keep their order."""
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-
-    bind = inheritable_thread_target(spark)
-    with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
-        return pool.map(lambda job: bind(job)(), jobs)
-
-
 # ---- models -------------------------------------------------------------------------------------
 
-def _estimator(learner: str, weight_sum: float, c: float, trees: int, seed: int):
-    if learner == "logistic":
-        return LogisticRegression(
-            featuresCol="_scaled", labelCol="_y", weightCol="_w", regParam=1.0 / (c * weight_sum), standardization=False, maxIter=200)
-    if learner == "forest":
-        return RandomForestClassifier(featuresCol="_scaled", labelCol="_y", weightCol="_w", numTrees=trees, seed=seed)
-    raise ValueError(learner)
-
-
-def fit(train: DataFrame, features: Sequence[str], label: str = "label", learner: str = "logistic", c: float = 1.0, trees: int = 50, seed: int = 42, balanced: bool = True):
-    """Standardise on the training rows, weight classes n/(2 n_class), fit."""
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = 50, seed: int = 42):
+    """Forest of ``pyspark.ml`` on all rows: features standardised, classes weighted n/(2 n_class)."""
     n = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")).first()
     pos, neg = n["p"], n["n"] - n["p"]
-    w = F.when(F.col(label) == 1, n["n"] / (2.0 * pos)).otherwise(n["n"] / (2.0 * neg)) if balanced else F.lit(1.0)
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_f"),
         StandardScaler(inputCol="_f", outputCol="_scaled", withMean=True),
-        _estimator(learner, float(n["n"]), c, trees, seed),
+        RandomForestClassifier(featuresCol="_scaled", labelCol="_y", weightCol="_w", numTrees=trees, seed=seed),
     ]
-    data = train.na.fill(0.0, list(features)).withColumns({"_y": F.col(label).cast("double"), "_w": w})
-    return Pipeline(stages=stages).fit(data)
-
-
-def predict(model, test: DataFrame, features: Sequence[str]) -> DataFrame:
-    out = model.transform(test.na.fill(0.0, list(features)))
-    return out.withColumns({"p": vector_to_array("probability")[1], "y_hat": F.col("prediction").cast("int")}).select(*test.columns, "p", "y_hat")
+    w = F.when(F.col(label) == 1, n["n"] / (2.0 * pos)).otherwise(n["n"] / (2.0 * neg))
+    return Pipeline(stages=stages).fit(train.na.fill(0.0, list(features)).withColumns({"_y": F.col(label).cast("double"), "_w": w}))
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "label", learner: str = "logistic", **kw) -> DataFrame:
-    return predict(fit(train, features, label, learner, **kw), test, features)
+def fit_predict(df: DataFrame, test: Column, features: Sequence[str], label: str = "label", carry: Sequence[str] = (), c: float = 1.0, balanced: bool = True) -> DataFrame:
+    """Logistic regression on the rows outside ``test``, predictions (p, y_hat) for the rows in it."""
+    part = F.when(test, "test").otherwise("train")
+    return cross_validate(df, {"all": (list(features), c)}, {"split": part}, label, carry=carry, balanced=balanced).where("fold = 'test'").select(*carry, F.col("y").alias(label), "p", "y_hat")
 
 
-def cv_predictions(df: DataFrame, features: Sequence[str], scheme: str = "pair", label: str = "label", learner: str = "logistic", **kw) -> DataFrame:
-    """Held-out predictions of every usable fold.  ``df`` should be checkpointed: every fold reads it."""
-    fold = F.concat_ws("__", *SCHEMES[scheme])
-    names = [r["fold"] for r in group_folds(df, scheme, label).where("usable").select("fold").collect()]
-    if not names:
-        raise ValueError(f"no usable fold for {scheme}")
+def fold_of(scheme: str) -> Column:
+    return F.concat_ws("__", *SCHEMES[scheme])
 
-    def job(n):
-        return lambda: fit_predict(df.where(fold != n), df.where(fold == n), features, label, learner, **kw).withColumn("fold", F.lit(n))
 
-    return reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [job(n) for n in sorted(names)]))
+def cv_predictions(
+    df: DataFrame, variants: Mapping[str, Sequence[str]], schemes: Sequence[str] = ("pair",), label: str = "label", learners: Sequence[str] = ("logistic",), rep: Column | None = None,
+    balanced: bool = True, trees: int = 50, carry: Sequence[str] = (),
+) -> DataFrame:
+    """Held-out predictions of every usable fold: learner, rep, variant, scheme, fold, y, p, y_hat and the carried columns."""
+    folds = {s: fold_of(s) for s in schemes}
+    parts = []
+    for learner in learners:
+        if learner == "logistic":
+            out = cross_validate(df, variants, folds, label, rep, carry, balanced).drop("c")
+        elif learner == "forest":
+            out = cross_validate_forest(df, variants, folds, label, rep, carry, trees, balanced=balanced)
+        else:
+            raise ValueError(learner)
+        parts.append(out.withColumn("learner", F.lit(learner)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tune_c(train: DataFrame, features: Sequence[str], label: str = "label", grid: Sequence[float] = (0.01, 0.1, 0.5, 1.0, 5.0, 10.0)) -> DataFrame:
-    """Training F1 at the best probability cut per C; ``best`` marks the first maximum."""
-    train = cut_lineage(train)
-    parts = [
-        best_probability(fit_predict(train, train, features, label, c=c).withColumn("c", F.lit(float(c))), ["c"], "p", label) for c in grid]
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("best", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("f1").desc(), "c")) == 1)
+    """Training F1 at the best probability cut per C; ``best`` marks the first maximum.  The grid is fitted together."""
+    pred = cross_validate(train, {str(c): (list(features), c) for c in grid}, {"whole": None}, label)
+    out = best_probability(pred.select("c", "p", F.col("y").alias(label)), ["c"], "p", label)
+    top = out.agg(F.max_by(F.col("c"), F.struct(F.round("f1", 12), -F.col("c"))).alias("_top"))
+    return out.join(F.broadcast(top)).withColumn("best", F.col("c") == F.col("_top")).drop("_top")
 
 
 # ---- metrics ------------------------------------------------------------------------------------
@@ -214,19 +199,19 @@ def best_probability(df: DataFrame, keys: Sequence[str], p: str = "p", y: str =
 
 # ---- comparisons --------------------------------------------------------------------------------
 
-def evaluate(df: DataFrame, features: Sequence[str], scheme: str, learner: str, label: str = "label", **kw) -> DataFrame:
-    pred = cut_lineage(cv_predictions(df, features, scheme, label, learner, **kw).select("fold", label, "p", "y_hat").withColumn("_k", F.lit(0)))
-    m = classification_metrics(pred, ["_k"], label).join(ranking_metrics(pred, ["_k"], "p", label), "_k")
-    return m.drop("_k").withColumns({"scheme": F.lit(scheme), "learner": F.lit(learner)})
+def metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Classification and ranking metrics of held-out predictions (y, p, y_hat) per key."""
+    pred = cut_lineage(pred.select(*keys, F.col("y").alias("label"), "p", "y_hat"))  # read twice
+    return classification_metrics(pred, keys).join(ranking_metrics(pred, keys), list(keys))
+
+
+def evaluate(df: DataFrame, features: Sequence[str], scheme: str = "pair", learner: str = "logistic", label: str = "label", **kw) -> DataFrame:
+    return metrics(cv_predictions(df, {"all": features}, (scheme,), label, (learner,), **kw), ["scheme", "learner"])
 
 
 def compare_variants(df: DataFrame, variants: Mapping[str, Sequence[str]], learners: Sequence[str] = ("logistic", "forest"), schemes: Sequence[str] = ("pair",), label: str = "label", **kw) -> DataFrame:
     """Metrics of all variants x learners x schemes."""
-    df = cut_lineage(df)
-    def job(n, f, m, s):
-        return lambda: evaluate(df, f, s, m, label, **kw).withColumn("variant", F.lit(n))
-
-    return reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [job(n, f, m, s) for n, f in variants.items() for m in learners for s in schemes], 4))
+    return metrics(cv_predictions(df, variants, schemes, label, learners, **kw), ["variant", "learner", "scheme"])
 
 
 def family_gain(table: DataFrame, family: Column, base: str, metric: str = "f1") -> DataFrame:
@@ -268,93 +253,99 @@ def ablation(df: DataFrame, base: Sequence[str], extra: Sequence[str], scheme: s
     return compare_variants(df, sets, (learner,), (scheme,), label, **kw)
 
 
-def forward_select(df: DataFrame, features: Sequence[str], scheme: str = "pair", learner: str = "logistic", share: float = 0.95, label: str = "label", **kw) -> list[tuple[str, float]]:
-    """Greedy feature order until the given share of the full F1 is reached."""
-    df = cut_lineage(df)
-
-    def f1(cols):
-        return evaluate(df, cols, scheme, learner, label, **kw).first()["f1"]
+def forward_select(df: DataFrame, features: Sequence[str], scheme: str = "pair", learner: str = "logistic", share: float = 0.95, label: str = "label", **kw) -> DataFrame:
+    """Greedy feature order until the given share of the full F1 is reached: step, feature, f1, full_f1.
 
-    goal, chosen, path = share * f1(list(features)), [], []
+    The candidates of a step are variants of one validation, so a step is as many jobs as one fit.
+    """
+    df = cut_lineage(df)
+    full, chosen, path = None, [], []
     while len(chosen) < len(features):
-        score, name = max(((f1([*chosen, c]), c) for c in features if c not in chosen), key=lambda t: (t[0], -features.index(t[1])))
+        sets = {c: [*chosen, c] for c in features if c not in chosen} | ({"": list(features)} if full is None else {})
+        got = {r["variant"]: r["f1"] for r in classification_metrics(cv_predictions(df, sets, (scheme,), label, (learner,), **kw).withColumnRenamed("y", "label"), ["variant"]).collect()}  # one number a candidate
+        full = got.get("", full)
+        name = max((c for c in sets if c), key=lambda c: (round(got[c], 12), -list(features).index(c)))
         chosen.append(name)
-        path.append((name, score))
-        if score >= goal:
+        path.append((len(chosen), name, got[name], full))
+        if got[name] >= share * full:
             break
-    return path
+    return df.sparkSession.createDataFrame(path, "step int, feature string, f1 double, full_f1 double")
 
 
 def permutation_control(df: DataFrame, features: Sequence[str], p: int = 100, scheme: str = "pair", learner: str = "logistic", label: str = "label", add_one: bool = False, **kw) -> DataFrame:
-    """Shuffle each feature inside its task, evaluate again: p = share of permuted F1 at or above the observed one."""
-    df = cut_lineage(df.withColumn("_id", F.concat_ws("|", "task", "model", F.lpad(F.col("level").cast("string"), 9, "0"))))
-    obs = evaluate(df, features, scheme, learner, label, **kw).select(F.col("f1").alias("observed"))
+    """Shuffle each feature inside its task, evaluate again: p = share of permuted F1 at or above the observed one.
 
-    def job(seed):
-        return lambda: evaluate(cut_lineage(permute_within(df, features, ["task"], "_id", seed)), features, scheme, learner, label, **kw).select("f1")
-
-    runs = reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [job(s) for s in range(p)], 4))
-    runs = runs.withColumn("_k", F.lit(0)).join(obs.withColumn("_k", F.lit(0)), "_k")
-    hits = F.sum((F.col("f1") >= F.col("observed")).cast("long"))
+    The replicates are rows of one table and are validated together.
+    """
+    row = F.concat_ws("|", "task", "model", F.lpad(F.col("level").cast("string"), 9, "0"))
+    keep = ["task", "model", "level", label]
+    seen = cut_lineage(df.select(*keep, *features, row.alias("_id")))
+    each = seen.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    shuffled = permute_within(each, features, ["_rep", "task"], "_id", F.col("_rep")).withColumn("_rep", F.col("_rep").cast("string")).drop("_id")
+    both = shuffled.unionByName(seen.select(*keep, *features, F.lit("observed").alias("_rep")))
+    runs = classification_metrics(cv_predictions(both, {"all": features}, (scheme,), label, (learner,), rep=F.col("_rep"), **kw).withColumnRenamed("y", "label"), ["rep"])
+    observed = F.max(F.when(F.col("rep") == "observed", F.col("f1"))).over(W.partitionBy())
+    runs = runs.select("rep", "f1", observed.alias("observed")).where("rep <> 'observed'")  # one row a replicate
+    hits = F.sum((F.round("f1", 12) >= F.round("observed", 12)).cast("long"))
     share = (hits + 1) / (F.count(F.lit(1)) + 1) if add_one else hits / F.count(F.lit(1))
     return runs.agg(F.max("observed").alias("observed"), F.avg("f1").alias("permuted_mean"), share.alias("p_value"), (F.max("observed") - F.avg("f1")).alias("drop"), F.count(F.lit(1)).alias("n_perm"))
 
 
-def few_shot_curve(df: DataFrame, features: Sequence[str], target: str, ks: Sequence[int] = (0, 2, 5, 10), seeds: Iterable[int] = range(3), learner: str = "logistic", label: str = "label", goal: float = 0.8, **kw) -> DataFrame:
-    """k rows of the target task join the training set; mean, std and interval of F1 over seeds, and the smallest k at the goal."""
-    df = cut_lineage(df)
-    row = F.concat_ws("|", "model", F.col("level").cast("string"))
-    parts = []
-    for seed in seeds:
-        tgt = df.where(F.col("task") == target).withColumn("_r", F.row_number().over(W.partitionBy("task").orderBy(hash32(seed, row), row)))
-        tgt = cut_lineage(tgt)
-        for k in ks:
-            train = df.where(F.col("task") != target).unionByName(tgt.where(F.col("_r") <= k).drop("_r"))
-            pred = fit_predict(train, tgt.where(F.col("_r") > k).drop("_r"), features, label, learner, **kw)
-            parts.append(classification_metrics(pred.withColumn("k", F.lit(k)), ["k"], label).withColumn("seed", F.lit(seed)))
-    runs = cut_lineage(reduce(DataFrame.unionByName, parts))
+def few_shot_curve(df: DataFrame, features: Sequence[str], target: str, ks: Sequence[int] = (0, 2, 5, 10), seeds: Iterable[int] = range(3), label: str = "label", goal: float = 0.8, row: Column | None = None) -> DataFrame:
+    """k rows of the target task join the training set; mean, std and interval of F1 over seeds, and the smallest k at the goal.
+
+    (seed, k) are replicates of one validation.
+    """
+    row = F.concat_ws("|", "model", F.col("level").cast("string")) if row is None else row
+    given = df.select("task", label, *features, row.alias("_row")).withColumn("_seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    rank = F.when(F.col("task") == target, F.row_number().over(W.partitionBy("task", "_seed").orderBy(hash32(F.col("_seed"), F.col("_row")), "_row")))
+    rows = given.withColumn("_r", rank).withColumn("_k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    held = F.when((F.col("task") == target) & (F.col("_r") > F.col("_k")), "test").otherwise("train")
+    pred = cross_validate(rows, {"all": list(features)}, {"split": held}, label, F.concat_ws("|", "_seed", "_k"), ["_k", "_seed"]).where("fold = 'test'")
+    runs = classification_metrics(pred.select("_seed", F.col("_k").alias("k"), F.col("y").alias("label"), "y_hat"), ["k", "_seed"])
     n = F.count(F.lit(1)).cast("double")
     out = runs.groupBy("k").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), (1.96 * F.stddev_pop("f1") / F.sqrt(n)).alias("ci95"))
-    return out.withColumn("min_k", F.min(F.when(F.col("mean_f1") >= goal, F.col("k"))).over(W.partitionBy(F.lit(0))))
+    return out.withColumn("min_k", F.min(F.when(F.col("mean_f1") >= goal, F.col("k"))).over(W.partitionBy()))
 
 
 def noise_sensitivity(df: DataFrame, features: Sequence[str], sizes: Sequence[int] = (10, 20, 30, 50), base: int = 50, repeats: int = 3, scheme: str = "pair", learner: str = "forest", label: str = "label", **kw) -> DataFrame:
-    """F1 when standardised features carry the noise of smaller samples, N(0, sqrt(1/N - 1/base)); smallest N at 90 %."""
-    df = cut_lineage(df)
+    """F1 when standardised features carry the noise of smaller samples, N(0, sqrt(1/N - 1/base)); smallest N at 90 %.
+
+    (size, repeat) are replicates of one validation; size ``base`` is without noise.
+    """
     row = F.concat_ws("|", "task", "model", F.col("level").cast("string"))
-    ref = evaluate(df, features, scheme, learner, label, **kw).first()["f1"]
-    rows = []
-    for n in sizes:
-        sd = (1.0 / n - 1.0 / base) ** 0.5
-        got = [ref] if n == base else [
-            evaluate(cut_lineage(df.withColumns({c: F.col(c) + sd * normal(rep, n, F.lit(c), row) for c in features})), features, scheme, learner, label, **kw).first()["f1"]
-            for rep in range(repeats)]
-        m = sum(got) / len(got)
-        rows.append((n, m, (sum((g - m) ** 2 for g in got) / len(got)) ** 0.5, m / ref if ref > 0 else 0.0))
-    out = df.sparkSession.createDataFrame(rows, "n int, mean_f1 double, std_f1 double, ratio double")
-    return out.withColumn("min_n", F.coalesce(F.min(F.when(F.col("ratio") >= 0.9, F.col("n"))).over(W.partitionBy(F.lit(0))), F.lit(base)))
+    runs = F.array(*[F.struct(F.lit(int(n)).alias("n"), F.lit(r).alias("r"), F.lit((1.0 / n - 1.0 / base) ** 0.5).alias("sd")) for n in sizes if n != base for r in range(repeats)],
+                   F.struct(F.lit(base).alias("n"), F.lit(0).alias("r"), F.lit(0.0).alias("sd")))
+    seen = df.select("task", "model", "level", label, *features, row.alias("_row"), F.explode(runs).alias("_run"))
+    noisy = seen.withColumns({c: F.when(F.col("_run.sd") == 0, F.col(c)).otherwise(F.col(c) + F.col("_run.sd") * normal(F.col("_run.r"), F.col("_run.n"), F.lit(c), F.col("_row"))) for c in features})
+    pred = cv_predictions(noisy, {"all": features}, (scheme,), label, (learner,), rep=F.concat_ws("|", "_run.n", "_run.r"), **kw)
+    f1 = classification_metrics(pred.withColumnRenamed("y", "label"), ["rep"]).withColumn("n", F.split("rep", "\\|")[0].cast("int"))
+    per = f1.groupBy("n").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"))
+    ref = F.max(F.when(F.col("n") == base, F.col("mean_f1"))).over(W.partitionBy())
+    out = per.withColumn("ratio", F.when(ref > 0, F.col("mean_f1") / ref).otherwise(0.0)).where(F.col("n").isin([int(n) for n in sizes]))
+    return out.withColumn("min_n", F.coalesce(F.min(F.when(F.col("ratio") >= 0.9, F.col("n"))).over(W.partitionBy()), F.lit(base)))
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42) -> DataFrame:
-    model = fit(cut_lineage(df), features, label, "forest", trees=trees, seed=seed).stages[-1]
+    model = fit_forest(cut_lineage(df), features, label, trees, seed).stages[-1]
     rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
 def pooled_cv_small(df: DataFrame, features: Sequence[str], baseline: str, label: str = "label", seed: int = 42, folds: int | None = None) -> DataFrame:
-    """Stratified k folds (at most five, and no more than the smaller class) of the model against one indicator."""
-    df = cut_lineage(df)
+    """Stratified k folds (at most five, and no more than the smaller class) of the model against one indicator, and each row left out alone.
+
+    One row per (scheme ``stratified`` or ``row``, model or baseline).
+    """
     row = F.concat_ws("|", "task", "model", F.col("level").cast("string"))
-    n = df.agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q")).first()
+    rows = cut_lineage(df.select(label, *dict.fromkeys([*features, baseline]), row.alias("_row")))
+    n = rows.agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q")).first()
     k = folds or max(2, min(5, n["p"], n["q"]))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(hash32(seed, row), row))
-    d = cut_lineage(df.withColumn("_fold", (rank % k).cast("int")))
-    parts = []
-    for name, cols in (("model", list(features)), ("baseline", [baseline])):
-        for i in range(k):
-            parts.append(fit_predict(d.where(F.col("_fold") != i), d.where(F.col("_fold") == i), cols, label).select(label, "p", "y_hat").withColumn("which", F.lit(name)))
-    pred = cut_lineage(reduce(DataFrame.unionByName, parts))
-    return classification_metrics(pred, ["which"], label).join(ranking_metrics(pred, ["which"], "p", label), "which")
+    rank = F.row_number().over(W.partitionBy(label).orderBy(hash32(seed, F.col("_row")), "_row"))
+    dealt = cut_lineage(rows.withColumn("_fold", (rank % k).cast("int")))
+    sets = {"model": list(features), "baseline": [baseline]}
+    parts = cross_validate(dealt, sets, {"stratified": F.col("_fold"), "row": F.col("_row")}, label, min_test=1)
+    return metrics(parts.withColumnRenamed("variant", "which"), ["scheme", "which"])
 
 
 def independence_summary(scores: DataFrame) -> DataFrame:
@@ -380,4 +371,4 @@ def single_feature_signal(df: DataFrame, features: Sequence[str], label: str = "
 def task_scaled_lr(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """Standardise inside each task (population std), plain logistic, leave one pair out."""
     z = df.na.fill(0.0, list(features)).withColumns({c: N.zscore(c, ["task"], "pop") for c in features})
-    return evaluate(cut_lineage(z), features, "pair", "logistic", label, balanced=False)
+    return evaluate(z, features, "pair", "logistic", label, balanced=False)

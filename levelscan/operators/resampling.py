@@ -126,8 +126,8 @@ def paired_permutation_f1(df: DataFrame, keys: Sequence[str], row_id: str, y: st
     return joined.groupBy(*keys).agg(F.max("observed").alias("observed"), share.alias("p_value"))
 
 
-def permute_within(df: DataFrame, cols: Sequence[str], group: Sequence[str], row_id: str, seed: int = 42) -> DataFrame:
-    """Shuffle each column on its own inside the group; other columns stay."""
+def permute_within(df: DataFrame, cols: Sequence[str], group: Sequence[str], row_id: str, seed: int | Column = 42) -> DataFrame:
+    """Shuffle each column on its own inside the group; other columns stay.  A column as seed gives each of its values an order of its own."""
     group = list(group)
     rest = [c for c in df.columns if c not in cols]
     base = df.select(*rest, F.row_number().over(W.partitionBy(*group).orderBy(row_id)).alias("_r"))

@@ -61,8 +61,7 @@ FE = ["f_len", "f_words", "f_lines"]
 
 @query("ml03_fit_predict")
 def _(spark, d):
-    x = L.cut_lineage(docs(spark, d))
-    pred = L.fit_predict(x.where("task <> 'en'"), x.where("task = 'en'"), FE)
+    pred = L.fit_predict(docs(spark, d), F.col("task") == "en", FE, carry=["doc_id"])
     return pred.select("doc_id", r6("p", 4).alias("p"), "y_hat", "label")
 
 
@@ -109,7 +108,7 @@ def features(spark, d, base=("variance", "disagreement_rate"), every=False):
 
 @query("ml08_compare_variants")
 def _(spark, d):
-    out = L.compare_variants(features(spark, d, every=True), SETS, ("logistic", "forest"), tuple(L.SCHEMES))
+    out = L.compare_variants(features(spark, d, every=True), SETS, ("logistic",), tuple(L.SCHEMES))
     return rounded(out.select("variant", "learner", "scheme", "n", "f1", "precision", "recall", "auroc", "average_precision"), "f1", "precision", "recall", "auroc", "average_precision")
 
 

@@ -236,7 +236,7 @@ def test_thresholds_metrics_and_folds(spark):
     assert r["auroc"] == pytest.approx(auc)
     folds = L.group_folds(df, "pair").collect()
     assert len(folds) == 3 and sum(x["n_test"] for x in folds) == 60 and all(x["n_test"] + x["n_train"] == 60 for x in folds)
-    pred = L.cv_predictions(df, ["v"], "pair")
+    pred = L.cv_predictions(df, {"v": ["v"]}).withColumnRenamed("y", "label")
     assert pred.count() == 60 and L.ranking_metrics(pred.withColumn("k", F.lit(0)), ["k"]).first()["auroc"] > 0.6
 
 
