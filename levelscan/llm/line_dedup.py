@@ -6,8 +6,11 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from levelscan.llm.common import stored
+
 LEAST_CHARS = 20  # code points of a key
 LEAST_DOCS = 3    # documents that hold it
+HOT_KEYS = 1024   # the most frequent keys, which are broadcast
 
 _SPACE = " \t\n\x0b\f\r"
 
@@ -23,27 +26,30 @@ def line_key(line: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(h, doc_id, version, at): hash of the key and place of every line whose key is long enough.
+    """(h, g, doc_id, version, at): 128-bit hash of the key, and place, of every line whose key is long enough.
 
     ``version`` tells rows of one id with different texts apart.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    keys = lines.select("doc_id", "version", "at", line_key(F.col("line")).alias("key"))
-    return keys.where(F.char_length("key") >= least_chars).select("doc_id", "version", "at", F.unhex(F.md5("key")).alias("h"))
+    keys = lines.select("doc_id", "version", "at", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
+    return keys.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), "key").alias("g"), "doc_id", "version", "at")
 
 
 def lost_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc_id, version, lost): the places of the lines that go, for every text that loses any.
 
-    1. Lines of one key and text are gathered first: a key holds at most one row a text, whatever its repeats.
-    2. A key's documents are counted with partial sums on the map side, so a line that a third of all documents hold is no hot group.
-    3. Keys over the threshold meet their lines; a key with very many lines is split by the adaptive join.
+    1. Lines are hashed once and stored.  A key's documents are counted with partial sums on the map side, so a line that a third
+       of all documents hold is no hot group.
+    2. Keys over the threshold meet their lines.  The 1024 most frequent are broadcast, so their lines stay where they are; any other
+       key holds less than 1/1024 of the counted documents, so no task of the shuffled join is hot.
     """
-    places = keyed_lines(docs, least_chars).groupBy("h", "doc_id", "version").agg(F.collect_set("at").alias("places"))
-    holders = places.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
-    common = holders.where(F.col("n") >= least_docs).select("h", "holder")
-    lost = places.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    return lost.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("places")).alias("lost"))
+    lines = stored(keyed_lines(docs, least_chars))
+    pairs = lines.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one"))
+    common = stored(pairs.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= least_docs))
+    hot = F.broadcast(common.orderBy(F.col("n").desc(), "h", "g").limit(HOT_KEYS).select("h", "g", "holder"))
+    rest = common.join(hot.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", "holder")
+    met = lines.join(hot, ["h", "g"]).unionByName(lines.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(rest, ["h", "g"]))
+    return met.where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy("doc_id", "version").agg(F.collect_set("at").alias("lost"))
 
 
 def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
