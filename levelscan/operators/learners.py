@@ -200,8 +200,8 @@ def best_probability(df: DataFrame, keys: Sequence[str], p: str = "p", y: str =
 # ---- comparisons --------------------------------------------------------------------------------
 
 def metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Classification and ranking metrics of held-out predictions (y, p, y_hat) per key."""
-    pred = cut_lineage(pred.select(*keys, F.col("y").alias("label"), "p", "y_hat"))  # read twice
+    """Classification and ranking metrics of held-out predictions (y, p, y_hat) per key; probabilities that differ past the 12th digit tie."""
+    pred = cut_lineage(pred.select(*keys, F.col("y").alias("label"), F.round("p", 12).alias("p"), "y_hat"))  # read twice
     return classification_metrics(pred, keys).join(ranking_metrics(pred, keys), list(keys))
 
 

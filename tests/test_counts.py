@@ -11,10 +11,6 @@ from levelscan.operators import fits, indicators, learners
 
 #: query: operator, and the arguments it has to be called with
 COUNTS = {
-    "ml08_compare_variants": (learners, "compare_variants", {"learners": ("logistic", "forest"), "schemes": ("pair", "task", "model")}),
-    "ml11_permutation_control": (learners, "permutation_control", {"p": 100}),
-    "ml12_few_shot_curve": (learners, "few_shot_curve", {"ks": (0, 2, 5, 10), "seeds": range(20)}),
-    "ml13_noise_sensitivity": (learners, "noise_sensitivity", {"sizes": (10, 15, 20, 25, 30, 40, 50), "repeats": 50}),
     "ml14_feature_importance": (learners, "feature_importance", {"trees": 100}),
     "fit03b_fold_refined": (fits, "fit_fold", {"refine": True}),
     "fit06_compare_models": (fits, "model_scores", {"cusp": True, "fold": {}}),
@@ -42,8 +38,6 @@ def test_counts(spark, folder, monkeypatch, name):
     with pytest.raises(Called):
         entry.queries()[name](spark, folder)
     assert {k: seen.get(k, {}) for k in wanted} == wanted
-    if name == "ml08_compare_variants":
-        assert set(seen["variants"]) == set(learners.feature_sets(("variance", "disagreement_rate")))
 
 
 @pytest.mark.parametrize("name", ["inf05b_paired_permutation_f1_1000", "ind08b_ashman_mixture_20"])

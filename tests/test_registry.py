@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = (
     "ag00_level_table", "ag04a_disagreement_extracted", "ag11_std_cosine_distance", "prj03_label_near", "wn05_trailing_tau", "wn09_pct_rank_avg", "jn04_violated_edges", "jn05_extend_chains",
     "jn08_tolerance_match", "sc03_extract_free_answer", "sc16_extract_claims", "src01_read_envelope", "sta02_kendall_pvalue", "sta12_wasserstein", "inf04_bootstrap_lead_time",
-    "alm07_alarm_metrics", "rt03_pareto_front", "ser04_lead_time_summary", "ind04_kmeans2", "ml09_threshold_baselines", "fit03_fold", "au02_ci_anomalies", "va02_graph_connected", "gen03_k_colourable",
+    "alm07_alarm_metrics", "rt03_pareto_front", "ser04_lead_time_summary", "ind04_kmeans2", "ml04_tune_c", "ml08_compare_variants", "ml09_threshold_baselines", "ml10b_forward_select", "ml11_permutation_control", "ml12_few_shot_curve", "ml13_noise_sensitivity", "ml15_alternative_labels", "ml16_pooled_cv_small", "ml19_task_scaled_lr", "fit03_fold", "au02_ci_anomalies", "va02_graph_connected", "gen03_k_colourable",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("LEVELSCAN_ALL") else QUICK
 
