@@ -1,19 +1,19 @@
 """Sequential alarms over level series, in batch form.
 
 Recursions are rewritten so that each series is one sorted window pass: CUSUM by the running minimum
-of a cumulative sum, EWMA by a trailing frame long enough that dropped weights vanish in a double.
+of a cumulative sum, EWMA by composing affine maps over chunks of the series.
 Alarm tables are long: (series, protocol, level, statistic, limit, alarmed), calibration levels left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SERIES = ("task", "model")
 FLOOR = 1e-10
+EWMA_CHUNK = 64  # values; 1 / (1 - lam)^64 stays far within a double for lam up to 0.9999
 
 
 def _w(keys):
@@ -41,11 +41,25 @@ def _cusum_stat(df: DataFrame, c: str, keys, slack: Column, out: str, k: int) ->
     return df.withColumn(out, F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(run))).drop("_c")
 
 
-def _ewma_stat(c: str, lam: float, keys, k: int) -> Column:
-    reach = math.ceil(math.log(1e-18) / math.log(1 - lam))
-    frame = _w(keys).rowsBetween(-reach, 0)
-    xs = F.collect_list(F.when(F.col("_rn") > k, F.col(c))).over(frame)
-    return F.aggregate(xs, F.col(f"_mu_{c}"), lambda z, x: lam * x + (1 - lam) * z)
+def _ewma_stat(df: DataFrame, c: str, lam: float, keys, k: int, out: str, chunk: int = EWMA_CHUNK) -> DataFrame:
+    """z = lam x + (1 - lam) z from the calibration mean on, over the known values after calibration.
+
+    A step is an affine map of z, and so is any stretch of steps: z -> q^length z + (its own weighted sum), q = 1 - lam.  The series is cut into
+    chunks; a running sum of x / q^place gives the map up to each row of a chunk, and the maps of the chunks before, folded in
+    order, give the z that the chunk starts with.  No weight is dropped, and no list is longer than the number of chunks.
+    """
+    q, w = 1 - lam, _w(keys)
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    x = F.when((F.col("_rn") > k) & F.col(c).isNotNull(), F.col(c).cast("double"))
+    df = df.withColumn("_i", F.count(x).over(run))  # known values so far
+    df = df.withColumns({"_chunk": F.floor(F.greatest(F.col("_i") - 1, F.lit(0)) / chunk), "_place": F.when(F.col("_i") > 0, F.pmod(F.col("_i") - 1, F.lit(chunk)) + 1).otherwise(0)})
+    inside = W.partitionBy(*keys, "_chunk").orderBy("level").rowsBetween(W.unboundedPreceding, 0)
+    scaled = F.coalesce(F.sum(lam * x * F.pow(F.lit(q), -F.col("_place"))).over(inside), F.lit(0.0))
+    df = df.withColumn("_own", F.pow(F.lit(q), F.col("_place")) * scaled)  # of this chunk up to the row
+    full = F.when(x.isNotNull() & (F.col("_place") == chunk), F.struct("_chunk", "_own"))
+    before = F.filter(F.collect_list(full).over(run), lambda e: e["_chunk"] < F.col("_chunk"))
+    start = F.aggregate(before, F.col(f"_mu_{c}"), lambda z, e: q**chunk * z + e["_own"])
+    return df.withColumn(out, F.pow(F.lit(q), F.col("_place")) * start + F.col("_own")).drop("_i", "_chunk", "_place", "_own")
 
 
 def _ewma_limit(c: str, lam: float, width: float, k: int) -> Column:
@@ -88,7 +102,7 @@ def protocol_grid(
         for x in h:
             rows.append(row(f"cusum_{c}_h{x}", F.col(f"_s_{c}"), x * sd, F.col(f"_s_{c}") > x * sd))
         for i, lam in enumerate(lambdas):
-            df = df.withColumn(f"_z{i}_{c}", _ewma_stat(c, lam, keys, k))
+            df = _ewma_stat(df, c, lam, keys, k, f"_z{i}_{c}")
             for width in widths:
                 limit = _ewma_limit(c, lam, width, k)
                 rows.append(row(f"ewma_{c}_l{lam}_L{width}", F.col(f"_z{i}_{c}"), limit, F.col(f"_z{i}_{c}") > limit))

@@ -100,12 +100,7 @@ def _em_sql(rounds):
     return ", ".join(parts) + f" SELECT model, round(mu0, 4) + 0.0 AS mu0, round(mu1, 4) + 0.0 AS mu1, round(pi1, 4) + 0.0 AS pi1, round(sqrt(2.0) * abs(mu0 - mu1) / sqrt(var0 + var1), 4) + 0.0 AS ashman_d FROM p{rounds}"
 
 
-@query("ind08_ashman_mixture", f"WITH {EV}, {_em_sql(8)}")
-def _(spark, d):
-    return rounded(I.ashman_mixture(ev_rows(spark, d), ["model"], "x", rounds=8), "mu0", "mu1", "pi1", "ashman_d", digits=4)
-
-
-@query("ind08b_ashman_mixture_20", f"WITH {EV}, {_em_sql(20)}")
+@query("ind08_ashman_mixture", f"WITH {EV}, {_em_sql(20)}")
 def _(spark, d):
     return rounded(I.ashman_mixture(ev_rows(spark, d), ["model"], "x", rounds=20), "mu0", "mu1", "pi1", "ashman_d", digits=4)
 

@@ -48,9 +48,9 @@ def _(spark, d):
 
 
 CHAIN = """f AS (SELECT o_orderkey AS fact_id, o_custkey % 10 AS source, CAST(o_custkey AS VARCHAR) AS entity, CAST((o_custkey * 7 + o_orderkey) % 1000 AS VARCHAR) AS answer FROM orders),
-c1 AS (SELECT fact_id AS chain_id, source, answer, [fact_id] AS path FROM f),
-c2 AS (SELECT c.chain_id, f.source, f.answer, list_append(c.path, f.fact_id) AS path FROM c1 c JOIN f ON f.entity = c.answer AND f.source <> c.source QUALIFY row_number() OVER (PARTITION BY c.chain_id ORDER BY f.fact_id) = 1),
-c3 AS (SELECT c.chain_id, f.source, f.answer, list_append(c.path, f.fact_id) AS path FROM c2 c JOIN f ON f.entity = c.answer AND f.source <> c.source QUALIFY row_number() OVER (PARTITION BY c.chain_id ORDER BY f.fact_id) = 1)"""
+c1 AS (SELECT fact_id AS chain_id, answer, [fact_id] AS path, [source] AS used FROM f),
+c2 AS (SELECT c.chain_id, f.answer, list_append(c.path, f.fact_id) AS path, list_append(c.used, f.source) AS used FROM c1 c JOIN f ON f.entity = c.answer AND NOT list_contains(c.used, f.source) QUALIFY row_number() OVER (PARTITION BY c.chain_id ORDER BY f.fact_id) = 1),
+c3 AS (SELECT c.chain_id, f.answer, list_append(c.path, f.fact_id) AS path FROM c2 c JOIN f ON f.entity = c.answer AND NOT list_contains(c.used, f.source) QUALIFY row_number() OVER (PARTITION BY c.chain_id ORDER BY f.fact_id) = 1)"""
 
 
 def _facts(spark, d):
@@ -59,17 +59,6 @@ def _facts(spark, d):
 
 
 @query("jn05_extend_chains", f"WITH {CHAIN} SELECT chain_id, answer, path[2] AS hop2, path[3] AS hop3 FROM c3")
-def _(spark, d):
-    f = _facts(spark, d)
-    c = f.select(F.col("fact_id").alias("chain_id"), "source", "answer", F.array("fact_id").alias("path"))
-    c = J.extend_chains(J.extend_chains(c, f), f)
-    return c.select("chain_id", "answer", F.col("path")[1].alias("hop2"), F.col("path")[2].alias("hop3"))
-
-
-CHAIN_ALL = CHAIN.replace("[fact_id] AS path", "[fact_id] AS path, [source] AS used").replace("f.fact_id) AS path FROM", "f.fact_id) AS path, list_append(c.used, f.source) AS used FROM").replace("f.source <> c.source", "NOT list_contains(c.used, f.source)")
-
-
-@query("jn05b_extend_chains_all_sources", f"WITH {CHAIN_ALL} SELECT chain_id, answer, path[2] AS hop2, path[3] AS hop3 FROM c3")
 def _(spark, d):
     f = _facts(spark, d)
     c = f.select(F.col("fact_id").alias("chain_id"), "source", "answer", F.array("fact_id").alias("path"), F.array("source").alias("used"))

@@ -251,7 +251,19 @@ bd AS (SELECT model, rep, ({hash_sql("'42', model, rep, pos", 15)} % nn)::BIGINT
 br AS (SELECT bd.model, bd.rep, bp.level, bp.d_star, bp.accuracy, bp.variance, bp.disagreement_rate, bp.bimodality_coefficient FROM bd JOIN bp ON bp.model = bd.model AND bp.pos = bd.pos)"""
 
 
-@query("inf01_bootstrap_ci", f"""WITH {LV}, {BOOT}, s AS (SELECT model, rep, avg(accuracy) AS m, quantile_cont(accuracy, 0.5::DOUBLE) AS md FROM br GROUP BY ALL), p AS (SELECT model, avg(accuracy) AS m, quantile_cont(accuracy, 0.5::DOUBLE) AS md FROM lv GROUP BY ALL)
+def _mixed(x, shift, times):
+    return f"(((xor({x}, {x} >> {shift}))::UHUGEINT * {times}) % 18446744073709551616)::UBIGINT"
+
+
+def weights_sql(src, parts, cols):
+    """CTE ``bw``: the Poisson(1) weight of every row of ``src`` in replicates 1..NREP, from its key by splitmix64."""
+    from levelscan.operators.resampling import POISSON
+
+    return f"""bw AS (SELECT {cols}, rep, len(list_filter({POISSON}::DOUBLE[], lambda t: t <= u)) AS w FROM (SELECT *, ((xor(z3, z3 >> 31)) >> 11)::DOUBLE / 9007199254740992 AS u FROM (SELECT *, {_mixed('z2', 27, 10723151780598845931)} AS z3
+ FROM (SELECT *, {_mixed('z1', 30, 13787848793156543929)} AS z2 FROM (SELECT {cols}, rep, (({hash_sql(parts, 15)}::UHUGEINT + rep::UHUGEINT * 11400714819323198485) % 18446744073709551616)::UBIGINT AS z1 FROM {src}, range(1, {NREP + 1}) q(rep))))))"""
+
+
+@query("inf01_bootstrap_ci", f"""WITH {LV}, {BOOT}, {weights_sql('lv', "'42', model, level", 'model, level, accuracy')}, s AS (SELECT model, rep, m, md FROM (SELECT model, rep, sum(w * accuracy) / sum(w) AS m FROM bw GROUP BY ALL) JOIN (SELECT model, rep, quantile_cont(accuracy, 0.5::DOUBLE) AS md FROM br GROUP BY ALL) USING (model, rep)), p AS (SELECT model, avg(accuracy) AS m, quantile_cont(accuracy, 0.5::DOUBLE) AS md FROM lv GROUP BY ALL)
 SELECT 'mean' AS stat, s.model, round(any_value(p.m), 6) + 0.0 AS point, round(quantile_cont(s.m, 0.025::DOUBLE), 6) + 0.0 AS ci_low, round(quantile_cont(s.m, 0.975::DOUBLE), 6) + 0.0 AS ci_high, count(*) AS n_reps FROM s JOIN p USING (model) GROUP BY ALL
 UNION ALL SELECT 'median', s.model, round(any_value(p.md), 6) + 0.0, round(quantile_cont(s.md, 0.025::DOUBLE), 6) + 0.0, round(quantile_cont(s.md, 0.975::DOUBLE), 6) + 0.0, count(*) FROM s JOIN p USING (model) GROUP BY ALL""")
 def _(spark, d):
@@ -266,18 +278,17 @@ def _(spark, d):
     return rounded(B.bca_ci(levels(spark, d), ["model"], "accuracy", ["level"], NREP), "point", "ci_low", "ci_high")
 
 
-@query("inf03_bootstrap_effect", f"""WITH {LV}, g AS (SELECT *, CASE WHEN level >= 20 THEN 'near' ELSE 'far' END AS side FROM lvd), bp AS (SELECT model, side, variance, row_number() OVER (PARTITION BY model, side ORDER BY level) - 1 AS pos, count(*) OVER (PARTITION BY model, side) AS nn FROM g),
-bd AS (SELECT model, side, rep, ({hash_sql("'42', model, side, rep, pos", 15)} % nn)::BIGINT AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r), br AS (SELECT bd.model, bd.side, bd.rep, bp.variance AS v FROM bd JOIN bp ON bp.model = bd.model AND bp.side = bd.side AND bp.pos = bd.pos),
-c AS (SELECT model, rep, count(*) FILTER (WHERE side = 'near') AS na, count(*) FILTER (WHERE side = 'far') AS nb, avg(v) FILTER (WHERE side = 'near') AS ma, avg(v) FILTER (WHERE side = 'far') AS mb, var_samp(v) FILTER (WHERE side = 'near') AS va, var_samp(v) FILTER (WHERE side = 'far') AS vb FROM br GROUP BY ALL),
-d AS (SELECT model, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM c) SELECT model, round(quantile_cont(d, 0.025::DOUBLE), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975::DOUBLE), 6) + 0.0 AS ci_high, count(d) AS n_reps FROM d GROUP BY ALL""")
+@query("inf03_bootstrap_effect", f"""WITH {LV}, g AS (SELECT *, CASE WHEN level >= 20 THEN 'near' ELSE 'far' END AS side FROM lvd), {weights_sql('g', "'42', model, side, level", 'model, side, variance')},
+m AS (SELECT model, side, rep, sum(w) AS n, sum(w * variance) / sum(w) AS mu FROM bw GROUP BY ALL), v AS (SELECT model, side, rep, any_value(n) AS n, any_value(mu) AS mu, sum(w * (variance - mu) ** 2) AS ss FROM bw JOIN m USING (model, side, rep) GROUP BY ALL),
+d AS (SELECT a.model, (a.mu - b.mu) / sqrt((a.ss + b.ss) / (a.n + b.n - 2)) AS d FROM v a JOIN v b ON a.model = b.model AND a.rep = b.rep AND a.side = 'near' AND b.side = 'far' WHERE a.n >= 2 AND b.n >= 2)
+SELECT model, round(quantile_cont(d, 0.025::DOUBLE), 6) + 0.0 AS ci_low, round(quantile_cont(d, 0.975::DOUBLE), 6) + 0.0 AS ci_high, count(d) AS n_reps FROM d GROUP BY ALL""")
 def _(spark, d):
     lv = levels(spark, d).withColumn("side", F.when(F.col("level") >= 20, "near").otherwise("far"))
     return rounded(B.bootstrap_effect(lv, ["model"], "variance", "side", "near", "far", ["level"], NREP), "ci_low", "ci_high")
 
 
-@query("inf04_bootstrap_lead_time", f"""WITH {LV}, pre AS (SELECT * FROM lvd WHERE level <= d_star), bp AS (SELECT *, row_number() OVER (PARTITION BY task, model ORDER BY level) - 1 AS pos, count(*) OVER (PARTITION BY task, model) AS nn FROM pre),
-bd AS (SELECT task, model, rep, ({hash_sql("'42', task, model, rep, pos", 15)} % nn)::BIGINT AS pos FROM bp, (SELECT unnest(range(1, {NREP + 1})) AS rep) r), br AS (SELECT bd.task, bd.model, bd.rep, bp.level, bp.d_star, bp.bimodality_coefficient > 0.7 AS hit FROM bd JOIN bp ON bp.task = bd.task AND bp.model = bd.model AND bp.pos = bd.pos),
-s AS (SELECT task, model, rep, max(d_star) - min(level) FILTER (WHERE hit) AS stat FROM br GROUP BY ALL), q AS (SELECT task, model, quantile_cont(stat, 0.025::DOUBLE) AS lo, quantile_cont(stat, 0.975::DOUBLE) AS hi, count(stat) AS n_reps, avg(stat) AS mean_lead FROM s GROUP BY ALL), n AS (SELECT task, model, count(*) AS n_levels FROM pre GROUP BY ALL)
+@query("inf04_bootstrap_lead_time", f"""WITH {LV}, pre AS (SELECT * FROM lvd WHERE level <= d_star), {weights_sql('pre', "'42', concat_ws('|', task, model), level", 'task, model, level, d_star, bimodality_coefficient')},
+s AS (SELECT task, model, rep, max(d_star) - min(level) FILTER (WHERE bimodality_coefficient > 0.7 AND w > 0) AS stat FROM bw GROUP BY ALL), q AS (SELECT task, model, quantile_cont(stat, 0.025::DOUBLE) AS lo, quantile_cont(stat, 0.975::DOUBLE) AS hi, count(stat) AS n_reps, avg(stat) AS mean_lead FROM s GROUP BY ALL), n AS (SELECT task, model, count(*) AS n_levels FROM pre GROUP BY ALL)
 SELECT task, model, n_reps, n_levels, round(CASE WHEN n_levels >= 4 AND n_reps >= 20 THEN lo END, 6) + 0.0 AS ci_low, round(CASE WHEN n_levels >= 4 AND n_reps >= 20 THEN hi END, 6) + 0.0 AS ci_high, round(CASE WHEN n_levels >= 4 AND n_reps >= 20 THEN mean_lead END, 6) + 0.0 AS mean_lead FROM q JOIN n USING (task, model)""")
 def _(spark, d):
     out = B.bootstrap_lead_time(with_d_star(levels(spark, d)), F.col("bimodality_coefficient") > 0.7, NREP)
@@ -285,16 +296,9 @@ def _(spark, d):
 
 
 @query("inf05_paired_permutation_f1", f"""WITH b AS (SELECT event_type AS model, event_id AS id, CAST(value > 60 AS INT) AS y, CAST(value > 40 AS INT) AS a, CAST(value + user_id > 110 AS INT) AS b FROM events),
-r AS (SELECT b.*, rep, rep > 0 AND {hash_sql("'7', model, rep, id")} % 2 = 1 AS sw FROM b, (SELECT unnest(range(0, 51)) AS rep) q), t AS (SELECT model, rep, y, CASE WHEN sw THEN b ELSE a END AS l, CASE WHEN sw THEN a ELSE b END AS r FROM r),
+r AS (SELECT b.*, rep, rep > 0 AND {hash_sql("'7', model, rep, id")} % 2 = 1 AS sw FROM b, (SELECT unnest(range(0, 1001)) AS rep) q), t AS (SELECT model, rep, y, CASE WHEN sw THEN b ELSE a END AS l, CASE WHEN sw THEN a ELSE b END AS r FROM r),
 f AS (SELECT model, rep, 2.0 * sum(l * y) / (sum(l) + sum(y)) - 2.0 * sum(r * y) / (sum(r) + sum(y)) AS gap FROM t GROUP BY ALL)
 SELECT p.model, round(any_value(o.gap), 6) + 0.0 AS observed, round(avg(CASE WHEN abs(p.gap) >= abs(o.gap) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS p_value FROM f p JOIN f o ON o.model = p.model AND o.rep = 0 WHERE p.rep > 0 GROUP BY ALL""")
-def _(spark, d):
-    v = F.col("value")
-    e = table(spark, d, "events").select(F.col("event_type").alias("model"), "event_id", (v > 60).cast("int").alias("y"), (v > 40).cast("int").alias("a"), (v + F.col("user_id") > 110).cast("int").alias("b"))
-    return rounded(B.paired_permutation_f1(e, ["model"], "event_id", "y", "a", "b", 50, 7), "observed", "p_value")
-
-
-@query("inf05b_paired_permutation_f1_1000", ORACLES["inf05_paired_permutation_f1"].replace("range(0, 51)", "range(0, 1001)"))
 def _(spark, d):
     v = F.col("value")
     e = table(spark, d, "events").select(F.col("event_type").alias("model"), "event_id", (v > 60).cast("int").alias("y"), (v > 40).cast("int").alias("a"), (v + F.col("user_id") > 110).cast("int").alias("b"))
