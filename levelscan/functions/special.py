@@ -168,3 +168,65 @@ def erfc_sql(z: str) -> str:
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
         poly = f"({poly} * {s} + ({c!r}))"
     return f"(2.0 / (2.0 + ({z})) * exp({poly} - ({z}) * ({z})))"
+
+
+#: Null distribution of sqrt(n) * dip by sample size (the last row is the limit law): the values reached with these chances.
+#: Fixed values, drawn by tools/dip_surface.py.
+DIP_SHARES = (0.99, 0.9, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.01, 0.001)
+DIP_SIZES = (4, 6, 8, 10, 15, 20, 30, 50)
+DIP_QUANTILES = (
+    (0.2500, 0.2500, 0.2500, 0.2500, 0.2661, 0.3155, 0.3739, 0.4145, 0.4479, 0.4631, 0.4893),
+    (0.2041, 0.2041, 0.2542, 0.3017, 0.3442, 0.3661, 0.3900, 0.4035, 0.4396, 0.4712, 0.5388),
+    (0.1768, 0.2322, 0.2819, 0.3140, 0.3407, 0.3537, 0.4001, 0.4357, 0.4693, 0.4896, 0.5493),
+    (0.1914, 0.2458, 0.2849, 0.3081, 0.3454, 0.3735, 0.4107, 0.4398, 0.4757, 0.5053, 0.5724),
+    (0.2102, 0.2489, 0.2874, 0.3211, 0.3569, 0.3806, 0.4197, 0.4509, 0.4890, 0.5156, 0.5940),
+    (0.2128, 0.2527, 0.2922, 0.3231, 0.3612, 0.3862, 0.4228, 0.4569, 0.4952, 0.5216, 0.6007),
+    (0.2157, 0.2570, 0.2962, 0.3286, 0.3648, 0.3888, 0.4248, 0.4586, 0.4979, 0.5288, 0.6242),
+    (0.2200, 0.2595, 0.2974, 0.3295, 0.3646, 0.3888, 0.4251, 0.4573, 0.4944, 0.5221, 0.5979),
+    (0.2235, 0.2630, 0.2980, 0.3274, 0.3613, 0.3840, 0.4170, 0.4483, 0.4855, 0.5064, 0.5812),
+)
+
+
+def dip_sf(dip: Column, n: Column) -> Column:
+    """P(dip of n uniform values >= dip) for any n from 4 on; smaller groups give 1.
+
+    The quantiles are interpolated in 1/sqrt(n), between the sizes of the table and on to the limit law at 0; log p is interpolated between
+    the quantiles, and goes on in a straight line beyond the last.
+    """
+    s = 1 / F.sqrt(n.cast("double"))
+    knots = [size**-0.5 for size in DIP_SIZES] + [0.0]
+
+    def quantile(j: int) -> Column:
+        out = F.lit(None).cast("double")
+        for i in reversed(range(len(knots) - 1)):
+            low, high = DIP_QUANTILES[i + 1][j], DIP_QUANTILES[i][j]
+            out = F.when(s >= knots[i + 1], low + (high - low) * (s - knots[i + 1]) / (knots[i] - knots[i + 1])).otherwise(out)
+        return out
+
+    def at(t: Column) -> Column:
+        def between(q: Column) -> Column:
+            logs = [math.log(p) for p in DIP_SHARES]
+            last = len(logs) - 1
+            out = F.lit(1.0)
+            for j in range(1, last + 1):
+                lo, hi = q[j - 1], q[j]
+                line = logs[j - 1] + (logs[j] - logs[j - 1]) * (t - lo) / (hi - lo)
+                out = F.when((t > lo) & (F.lit(True) if j == last else t <= hi), F.exp(line)).otherwise(out)
+            return out
+
+        return let(F.array(*[quantile(j) for j in range(len(DIP_SHARES))]), between)
+
+    return F.when(n >= 4, let(dip * F.sqrt(n.cast("double")), at)).otherwise(1.0)
+
+
+def dip_sf_sql(dip: str, n: str) -> str:
+    """The same as SQL text, over lists: the row of the table by its place, then the pair of quantiles around the value."""
+    knots = str([size**-0.5 for size in DIP_SIZES] + [0.0]) + "::DOUBLE[]"
+    table = str([list(r) for r in DIP_QUANTILES]) + "::DOUBLE[][]"
+    logs = str([math.log(p) for p in DIP_SHARES]) + "::DOUBLE[]"
+    s = f"(1 / sqrt(({n})::DOUBLE))"
+    i = f"least(greatest(len(list_filter({knots}, lambda k: k >= {s})), 1), {len(DIP_SIZES)})"
+    q = f"list_transform(range(1, {len(DIP_SHARES) + 1}), lambda j: ({table})[{i} + 1][j] + (({table})[{i}][j] - ({table})[{i} + 1][j]) * ({s} - ({knots})[{i} + 1]) / (({knots})[{i}] - ({knots})[{i} + 1]))"
+    t = f"(({dip}) * sqrt(({n})::DOUBLE))"
+    c = f"least(len(list_filter(q, lambda x: x < {t})), {len(DIP_SHARES) - 1})"
+    return f"(SELECT CASE WHEN ({n}) < 4 OR c = 0 THEN 1.0 ELSE exp(({logs})[c] + (({logs})[c + 1] - ({logs})[c]) * ({t} - q[c]) / (q[c + 1] - q[c])) END FROM (SELECT q, {c} AS c FROM (SELECT {q} AS q)))"

@@ -28,19 +28,16 @@ def ashman_labels(x: str = "x", correct: str = "correct") -> Column:
     return F.when((F.count(good) >= 2) & (F.count(bad) >= 2) & (spread > 0), gap / spread)
 
 
-def level_table(rows: DataFrame, keys: Sequence[str] = KEYS, x: str = "x") -> DataFrame:
+def level_table(rows: DataFrame, keys: Sequence[str] = KEYS, x: str = "x", modes: bool = True) -> DataFrame:
     """Level series: one row of indicators per series and level.
 
-    ``dip_pvalue`` and ``silhouette_k2`` of one-dimensional rows are the tail shares below 3 and above
-    60 (cheap stand-ins); vector data gets the real ones from the indicator battery.
+    With ``modes`` also ``dip_pvalue`` and ``silhouette_k2`` of the rows' values (see indicators.modality): whether a cell has two modes.
     """
     v = F.col(x)
     moments = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("correct").cast("double")).alias("accuracy"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
-        F.avg((v < 3).cast("double")).alias("dip_pvalue"),
-        F.avg((v > 60).cast("double")).alias("silhouette_k2"),
         F.skewness(v).alias("_skew"),
         F.kurtosis(v).alias("_kurt"),
         ashman_labels(x).alias("ashman_d"),
@@ -48,7 +45,12 @@ def level_table(rows: DataFrame, keys: Sequence[str] = KEYS, x: str = "x") -> Da
     moments = moments.withColumn(
         "bimodality_coefficient", bimodality(F.col("_skew"), F.col("_kurt"), F.col("n"))
     ).drop("_skew", "_kurt")
-    return moments.join(disagreement(rows, keys, policy="all"), list(keys))
+    out = moments.join(disagreement(rows, keys, policy="all"), list(keys))
+    if not modes:
+        return out
+    from levelscan.operators.indicators import modality
+
+    return out.join(modality(rows, keys, x).drop("dip_statistic"), list(keys), "left")
 
 
 def accuracy(rows: DataFrame, keys: Sequence[str], den: str = "all") -> DataFrame:

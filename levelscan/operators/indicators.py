@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from levelscan.functions.special import normal_cdf
+from levelscan.functions.special import dip_sf, normal_cdf
 from levelscan.operators.aggregates import bimodality
 from levelscan.operators.vectors import dot, group_pair_stats, group_vector_moments, moment_sums
 from levelscan.plans.draws import normal
@@ -330,27 +330,78 @@ def _dip_in_blocks(cells: DataFrame, keys: list[str], block: int) -> DataFrame:
     return out.join(state, keys).select(*keys, "n", F.when(F.col("n") >= 4, F.least("_d0", "_d1")).otherwise(0.0).alias("dip_statistic"))
 
 
-def dip_null(sizes: DataFrame, n: str = "n", b: int = 500, seed: int = 42, top: int = 2000) -> DataFrame:
-    """Seeded null sample of the dip: (m, rep, dip * sqrt(m)) for every distinct size (sizes above ``top`` share one)."""
-    todo = sizes.select(F.least(F.col(n), F.lit(top)).cast("int").alias("m")).where("m >= 4").distinct()
-    todo = todo.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    todo = todo.repartition("m", "rep")
+def dip_pvalue(dips: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """P-value of the dip for groups of any size, from the table of its null distribution (see special.dip_sf); groups under four rows get 1."""
+    return dips.select(*keys, "n", "dip_statistic", dip_sf(F.col("dip_statistic"), F.col("n")).alias("dip_pvalue"))
 
-    def simulate(batches):
-        for pdf in batches:
-            out = [dip_of(np.random.default_rng([seed, m, r]).random(m)) * math.sqrt(m) for m, r in zip(pdf["m"], pdf["rep"])]
-            yield pd.DataFrame({"m": pdf["m"], "rep": pdf["rep"], "scaled": out})
 
-    return todo.mapInPandas(simulate, "m int, rep int, scaled double")
+# ---- both modality indicators of one-dimensional rows --------------------------------------------
 
-
-def dip_pvalue(dips: DataFrame, keys: Sequence[str], b: int = 500, seed: int = 42, top: int = 2000) -> DataFrame:
-    """Share of null dips at or above the observed one, compared on the sqrt(n) scale; small groups get 1."""
-    null = dip_null(dips, "n", b, seed, top).groupBy("m").agg(F.sort_array(F.collect_list("scaled")).alias("_null"))
-    j = dips.withColumn("m", F.least(F.col("n"), F.lit(top)).cast("int")).join(null, "m", "left")
-    seen = F.col("dip_statistic") * F.sqrt(F.col("n").cast("double"))
-    p = F.size(F.filter("_null", lambda z: z >= seen)) / F.size("_null")
-    return j.select(*keys, "n", "dip_statistic", F.coalesce(F.when(F.col("n") >= 4, p), F.lit(1.0)).alias("dip_pvalue"))
+def split_silhouette(values: np.ndarray, counts: np.ndarray) -> float:
+    """Mean silhouette of the best two-means split of distinct sorted values with counts, exact and linear: sums of the values on either
+    side give every distance sum.  One distinct value gives 0, and so does a cluster of one row."""
+    v, c = np.asarray(values, float), np.asarray(counts, float)
+    if len(v) < 2:
+        return 0.0
+    v = v - (v * c).sum() / c.sum()  # sums of small numbers
+    n, s = np.cumsum(c), np.cumsum(c * v)
+    # of sums of squares only the part between the clusters depends on the split
+    between = s[:-1] ** 2 / n[:-1] + (s[-1] - s[:-1]) ** 2 / (n[-1] - n[:-1])
+    cut = int(np.argmax(np.round(between / max(between.max(), 1e-300), 12))) + 1
+    left = np.arange(len(v)) < cut
+    low_n, low_s = np.where(left, 0, n[cut - 1]), np.where(left, 0, s[cut - 1])       # before the own cluster
+    own_n, own_s = np.where(left, n[cut - 1], n[-1] - n[cut - 1]), np.where(left, s[cut - 1], s[-1] - s[cut - 1])
+    upto_n, upto_s = n - low_n, s - low_s
+    a = (v * upto_n - upto_s) + ((own_s - upto_s) - v * (own_n - upto_n))
+    b = np.abs(v * (n[-1] - own_n) - (s[-1] - own_s)) / (n[-1] - own_n)
+    a = a / np.maximum(own_n - 1, 1)
+    top = np.maximum(a, b)
+    return float((c * np.where((own_n > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)).sum() / n[-1])
+
+
+@F.pandas_udf(T.StructType([T.StructField("dip", T.DoubleType()), T.StructField("silhouette", T.DoubleType())]))
+def _modality_of_cells(values: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    cells = [(np.asarray(v), np.asarray(c)) for v, c in zip(values, counts)]
+    return pd.DataFrame({"dip": [dip_of(v, c) if c.sum() >= 4 else 0.0 for v, c in cells], "silhouette": [split_silhouette(v, c) for v, c in cells]})
+
+
+def _split_silhouette_in_parts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``split_silhouette`` of groups too large for one task, from running sums over chunks of the values."""
+    mean = cells.groupBy(*keys).agg((F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_mu"))
+    centred = cells.join(mean, keys).select(*keys, (F.col("_x") - F.col("_mu")).alias("_x"), "_c").withColumn("_cx", F.col("_x") * F.col("_c"))
+    run = cut_lineage(running_sums(centred, keys, "_x", ["_c", "_cx"]))
+    n, s, cn, cs = (F.col(c) for c in ("total__c", "total__cx", "cum__c", "cum__cx"))
+    between = run.where(cn < n).withColumn("_b", cs * cs / cn + (s - cs) * (s - cs) / (n - cn))
+    most = between.groupBy(*keys).agg(F.max("_b").alias("_most"))
+    share = F.round(F.col("_b") / F.greatest("_most", F.lit(1e-300)), 12)
+    cut = between.join(most, keys).groupBy(*keys).agg(F.max_by(F.struct(F.col("_x").alias("at"), cn.alias("n"), cs.alias("s")), F.struct(share, -F.col("_x"))).alias("_l"))
+    left = F.col("_x") <= F.col("_l.at")
+    own_n, own_s = F.when(left, F.col("_l.n")).otherwise(n - F.col("_l.n")), F.when(left, F.col("_l.s")).otherwise(s - F.col("_l.s"))
+    upto_n, upto_s = F.when(left, cn).otherwise(cn - F.col("_l.n")), F.when(left, cs).otherwise(cs - F.col("_l.s"))
+    x = F.col("_x")
+    a = ((x * upto_n - upto_s) + ((own_s - upto_s) - x * (own_n - upto_n))) / F.greatest(own_n - 1, F.lit(1))
+    b = F.abs(x * (n - own_n) - (s - own_s)) / (n - own_n)
+    one = F.when((own_n > 1) & (F.greatest(a, b) > 0), (b - a) / F.greatest(a, b)).otherwise(0.0)
+    return run.join(cut, keys).groupBy(*keys).agg((F.sum(F.col("_c") * one) / F.max(n)).alias("silhouette_k2"))
+
+
+def modality(rows: DataFrame, keys: Sequence[str], x: str = "x", limit: int = 500_000) -> DataFrame:
+    """(keys, dip_statistic, dip_pvalue, silhouette_k2) of one-dimensional rows; null values take no part.
+
+    Rows are first counted by value on the map side.  A group of up to ``limit`` distinct values is one sorted array in one task; a
+    larger one goes through blocks and running sums, with the same result.
+    """
+    keys = list(keys)
+    cells = cut_lineage(rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    big = cut_lineage(sizes.where(F.col("_k") > limit).select(*keys))
+    packed = cells.join(big, keys, "left_anti").groupBy(*keys).agg(F.sum("_c").alias("n"), F.sort_array(F.collect_list(F.struct("_x", "_c"))).alias("_s"))
+    both = packed.withColumn("_m", _modality_of_cells(F.transform("_s", lambda s: s["_x"]), F.transform("_s", lambda s: s["_c"].cast("double"))))
+    out = both.select(*keys, "n", F.col("_m.dip").alias("dip_statistic"), F.col("_m.silhouette").alias("silhouette_k2"))
+    if not big.isEmpty():
+        large = cells.join(big, keys, "left_semi")
+        out = out.unionByName(_dip_in_blocks(large, keys, 200_000).join(_split_silhouette_in_parts(large, keys), keys))
+    return out.select(*keys, "dip_statistic", dip_sf(F.col("dip_statistic"), F.col("n")).alias("dip_pvalue"), "silhouette_k2")
 
 
 # ---- mixture and null ---------------------------------------------------------------------------
@@ -432,7 +483,7 @@ def pca2(df: DataFrame, vector: str, row_id: str) -> DataFrame:
     return model.transform(v).select(row_id, (p[0] * sign[0]).alias("pc1"), (p[1] * sign[1]).alias("pc2"))
 
 
-def indicator_battery(df: DataFrame, keys: Sequence[str], row_id: str, vector: str, correct: str, answer: str, exact: bool = True, null_reps: int = 200) -> DataFrame:
+def indicator_battery(df: DataFrame, keys: Sequence[str], row_id: str, vector: str, correct: str, answer: str, exact: bool = True) -> DataFrame:
     """All indicators of a response table in one level table; each part is a grouped job joined on the keys."""
     from levelscan.operators.aggregates import disagreement
 
@@ -448,7 +499,7 @@ def indicator_battery(df: DataFrame, keys: Sequence[str], row_id: str, vector: s
         bimodality(F.skewness("pc1"), F.kurtosis("pc1"), F.count("pc1")).alias("bimodality_coefficient"),
         ashman_labels("pc1", "correct").alias("ashman_d"))
     sil = silhouette_k2(clustered, keys, "row_id", "vector") if exact else silhouette_squared(clustered, keys, "vector")
-    dips = dip_pvalue(dip_statistic(scored, keys, "pc1"), keys, null_reps)
+    dips = dip_pvalue(dip_statistic(scored, keys, "pc1"), keys)
     out = base.join(pc1_variance(axes, keys), keys)
     out = out.join(group_vector_moments(rows, keys, "vector").select(*keys, F.col("variance_trace").alias("variance"), "mean_cosine_distance"), keys)
     out = out.join(group_pair_stats(rows, keys, "vector").select(*keys, "std_cosine_distance"), keys)

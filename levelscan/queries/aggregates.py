@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from levelscan.functions import predicates as P
 from levelscan.operators import aggregates as A
 from levelscan.operators.vectors import group_pair_stats, group_vector_moments, vector_norm
-from levelscan.queries.bindings import ALL_LV, EV, LV, all_levels, ev_rows, levels, with_d_star
+from levelscan.queries.bindings import ALL_LV, ALL_LVM, EV, LV, all_levels, ev_rows, levels, with_d_star
 from levelscan.queries.registry import query, r6, rounded, table
 
 K = ["task", "model", "level"]
@@ -30,11 +30,12 @@ def _tf(rows):
 TF = R + """, tf AS (SELECT task, model, level, item_id, CASE WHEN lower(trim(answer)) = 'a' THEN 'TRUE' WHEN answer IS NOT NULL THEN 'FALSE' END AS answer FROM r)"""
 
 
-@query("ag00_level_table", f"""WITH {ALL_LV} SELECT task, model, level, n, round(accuracy, 6) + 0.0 AS accuracy, round(variance, 6) + 0.0 AS variance,
- round(bimodality_coefficient, 6) + 0.0 AS bimodality_coefficient, round(disagreement_rate, 6) + 0.0 AS disagreement_rate, round(ashman_d, 6) + 0.0 AS ashman_d FROM lv""")
+@query("ag00_level_table", f"""WITH {ALL_LVM} SELECT task, model, level, n, round(accuracy, 6) + 0.0 AS accuracy, round(variance, 6) + 0.0 AS variance,
+ round(bimodality_coefficient, 6) + 0.0 AS bimodality_coefficient, round(disagreement_rate, 6) + 0.0 AS disagreement_rate, round(ashman_d, 6) + 0.0 AS ashman_d,
+ round(dip_pvalue, 6) + 0.0 AS dip_pvalue, round(silhouette_k2, 6) + 0.0 AS silhouette_k2 FROM lv""")
 def _(spark, d):
-    cols = ["accuracy", "variance", "bimodality_coefficient", "disagreement_rate", "ashman_d"]
-    return rounded(all_levels(spark, d).select(*K, "n", *cols), *cols)
+    cols = ["accuracy", "variance", "bimodality_coefficient", "disagreement_rate", "ashman_d", "dip_pvalue", "silhouette_k2"]
+    return rounded(all_levels(spark, d, True).select(*K, "n", *cols), *cols)
 
 
 @query("ag01_accuracy_extracted", f"""WITH {R} SELECT task, model, level, round(count(*) FILTER (WHERE answer = truth) / greatest(count(*) FILTER (WHERE answer IS NOT NULL AND truth IS NOT NULL), 1), 6) + 0.0 AS accuracy FROM r GROUP BY ALL""")
@@ -158,9 +159,9 @@ def _(spark, d):
     return A.win_counts(levels(spark, d), ["level"], "model", "variance")
 
 
-@query("ag17_significance_summary", f"""WITH {ALL_LV} SELECT task, model, bool_and(dip_pvalue < 0.05) AS all_significant, round(avg(CASE WHEN accuracy - 0.5 > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS fraction_positive FROM lv GROUP BY ALL""")
+@query("ag17_significance_summary", f"""WITH {ALL_LVM} SELECT task, model, bool_and(dip_pvalue < 0.05) AS all_significant, round(avg(CASE WHEN accuracy - 0.5 > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS fraction_positive FROM lv GROUP BY ALL""")
 def _(spark, d):
-    lv = all_levels(spark, d).withColumn("rho", F.col("accuracy") - 0.5)
+    lv = all_levels(spark, d, True).withColumn("rho", F.col("accuracy") - 0.5)
     return rounded(A.significance_summary(lv, ["task", "model"], "dip_pvalue", "rho"), "fraction_positive")
 
 

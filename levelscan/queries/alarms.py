@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from levelscan.operators import alarms as A
 from levelscan.operators import routing as R
-from levelscan.queries.bindings import ALL_LV, LV, all_levels, levels, with_d_star
+from levelscan.queries.bindings import ALL_LVM, LVM, all_levels, levels, with_d_star
 from levelscan.queries.registry import query, r6, rounded, table
 
 SER = ["task", "model"]
@@ -40,41 +40,41 @@ def _out(df):
     return rounded(df.select(*SER, "level", "protocol", "statistic", "limit", "alarmed"), "statistic", "limit")
 
 
-@query("alm01_threshold_alarm", f"WITH {LV}, {AL} {SEL} WHERE protocol IN ('any1', 'any2', 'all3')")
+@query("alm01_threshold_alarm", f"WITH {LVM}, {AL} {SEL} WHERE protocol IN ('any1', 'any2', 'all3')")
 def _(spark, d):
-    return _out(A.threshold_alarm(with_d_star(levels(spark, d))))
+    return _out(A.threshold_alarm(with_d_star(levels(spark, d, True))))
 
 
-@query("alm02_cusum_alarm", f"WITH {LV}, {AL} {SEL} WHERE protocol LIKE 'cusum%'")
+@query("alm02_cusum_alarm", f"WITH {LVM}, {AL} {SEL} WHERE protocol LIKE 'cusum%'")
 def _(spark, d):
-    return _out(A.cusum_alarm(with_d_star(levels(spark, d)), INDS, (4.0, 5.0)))
+    return _out(A.cusum_alarm(with_d_star(levels(spark, d, True)), INDS, (4.0, 5.0)))
 
 
-@query("alm03_ewma_alarm", f"WITH {LV}, {AL} {SEL} WHERE protocol LIKE 'ewma%'")
+@query("alm03_ewma_alarm", f"WITH {LVM}, {AL} {SEL} WHERE protocol LIKE 'ewma%'")
 def _(spark, d):
-    return _out(A.ewma_alarm(with_d_star(levels(spark, d)), INDS, (0.2, 0.3), (2.5, 3.0)))
+    return _out(A.ewma_alarm(with_d_star(levels(spark, d, True)), INDS, (0.2, 0.3), (2.5, 3.0)))
 
 
-@query("alm04_plain_cusum", f"""WITH {LV}, a AS (SELECT *, count(*) OVER (PARTITION BY task, model) AS nn, row_number() OVER ({PW}) AS rn FROM lv), b AS (SELECT *, avg(variance) FILTER (WHERE rn <= greatest(3, nn // 3)) OVER (PARTITION BY task, model) AS mu, stddev_pop(variance) OVER (PARTITION BY task, model) AS sd FROM a),
+@query("alm04_plain_cusum", f"""WITH {LVM}, a AS (SELECT *, count(*) OVER (PARTITION BY task, model) AS nn, row_number() OVER ({PW}) AS rn FROM lv), b AS (SELECT *, avg(variance) FILTER (WHERE rn <= greatest(3, nn // 3)) OVER (PARTITION BY task, model) AS mu, stddev_pop(variance) OVER (PARTITION BY task, model) AS sd FROM a),
 c AS (SELECT *, sum(variance - mu) OVER ({PW} ROWS UNBOUNDED PRECEDING) AS st, CASE WHEN sd > 0 THEN 2.0 * sd ELSE 0.1 END AS lim FROM b) SELECT task, model, level, round(st, 6) + 0.0 AS statistic, round(lim, 6) + 0.0 AS "limit", nn >= 3 AND st > lim AS alarmed FROM c""")
 def _(spark, d):
-    return rounded(A.plain_cusum(levels(spark, d)), "statistic", "limit")
+    return rounded(A.plain_cusum(levels(spark, d, True)), "statistic", "limit")
 
 
 ANY = ["variance", "bimodality_coefficient", "disagreement_rate"]
 
 
-@query("alm05_any_indicator_alarm", f"""WITH {LV}, t AS (SELECT {', '.join(f'avg({c}) + stddev_samp({c}) AS t_{c}' for c in ANY)} FROM lvd WHERE level < d_star - 3) SELECT task, model, level, {' OR '.join(f'{c} >= t_{c}' for c in ANY)} AS alarmed FROM lvd, t""")
+@query("alm05_any_indicator_alarm", f"""WITH {LVM}, t AS (SELECT {', '.join(f'avg({c}) + stddev_samp({c}) AS t_{c}' for c in ANY)} FROM lvd WHERE level < d_star - 3) SELECT task, model, level, {' OR '.join(f'{c} >= t_{c}' for c in ANY)} AS alarmed FROM lvd, t""")
 def _(spark, d):
-    return A.any_indicator_alarm(with_d_star(levels(spark, d)), F.col("level") < F.col("d_star") - 3, ANY)
+    return A.any_indicator_alarm(with_d_star(levels(spark, d, True)), F.col("level") < F.col("d_star") - 3, ANY)
 
 
-@query("alm06_multi_channel_alarm", f"""WITH {LV}, a AS (SELECT *, row_number() OVER ({PW}) AS rn FROM lv), b AS (SELECT *, avg(variance) FILTER (WHERE rn <= 3) OVER s AS mv, avg(disagreement_rate) FILTER (WHERE rn <= 3) OVER s AS md, stddev_pop(variance) FILTER (WHERE rn <= 3) OVER s AS sv0, stddev_pop(disagreement_rate) FILTER (WHERE rn <= 3) OVER s AS sd0 FROM a WINDOW s AS (PARTITION BY task, model)),
+@query("alm06_multi_channel_alarm", f"""WITH {LVM}, a AS (SELECT *, row_number() OVER ({PW}) AS rn FROM lv), b AS (SELECT *, avg(variance) FILTER (WHERE rn <= 3) OVER s AS mv, avg(disagreement_rate) FILTER (WHERE rn <= 3) OVER s AS md, stddev_pop(variance) FILTER (WHERE rn <= 3) OVER s AS sv0, stddev_pop(disagreement_rate) FILTER (WHERE rn <= 3) OVER s AS sd0 FROM a WINDOW s AS (PARTITION BY task, model)),
 c AS (SELECT *, greatest(sv0, mv * 0.03) AS sv, greatest(sd0, 0.03) AS sd FROM b), e AS (SELECT *, sum(CASE WHEN rn > 3 THEN variance - mv - 0.5 * sv END) OVER r AS cv, sum(CASE WHEN rn > 3 THEN disagreement_rate - md - 0.5 * sd END) OVER r AS cd FROM c WINDOW r AS ({PW} ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, cv - least(0, min(cv) OVER r) AS s1, cd - least(0, min(cd) OVER r) AS s2 FROM e WINDOW r AS ({PW} ROWS UNBOUNDED PRECEDING)), g AS (SELECT *, CASE WHEN rn <= 3 THEN NULL WHEN s1 > 2.5 * sv THEN 'variance' WHEN s2 > 2.5 * sd THEN 'disagreement' WHEN dip_pvalue < 0.05 AND variance > mv * 1.05 THEN 'dip' END AS ch FROM f)
 SELECT task, model, min(level) FILTER (WHERE ch IS NOT NULL) AS alarm_level, arg_min(ch, level) FILTER (WHERE ch IS NOT NULL) AS channel FROM g GROUP BY ALL""")
 def _(spark, d):
-    return A.multi_channel_alarm(levels(spark, d))
+    return A.multi_channel_alarm(levels(spark, d, True))
 
 
 MET = """mt AS (SELECT task, model, protocol, max(d_star) AS d_star, min(level) FILTER (WHERE alarmed) AS d_alarm, arg_min(accuracy, level) FILTER (WHERE alarmed) AS accuracy_at_alarm, CAST(bool_or(alarmed AND level <= d_star) AS INTEGER) AS sensitivity, coalesce(avg(CAST(alarmed AS INT)) FILTER (WHERE level < d_star - 3), 0) AS false_alarm_rate,
@@ -83,9 +83,9 @@ mm AS (SELECT *, d_star - d_alarm AS lead_time, CASE WHEN tp + fp > 0 THEN tp /
 MCOLS = ["accuracy_at_alarm", "false_alarm_rate", "precision", "recall", "f1"]
 
 
-@query("alm07_alarm_metrics", f"WITH {LV}, {AL}, {MET} SELECT task, model, protocol, d_star, d_alarm, sensitivity, tp, fp, fn, lead_time, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in MCOLS) + " FROM mm")
+@query("alm07_alarm_metrics", f"WITH {LVM}, {AL}, {MET} SELECT task, model, protocol, d_star, d_alarm, sensitivity, tp, fp, fn, lead_time, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in MCOLS) + " FROM mm")
 def _(spark, d):
-    return rounded(A.alarm_metrics(A.protocol_grid(with_d_star(levels(spark, d)))), *MCOLS)
+    return rounded(A.alarm_metrics(A.protocol_grid(with_d_star(levels(spark, d, True)))), *MCOLS)
 
 
 SCOLS = ["mean_lead_time", "mean_sensitivity", "mean_false_alarm_rate", "mean_precision", "mean_recall", "macro_f1", "lead_positive_share", "retention", "readiness"]
@@ -93,15 +93,15 @@ SUMM = """sm AS (SELECT protocol, coalesce(avg(lead_time), 0) AS mean_lead_time,
 sn AS (SELECT *, macro_f1 / 0.949 AS retention, 0.4 * mean_sensitivity + 0.3 * (1 - mean_false_alarm_rate) + 0.3 * lead_positive_share AS readiness FROM sm)"""
 
 
-@query("alm08_alarm_summary", f"WITH {LV}, {AL}, {MET}, {SUMM} SELECT protocol, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in SCOLS) + " FROM sn")
+@query("alm08_alarm_summary", f"WITH {LVM}, {AL}, {MET}, {SUMM} SELECT protocol, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in SCOLS) + " FROM sn")
 def _(spark, d):
-    m = A.alarm_metrics(A.protocol_grid(with_d_star(levels(spark, d))))
+    m = A.alarm_metrics(A.protocol_grid(with_d_star(levels(spark, d, True))))
     return rounded(A.alarm_summary(m), *SCOLS)
 
 
-@query("alm09_protocol_grid", f"WITH {ALL_LV}, {AL} {SEL}")
+@query("alm09_protocol_grid", f"WITH {ALL_LVM}, {AL} {SEL}")
 def _(spark, d):
-    return _out(A.protocol_grid(with_d_star(all_levels(spark, d))))
+    return _out(A.protocol_grid(with_d_star(all_levels(spark, d, True))))
 
 
 # ---- routing: cheap = click, capable = view; a query is an order line with its quantity as difficulty ---------
@@ -128,7 +128,7 @@ PSEL = ", ".join(f"round({c}::DOUBLE, 5) + 0.0 AS {c}" for c in PCOLS)
 
 
 def _pair(spark, d):
-    lv = levels(spark, d)
+    lv = levels(spark, d, True)
     cheap = lv.where("model = 'click'").select("task", "level", F.col("accuracy").alias("cheap_acc"), "disagreement_rate")
     cap = lv.where("model = 'view'").select("task", "level", F.col("accuracy").alias("capable_acc"))
     alarm = cheap.where("level > 5").groupBy("task").agg(F.min(F.when(F.col("disagreement_rate") < 0.972, F.col("level"))).alias("alarm_level"))
@@ -141,27 +141,27 @@ def _routed(spark, d):
     return R.route(R.difficulty_counts(q, ["task"], "q"), lv, al), lv, al
 
 
-@query("rt01_route", f"WITH {LV}, {RTE} SELECT task, difficulty, level, policy, use_capable, weight, round(CASE WHEN use_capable THEN capable_acc ELSE cheap_acc END, 6) + 0.0 AS expected_accuracy FROM ro")
+@query("rt01_route", f"WITH {LVM}, {RTE} SELECT task, difficulty, level, policy, use_capable, weight, round(CASE WHEN use_capable THEN capable_acc ELSE cheap_acc END, 6) + 0.0 AS expected_accuracy FROM ro")
 def _(spark, d):
     r, _lv, _al = _routed(spark, d)
     acc = F.when(F.col("use_capable"), F.col("capable_acc")).otherwise(F.col("cheap_acc"))
     return r.select("task", "difficulty", "level", "policy", "use_capable", "weight", r6(acc).alias("expected_accuracy"))
 
 
-@query("rt02_policy_metrics", f"WITH {LV}, {RTE}, {metrics_sql()} SELECT task, policy, alarm_level, {PSEL} FROM pm")
+@query("rt02_policy_metrics", f"WITH {LVM}, {RTE}, {metrics_sql()} SELECT task, policy, alarm_level, {PSEL} FROM pm")
 def _(spark, d):
     r, lv, _al = _routed(spark, d)
     return rounded(R.policy_metrics(r, lv), *PCOLS, digits=5)
 
 
-@query("rt03_pareto_front", f"""WITH {ALL_LV}, p AS (SELECT task, model, level, round(accuracy, 2) AS accuracy, round(variance, 0) AS cost FROM lv) SELECT task, model, level, accuracy, cost,
+@query("rt03_pareto_front", f"""WITH {ALL_LVM}, p AS (SELECT task, model, level, round(accuracy, 2) AS accuracy, round(variance, 0) AS cost FROM lv) SELECT task, model, level, accuracy, cost,
  NOT EXISTS (SELECT 1 FROM p b WHERE b.task = a.task AND b.accuracy >= a.accuracy AND b.cost <= a.cost AND (b.accuracy > a.accuracy OR b.cost < a.cost)) AS pareto FROM p a""")
 def _(spark, d):
-    p = all_levels(spark, d).select("task", "model", "level", r6("accuracy", 2).alias("accuracy"), r6("variance", 0).alias("cost"))
+    p = all_levels(spark, d, True).select("task", "model", "level", r6("accuracy", 2).alias("accuracy"), r6("variance", 0).alias("cost"))
     return R.pareto_front(p, ["task"], "accuracy", "cost")
 
 
-@query("rt04_break_even", f"""WITH {LV}, {RTE}, {metrics_sql()} SELECT task, round(max(overhead::DOUBLE) FILTER (WHERE policy = 'alarm'), 6) + 0.0 AS overhead, round(max(total_cost / n_queries) FILTER (WHERE policy = 'always_capable') - max((total_cost - overhead) / n_queries) FILTER (WHERE policy = 'alarm'), 9) + 0.0 AS saving,
+@query("rt04_break_even", f"""WITH {LVM}, {RTE}, {metrics_sql()} SELECT task, round(max(overhead::DOUBLE) FILTER (WHERE policy = 'alarm'), 6) + 0.0 AS overhead, round(max(total_cost / n_queries) FILTER (WHERE policy = 'always_capable') - max((total_cost - overhead) / n_queries) FILTER (WHERE policy = 'alarm'), 9) + 0.0 AS saving,
  round(greatest(max(overhead) FILTER (WHERE policy = 'alarm') / (max(total_cost / n_queries) FILTER (WHERE policy = 'always_capable') - max((total_cost - overhead) / n_queries) FILTER (WHERE policy = 'alarm')), 1), 4) + 0.0 AS break_even FROM pm GROUP BY ALL""")
 def _(spark, d):
     r, lv, _al = _routed(spark, d)
@@ -180,16 +180,16 @@ jg AS (SELECT ce.task, ce.distribution, ce.difficulty, ce.weight, l.cheap_acc, l
 rg AS (SELECT *, 'always_cheap' AS policy, false AS use_capable FROM jg UNION ALL SELECT *, 'always_capable', true FROM jg UNION ALL SELECT *, 'oracle', capable_acc > cheap_acc FROM jg UNION ALL SELECT *, 'alarm', coalesce(difficulty >= alarm_level, false) FROM jg), {parts}, gu AS ({union})"""
 
 
-@query("rt05_routing_grid", f"WITH {LV}, {RTE}, {_grid_sql()} SELECT task, distribution, batch, policy, alarm_level, {PSEL} FROM gu")
+@query("rt05_routing_grid", f"WITH {LVM}, {RTE}, {_grid_sql()} SELECT task, distribution, batch, policy, alarm_level, {PSEL} FROM gu")
 def _(spark, d):
     lv, al = _pair(spark, d)
     return rounded(R.routing_grid(lv, al, batches=(10, 20, 50)), *PCOLS, digits=5)
 
 
-@query("rt06_method_cost_table", f"""WITH {LV}, u AS (SELECT role AS family, count(*) AS calls, sum(length(text)) * 0.001::DOUBLE AS cost FROM conversations GROUP BY ALL), s AS (SELECT CASE WHEN model = 'click' THEN 'user' WHEN model = 'view' THEN 'assistant' ELSE 'none' END AS family, max(accuracy) AS f1 FROM lv GROUP BY ALL)
+@query("rt06_method_cost_table", f"""WITH {LVM}, u AS (SELECT role AS family, count(*) AS calls, sum(length(text)) * 0.001::DOUBLE AS cost FROM conversations GROUP BY ALL), s AS (SELECT CASE WHEN model = 'click' THEN 'user' WHEN model = 'view' THEN 'assistant' ELSE 'none' END AS family, max(accuracy) AS f1 FROM lv GROUP BY ALL)
 SELECT s.family, coalesce(calls, 0) AS calls, round(coalesce(cost, 0), 6)::DOUBLE + 0.0 AS cost, round(f1, 6) + 0.0 AS best_f1 FROM s LEFT JOIN u USING (family)""")
 def _(spark, d):
     u = table(spark, d, "conversations").select(F.col("role").alias("family"), (F.length("text") * 0.001).alias("cost"))
     fam = F.when(F.col("model") == "click", "user").when(F.col("model") == "view", "assistant").otherwise("none")
-    s = levels(spark, d).select(fam.alias("family"), F.col("accuracy").alias("f1"))
+    s = levels(spark, d, True).select(fam.alias("family"), F.col("accuracy").alias("f1"))
     return rounded(R.method_cost_table(u, s), "cost", "best_f1")

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from levelscan.functions.special import erfc_sql
+from levelscan.functions.special import dip_sf_sql, erfc_sql
 from levelscan.operators import indicators as I
-from levelscan.queries.bindings import EV, LV, ev_rows, levels
+from levelscan.queries.bindings import EV, LV, dip_sql, ev_rows, levels
 from levelscan.queries.registry import query, r6, rounded, table
 
 
@@ -78,11 +78,11 @@ def _(spark, d):
     return rounded(I.silhouette_squared(e, ["label"], "embedding"), "silhouette_k2")
 
 
-@query("ind06_dip")
+@query("ind06_dip", f"WITH {EV}, {dip_sql('ev', 'model, level', 'x', 11)} SELECT model, level, n, round(dip_statistic, 6) + 0.0 AS dip_statistic, round({dip_sf_sql('dip_statistic', 'n')}, 6) + 0.0 AS dip_pvalue FROM dip")
 def _(spark, d):
     e = ev_rows(spark, d)
     dips = I.dip_statistic(e, ["model", "level"], "x")
-    return rounded(I.dip_pvalue(dips, ["model", "level"], b=500), "dip_statistic", "dip_pvalue")
+    return rounded(I.dip_pvalue(dips, ["model", "level"]), "dip_statistic", "dip_pvalue")
 
 
 @query("ind07_ashman_labels", f"WITH {LV} SELECT model, level, round(ashman_d, 6) + 0.0 AS ashman_d FROM lv")
@@ -108,7 +108,7 @@ def _(spark, d):
 @query("ind09_indicator_battery")
 def _(spark, d):
     e = emb(spark, d).withColumn("correct", F.col("embedding")[1] > 0).withColumn("answer", F.floor(F.col("embedding")[2] * 4))
-    b = I.indicator_battery(e, ["label"], "vec_id", "embedding", "correct", "answer", null_reps=200)
+    b = I.indicator_battery(e, ["label"], "vec_id", "embedding", "correct", "answer")
     return rounded(b, *[c for c in b.columns if c not in ("label", "n")])
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from levelscan.operators import joins as J
 from levelscan.operators.windows import critical_level
 from levelscan.queries.aggregates import PAIRS
-from levelscan.queries.bindings import ALL_LV, EV, LV, ev_rows, levels, line_rows
+from levelscan.queries.bindings import ALL_LV, EV, LV, LVM, ev_rows, levels, line_rows
 from levelscan.queries.registry import query, rounded, table
 
 K = ["task", "model", "level"]
@@ -112,9 +112,9 @@ def _(spark, d):
     return J.resolved_count(table(spark, d, "documents"), refs, _cites())
 
 
-@query("jn10_grid_cross", f"""WITH {LV}, g AS (SELECT unnest([0.1, 0.2, 0.3, 0.4])::DOUBLE AS cut) SELECT model, cut, count(*) FILTER (WHERE silhouette_k2 >= cut) AS n_hit FROM lv, g GROUP BY ALL""")
+@query("jn10_grid_cross", f"""WITH {LVM}, g AS (SELECT unnest([0.1, 0.2, 0.3, 0.4])::DOUBLE AS cut) SELECT model, cut, count(*) FILTER (WHERE silhouette_k2 >= cut) AS n_hit FROM lv, g GROUP BY ALL""")
 def _(spark, d):
-    g = J.grid_cross(levels(spark, d).select("model", "silhouette_k2"), cut=[0.1, 0.2, 0.3, 0.4])
+    g = J.grid_cross(levels(spark, d, True).select("model", "silhouette_k2"), cut=[0.1, 0.2, 0.3, 0.4])
     return g.groupBy("model", "cut").agg(F.sum((F.col("silhouette_k2") >= F.col("cut")).cast("long")).alias("n_hit"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from levelscan.functions import predicates as P
-from levelscan.queries.bindings import ALL_LV, LV, all_levels, levels, with_d_star
+from levelscan.queries.bindings import ALL_LVM, LVM, all_levels, levels, with_d_star
 from levelscan.queries.registry import query, r6, table
 
 K = ["task", "model", "level"]
@@ -20,12 +20,12 @@ def _(spark, d):
     return e.select(P.pair_id(F.lit("events"), "event_type").alias("pair_id")).distinct()
 
 
-@query("prj03_label_near", f"""WITH {LV} SELECT task, model, level, CAST(level >= d_star - 2 AS INTEGER) AS approaching,
+@query("prj03_label_near", f"""WITH {LVM} SELECT task, model, level, CAST(level >= d_star - 2 AS INTEGER) AS approaching,
  CAST(level >= d_star - 3 AS INTEGER) AS approaching3, CAST(abs(level - d_star) <= 2 AS INTEGER) AS symmetric,
  CAST(d_star - level <= 2 AND level <= d_star AS INTEGER) AS one_sided,
  CASE WHEN level >= d_star - 2 THEN 1 WHEN level <= d_star - 3 THEN 0 END AS gap FROM lvd""")
 def _(spark, d):
-    lv = with_d_star(levels(spark, d))
+    lv = with_d_star(levels(spark, d, True))
     return lv.select(
         *K,
         P.label_near("level", "d_star").alias("approaching"),
@@ -36,26 +36,26 @@ def _(spark, d):
     )
 
 
-@query("prj04_zones", f"""WITH {LV} SELECT task, model, level, CASE WHEN level <= d_star - 5 OR level < d_star / 2.0 THEN 'far'
+@query("prj04_zones", f"""WITH {LVM} SELECT task, model, level, CASE WHEN level <= d_star - 5 OR level < d_star / 2.0 THEN 'far'
  WHEN level < d_star - 3 THEN 'pre' WHEN level <= d_star THEN 'near' WHEN level > d_star THEN 'beyond' END AS zone,
  level < d_star - 3 AS clearly_safe FROM lvd""")
 def _(spark, d):
-    lv = with_d_star(levels(spark, d))
+    lv = with_d_star(levels(spark, d, True))
     return lv.select(*K, P.zone("level", "d_star").alias("zone"), (F.col("level") < F.col("d_star") - 3).alias("clearly_safe"))
 
 
-@query("prj05_classify_pairs", f"""WITH {ALL_LV} SELECT task, model, min(level) AS min_level, max(d_star) AS d_star,
+@query("prj05_classify_pairs", f"""WITH {ALL_LVM} SELECT task, model, min(level) AS min_level, max(d_star) AS d_star,
  CASE WHEN max(d_star) IS NULL THEN 'negative' WHEN max(d_star) > min(level) THEN 'positive' ELSE 'excluded' END AS pair_class
  FROM lvd GROUP BY ALL""")
 def _(spark, d):
-    return P.classify_pairs(with_d_star(all_levels(spark, d)))
+    return P.classify_pairs(with_d_star(all_levels(spark, d, True)))
 
 
-@query("prj06_task_indicators", f"""WITH {ALL_LV} SELECT task, model, level, CAST(task = 'events' AS DOUBLE) AS is_events,
+@query("prj06_task_indicators", f"""WITH {ALL_LVM} SELECT task, model, level, CAST(task = 'events' AS DOUBLE) AS is_events,
  CAST(task = 'orders' AS DOUBLE) AS is_orders, CAST(task = 'lineitem' AS DOUBLE) AS is_lineitem FROM lv""")
 def _(spark, d):
     flags = P.task_indicators("task", ["events", "orders", "lineitem"])
-    return all_levels(spark, d).select(*K, *[c.alias(n) for n, c in flags.items()])
+    return all_levels(spark, d, True).select(*K, *[c.alias(n) for n, c in flags.items()])
 
 
 @query("prj07_safe_float", """WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'None' WHEN 2 THEN CAST(value AS VARCHAR) ELSE NULL END AS s FROM events)
@@ -66,18 +66,18 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", P.safe_float(s, -1.0).alias("v"))
 
 
-@query("prj08_binary_indicators", f"""WITH {LV} SELECT task, model, level, CAST(dip_pvalue < 0.05 AS INTEGER) AS b_dip,
+@query("prj08_binary_indicators", f"""WITH {LVM} SELECT task, model, level, CAST(dip_pvalue < 0.05 AS INTEGER) AS b_dip,
  CAST(silhouette_k2 > 0.3 AS INTEGER) AS b_silhouette, CAST(bimodality_coefficient > 0.555 AS INTEGER) AS b_bimodality,
  CAST(disagreement_rate > 0.5 AS INTEGER) AS b_disagreement,
  coalesce(CAST(variance - lag(variance) OVER (PARTITION BY task, model ORDER BY level) > 0 AS INTEGER), 0) AS b_variance_up FROM lv""")
 def _(spark, d):
-    return levels(spark, d).select(*K, *[c.alias(n) for n, c in P.binary_indicators().items()])
+    return levels(spark, d, True).select(*K, *[c.alias(n) for n, c in P.binary_indicators().items()])
 
 
-@query("prj09_bimodality_consensus", f"""WITH {LV} SELECT task, model, level,
+@query("prj09_bimodality_consensus", f"""WITH {LVM} SELECT task, model, level,
  (CAST(dip_pvalue < 0.05 AS INT) + CAST(silhouette_k2 > 0.3 AS INT) + CAST(bimodality_coefficient > 5.0/9.0 AS INT)) >= 2 AS bimodal FROM lv""")
 def _(spark, d):
-    return levels(spark, d).select(*K, P.bimodality_consensus().alias("bimodal"))
+    return levels(spark, d, True).select(*K, P.bimodality_consensus().alias("bimodal"))
 
 
 @query("prj10_short_answer", """SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) BETWEEN 1 AND 5 AND length(text) < 100 AS is_short FROM conversations""")

@@ -10,7 +10,7 @@ from levelscan.operators.joins import check_colouring
 from levelscan.plans.parallel import spread
 from levelscan.plans.session import shared_folder
 from levelscan.queries.alarms import AL
-from levelscan.queries.bindings import EV, LV, levels
+from levelscan.queries.bindings import EV, LVM, levels
 from levelscan.queries.registry import query, rounded, table
 from levelscan.queries.statistics import hash_sql
 from levelscan.streaming import monitors as S
@@ -40,11 +40,11 @@ def _(spark, d):
     return rounded(out.select("event_type", level, "n", "mean_value", "variance"), "mean_value", "variance")
 
 
-@query("str02_stream_alarm_monitor", f"""WITH {LV}, {AL} SELECT task, model, level, protocol, round(statistic, 6) + 0.0 AS statistic, round("limit", 6) + 0.0 AS "limit", alarmed FROM al WHERE protocol IN ('any1', 'any2', 'all3', 'cusum_variance_h4.0', 'ewma_variance_l0.2_L2.5')""")
+@query("str02_stream_alarm_monitor", f"""WITH {LVM}, {AL} SELECT task, model, level, protocol, round(statistic, 6) + 0.0 AS statistic, round("limit", 6) + 0.0 AS "limit", alarmed FROM al WHERE protocol IN ('any1', 'any2', 'all3', 'cusum_variance_h4.0', 'ewma_variance_l0.2_L2.5')""")
 def _(spark, d):
     # the level table arrives in three pieces, in level order
     f = _folder(spark)
-    lv = levels(spark, d).select("task", "model", "level", "variance", "disagreement_rate", "dip_pvalue")
+    lv = levels(spark, d, True).select("task", "model", "level", "variance", "disagreement_rate", "dip_pvalue")
     lv.write.parquet(f"{f}/all")
     for part, cond in enumerate(("level < 7", "level >= 7 and level < 19", "level >= 19")):
         spark.read.parquet(f"{f}/all").where(cond).coalesce(1).write.parquet(f"{f}/in/part={part}")

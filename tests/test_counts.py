@@ -7,15 +7,13 @@ import pytest
 from test_registry import TABLES, rows
 
 import __spark_entry__ as entry
-from levelscan.operators import fits, indicators, learners
+from levelscan.operators import fits, learners
 
 #: query: operator, and the arguments it has to be called with
 COUNTS = {
     "ml14_feature_importance": (learners, "feature_importance", {"trees": 100}),
     "fit03b_fold_refined": (fits, "fit_fold", {"refine": True}),
     "fit06_compare_models": (fits, "model_scores", {"cusp": True, "fold": {}}),
-    "ind06_dip": (indicators, "dip_pvalue", {"b": 500}),
-    "ind09_indicator_battery": (indicators, "indicator_battery", {"null_reps": 200}),
 }
 
 
