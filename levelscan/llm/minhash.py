@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from levelscan.llm.common import drop_stored, stored
@@ -17,6 +19,8 @@ BANDS, ROWS = 36, 6      # a pair at similarity 0.8 shares no band with probabil
 PERCENT = 80
 SLACK = 0.12             # signatures are estimates: with 216 minima, 0.12 below the threshold is over four deviations
 BLOCK = 512              # members of two components that are compared in one task
+CROWD = 16               # components of a bucket that are paired
+CELLS = 65_536           # of the hash of shingles, in which their frequencies are counted
 _SEED = 20_240_229
 _BLOCK = 512             # shingles hashed at once: the buffer stays in the cache
 
@@ -166,6 +170,94 @@ def links_between(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int
     return rows.select("centre", "i", "o", "side", "root", "rep", "text").groupBy("centre", "i", "o").applyInPandas(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def rare_shingles(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, rep): each text's rarest shingles, as many as make any linked pair share one.
+
+    With n shingles in one order for all texts, two sets at or above the threshold share one of their first n - ceil(n * percent / 100) + 1.
+    The order is by frequency, then hash.  Frequencies are counted in CELLS cells of the hash, one array a task, so that counting
+    sends no shingles.  Whatever the order, no pair is missed; frequencies only keep common shingles out.
+    """
+    def hashed(text: str | None) -> np.ndarray:
+        found = shingles_of(words_of(text), k)
+        return np.fromiter((x - 2**64 if x >= 2**63 else x for x in map(xxhash.xxh64_intdigest, found)), np.int64, len(found))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                cells += np.bincount(hashed(text.as_py()) & (CELLS - 1), minlength=CELLS)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([zlib.compress(cells.tobytes(), 1)])], ["part", "cells"])
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cells": [zlib.compress(sum(np.frombuffer(zlib.decompress(c), np.int64) for c in group["cells"]).tobytes(), 1)]})
+
+    parts = texts.select("text").mapInArrow(counted, "part bigint, cells binary").groupBy("part").applyInPandas(summed, "cells binary").collect()  # 16 arrays at most
+    often = sum((np.frombuffer(zlib.decompress(r["cells"]), np.int64) for r in parts), np.zeros(CELLS, np.int64))
+    kind = dict(texts.dtypes)["rep"]
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, length = [], []
+            for text in batch.column(1):
+                found = hashed(text.as_py())
+                n = len(found)
+                first = found[np.lexsort((found, often[found & (CELLS - 1)]))][:n + 1 + -n * percent // 100]
+                tokens.append(first)
+                length.append(len(first))
+            reps = batch.column(0).take(pa.array(np.repeat(np.arange(len(length)), length)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), reps], ["token", "rep"])
+
+    return texts.select("rep", "text").mapInArrow(prefix, f"token bigint, rep {kind}")
+
+
+def touching_components(rare: DataFrame) -> DataFrame:
+    """Pairs of components (a, b, size_a, size_b) that share a rare shingle, one of them at least of several members.
+
+    Shingles that the same components share count once.
+    """
+    held = rare.select("token", "root", "size").distinct()
+    alike = held.groupBy("token").agg(F.count("*").alias("n"), F.max("size").alias("most"), F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("sum")).where("n > 1 and most > 1")
+    once = stored(held.join(alike.groupBy("n", "sum").agg(F.min("token").alias("token")).select("token"), "token", "left_semi"))
+    large, other = once.where("size > 1").select("token", F.col("root").alias("a"), F.col("size").alias("size_a")), once.select("token", F.col("root").alias("b"), F.col("size").alias("size_b"))
+    return large.join(other, "token").where("a < b or (size_b = 1 and a <> b)").drop("token").distinct()
+
+
+def links_among_singles(rare: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents that are linked to nothing yet and share a rare shingle, enough to connect all that are linked.
+
+    Those of one shingle are cut into blocks.  A task compares one block with another, or with itself, on full sets and returns at most
+    one link for each document, so neither rows nor links grow with the pairs.
+    """
+    alike = rare.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    once = alike.groupBy("n", "sum").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = rare.select("token", "rep").join(once, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = stored(own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep"))
+    rows = dealt.join(texts.join(dealt.select("rep").distinct(), "rep", "left_semi"), "rep")
+    kind = dict(rare.dtypes)["rep"]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep")
+        rep, side = group["rep"].to_numpy(), (group["own"] == group["j"]).to_numpy()
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        number: dict[bytes, int] = {}
+        ids = [np.fromiter((number.setdefault(x, len(number)) for x in shingles_of(words_of(t), k)), np.int64) for t in group["text"]]
+        length = np.array([len(x) for x in ids])
+        flat, starts = np.concatenate(ids), np.cumsum(length) - length
+        label, found = np.arange(len(rep)), []
+        for j in np.flatnonzero(side | same):
+            mark = np.zeros(len(number), np.int64)
+            mark[ids[j]] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            for i in np.flatnonzero((100 * both >= percent * (length + length[j] - both)) & (same | ~side)):
+                if label[i] != label[j]:
+                    label[label == label[i]] = label[j]
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype({"a": rep.dtype, "b": rep.dtype})
+
+    return rows.select("token", "i", "j", "own", "rep", "text").groupBy("token", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge, by alternating large-star and small-star.
 
@@ -200,9 +292,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     Representatives that share a band are candidates, in two steps that never list the pairs of a bucket at once:
 
     1. Each member of a bucket against the bucket's smallest: signatures, then full sets.  Components of these links.
-    2. Components that then share a bucket: their members against each other, in blocks, on full sets (see links_between).
-
-    So any linked pair that shares a band ends up in one component.  Null, empty and white-space texts have no set and are their
+    2. Components that then share a bucket: up to CROWD of them are paired, so a bucket's pairs grow with its components, and their members
+       compared in blocks on full sets (links_between).  The members of a bucket with more components meet by rare
+       shingles instead (see rare_shingles), of which any linked pair has one in common: single ones in blocks inside tasks
+       (links_among_singles), larger components with all that they touch.  Shingles that many unlinked documents have in common
+       are not rare, so a shared passage lists no pairs.
+
+    So any linked pair that shares a band ends up in one component; one shares none, or fails the estimate of step 1 and no other, with
+    a probability of about 3e-5 at the threshold.  Null, empty and white-space texts have no set and are their
     own component; null ids form no component and are kept (component null).  Repeated rows are of one class.
     Empty tables give no rows; other columns are ignored.
     """
@@ -221,17 +318,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
     links = stored(confirmed(first, texts.join(needed, "rep", "left_semi"), k, percent))
     roots = components(links)
 
-    # components that share a bucket; buckets with the same components count once
-    placed = stored(shared.select("bucket", F.col("b").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", F.coalesce("root", "rep").alias("root")).distinct())
-    alike = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("sum")).where("n > 1").groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))
-    once = stored(placed.join(alike.select("bucket"), "bucket", "left_semi"))
+    # components that share a bucket: few of them are paired, many meet by the rare shingles that any linked pair of them shares
     members = stored(reps.select("rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")))
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    touching = once.select("bucket", F.col("root").alias("a")).join(once.select("bucket", F.col("root").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    sized = stored(touching.join(sizes.select(F.col("root").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("root").alias("b"), F.col("size").alias("size_b")), "b"))
-    single = sized.where("size_a = 1 and size_b = 1").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    rest = sized.where("size_a > 1 or size_b > 1").union(similar_signatures(single, reps, percent).select("a", "b", F.lit(1), F.lit(1)))
-    more = stored(links_between(rest, members, texts, k, percent))
+    sizes = stored(members.groupBy("root").agg(F.count("*").alias("size")))
+    placed = shared.select("bucket", F.col("b").alias("rep")).join(members, "rep")
+    held = stored(placed.select("bucket", "root").distinct())
+    alike = held.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("root").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    few = alike.where(F.col("n") <= CROWD).groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))  # buckets with the same components count once
+    once = stored(held.join(few.select("bucket"), "bucket", "left_semi"))
+    pairs = once.select("bucket", F.col("root").alias("a")).join(once.select("bucket", F.col("root").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
+    touching = stored(pairs.join(sizes.select(F.col("root").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("root").alias("b"), F.col("size").alias("size_b")), "b"))
+    single = touching.where("size_a = 1 and size_b = 1").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    crowd = stored(placed.join(alike.where(F.col("n") > CROWD).select("bucket"), "bucket", "left_semi").select("rep", "root").distinct().join(sizes, "root"))
+    rare = stored(rare_shingles(texts.join(crowd.select("rep"), "rep", "left_semi"), k, percent).join(crowd, "rep"))
+    rest = touching.where("size_a > 1 or size_b > 1").unionByName(touching_components(rare)).unionByName(similar_signatures(single, reps, percent).withColumns({"size_a": F.lit(1), "size_b": F.lit(1)}))
+    more = stored(links_between(rest.distinct(), members, texts, k, percent).unionByName(links_among_singles(rare.where("size = 1"), texts, k, percent)))
     if not more.isEmpty():
         roots = components(links.union(more))
 

@@ -228,6 +228,53 @@ def test_minhash(docs, none, spark, k):
     assert minhash.keep_one_of_each(docs, k).columns == docs.columns
 
 
+@pytest.mark.parametrize("own, linked", [(30, False), (3, True)])
+def test_shared_passages_list_no_pairs(spark, monkeypatch, own, linked):
+    """Documents that share a band but no link: what step 2 compares grows with the documents, not with their pairs."""
+    draw = random.Random(own)
+    common = [f"common{draw.randrange(10**6)}" for _ in range(61)]
+    compared = {}
+    for n in (200, 400):
+        df = spark.createDataFrame([(i, " ".join(common + [f"own{i}x{j}" for j in range(own)])) for i in range(n)], "doc_id bigint, text string")
+        rows = 0
+        for name in ("rare_shingles", "touching_components"):
+            real = getattr(minhash, name)
+
+            def counting(*args, real=real):
+                nonlocal rows
+                out = minhash.stored(real(*args))
+                rows += out.count()
+                return out
+
+            monkeypatch.setattr(minhash, name, counting)
+        got = minhash.near_duplicates(df, 2).collect()
+        monkeypatch.undo()
+        assert {r["component_id"] == 0 for r in got} == {linked, True} and len({r["component_id"] for r in got}) == (1 if linked else n)
+        compared[n] = rows
+    assert compared[400] <= 2.6 * max(compared[200], 50)
+
+
+def test_near_misses_are_compared_in_blocks(spark, monkeypatch):
+    """Single documents that share rare shingles, some linked and most just below the threshold, in blocks of any size."""
+    draw = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words_ = base[:]
+        for at in draw.sample(range(60), draw.choice([1, 2, 3])):
+            words_[at] = f"n{draw.randrange(12)}"
+        rows.append((i, " ".join(words_)))
+    want = brute_components(rows, 2)
+    texts = spark.createDataFrame(rows, "rep bigint, text string")
+    for block in (512, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        rare = minhash.rare_shingles(texts, 2, 80).selectExpr("token", "rep", "rep as root", "1 as size")
+        links = minhash.links_among_singles(rare, texts, 2, 80)
+        roots = {r["node"]: r["root"] for r in minhash.components(links).collect()}
+        assert {i: roots.get(i, i) for i, _ in rows} == want
+    assert 1 < len(set(want.values())) < 90
+
+
 def test_star_components(spark):
     draw = random.Random(9)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(240)] + [(i, i + 1) for i in range(400, 460)]
