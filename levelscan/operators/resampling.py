@@ -158,19 +158,20 @@ def bca_ci(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
 
 
 def bootstrap_effect(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b_side, order: Sequence[str], b: int = 500, seed: int = 42) -> DataFrame:
-    """Interval of Cohen's d with both samples redrawn separately."""
+    """Interval of Cohen's d with both samples redrawn separately; replicates of equal rows on either side have none."""
     two = df.where(F.col(side).isin(a, b_side))
-    middle = two.agg(F.avg(value)).first()[0] or 0.0  # squares are summed about the overall mean
-    x = F.col(value).cast("double") - F.lit(float(middle))
+    middle = two.groupBy(*keys).agg(F.avg(value).alias("_mid"), F.stddev_pop(value).alias("_sd"))  # squares are summed about the group's mean
+    two = two.join(middle.select(*keys, "_mid"), list(keys))
+    x = F.col(value).cast("double") - F.col("_mid")
     sums = replicate_sums(two, [*keys, side], order, {"x": x, "xx": x * x}, b, seed)
 
     def of(which, c):
         return F.max(F.when(F.col(side) == which, F.col(c)))
 
-    per = sums.groupBy(*keys, "rep").agg(*[of(s, c).alias(f"{c}_{i}") for i, s in enumerate((a, b_side)) for c in ("w", "x", "xx")])
+    per = sums.groupBy(*keys, "rep").agg(*[of(s, c).alias(f"{c}_{i}") for i, s in enumerate((a, b_side)) for c in ("w", "x", "xx")]).join(middle.select(*keys, "_sd"), list(keys))
     inside = sum(F.col(f"xx_{i}") - F.col(f"x_{i}") ** 2 / F.col(f"w_{i}") for i in (0, 1))
-    pooled = F.sqrt(inside / (F.col("w_0") + F.col("w_1") - 2))
-    d = F.when((F.col("w_0") >= 2) & (F.col("w_1") >= 2) & (pooled > 0), (F.col("x_0") / F.col("w_0") - F.col("x_1") / F.col("w_1")) / pooled)
+    pooled = F.sqrt(F.greatest(inside, F.lit(0.0)) / (F.col("w_0") + F.col("w_1") - 2))
+    d = F.when((F.col("w_0") >= 2) & (F.col("w_1") >= 2) & (pooled > 1e-6 * F.col("_sd")), (F.col("x_0") / F.col("w_0") - F.col("x_1") / F.col("w_1")) / pooled)
     return percentile_interval(per.select(*keys, d.alias("stat")), keys)
 
 

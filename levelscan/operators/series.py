@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelscan.operators import statistics as T
+from levelscan.operators.resampling import bootstrap_effect
 from levelscan.operators.windows import by_level
 from levelscan.plans.session import cut_lineage
 
@@ -245,16 +246,27 @@ def consistency_matrix(series: DataFrame, cols: Sequence[str] = TREND_COLUMNS, k
     return t.select(*keys, "indicator", "tau", "p_value", F.when(ok, F.signum("tau").cast("int")).otherwise(0).alias("rating"))
 
 
+def _near_and_far(series: DataFrame, cols: Sequence[str]) -> DataFrame:
+    z = F.when(F.col("level") <= F.col("d_star") - 5, "far").when(F.col("level").between(F.col("d_star") - 3, F.col("d_star")), "near")
+    return long_table(cut_lineage(series.where("d_star >= 5")), cols).withColumn("_z", z).where(F.col("_z").isNotNull())
+
+
 def effect_sizes(series: DataFrame, cols: Sequence[str] = TREND_COLUMNS, keys: Sequence[str] = SERIES) -> DataFrame:
     """Cohen's d and Cliff's delta of near (d*-3..d*) against far (<= d*-5) levels; far needs 3 levels, d* at least 5."""
-    z = F.when(F.col("level") <= F.col("d_star") - 5, "far").when(F.col("level").between(F.col("d_star") - 3, F.col("d_star")), "near")
-    lng = long_table(cut_lineage(series.where("d_star >= 5")), cols).withColumn("_z", z).where(F.col("_z").isNotNull())
-    k = [*keys, "indicator"]
+    lng, k = _near_and_far(series, cols), [*keys, "indicator"]
     d = T.cohens_d(lng, k, "value", "_z", "near", "far").where("n_b >= 3 and n_a >= 1")
     c = T.cliffs_delta(lng, k, "value", "_z", "near", "far")
     return d.select(*k, F.col("n_a").alias("n_near"), F.col("n_b").alias("n_far"), "cohens_d").join(c, k)
 
 
+def effect_intervals(series: DataFrame, cols: Sequence[str] = TREND_COLUMNS, keys: Sequence[str] = SERIES, b: int = 1000, seed: int = 42) -> DataFrame:
+    """Bootstrap interval of each indicator's Cohen's d of near against far levels, both redrawn; same series as ``effect_sizes``."""
+    k = [*keys, "indicator"]
+    lng = cut_lineage(_near_and_far(series, cols).where(F.col("value").isNotNull()))
+    sizes = lng.groupBy(*k).agg(F.count(F.when(F.col("_z") == "near", 1)).alias("n_near"), F.count(F.when(F.col("_z") == "far", 1)).alias("n_far"))
+    return bootstrap_effect(lng, k, "value", "_z", "near", "far", ["level"], b, seed).join(sizes.where("n_far >= 3 and n_near >= 1").select(*k), k)
+
+
 def mean_effects(effects: DataFrame) -> DataFrame:
     return effects.groupBy("indicator").agg(F.coalesce(F.avg("cohens_d"), F.lit(0.0)).alias("mean_d"), F.coalesce(F.avg("cliffs_delta"), F.lit(0.0)).alias("mean_delta"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from levelscan.operators import series as S
 from levelscan.queries.bindings import ALL_LVM, LVM, all_levels, levels, with_d_star
 from levelscan.queries.registry import query, rounded
-from levelscan.queries.statistics import TAU, corr_p_sql, unpivot_sql
+from levelscan.queries.statistics import TAU, corr_p_sql, unpivot_sql, weights_sql
 
 SER = ["task", "model"]
 PW = "PARTITION BY task, model ORDER BY level"
@@ -171,6 +171,14 @@ def _(spark, d):
     return rounded(S.mean_effects(S.effect_sizes(_all(spark, d))), "mean_d", "mean_delta")
 
 
+@query("ser12c_effect_intervals", f"""WITH {ALL_LVM}, {EFF}, en AS (SELECT * FROM ez WHERE z IS NOT NULL), {weights_sql('en', "'42', task, model, indicator, z, level", 'task, model, indicator, z, value')},
+bm AS (SELECT task, model, indicator, z, rep, sum(w) AS n, sum(w * value) / sum(w) AS mu FROM bw GROUP BY ALL HAVING sum(w) > 0), bv AS (SELECT task, model, indicator, z, rep, any_value(n) AS n, any_value(mu) AS mu, sum(w * (value - mu) ** 2) AS ss FROM bw JOIN bm USING (task, model, indicator, z, rep) GROUP BY ALL),
+sp AS (SELECT task, model, indicator, stddev_pop(value) AS sd FROM en GROUP BY ALL), bd AS (SELECT a.task, a.model, a.indicator, CASE WHEN sqrt((a.ss + b.ss) / (a.n + b.n - 2)) > 1e-6 * sp.sd THEN (a.mu - b.mu) / sqrt((a.ss + b.ss) / (a.n + b.n - 2)) END AS d FROM bv a JOIN bv b ON a.task = b.task AND a.model = b.model AND a.indicator = b.indicator AND a.rep = b.rep AND a.z = 'near' AND b.z = 'far' JOIN sp ON sp.task = a.task AND sp.model = a.model AND sp.indicator = a.indicator WHERE a.n >= 2 AND b.n >= 2)
+SELECT task, model, indicator, round(quantile_cont(bd.d, 0.025::DOUBLE), 5) + 0.0 AS ci_low, round(quantile_cont(bd.d, 0.975::DOUBLE), 5) + 0.0 AS ci_high, count(bd.d) AS n_reps FROM bd JOIN ef USING (task, model, indicator) GROUP BY ALL""")
+def _(spark, d):
+    return rounded(S.effect_intervals(_all(spark, d)), "ci_low", "ci_high", digits=5)
+
+
 @query("ser13_cross_task_consistency", f"""WITH {ALL_LVM}, {tau_cte(cols=('variance',), where='AND level <= d_star')}, {LEAD}, sh AS (SELECT indicator, avg(CASE WHEN lead_time > 0 THEN 1.0 ELSE 0.0 END) AS share_leading FROM le WHERE indicator IN ('dip', 'silhouette', 'bimodality') GROUP BY ALL),
 o AS (SELECT task, model, arg_min(dip_pvalue, level) AS a, arg_min(silhouette_k2, level) AS b, arg_min(bimodality_coefficient, level) AS c FROM lvd WHERE d_star IS NOT NULL AND accuracy < 0.6 GROUP BY ALL),
 ps AS (SELECT 'dip' AS indicator, a AS p FROM o UNION ALL SELECT 'silhouette', CASE WHEN b > 0 THEN greatest(0.001, 1 - b) ELSE 1.0 END FROM o UNION ALL SELECT 'bimodality', CASE WHEN c > 0 THEN greatest(0.001, 1 - c) ELSE 1.0 END FROM o),
