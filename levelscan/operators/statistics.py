@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from levelscan.functions import special as D
 from levelscan.plans.prefix import average_ranks, running_sums, value_counts
@@ -177,7 +178,7 @@ def _two_sample_counts(df: DataFrame, keys: Sequence[str], value: str, side: str
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b) -> DataFrame:
     """U of sample a, one-sided p (a greater) and Cliff's delta.
 
-    Exact p for small samples without ties (one side up to 8, the other up to 30), else the normal form
+    Exact p where one side has up to 8 rows and nothing is tied, whatever the other's size, else the normal form
     with tie and continuity corrections; a side with one value falls back to comparing means.
     """
     s = F.col(side)
@@ -194,11 +195,8 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b
     n = na + nb
     sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     out = out.withColumn("u", u).withColumn("cliffs_delta", F.try_divide(2 * u, na * nb) - 1)
-    table = rank_sum_table(df.sparkSession)
-    small = (F.col("_ties") == 0) & (F.least(na, nb) <= 8) & (F.greatest(na, nb) <= 30)
-    out = out.withColumns({
-        "_lo": F.when(small, F.least("n_a", "n_b")), "_hi": F.when(small, F.greatest("n_a", "n_b")), "_u": u.cast("long"),
-    }).join(table, ["_lo", "_hi", "_u"], "left")
+    small = (F.col("_ties") == 0) & (F.least(na, nb) <= 8)
+    out = out.withColumn("sf", F.when(small, rank_sum_sf(F.when(small, F.least("n_a", "n_b")), F.when(small, F.greatest("n_a", "n_b")), F.when(small, u))))
     p = (
         F.when((na < 2) | (nb < 2), F.when(F.col("mean_a") > F.col("mean_b"), 0.0).otherwise(1.0))
         .when(F.col("sf").isNotNull(), F.col("sf"))
@@ -208,28 +206,36 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b
     return out.select(*keys, "n_a", "n_b", "u", p.alias("p_greater"), "cliffs_delta")
 
 
-def rank_sum_table(spark, small: int = 8, big: int = 30) -> DataFrame:
-    """P(U >= u) for samples without ties; fixed size, from the usual recurrence over (m, n)."""
-    rows = []
-    freq: dict = {}
-
-    def f(m, n):
-        if (m, n) not in freq:
-            if m == 0 or n == 0:
-                freq[m, n] = np.ones(1)
-            else:
-                left, right = f(m - 1, n), f(m, n - 1)
-                out = np.zeros(m * n + 1)
-                out[n : n + len(left)] += left
-                out[: len(right)] += right
-                freq[m, n] = out
-        return freq[m, n]
-
-    for m in range(2, small + 1):
-        for n in range(m, big + 1):
-            tail = np.cumsum(f(m, n)[::-1])[::-1] / math.comb(m + n, m)
-            rows += [(m, n, u, float(p)) for u, p in enumerate(tail)]
-    return _fixed_table(spark, rows, ["_lo", "_hi", "_u", "sf"])
+def rank_sum_tail(m: int, n: int, u: int) -> float:
+    """P(U >= u) for samples of m <= n rows without ties.
+
+    The number of lattice paths with area k is the coefficient of x^k in the product over i = 1..m of (1 - x^(n+i)) / (1 - x^i): one shifted
+    difference and one running sum with stride i per row of the smaller sample.  Beyond 50 million coefficients U / n is the
+    sum of m uniform numbers to eight digits.
+    """
+    if u <= 0:
+        return 1.0
+    if m * n > 50_000_000:
+        x = (m * n - u) / n
+        return sum((-1) ** j * math.comb(m, j) * max(x - j, 0.0) ** m for j in range(m + 1)) / math.factorial(m)
+    low = min(m * n - u, u - 1)  # by symmetry the shorter tail
+    if low < 0:
+        return 0.0
+    a = np.zeros(low + 1)
+    a[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i <= low:
+            a[n + i:] = a[n + i:] - a[:low + 1 - n - i]
+        padded = np.zeros(-(-(low + 1) // i) * i)
+        padded[:low + 1] = a
+        a = np.cumsum(padded.reshape(-1, i), axis=0).ravel()[:low + 1]
+    share = float(a.sum()) / math.comb(m + n, m)
+    return share if low == m * n - u else 1.0 - share
+
+
+@F.pandas_udf(DoubleType())
+def rank_sum_sf(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([rank_sum_tail(int(a), int(b), round(c)) if a == a and a > 0 else None for a, b, c in zip(m, n, u)], dtype="float64")
 
 
 def cliffs_delta(df: DataFrame, keys: Sequence[str], value: str, side: str, a, b) -> DataFrame:
