@@ -94,23 +94,46 @@ def assign_clusters(df: DataFrame, keys: Sequence[str], vector: str, centres: Da
     return df.join(centres, list(keys)).withColumn("cluster", (_sq(v, F.col("c1")) < _sq(v, F.col("c0"))).cast("int")).drop("c0", "c1")
 
 
-def kmeans2(df: DataFrame, keys: Sequence[str], vector: str, start: Column | None = None, rounds: int = 30, tol: float = 1e-12) -> DataFrame:
-    """Two clusters per group by Lloyd rounds on all groups at once.
-
-    Starts from ``start`` (0/1 column) or from the sign of the first component.  Only the centres are
-    kept between rounds.
-    """
-    keys = list(keys)
-    rows = df.withColumn("cluster", start) if start is not None else pc1_scores(df, keys, vector).withColumn("cluster", (F.col("pc1") > 0).cast("int")).drop("pc1")
-    centres = cut_lineage(_centres(rows, keys, vector))
+def _lloyd(rows: DataFrame, keys: list[str], vector: str, centres: DataFrame, rounds: int, tol: float) -> DataFrame:
+    """Centres that no round moves any more, for all groups at once; only the centres are kept between rounds."""
     for _ in range(rounds):
-        new = cut_lineage(_centres(assign_clusters(df, keys, vector, centres), keys, vector))
+        new = cut_lineage(_centres(assign_clusters(rows, keys, vector, centres), keys, vector))
         old = centres.select(*keys, F.col("c0").alias("_o0"), F.col("c1").alias("_o1"))
         moved = new.join(old, keys).where((_sq(F.col("c0"), F.col("_o0")) > tol) | (_sq(F.col("c1"), F.col("_o1")) > tol))
         centres = new
         if moved.isEmpty():
-            break
-    return assign_clusters(df, keys, vector, centres)
+            return centres
+    raise RuntimeError(f"two-means has not converged in {rounds} rounds")
+
+
+def _spread_starts(rows: DataFrame, keys: list[str], vector: str, seed: int) -> DataFrame:
+    """k-means++ starts: c0 is a row drawn by hash, c1 another with chances in proportion to its squared distance from c0."""
+    v = F.col(vector)
+    first = rows.groupBy(*keys).agg(F.min_by(v, F.xxhash64(F.lit(seed), F.lit("c0"), *keys, v)).alias("c0"))
+    chance = (F.pmod(F.xxhash64(F.lit(seed), F.lit("c1"), *keys, v), F.lit(2**52)) + 0.5) / float(2**52)
+    away = rows.join(first, keys).withColumn("_d", _sq(v, F.col("c0"))).where("_d > 0")
+    second = away.groupBy(*keys).agg(F.min_by(v, -F.ln(chance) / F.col("_d")).alias("c1"))
+    return first.join(second, keys, "left").select(*keys, "c0", F.coalesce("c1", "c0").alias("c1"))
+
+
+def kmeans2(df: DataFrame, keys: Sequence[str], vector: str, start: Column | None = None, starts: int = 10, rounds: int = 300, tol: float = 1e-12, seed: int = 42) -> DataFrame:
+    """Two clusters per group by Lloyd rounds on all groups at once, run until none moves.
+
+    From ``start`` (0/1 column), or the best of ``starts`` k-means++ starts, which run together as (group, start) keys: the least sum of squared
+    distances stays (ties: the first start).  Of its centres the one with the smaller first component is cluster 0.  A group
+    of equal vectors is one cluster.
+    """
+    keys = list(keys)
+    if start is not None:
+        centres = cut_lineage(_centres(df.withColumn("cluster", start), keys, vector))
+        return assign_clusters(df, keys, vector, _lloyd(df, keys, vector, centres, rounds, tol))
+    vectors = cut_lineage(df.select(*keys, F.col(vector).cast("array<double>").alias("_v")))
+    many, both = vectors.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))), [*keys, "_start"]
+    centres = _lloyd(many, both, "_v", cut_lineage(_spread_starts(many, both, "_v", seed)), rounds, tol)
+    inertia = many.join(centres, both).groupBy(*both).agg(F.sum(F.least(_sq(F.col("_v"), F.col("c0")), _sq(F.col("_v"), F.col("c1")))).alias("_sum"))
+    order = F.struct(F.round("_sum", 9), "_start")
+    best = centres.join(inertia, both).groupBy(*keys).agg(F.min_by(F.array_sort(F.array("c0", "c1")), order).alias("_c"))
+    return assign_clusters(df, keys, vector, best.select(*keys, F.col("_c")[0].alias("c0"), F.col("_c")[1].alias("c1")))
 
 
 def silhouette_squared(rows: DataFrame, keys: Sequence[str], vector: str, cluster: str = "cluster") -> DataFrame:
@@ -491,7 +514,7 @@ def indicator_battery(df: DataFrame, keys: Sequence[str], row_id: str, vector: s
     rows = df.select(*keys, F.col(row_id).alias("row_id"), F.col(vector).cast("array<double>").alias("vector"), F.col(correct).alias("correct"), F.col(answer).cast("string").alias("answer"))
     axes = cut_lineage(principal_axes(rows, keys, "vector"))
     scored = pc1_scores(rows, keys, "vector", axes)
-    clustered = kmeans2(rows, keys, "vector", rounds=20) if exact else scored.withColumn("cluster", (F.col("pc1") > 0).cast("int"))
+    clustered = kmeans2(rows, keys, "vector") if exact else scored.withColumn("cluster", (F.col("pc1") > 0).cast("int"))
     from levelscan.operators.aggregates import ashman_labels
 
     base = scored.groupBy(*keys).agg(
