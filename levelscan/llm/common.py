@@ -20,6 +20,18 @@ def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be no column of the table."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_sample(df: DataFrame, sample: int, *key: str) -> DataFrame:
     """At most ``sample`` rows, drawn by a hash of the key columns; the same for any partitioning.
 

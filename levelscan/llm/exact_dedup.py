@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from levelscan.llm.common import stored
+from levelscan.llm.common import fresh, stored
 
 BUCKET_KEYS = 65_536  # keys a bucket holds before it splits
 MAX_DEPTH = 12        # bits of the directory at most: 4096 entries; a bucket that is still overfull then chains
@@ -67,12 +67,14 @@ def deduplicate(docs: DataFrame, capacity: int = BUCKET_KEYS, depth: int = MAX_D
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their exact copies; all columns as they are.
 
-    The copy with the largest doc_id stays, one row of it.  A null text counts as empty.
+    The copy with the largest doc_id stays, one row of it, also where rows of one id and text differ in other columns, whatever their
+    names.  A null text counts as empty.
     """
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_sha2", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_semi").drop("_sha2")
-    return rows.dropDuplicates()
+    own_id, own_sha, sha = fresh(docs, "_id", "_sha", "_sha2")
+    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = docs.withColumn(sha, digest).join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha)), "left_semi")
+    return rows.dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 SQL = """

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from levelscan.llm.common import fresh
+
 PROFILE = 400       # n-grams of a profile
 ORDERS = (1, 2, 3)  # lengths of n-grams
 MAX_LANGUAGES = 1000
@@ -164,6 +166,7 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told: those without a letter and those that no profile resembles go."""
     columns = docs.columns
-    carried = docs.withColumn("_whole", F.col("text"))
-    told = identify(carried, profiles(docs), (*(c for c in columns if c != "text"), "_whole"), ("_told", "_score"))
-    return told.where((F.col("_told") != "und") & (F.col("_score") >= least_score)).withColumnRenamed("_whole", "text").select(*columns)
+    whole, lang, score = fresh(docs, "_whole", "_told", "_score")
+    carried = docs.withColumn(whole, F.col("text"))
+    told = identify(carried, profiles(docs), (*(c for c in columns if c != "text"), whole), (lang, score))
+    return told.where((F.col(lang) != "und") & (F.col(score) >= least_score)).withColumnRenamed(whole, "text").select(*columns)

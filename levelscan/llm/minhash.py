@@ -13,7 +13,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from levelscan.llm.common import drop_stored, stored
+from levelscan.llm.common import drop_stored, fresh, stored
 
 BANDS, ROWS = 36, 6      # a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^36 = 1.8e-5
 PERCENT = 80
@@ -344,8 +344,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id; all columns as they are."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 SQL = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from levelscan.llm.common import hex_key, permuted, permuted_sql, source_key, stored, sums_before
+from levelscan.llm.common import fresh, hex_key, permuted, permuted_sql, source_key, stored, sums_before
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -106,14 +106,15 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Documents without words are in no mix.  All columns as they are.
     """
-    row = F.xxhash64("doc_id", "text")
-    shares = mixed(docs.withColumn("_row", row), seed, keep=("_row",), shrink=True).where("taken > 0")
+    row, share, times, copy = fresh(docs, "_row", "_share", "_times", "_i")
+    key = F.xxhash64("doc_id", "text")
+    shares = mixed(docs.withColumn(row, key), seed, keep=(row,), shrink=True).where("taken > 0")
     # repeated rows share a key: their takings are added and each row gets the mean
-    per_row = shares.groupBy("_row").agg((F.sum("taken") / F.sum("size")).alias("_share"))
-    draw = F.conv(F.substring(hex_key(seed + "-copies", F.col("_row")), 1, 12), 16, 10).cast("double") / float(16**12)
-    times = (F.floor("_share") + F.when(draw < F.col("_share") - F.floor("_share"), 1).otherwise(0)).cast("int")
-    out = docs.withColumn("_row", row).join(per_row, "_row").withColumn("_times", times).where("_times > 0")
-    return out.withColumn("_i", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    per_row = shares.groupBy(row).agg((F.sum("taken") / F.sum("size")).alias(share))
+    draw = F.conv(F.substring(hex_key(seed + "-copies", F.col(row)), 1, 12), 16, 10).cast("double") / float(16**12)
+    count = (F.floor(share) + F.when(draw < F.col(share) - F.floor(share), 1).otherwise(0)).cast("int")
+    out = docs.withColumn(row, key).join(per_row, row).withColumn(times, count).where(F.col(times) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 SQL = f"""
@@ -130,11 +131,11 @@ l AS (SELECT *, sum(source_size) OVER () AS t, sum(weight) OVER () AS w,
       coalesce(sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb FROM w),
 c AS (SELECT *, cap * (w - wb) <= weight * (t - cb) AS capped FROM l),
 g AS (SELECT src, source_size, place, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * (t - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()))::DOUBLE / (sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target FROM c),
-q AS (SELECT *, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks, least(round(target / {BLOCK_WORDS})::BIGINT, 3 * ((source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS})) AS quota FROM g),
+q AS (SELECT *, (source_size + length - 1) // length AS blocks, least(round(target / length)::BIGINT, 3 * ((source_size + length - 1) // length)) AS quota FROM (SELECT *, least({BLOCK_WORDS}, greatest(1, source_size // {BLOCK_WORDS})) AS length FROM g)),
 e AS (SELECT place, blocks, unnest(range(0, quota)) AS k FROM q WHERE quota > 0),
 b AS (SELECT place, {permuted_sql("k % blocks", "blocks", "mix-block", "place * 8 + k // blocks")} AS block FROM e),
 u AS (SELECT place, block, count(*) AS uses FROM b GROUP BY place, block),
-x AS (SELECT p.rn, q.place, unnest(range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)) AS block, start, size FROM p JOIN q USING (src) WHERE size > 0),
-y AS (SELECT rn, place, sum(uses * (least(start + size, (block + 1) * {BLOCK_WORDS}) - greatest(start, block * {BLOCK_WORDS})))::BIGINT AS taken FROM x JOIN u USING (place, block) GROUP BY rn, place)
+x AS (SELECT p.rn, q.place, unnest(range(start // length, (start + size - 1) // length + 1)) AS block, start, size, length FROM p JOIN q USING (src) WHERE size > 0),
+y AS (SELECT rn, place, sum(uses * (least(start + size, (block + 1) * length) - greatest(start, block * length)))::BIGINT AS taken FROM x JOIN u USING (place, block) GROUP BY rn, place)
 SELECT p.doc_id, p.size, q.source_size, q.target, coalesce(y.taken, 0)::BIGINT AS taken FROM p JOIN q USING (src) LEFT JOIN y ON y.rn = p.rn AND y.place = q.place
 """

@@ -40,7 +40,7 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixed(_documents(spark, folder))
+    return mixing.mixed(_documents(spark, folder), shrink=True)
 
 
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:

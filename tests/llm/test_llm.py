@@ -177,6 +177,18 @@ def test_mixing_keeps_small_sources(spark):
     assert Counter(r["doc_id"] for r in mixing.mix_documents(df).collect())[1] == 3
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the operators' own come back as they were, and one row of an id and text stays."""
+    names = ["_id", "_sha", "_sha2", "_whole", "_told", "_score", "_gone", "_row", "_share", "_times", "_i", "_Gone_"]
+    rows = [(i, f"some words of text number {i % 9} " * 8, "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(20)] + [(19, "some words of text number 1 " * 8, "en", "s", 2, *["again" for _ in names])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    for stage, count in ((exact_dedup.keep_one, 9), (language_id.keep_identified, 21), (lambda d: minhash.keep_one_of_each(d, k=5), None), (mixing.mix_documents, None)):
+        out = stage(df)
+        got = out.collect()
+        assert out.columns == df.columns and got and (count is None or len(got) == count)
+        assert all(r[n] in ("again", f"{n}{r['doc_id']}") for r in got for n in names)
+
+
 def test_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
