@@ -2,64 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from levelscan.llm.common import fresh, stored
 
 BUCKET_KEYS = 65_536  # keys a bucket holds before it splits
-MAX_DEPTH = 12        # bits of the directory at most: 4096 entries; a bucket that is still overfull then chains
+MAX_DEPTH = 20        # bits of the directory at most, so it has 1,048,576 rows of 20 bytes at most when it is broadcast; buckets that are still overfull just hold more
+SALTS = 16            # parts that copies of one text are combined in before they meet
+
+
+def depth_for(keys: int, capacity: int = BUCKET_KEYS) -> int:
+    """How often the directory doubles for so many keys: two bits beyond full buckets, for ranges that hold more than others."""
+    return min(MAX_DEPTH, max(0, math.ceil(math.log2(max(keys, 1) / capacity)) + 2 if keys > capacity else 0))
 
 
-def key_bits(bits: int):
+def key_bits(bits: int) -> Column:
     """The leading bits of the key; the directory's entry number at that depth."""
     return F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint")
 
 
-def directory(entries: DataFrame, capacity: int = BUCKET_KEYS, depth: int = MAX_DEPTH) -> DataFrame:
+def directory(keys: DataFrame, capacity: int = BUCKET_KEYS, depth: int = 12) -> DataFrame:
     """(cell, bucket, bits): each of the 2^depth directory entries points to the bucket of its key range.
 
-    Doubling step d looks at keys by their first d bits: an overfull range is split in two, a range within capacity becomes
-    a bucket and all entries below it share it.  All steps come from one histogram of at most 2^depth cells, so the
-    keys are read once and the table is bounded whatever the data's size.
+    ``keys`` has one row per key h.  Doubling step d looks at keys by their first d bits: an overfull range is split in two, a
+    range within capacity becomes a bucket and all entries below it share it.  All steps come from one histogram of at most
+    2^depth cells, so the keys are read once.
     """
-    histogram = entries.groupBy(key_bits(depth).alias("cell")).agg(F.count("*").alias("n"))
+    histogram = keys.groupBy(key_bits(depth).alias("cell")).agg(F.count("*").alias("n"))
     levels = histogram.select("n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits"), "cell")
     up = F.expr(f"shiftrightunsigned(cell, {depth} - bits)")
     ranges = levels.groupBy("bits", up.alias("prefix")).agg(F.sum("n").alias("n"))
     overfull = ranges.where(F.col("n") > capacity).select((F.col("bits") + 1).alias("bits"), "prefix")
     split = overfull.select("bits", F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")).where(F.col("bits") <= depth)
-    born = split.union(entries.sparkSession.createDataFrame([(0, 0)], "bits int, prefix bigint"))  # the first bucket has depth 0
+    born = split.union(keys.sparkSession.createDataFrame([(0, 0)], "bits int, prefix bigint"))  # the first bucket has depth 0
     leaf = born.join(overfull.select((F.col("bits") - 1).alias("bits"), "prefix").where(F.col("bits") < depth), ["bits", "prefix"], "left_anti")
     first = F.expr(f"shiftleft(prefix, {depth} - bits)")
     last = F.expr(f"shiftleft(prefix + 1, {depth} - bits) - 1")
     return leaf.select("bits", first.alias("bucket"), F.explode(F.sequence(first, last)).alias("cell"))
 
 
-def build_index(keyed: DataFrame, capacity: int = BUCKET_KEYS, depth: int = MAX_DEPTH) -> DataFrame:
-    """The index as shared files, one entry per distinct text: cell, bucket, h, sha, chain, keep_id, group_size.
+def build_index(keyed: DataFrame, capacity: int = BUCKET_KEYS, depth: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The index as shared files (bucket, bits, h, chain, sha, keep_id, group_size), its directory, and the directory's depth.
 
-    ``keyed`` has doc_id, text, h.  Rows meet by (h, text), that is, texts are compared byte by byte and keys that only collide
-    stay apart; copies are combined before the shuffle.  ``chain`` is the place among the texts of one key.  Entries are dealt
-    to owner tasks by bucket, which is a key range, and sorted by key.
+    ``keyed`` has doc_id, text, h.  Copies are combined in 16 parts first, so a text that a third of all rows share comes to its
+    owner as 16 rows.  The directory is made from the keys; each part goes to the owner task of its bucket, a range of keys.
+    There rows of a key are sorted by their bytes: where the bytes differ from those before, a new link of the key's chain
+    begins.  A link is one text; its largest id and its count come from its rows.
     """
-    entries = stored(keyed.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select("h", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "keep_id", "group_size"))
-    cells = F.broadcast(directory(entries, capacity, depth))  # 2^depth rows at most
-    chain = Window.partitionBy("bucket", "h").orderBy("sha")
-    return stored(entries.withColumn("cell", key_bits(depth)).join(cells, "cell").withColumn("chain", F.row_number().over(chain)).select("bucket", "bits", "h", "sha", "chain", "keep_id", "group_size"))
-
-
-def deduplicate(docs: DataFrame, capacity: int = BUCKET_KEYS, depth: int = MAX_DEPTH) -> DataFrame:
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    parts = stored(keyed.groupBy("h", "text", salt.alias("_salt")).agg(F.max("doc_id").alias("_id"), F.count("*").alias("_n")).drop("_salt"))
+    keys = stored(parts.select("h").distinct())
+    depth = depth_for(keys.count(), capacity) if depth is None else depth
+    cells = stored(directory(keys, capacity, depth))
+    owned = parts.withColumn("cell", key_bits(depth)).join(F.broadcast(cells), "cell").drop("cell").repartition("bucket")
+    of_key = Window.partitionBy("bucket", "h").orderBy("text")
+    begins = ~F.col("text").eqNullSafe(F.lag("text").over(of_key))
+    linked = owned.withColumn("_new", begins.cast("int")).withColumn("chain", F.sum("_new").over(of_key.rowsBetween(Window.unboundedPreceding, 0)))
+    # the link's first row alone carries its digest
+    sha = F.max(F.when(F.col("_new") == 1, F.sha2(F.col("text").cast("binary"), 256)))
+    entries = linked.groupBy("bucket", "bits", "h", "chain").agg(sha.alias("sha"), F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
+    return stored(entries), cells, depth
+
+
+def deduplicate(docs: DataFrame, capacity: int = BUCKET_KEYS, depth: int | None = None) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty.  Of equal texts the largest doc_id stays; null ids stay only if the group has no other.  Of
-    repeated rows with one id and text, one is kept.  Empty tables give no rows; other columns are ignored.
-    The texts are shuffled once, combined on the map side; all later joins carry keys and digests, and a key that holds a
-    third of all rows is split by the adaptive join.
+    repeated rows with one id and text, one is kept.  Empty tables give no rows; other columns are ignored.  A very long text is
+    one value in one row.  Distinct texts are shuffled twice, to be combined and to their bucket; rows then look themselves up through the
+    directory with key and digest, and a key that holds a third of all rows is split by the adaptive join.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    index = build_index(keyed, capacity, depth)
+    index, cells, depth = build_index(keyed, capacity, depth)
     rows = keyed.select("doc_id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).groupBy("doc_id", "h", "sha").agg(F.count("*").alias("_times"))
-    found = rows.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
+    dealt = rows.withColumn("cell", key_bits(depth)).join(F.broadcast(cells.select("cell", "bucket")), "cell").drop("cell")
+    found = dealt.join(index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"])
     each = found.select("doc_id", "keep_id", "group_size", F.col("sha").alias("text_sha256"), F.explode(F.expr("sequence(1, cast(_times as int))")).alias("_i"))
     return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256")
 
