@@ -54,6 +54,11 @@ def template_positions(spark: SparkSession, base=BASE, templates=TEMPLATES) -> D
     return df.withColumn("h", F.xxhash64("gram"))
 
 
+def row_key() -> Column:
+    """Names a row by id and text; rows of one key with other ids or, by chance of a digest, other texts don't meet."""
+    return F.concat_ws(":", F.xxhash64("doc_id", "text"), F.col("doc_id"), F.length("text"))
+
+
 def hits(rows: DataFrame, positions: DataFrame) -> DataFrame:
     """(row, template, label, is_base, grams, at, pos): every rolling k-gram of every text joined to the template positions by hash.
 
@@ -70,25 +75,27 @@ def spans(found: DataFrame) -> DataFrame:
     """(row, template, label, is_base, first, last, coverage): places of templates, from votes of diagonals.
 
     A hit votes for the diagonal pos - at.  Votes are aggregated per diagonal; neighbouring diagonals are merged into one place;
-    a place stands if enough different k-grams of the template are there.  For base phrases nothing is merged and all
-    must be there: the phrase stands word by word.
+    a place stands if enough different k-grams of the template are there.  A chain of diagonals that runs over more than twice the
+    template's length is no single place: its diagonals are then verified one by one, and on one diagonal the k-grams stand
+    in the template's order.  For base phrases nothing is merged and all must be there: the phrase stands word by word.
     """
     votes = found.groupBy("row", "template", "label", "is_base", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("is_base") | F.lag("diagonal").over(along).isNull() | (F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOUR)
     placed = votes.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("place", F.sum("_new").over(along))
-    merged = placed.groupBy("row", "template", "label", "is_base", "grams", "place").agg(
+    chain = Window.partitionBy("row", "template", "place")
+    overlong = F.max("last").over(chain) - F.min("first").over(chain) + 1 > F.col("grams") * 2
+    split = placed.withColumn("alone", F.when(overlong, F.col("diagonal")))
+    merged = split.groupBy("row", "template", "label", "is_base", "grams", "place", "alone").agg(
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("start"))
     coverage = F.size("ats") / F.col("grams")
-    # a place as long as the template, with as many words put in as may be
-    fits = F.col("last") - F.col("first") + 1 <= F.col("grams") * 2
-    return merged.withColumn("coverage", coverage).where(F.when(F.col("is_base"), F.col("coverage") == 1.0).otherwise((F.col("coverage") >= LEAST_COVERAGE) & fits)).select("row", "template", "label", "is_base", "start", "first", "last", "coverage")
+    return merged.withColumn("coverage", coverage).where(F.when(F.col("is_base"), F.col("coverage") == 1.0).otherwise(F.col("coverage") >= LEAST_COVERAGE)).select("row", "template", "label", "is_base", "start", "first", "last", "coverage")
 
 
 def scan(docs: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """(doc_id, label, is_base, start, first, last, coverage): the places found, one row each; start counts words from 0."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", row_key().alias("row"), words(F.col("text")).alias("words"))
     found = spans(hits(rows, positions if positions is not None else template_positions(docs.sparkSession)))
     return rows.select("doc_id", "row").distinct().join(found, "row").drop("row")
 
@@ -97,9 +104,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words and no places; repeated rows get the same result each; no rows give no rows; other
-    columns are ignored.  The score is the largest coverage of any place, 0 without one.
+    columns are ignored; very long texts are rolled over whole, in their own task.  The score is the largest coverage of any place, 0 without one.
     """
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", row_key().alias("row"), words(F.col("text")).alias("words"))
     found = spans(hits(rows, template_positions(docs.sparkSession)))
     base = F.col("is_base")
     per_row = found.groupBy("row").agg(
@@ -109,7 +116,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("coverage").alias("score"))
-    sizes = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    sizes = docs.select("doc_id", row_key().alias("row"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
     joined = sizes.join(per_row, "row", "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -129,8 +136,9 @@ g AS (SELECT doc_id, unnest(range(0, len(words) - 1)) AS pos, unnest(list_transf
 v AS (SELECT doc_id, template, label, is_base, grams, pos - pat AS diagonal, list(DISTINCT pat) AS ats, min(pos) AS fst, max(pos) AS lst FROM g JOIN p USING (gram) GROUP BY ALL),
 n AS (SELECT *, CASE WHEN is_base OR lag(diagonal) OVER a IS NULL OR diagonal - lag(diagonal) OVER a > {NEIGHBOUR} THEN 1 ELSE 0 END AS fresh FROM v WINDOW a AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM n),
-m AS (SELECT doc_id, template, label, is_base, grams, len(list_distinct(flatten(list(ats)))) / grams AS coverage, min(fst) AS fst, max(lst) AS lst, min(diagonal) AS start FROM c GROUP BY doc_id, template, label, is_base, grams, place),
-f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN coverage = 1.0 ELSE coverage >= {LEAST_COVERAGE} AND lst - fst + 1 <= grams * 2 END)
+o AS (SELECT *, CASE WHEN max(lst) OVER h - min(fst) OVER h + 1 > grams * 2 THEN diagonal END AS alone FROM c WINDOW h AS (PARTITION BY doc_id, template, place)),
+m AS (SELECT doc_id, template, label, is_base, grams, len(list_distinct(flatten(list(ats)))) / grams AS coverage, min(diagonal) AS start FROM o GROUP BY doc_id, template, label, is_base, grams, place, alone),
+f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN coverage = 1.0 ELSE coverage >= {LEAST_COVERAGE} END)
 SELECT w.doc_id, len(any_value(w.words))::BIGINT AS n_words, count(*) FILTER (f.is_base)::BIGINT AS n_base,
        min(f.start) FILTER (f.is_base)::BIGINT AS first_word, max(f.start) FILTER (f.is_base)::BIGINT AS last_word,
        coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.is_base), '') AS base_labels, coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels,
