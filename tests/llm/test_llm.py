@@ -47,6 +47,16 @@ def test_license_scan(docs, none):
     assert license_scan.scan_documents(none).count() == 0
 
 
+def test_license_in_a_long_chain_of_hits(spark):
+    gpl2 = dict(license_scan.TEMPLATES)["gpl-2.0"]
+    texts = ["licensed under " * 6 + "the apache license version 2 0", "this program " * 8 + gpl2, "licensed under " * 9, "z " * 200_000 + gpl2]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1])], "doc_id bigint, text string")
+    got = license_scan.scan_documents(docs).collect()
+    labels = {r["doc_id"]: r["labels"].split(",") for r in got}
+    assert len(got) == 5 and "apache-2.0" in labels[0] and "gpl-2.0" in labels[1] and labels[2] == [""] and "gpl-2.0" in labels[3]
+    assert next(r["first_word"] for r in got if r["doc_id"] == 3) == 200_000 + gpl2.split().index("general")
+
+
 def test_language_id(spark, none):
     draw = random.Random(1)
     kinds = {"aa": "abcde", "zz": "vwxyz"}
@@ -136,7 +146,7 @@ def test_exact_dedup(docs, none):
     for i, t in rows:
         groups.setdefault(t, []).append(i)
     for small in (False, True):
-        got = exact_dedup.deduplicate(docs, capacity=2 if small else 65_536, depth=3 if small else 12).collect()
+        got = exact_dedup.deduplicate(docs, capacity=2 if small else 65_536, depth=3 if small else None).collect()
         assert len(got) == len(rows)
         texts = {i: t for i, t in rows}
         for r in got:
@@ -148,6 +158,22 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.deduplicate(none).count() == 0
 
 
+def test_colliding_keys_are_parted_by_their_bytes(spark):
+    rows = [(i, f"text {i % 5}" if i % 3 else "hot") for i in range(300)]
+    keyed = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "cast(7 as bigint) as h")
+    index, cells, _ = exact_dedup.build_index(keyed, capacity=2, depth=2)
+    got = {r["sha"]: r for r in index.collect()}
+    assert cells.count() == 4 and sorted(r["chain"] for r in got.values()) == [1, 2, 3, 4, 5, 6]
+    for text in {t for _, t in rows}:
+        ids = [i for i, t in rows if t == text]
+        entry = got[hashlib.sha256(text.encode()).hexdigest()]
+        assert (entry["keep_id"], entry["group_size"]) == (max(ids), len(ids))
+
+
+def test_depth_follows_the_number_of_keys():
+    assert [exact_dedup.depth_for(n, 100) for n in (0, 1, 100, 101, 800, 10**12)] == [0, 0, 0, 3, 5, exact_dedup.MAX_DEPTH]
+
+
 def test_directory_covers_every_cell_once(spark):
     entries = spark.range(5000).selectExpr("xxhash64(id) h")
     cells = exact_dedup.directory(entries, capacity=300, depth=6).collect()
@@ -311,6 +337,14 @@ def test_sharding(docs, none):
     assert sharding.op10_interleaved_sharding(none).count() == 0
 
 
+def test_sharding_spreads_many_small_sources(spark):
+    rows = [(i, f"s{i}", f"text {i}") for i in range(1600)] + [(i, "big", "x" * (20_000 if i == 2000 else 3)) for i in range(2000, 3600)]
+    got = sharding.op10_interleaved_sharding(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()
+    small = Counter(r["shard"] for r in got if r["doc_id"] < 2000)
+    assert set(Counter(r["shard"] for r in got).values()) == {200} and len(small) == 16 and all(60 <= n <= 140 for n in small.values())
+    assert next(r["size"] for r in got if r["doc_id"] == 2000) == 20_001
+
+
 def test_ann_tree(spark):
     draw = np.random.default_rng(3)
     vectors = draw.normal(size=(1500, 16))
