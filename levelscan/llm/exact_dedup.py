@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from levelscan.llm.common import fresh, stored
 
-BUCKET_KEYS = 65_536  # keys a bucket holds before it splits
+BUCKET_KEYS = 4_096  # keys a bucket holds before it splits: some megabytes of texts, so owner tasks stay small at any size
 MAX_DEPTH = 20        # bits of the directory at most, so it has 1,048,576 rows of 20 bytes at most when it is broadcast; buckets that are still overfull just hold more
 SALTS = 16            # parts that copies of one text are combined in before they meet
 
