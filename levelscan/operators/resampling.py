@@ -143,7 +143,7 @@ def bca_ci(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
         F.sort_array(F.collect_list("stat")).alias("_reps"),  # B values per group
     )
     out = stats.join(acc, keys, "left").join(below, keys)
-    out = out.withColumn("_z0", normal_ppf(F.least(F.greatest("_share", F.lit(1e-8)), F.lit(1 - 1e-8))))
+    out = out.withColumn("_z0", normal_ppf(F.least(F.greatest(F.col("_share"), F.lit(1e-8)), F.lit(1 - 1e-8))))
     out = out.withColumn("_a", F.when(F.col("_d2") > 0, F.col("_d3") / (6 * F.pow("_d2", 1.5))).otherwise(0.0))
     from statistics import NormalDist
 

@@ -227,7 +227,21 @@ def _(spark, d):
     return levels(spark, d).select("model", "level", r6(lo).alias("ci_low"), r6(hi).alias("ci_high"))
 
 
-@query("ci02_clopper_pearson")
+def halving_sql(below, lo, hi, steps=60):
+    """The place between lo and hi where ``below`` (of the middle, x) turns false, by halving."""
+    mid = "((a[1] + a[2]) / 2)"
+    at = f"list_reduce(list_prepend([{lo}, {hi}]::DOUBLE[], list_transform(range({steps}), lambda i: [0, 0]::DOUBLE[])), lambda a, b: CASE WHEN {below.replace('{x}', mid)} THEN [{mid}, a[2]] ELSE [a[1], {mid}] END)"
+    return f"(list_sum({at}) / 2)"
+
+
+def binomial_tail_sql(first, last):
+    """P(first <= X <= last) of a binomial count of n tries, at the chance {x}."""
+    return f"list_sum(list_transform(range({first}, {last} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({{x}}) + (n - j) * ln(1 - {{x}}))))"
+
+
+@query("ci02_clopper_pearson", f"""WITH {EV}, c AS (SELECT model, level, sum(correct::INTEGER)::BIGINT AS k, count(*) AS n FROM ev GROUP BY ALL)
+SELECT model, level, k, n, round(CASE WHEN k = 0 THEN 0.0 ELSE {halving_sql(binomial_tail_sql('k', 'n') + ' < 0.025', 0, 1)} END, 6) + 0.0 AS ci_low,
+ round(CASE WHEN k = n THEN 1.0 ELSE {halving_sql(binomial_tail_sql('0', 'k') + ' > 0.025', 0, 1)} END, 6) + 0.0 AS ci_high FROM c""")
 def _(spark, d):
     c = ev_rows(spark, d).groupBy("model", "level").agg(F.sum(F.col("correct").cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
     lo, hi = T.clopper_pearson_ci(F.col("k"), F.col("n"))
@@ -273,7 +287,21 @@ def _(spark, d):
     return rounded(a.unionByName(b), "point", "ci_low", "ci_high")
 
 
-@query("inf02_bca_ci")
+def _cdf(z):
+    return f"(CASE WHEN {z} >= 0 THEN 1 - {erfc_sql(f'abs({z}) / sqrt(2.0)')} / 2 ELSE {erfc_sql(f'abs({z}) / sqrt(2.0)')} / 2 END)"
+
+
+def _bca_end(z):
+    return f"least(greatest({_cdf(f'(z0 + (z0 + {z}) / (1 - acc * (z0 + {z})))')}, {0.5 / NREP}), {1 - 0.5 / NREP}) * {NREP - 1}"
+
+
+@query("inf02_bca_ci", f"""WITH {LV}, {weights_sql('lv', "'42', model, level", 'model, level, accuracy')}, s AS (SELECT model, rep, sum(w * accuracy) / sum(w) AS m FROM bw GROUP BY ALL),
+p AS (SELECT model, count(accuracy) AS nn, avg(accuracy) AS point FROM lv GROUP BY ALL),
+j AS (SELECT model, sum(((accuracy - point) / (nn - 1)) ** 3) AS d3, sum(((accuracy - point) / (nn - 1)) ** 2) AS d2 FROM lv JOIN p USING (model) WHERE nn >= 2 GROUP BY ALL),
+r AS (SELECT model, avg((m < point)::INTEGER) AS share, list(m ORDER BY m) AS reps FROM s JOIN p USING (model) GROUP BY ALL),
+z AS (SELECT *, CASE WHEN d2 > 0 THEN d3 / (6 * d2 ** 1.5) ELSE 0.0 END AS acc, {halving_sql(_cdf('{x}') + ' < least(greatest(share, 1e-8), 1 - 1e-8)', -10, 10)} AS z0 FROM p JOIN j USING (model) JOIN r USING (model)),
+e AS (SELECT *, {_bca_end('-1.959963984540054')} AS lo_at, {_bca_end('1.959963984540054')} AS hi_at FROM z)
+SELECT model, nn AS n, round(point, 6) + 0.0 AS point, {", ".join(f"round(reps[floor({s}_at)::INTEGER + 1] + (reps[least(floor({s}_at)::INTEGER + 2, {NREP})] - reps[floor({s}_at)::INTEGER + 1]) * ({s}_at - floor({s}_at)), 6) + 0.0 AS ci_{n}" for s, n in (("lo", "low"), ("hi", "high")))} FROM e""")
 def _(spark, d):
     return rounded(B.bca_ci(levels(spark, d), ["model"], "accuracy", ["level"], NREP), "point", "ci_low", "ci_high")
 

@@ -261,3 +261,13 @@ def test_resampling_is_keyed(spark):
     assert bca["ci_low"] < bca["point"] < bca["ci_high"]
     perm = B.permute_within(df.where("model = 'm'"), ["variance"], ["model"], "level").collect()
     assert sorted(r["variance"] for r in perm) == sorted(r["variance"] for r in df.where("model = 'm'").collect())
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from levelscan.functions.special import normal_ppf
+
+    shares = [1e-8, 0.001, 0.025, 0.3, 0.5, 0.8, 0.999, 1 - 1e-8, None]
+    got = [r["z"] for r in spark.createDataFrame([(i, p) for i, p in enumerate(shares)], "i int, p double").withColumn("z", normal_ppf(F.col("p"))).orderBy("i").collect()]
+    assert got[-1] is None and all(abs(g - NormalDist().inv_cdf(p)) < 1e-6 for g, p in zip(got, shares[:-1]))
