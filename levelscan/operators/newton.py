@@ -29,9 +29,10 @@ class Models:
     variant: str
     scheme: int
     cols: np.ndarray                      # places of the variant's features
+    low: np.ndarray                       # the features' least values: counted from there, a large mean doesn't cancel against the intercept
     c: float
     folds: dict[str, int]                 # held-out fold: row in the arrays below
-    frame: np.ndarray                     # (models, d+1, d+1): takes (1, x) to (1, standardised x)
+    frame: np.ndarray                     # (models, d+1, d+1): takes (1, x - low) to (1, standardised x)
     weights: np.ndarray                   # (models, 2): of a negative and of a positive row
     whole: bool                           # nothing is held out: all rows train, and are predicted by, the one model
     first: int = 0                        # number of the first model
@@ -54,13 +55,13 @@ def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, list, np.ndarray, np.n
 
 
 def _per_replicate(batch: pa.RecordBatch, models: dict[str, list[Models]]) -> Iterator[tuple[Models, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(models, places of the rows, own model or -1, y, (1, x)) for each replicate in the batch and each of its model groups."""
+    """(models, places of the rows, own model or -1, y, (1, x - low)) for each replicate in the batch and each of its model groups."""
     rep, own, y, x = _matrices(batch)
     for r in sorted(set(rep.tolist())):
         at = np.flatnonzero(rep == r)
         for m in models.get(r, ()):
             held = np.array([m.folds.get(own[i][m.scheme], -1) for i in at], np.int64)
-            yield m, at, held, y[at], np.concatenate([np.ones((len(at), 1)), x[at][:, m.cols]], 1)
+            yield m, at, held, y[at], np.concatenate([np.ones((len(at), 1)), x[at][:, m.cols] - m.low], 1)
 
 
 def prepare(df: DataFrame, features: Sequence[str], schemes: Mapping[str, Column | None], label: str, rep: Column, carry: Sequence[str]) -> DataFrame:
@@ -79,10 +80,10 @@ def training_sets(data: DataFrame, features: Sequence[str], variants: Mapping[st
     A fold is used if it leaves 5 rows of both classes to train on and has ``min_test`` rows itself.
     """
     k = range(len(features))
-    centre = data.agg(*[F.avg(F.col("_x")[j]).alias(f"m{j}") for j in k]).first()
+    centre = data.agg(*[F.avg(F.col("_x")[j]).alias(f"m{j}") for j in k], *[F.min(F.col("_x")[j]).alias(f"l{j}") for j in k]).first()
     if centre is None or (len(features) and centre[0] is None):
         return []
-    mid = np.array(centre, np.float64)  # sums of squares are taken about the overall means
+    mid, low = np.array(centre, np.float64).reshape(2, len(features))  # sums of squares are taken about the overall means
     folds = data.select("_rep", "_y", "_x", F.posexplode("_own").alias("_s", "_fold"))
     dev = [F.col("_x")[j] - F.lit(float(mid[j])) for j in k]
     sums = folds.groupBy("_rep", "_s", "_fold").agg(F.count("*").cast("double"), F.sum("_y"), *[F.sum(d) for d in dev], *[F.sum(d * d) for d in dev])
@@ -108,13 +109,13 @@ def training_sets(data: DataFrame, features: Sequence[str], variants: Mapping[st
                 scale = np.where(var > 1e-18 * (1 + mean**2), np.sqrt(np.maximum(var, 0)), 1.0)
                 frame = np.zeros((len(cols) + 1, len(cols) + 1))
                 frame[0, 0] = 1
-                frame[0, 1:] = -mean / scale
+                frame[0, 1:] = -(mid[cols] - low[cols] + shift) / scale
                 frame[1:, 1:] = np.diag(1 / scale)
                 usable[fold] = len(frames)
                 frames.append(frame)
                 weights.append([n / (2 * (n - pos)), n / (2 * pos)] if balanced else [1.0, 1.0])
             if frames:
-                out.append(Models(rep, variant, scheme, cols, c, usable, np.array(frames), np.array(weights), kept_whole[scheme]))
+                out.append(Models(rep, variant, scheme, cols, low[cols], c, usable, np.array(frames), np.array(weights), kept_whole[scheme]))
     return out
 
 
