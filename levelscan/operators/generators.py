@@ -10,7 +10,7 @@ from levelscan.functions.predicates import short_answer
 from levelscan.functions.scalars import hop_count, let, self_contained
 from levelscan.operators.ranking import edge_set_key
 from levelscan.operators.windows import stratified_pick
-from levelscan.plans.draws import hash32, uniform
+from levelscan.plans.draws import coin, hash32, order_key, uniform
 
 BOUND = 10000
 
@@ -144,7 +144,8 @@ def syllogism_items(seeds: DataFrame, item: str = "item_id", level: str = "level
     s = seeds.withColumn("template", template)
     s = s.withColumn("truth", F.col(index) % 5 < _case(F.col("template"), TRUE_COUNT))
     pool = F.array(*map(F.lit, names))
-    order = F.array_sort(F.transform(pool, lambda x: F.struct(hash32(seed, it, F.lit("name"), x).alias("h"), x.alias("x"))))
+    # sort_array compares structs natively, array_sort by a lambda
+    order = F.sort_array(F.transform(pool, lambda x: F.struct(order_key(seed, it, F.lit("name"), x).alias("h"), x.alias("x"))))
     s = s.withColumn("entities", F.transform(F.slice(order, 1, d + 1), lambda t: t["x"]))
     first, last = F.col("template").isin("B", "D"), F.col("template").isin("C", "D")
     s = s.withColumn("quantifiers", F.transform(F.sequence(F.lit(1), d), lambda i: F.when(first & (i == 1), "Some").when(last & (i == d), "No").otherwise("All")))
@@ -162,9 +163,9 @@ def syllogism_items(seeds: DataFrame, item: str = "item_id", level: str = "level
         return F.when(alt, other).otherwise(plain)
 
     lines = F.transform(F.sequence(F.lit(1), d), lambda i: F.struct(
-        hash32(seed, it, F.lit("order"), i).alias("h"),
-        premise(F.get("quantifiers", i - 1), F.get("entities", i - 1), F.get("entities", i), hash32(seed, it, F.lit("form"), i) % 2 == 1).alias("t")))
-    numbered = F.transform(F.array_sort(lines), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t["t"]))
+        order_key(seed, it, F.lit("order"), i).alias("h"),
+        premise(F.get("quantifiers", i - 1), F.get("entities", i - 1), F.get("entities", i), coin(seed, it, F.lit("form"), i)).alias("t")))
+    numbered = F.transform(F.sort_array(lines), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t["t"]))
     asked = F.when(F.col("truth"), _case(F.col("template"), CONCLUSION)).otherwise(_case(_case(F.col("template"), CONCLUSION), CONTRADICTION))
     s = s.withColumn("conclusion_type", asked)
     a, b = F.col("entities")[0], F.element_at("entities", -1)
