@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from levelscan.functions.predicates import short_answer
 from levelscan.functions.scalars import hop_count, let, self_contained
-from levelscan.operators.ranking import edge_set_key
 from levelscan.operators.windows import stratified_pick
-from levelscan.plans.draws import coin, hash32, order_key, uniform
+from levelscan.plans.draws import coin, digits_below, hash32, order_key
 
 BOUND = 10000
 
@@ -66,26 +65,44 @@ def arithmetic_chains(seeds: DataFrame, item: str = "item_id", level: str = "lev
         F.col("_c.vals").alias("intermediates"), F.col("_c.ops").alias("operations"), F.col("_c.args").alias("operands"))
 
 
-def _connected(n: Column, edges: Column) -> Column:
-    """Do the edges join nodes 0..n-1?  Grows the set reached from node 0, at most n times, inside the row."""
+def _connected(n: Column, everything: Column, masks: Column) -> Column:
+    """Do the edges, each the sum of 2^end, join nodes 0..n-1, whose sum of 2^node is ``everything``?  The set reached from node 0 is one number that grows inside the row."""
+    def touch(seen, m):
+        return F.when(seen.bitwiseAND(m) != 0, seen.bitwiseOR(m)).otherwise(seen)
+
     def grow(seen, _i):
-        touched = F.filter(edges, lambda e: F.array_contains(seen, e[0]) | F.array_contains(seen, e[1]))
-        return F.array_union(seen, F.flatten(touched))
+        return F.when(seen == everything, seen).otherwise(F.aggregate(masks, seen, touch))
+
+    return (F.size(masks) >= n - 1) & (F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(1).cast("bigint"), grow) == everything)
+
 
-    return F.size(F.aggregate(F.sequence(F.lit(1), n - 1), F.array(F.lit(0)), grow)) == n
+def _graph_levels() -> Column:
+    """The level table as a literal: nodes, probability, colours, and per pair of nodes the end of its draw's key and its mask."""
+    def pair(u, v):
+        return F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), F.lit(f"{u}|{v}").alias("key"), F.lit(2**u + 2**v).cast("bigint").alias("mask"))
+
+    return F.array(*[F.struct(
+        F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(digits_below(p)).alias("below"), F.lit(2**n - 1).cast("bigint").alias("all"),
+        F.array(*[pair(u, v) for u in range(n) for v in range(u + 1, n)]).alias("pairs")) for _l, n, p, k in GRAPH_LEVELS])
 
 
 def random_graphs(attempts: DataFrame, attempt: str = "attempt", level: str = "level", per_level: int | None = 20, seed: int = 42) -> DataFrame:
-    """Random graphs by the level table: connected, two edges or more, distinct edge sets per level, the first ones kept."""
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(k).alias("k")) for _l, n, p, k in GRAPH_LEVELS])
-    g = attempts.withColumn("_t", F.get(table, F.col(level) - 1)).select("*", "_t.*").drop("_t")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda u: F.transform(F.sequence(u + 1, F.col("n") - 1), lambda v: F.array(u, v))))
-    edges = F.filter(pairs, lambda e: uniform(seed, F.col(level), F.col(attempt), e[0], e[1]) < F.col("p"))
-    g = g.withColumn("edges", edges).where(F.size("edges") >= 2)
-    g = g.where(_connected(F.col("n"), F.col("edges")))
-    rest = [c for c in g.columns if c not in (level, attempt)]
-    uniq = g.groupBy(level, edge_set_key("edges").alias("_k")).agg(F.min(attempt).alias(attempt), F.min_by(F.struct(*rest), attempt).alias("_r"))
-    uniq = uniq.select(level, attempt, "_r.*")
+    """Random graphs by the level table: connected, two edges or more, distinct edge sets per level, the first ones kept.
+
+    An attempt's edges are drawn once, in the generator that drops it where they don't join its nodes: a filter on drawn columns
+    would move before the caller's shuffle and draw them again.
+    """
+    extra = [c for c in attempts.columns if c not in (level, attempt)]
+    g = attempts.withColumn("_t", F.get(_graph_levels(), F.col(level) - 1)).select("*", "_t.*").drop("_t")
+    g = g.withColumn("_key", F.concat_ws("|", F.lit(seed).cast("string"), F.col(level).cast("string"), F.col(attempt).cast("string"), F.lit("")))
+    drawn = F.filter("pairs", lambda e: order_key(F.concat("_key", e["key"])) < F.col("below"))
+    good = F.filter(F.array(drawn), lambda e: (F.size(e) >= 2) & _connected(F.col("n"), F.col("all"), e["mask"]))
+    g = g.select(*attempts.columns, "n", "p", "k", F.explode(good).alias("_e"))
+    g = g.withColumn("edges", F.transform("_e", lambda e: F.array(e["u"], e["v"]))).drop("_e")
+    # pairs come in one order, so equal sets are equal lists
+    first = [F.min(attempt).alias(attempt), *([F.min_by(F.struct(*extra), attempt).alias("_r")] if extra else [])]
+    uniq = g.groupBy(level, "n", "p", "k", "edges").agg(*first)
+    uniq = uniq.select(level, attempt, *(["_r.*"] if extra else []), "n", "p", "k", "edges")
     return uniq if per_level is None else stratified_pick(uniq, per_level, [level], [F.col(attempt)])
 
 
