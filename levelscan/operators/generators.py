@@ -10,6 +10,7 @@ from levelscan.functions.predicates import short_answer
 from levelscan.functions.scalars import hop_count, let, self_contained
 from levelscan.operators.windows import stratified_pick
 from levelscan.plans.draws import coin, digits_below, hash32, order_key
+from levelscan.plans.session import cut_lineage
 
 BOUND = 10000
 
@@ -114,6 +115,7 @@ def k_colourable(graphs: DataFrame, keys: Sequence[str], edges: str = "edges", n
     coloured: their largest number comes from the table.
     """
     keys = list(keys)
+    graphs = cut_lineage(graphs)  # read for the number of nodes and for the colours
     nodes = graphs.agg(F.max(n)).first()[0] or 1
     rows = graphs.withColumn("colouring", F.array(F.lit(0)))
     for i in range(1, nodes):

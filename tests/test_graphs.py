@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from levelscan.operators.generators import GRAPH_LEVELS, random_graphs
+from levelscan.operators.generators import GRAPH_LEVELS, k_colourable, random_graphs
 from levelscan.plans.draws import digits_below, order_key, uniform
 
 
@@ -46,3 +46,16 @@ def test_digits_compare_like_the_uniform_number(spark):
     df = spark.range(3000).select(uniform(1, F.col("id")).alias("u"), order_key(1, F.col("id")).alias("k"))
     for p in (0.3, 0.35, 0.45, 0.6):
         assert df.where((F.col("u") < p) != (F.col("k") < digits_below(p))).isEmpty()
+
+
+def test_colouring_reads_its_graphs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def nodes(n):
+        seen.add(1)
+        return n
+
+    df = spark.createDataFrame([(1, [[0, 1], [1, 2]], 3, 3)], "id int, edges array<array<int>>, m int, k int").select("id", "edges", nodes("m").alias("n"), "k")
+    assert [r["colouring"] for r in k_colourable(df, ["id"]).collect()] == [[0, 1, 0]]
+    assert seen.value == 1
