@@ -416,15 +416,19 @@ CLAIM_HINTS = (
 )
 
 
-def _claims_of(line: Column, pattern: str, kind: str, hint: str, margin: int) -> Column:
-    """struct array (value_type, value, context); positions are found by scanning the full matches in order."""
-    whole = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+def _claims_of(line: Column, pattern: str, kind: str, hint: str, margin: int | None) -> Column:
+    """struct array (value_type, value, context); positions are found by scanning the full matches in order.  Without a margin one scan finds the values."""
     g1 = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     value = g1
     if kind == "confidence_interval":
         g2 = F.regexp_extract_all(line, F.lit(pattern), F.lit(2))
         value = F.zip_with(g1, g2, lambda a, b: F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]")))
 
+    if margin is None:
+        bare = F.transform(value, lambda v: F.struct(F.lit(kind).alias("value_type"), v.alias("value")))
+        return F.when(F.contains(line, F.lit(hint)), bare).otherwise(F.array().cast("array<struct<value_type:string,value:string>>"))
+    whole = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+
     def place(state, m):
         at = F.call_function("locate", m, line, state["to"])
         return F.struct((at + F.length(m)).alias("to"), F.array_append(state["at"], at).alias("at"))
@@ -444,8 +448,8 @@ def _claims_of(line: Column, pattern: str, kind: str, hint: str, margin: int) ->
     return F.when(hit, F.transform(joined, pack)).otherwise(none)
 
 
-def extract_claims(lines: DataFrame, line: str = "line", margin: int = 60) -> DataFrame:
-    """One row per claim: value_type, value and the text around it.
+def extract_claims(lines: DataFrame, line: str = "line", margin: int | None = 60) -> DataFrame:
+    """One row per claim: value_type, value and the text around it (none without a margin).
 
     A line without a digit cannot match any pattern and is dropped before the scans.
     """

@@ -276,7 +276,7 @@ CLAIMS = f"{CLAIM_SRC}, cl AS ({_claim_sql()})"
 
 def claims(spark, d):
     lines = claim_lines(spark, d).where(~F.startswith("line", F.lit("\\section")))
-    return S.extract_claims(lines)
+    return S.extract_claims(lines, margin=None)  # no query reads the context
 
 
 @query("sc16_extract_claims", f"WITH {CLAIMS} SELECT * FROM cl")
