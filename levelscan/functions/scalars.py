@@ -302,13 +302,17 @@ def replay_chain(start: Column, ops: Column, operands: Column, bound: int = 1000
     return F.aggregate(F.arrays_zip(ops.alias("0"), operands.alias("1")), F.array(start.cast("bigint")), step)
 
 
+def chain_check(start, ops, operands, intermediates, output, bound: int = 10000) -> Column:
+    """struct(replay_ok, output_ok, bounds_ok) from one replay of the chain."""
+    return let(replay_chain(start, ops, operands), lambda vals: F.struct(
+        F.coalesce(vals == intermediates.cast("array<bigint>"), F.lit(False)).alias("replay_ok"),
+        F.coalesce(F.element_at(vals, -1) == output, F.lit(False)).alias("output_ok"),
+        F.coalesce(F.forall(vals, lambda v: F.abs(v) <= bound), F.lit(False)).alias("bounds_ok")))
+
+
 def chain_checks(start, ops, operands, intermediates, output, bound: int = 10000) -> dict[str, Column]:
-    vals = replay_chain(start, ops, operands)
-    return {
-        "replay_ok": F.coalesce(vals == intermediates.cast("array<bigint>"), F.lit(False)),
-        "output_ok": F.coalesce(let(vals, lambda v: F.element_at(v, -1)) == output, F.lit(False)),
-        "bounds_ok": F.coalesce(F.forall(vals, lambda v: F.abs(v) <= bound), F.lit(False)),
-    }
+    checks = chain_check(start, ops, operands, intermediates, output, bound)
+    return {n: checks[n] for n in ("replay_ok", "output_ok", "bounds_ok")}
 
 
 def question_facts(decomposition: Column, paragraphs: Column) -> Column:

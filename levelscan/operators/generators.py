@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from levelscan.functions.predicates import short_answer
-from levelscan.functions.scalars import hop_count, let, self_contained
+from levelscan.functions.scalars import hop_count, self_contained
 from levelscan.operators.windows import stratified_pick
 from levelscan.plans.draws import coin, digits_below, hash32, order_key
 from levelscan.plans.session import cut_lineage
@@ -22,39 +24,48 @@ GRAPH_LEVELS = (
 )
 
 
+_MOVES = T.StructType([T.StructField("vals", T.ArrayType(T.LongType())), T.StructField("ops", T.ArrayType(T.StringType())), T.StructField("args", T.ArrayType(T.LongType()))])
+
+
+def _chain_moves(bound: int):
+    """Arrow batches of (start, draws): one legal move per draw, all chains of a batch a step at a time."""
+
+    @F.pandas_udf(_MOVES)
+    def moves(start: pd.Series, draws: pd.Series) -> pd.DataFrame:
+        sizes = draws.map(len).to_numpy()
+        flat, first = np.concatenate([*draws, np.empty(0, np.int64)]).astype(np.int64), np.cumsum(sizes) - sizes
+        vals, ops, args = (np.zeros(len(flat), np.int64) for _ in range(3))
+        v = start.to_numpy().astype(np.int64)
+        for i in range(sizes.max(initial=0)):
+            on = sizes > i
+            at, x = first[on] + i, v[on]
+            add = np.maximum(np.minimum(99, bound - x) - 9, 0)
+            sub = add + np.maximum(np.minimum(99, bound + x) - 9, 0)
+            mul = np.where(x == 0, 0, np.maximum(np.minimum(9, bound // np.maximum(np.abs(x), 1)) - 1, 0))
+            r = flat[at] % (sub + mul)
+            op = (r >= add).astype(np.int64) + (r >= sub)
+            arg = np.where(op == 0, 10 + r, np.where(op == 1, 10 + r - add, 2 + r - sub))
+            v[on] = vals[at] = np.where(op == 0, x + arg, np.where(op == 1, x - arg, x * arg))
+            ops[at], args[at] = op, arg
+        cuts = first[1:]
+        names = np.array(["+", "-", "×"], dtype=object)[ops]
+        parts = [np.split(c, cuts) if len(sizes) else [] for c in (vals, names, args)]
+        return pd.DataFrame({"vals": [np.concatenate([[s], p]) for s, p in zip(start, parts[0])], "ops": parts[1], "args": parts[2]})
+
+    return moves
+
+
 def arithmetic_chains(seeds: DataFrame, item: str = "item_id", level: str = "level", seed: int = 42, bound: int = BOUND) -> DataFrame:
     """Chains of ``level`` steps from a start of 10..99; each step is uniform over all legal moves.
 
     Legal: + and - with 10..99, times 2..9 (not on 0), values within +-bound.  The number of legal moves
     of each kind is arithmetic in the current value, so one draw picks the move.
     """
-    start = (10 + hash32(seed, F.col(item), F.lit("start")) % 90).cast("bigint")
-
-    def moves(v):
-        """struct(v, add, sub, all): numbers of legal additions, additions + subtractions, and all moves."""
-        add = F.greatest(F.least(F.lit(99), bound - v) - 9, F.lit(0))
-        sub = F.greatest(F.least(F.lit(99), bound + v) - 9, F.lit(0))
-        mul = F.when(v == 0, 0).otherwise(F.greatest(F.least(F.lit(9), F.floor(bound / F.greatest(F.abs(v), F.lit(1)))) - 1, F.lit(0)))
-        return F.struct(v.alias("v"), add.alias("add"), (add + sub).alias("sub"), (add + sub + mul).alias("all"))
-
-    def step(s, i):
-        def draw(m):
-            return let(hash32(seed, F.col(item), i) % m["all"], lambda r: move(m, r))
-
-        def move(m, r):
-            v, add, sub = m["v"], m["add"], m["sub"]
-            return F.when(r < add, F.struct((v + 10 + r).alias("v"), F.lit("+").alias("o"), (10 + r).alias("a"))).when(
-                r < sub, F.struct((v - 10 - r + add).alias("v"), F.lit("-").alias("o"), (10 + r - add).alias("a"))).otherwise(
-                F.struct((v * (2 + r - sub)).alias("v"), F.lit("×").alias("o"), (2 + r - sub).alias("a")))
-
-        return let(let(moves(s["last"]), draw), lambda n: F.struct(n["v"].alias("last"), F.array_append(s["done"], n).alias("done")))
-
-    none = F.array().cast("array<struct<v: bigint, o: string, a: bigint>>")
-    first = F.struct(F.col("_start").alias("last"), none.alias("done"))
-    chain = seeds.withColumn("_start", start)
-    chain = chain.withColumn("_m", F.aggregate(F.sequence(F.lit(1), F.col(level)), first, step, lambda s: s["done"]))
-    chain = chain.withColumn("_c", F.struct(
-        F.concat(F.array("_start"), F.transform("_m", lambda m: m["v"])).alias("vals"), F.transform("_m", lambda m: m["o"]).alias("ops"), F.transform("_m", lambda m: m["a"]).alias("args")))
+    chain = seeds.withColumn("_start", (10 + hash32(seed, F.col(item), F.lit("start")) % 90).cast("bigint"))
+    chain = chain.withColumn("_key", F.concat_ws("|", F.lit(seed).cast("string"), F.col(item).cast("string"), F.lit("")))
+    draws = F.transform(F.sequence(F.lit(1), F.col(level)), lambda i: F.conv(order_key(F.concat("_key", i.cast("string"))), 16, 10).cast("bigint"))
+    moves = _chain_moves(bound)("_start", F.coalesce(draws, F.array().cast("array<bigint>")))
+    chain = chain.withColumn("_c", F.when(F.col(level).isNotNull(), moves))
     words = F.create_map(F.lit("+"), F.lit("Add"), F.lit("-"), F.lit("Subtract"), F.lit("×"), F.lit("Multiply by"))
     lines = F.transform(F.arrays_zip(F.col("_c.ops").alias("o"), F.col("_c.args").alias("a")), lambda x, i: F.concat(
         F.lit("Step "), (i + 1).cast("string"), F.lit(": "), words[x["o"]], F.lit(" "), x["a"].cast("string")))

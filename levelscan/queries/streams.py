@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from levelscan.functions.scalars import chain_checks
+from levelscan.functions.scalars import chain_check
 from levelscan.operators import generators as G
 from levelscan.operators.joins import check_colouring
 from levelscan.plans.parallel import spread
@@ -63,8 +63,9 @@ def _(spark, d):
 def _(spark, d):
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (2 + F.col("o_custkey") % 24).cast("int").alias("level"))
     g = G.arithmetic_chains(spread(s, "item_id"))
-    c = chain_checks(g["intermediates"][0], g["operations"], g["operands"], g["intermediates"], g["output"].cast("bigint"))
-    return g.select("item_id", "level", F.size("operations").alias("n_ops"), *[x.alias(n) for n, x in c.items()], g["intermediates"][0].between(10, 99).alias("start_ok"))
+    c = chain_check(g["intermediates"][0], g["operations"], g["operands"], g["intermediates"], g["output"].cast("bigint"))
+    g = g.select("item_id", "level", F.size("operations").alias("n_ops"), c.alias("_c"), g["intermediates"][0].between(10, 99).alias("start_ok"))
+    return g.select("item_id", "level", "n_ops", "_c.*", "start_ok")
 
 
 def _graphs(spark, d):
