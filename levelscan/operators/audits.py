@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from levelscan.plans.session import cut_lineage
 
@@ -117,15 +119,54 @@ def validate_items(
     return out
 
 
-def components(edges: DataFrame, instance: str, max_rounds: int = 60, hops: int = 2) -> DataFrame:
-    """Smallest reachable node per (instance, node), by min-label propagation with pointer jumping.
+def _labels_in_rows(node_type):
+    """Arrow batches of (a, b), the ends of each instance's edges in both directions: the smallest node that each end in ``a`` reaches."""
 
-    A round takes the smallest label of the neighbours ``hops`` times and then the label's own label, so
-    the number of rounds grows with the logarithm of the diameter; each round's labels are written once.
+    @F.pandas_udf(T.ArrayType(node_type))
+    def labels(a: pd.Series, b: pd.Series) -> pd.Series:
+        sizes = a.map(len).to_numpy()
+        if not sizes.sum():
+            return a
+        nodes, code = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+        key = np.tile(np.repeat(np.arange(len(a)), sizes), 2) * len(nodes) + code  # nodes of different instances differ
+        ids, at = np.unique(key, return_inverse=True)
+        left, right = np.split(at, 2)
+        label, before = np.arange(len(ids)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            np.minimum.at(label, left, before[right])
+            label = label[label]
+        return pd.Series(np.split(nodes[ids[label[left]] % len(nodes)], np.cumsum(sizes)[:-1]))
+
+    return labels
+
+
+def components(edges: DataFrame, instance: str, max_rounds: int = 60, hops: int = 2, limit: int = 1024) -> DataFrame:
+    """Smallest reachable node per (instance, node).
+
+    An instance of up to ``limit`` distinct directed edges is labelled in its own row, without a shuffle per round; larger ones
+    take part in the rounds of ``_propagate``, with the same result.
     """
     u, v = F.col("u"), F.col("v")
     ends = F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((u, v), (v, u), (u, u), (v, v))])  # a node is its own neighbour
     both = cut_lineage(edges.select(instance, F.explode(ends).alias("_e")).select(instance, "_e.*").distinct())
+    big = cut_lineage(both.groupBy(instance).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(instance))
+    packed = both.join(big, instance, "left_anti").groupBy(instance).agg(F.collect_list(F.struct("a", "b")).alias("_p"))
+    row = packed.select(instance, F.col("_p.a").alias("_a"), _labels_in_rows(both.schema["a"].dataType)("_p.a", "_p.b").alias("_l"))
+    found = F.explode(F.array_distinct(F.arrays_zip(F.col("_a").alias("node"), F.col("_l").alias("label"))))
+    labels = row.select(instance, found.alias("_f")).select(instance, "_f.node", "_f.label")
+    if big.isEmpty():
+        return labels
+    return labels.unionByName(_propagate(both.join(big, instance, "left_semi"), instance, max_rounds, hops))
+
+
+def _propagate(both: DataFrame, instance: str, max_rounds: int, hops: int) -> DataFrame:
+    """Min-label propagation with pointer jumping over (instance, a, b), the edges in both directions.
+
+    A round takes the smallest label of the neighbours ``hops`` times and then the label's own label, so
+    the number of rounds grows with the logarithm of the diameter; each round's labels are written once.
+    """
+    both = cut_lineage(both)
 
     def spread(labels: DataFrame) -> DataFrame:
         return both.join(labels.select(instance, F.col("node").alias("b"), "label"), [instance, "b"]).groupBy(
