@@ -94,15 +94,87 @@ def assign_clusters(df: DataFrame, keys: Sequence[str], vector: str, centres: Da
     return df.join(centres, list(keys)).withColumn("cluster", (_sq(v, F.col("c1")) < _sq(v, F.col("c0"))).cast("int")).drop("c0", "c1")
 
 
-def _lloyd(rows: DataFrame, keys: list[str], vector: str, centres: DataFrame, rounds: int, tol: float) -> DataFrame:
-    """Centres that no round moves any more, for all groups at once; only the centres are kept between rounds."""
+def _packed(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """The vectors of a group as matrices of at most an Arrow batch, written once: ``_x`` (bytes) of ``_m`` rows."""
+    parts = rows.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    schema = T.StructType([*[f for f in parts.schema.fields if f.name in keys], T.StructField("_m", T.IntegerType()), T.StructField("_x", T.BinaryType())])
+
+    def pack(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                yield pd.DataFrame([(*key, len(part), np.vstack(part["_v"].to_numpy()).tobytes())], columns=schema.names)
+
+    return cut_lineage(parts.mapInPandas(pack, schema).withColumn("_h", F.xxhash64("_x")).repartition("_h").drop("_h"))
+
+
+def _nearness(m: int, x: bytes, c: np.ndarray, live: np.ndarray):
+    """Matrix of a packed row, its centres as (starts, 2, dim), and the squared distances (live starts, 2, rows)."""
+    x = np.frombuffer(x, np.float64).reshape(m, -1)
+    c = np.asarray(c, np.float64).reshape(len(live), 2, -1)
+    d2 = np.empty((int(live.sum()), 2, m))
+    for s, both in enumerate(c[live]):
+        for k in (0, 1):
+            y = x - both[k]
+            d2[s, k] = np.einsum("ij,ij->i", y, y)
+    return x, c, d2
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _cluster_sums(m: pd.Series, x: pd.Series, c: pd.Series, live: pd.Series) -> pd.Series:
+    """Per start and cluster: rows and vector sum under the given centres, flat; zeros for starts that are done."""
+    out = []
+    for mi, xi, ci, li in zip(m, x, c, live):
+        li = np.asarray(li, bool)
+        v, centres, d2 = _nearness(mi, xi, ci, li)
+        one = d2[:, 1] < d2[:, 0]
+        sums = np.zeros((len(li), 2, 1 + centres.shape[2]))
+        for k, w in enumerate((~one, one)):
+            sums[li, k, 0], sums[li, k, 1:] = w.sum(1), w.astype(np.float64) @ v
+        out.append(sums.ravel())
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _inertias(m: pd.Series, x: pd.Series, c: pd.Series, live: pd.Series) -> pd.Series:
+    """Per start: the sum of the squared distances to the nearer centre."""
+    return pd.Series([_nearness(mi, xi, ci, np.ones(len(li), bool))[2].min(1).sum(1) for mi, xi, ci, li in zip(m, x, c, live)])
+
+
+def _moved_centres(tol: float):
+    @F.pandas_udf(T.StructType([T.StructField("c", T.ArrayType(T.DoubleType())), T.StructField("live", T.ArrayType(T.BooleanType()))]))
+    def step(c: pd.Series, live: pd.Series, sums: pd.Series) -> pd.DataFrame:
+        rows = []
+        for ci, li, si in zip(c, live, sums):
+            li = np.array(li, bool)
+            if si is not None:
+                old = np.array(ci, np.float64).reshape(len(li), 2, -1)
+                s = np.asarray(si, np.float64).reshape(len(li), 2, -1)
+                n = s[:, :, :1]
+                mean = s[:, :, 1:] / np.where(n > 0, n, 1)
+                mean = np.where(n > 0, mean, mean[:, ::-1])  # an empty cluster has the other's centre
+                new = np.where(li[:, None, None], mean, old)
+                ci, li = new.ravel(), li & ~(((new - old) ** 2).sum(2) <= tol).all(1)
+            rows.append((ci, li))
+        return pd.DataFrame(rows, columns=["c", "live"])
+
+    return step
+
+
+def _lloyd(blocks: DataFrame, keys: list[str], centres: DataFrame, rounds: int, tol: float) -> DataFrame:
+    """(keys, _c, _live) with the centres, flat, that no round moves any more, of all groups and starts at once.
+
+    ``centres`` has one row (c0, c1) per group and ``_start``.  A round meets packed vectors with the centres of their group; only sums
+    per start and cluster leave the tasks and only the centres are kept.  Starts that are done take no part in later rounds.
+    """
+    per = centres.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_start", "c0", "c1"))).alias("_s"))
+    state = cut_lineage(per.select(*keys, F.flatten(F.transform("_s", lambda s: F.concat(s["c0"], s["c1"]))).alias("_c"), F.transform("_s", lambda s: F.lit(True)).alias("_live")))
+    step, working = _moved_centres(tol), F.exists("_live", lambda x: x)
     for _ in range(rounds):
-        new = cut_lineage(_centres(assign_clusters(rows, keys, vector, centres), keys, vector))
-        old = centres.select(*keys, F.col("c0").alias("_o0"), F.col("c1").alias("_o1"))
-        moved = new.join(old, keys).where((_sq(F.col("c0"), F.col("_o0")) > tol) | (_sq(F.col("c1"), F.col("_o1")) > tol))
-        centres = new
-        if moved.isEmpty():
-            return centres
+        met = blocks.join(state.where(working), keys).select(*keys, _cluster_sums("_m", "_x", "_c", "_live").alias("_s"))
+        sums = met.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("_s"))).alias("_s"))
+        state = cut_lineage(state.join(sums, keys, "left").select(*keys, step("_c", "_live", "_s").alias("_n")).select(*keys, F.col("_n.c").alias("_c"), F.col("_n.live").alias("_live")))
+        if state.where(working).isEmpty():
+            return state
     raise RuntimeError(f"two-means has not converged in {rounds} rounds")
 
 
@@ -124,16 +196,24 @@ def kmeans2(df: DataFrame, keys: Sequence[str], vector: str, start: Column | Non
     of equal vectors is one cluster.
     """
     keys = list(keys)
+    blocks = _packed(df, keys, vector)
     if start is not None:
-        centres = cut_lineage(_centres(df.withColumn("cluster", start), keys, vector))
-        return assign_clusters(df, keys, vector, _lloyd(df, keys, vector, centres, rounds, tol))
-    vectors = cut_lineage(df.select(*keys, F.col(vector).cast("array<double>").alias("_v")))
-    many, both = vectors.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))), [*keys, "_start"]
-    centres = _lloyd(many, both, "_v", cut_lineage(_spread_starts(many, both, "_v", seed)), rounds, tol)
-    inertia = many.join(centres, both).groupBy(*both).agg(F.sum(F.least(_sq(F.col("_v"), F.col("c0")), _sq(F.col("_v"), F.col("c1")))).alias("_sum"))
-    order = F.struct(F.round("_sum", 9), "_start")
-    best = centres.join(inertia, both).groupBy(*keys).agg(F.min_by(F.array_sort(F.array("c0", "c1")), order).alias("_c"))
-    return assign_clusters(df, keys, vector, best.select(*keys, F.col("_c")[0].alias("c0"), F.col("_c")[1].alias("c1")))
+        first = _centres(df.withColumn("cluster", start), keys, vector).withColumn("_start", F.lit(0))
+    else:
+        vectors = cut_lineage(df.select(*keys, F.col(vector).cast("array<double>").alias("_v")))
+        first = _spread_starts(vectors.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))), [*keys, "_start"], "_v", seed)
+    state = _lloyd(blocks, keys, first, rounds, tol)
+    dim = (F.size("_c") / (2 * F.size("_live"))).cast("int")
+
+    def centre(s, k):
+        return F.slice("_c", (2 * s + k) * dim + 1, dim)
+
+    if start is not None:
+        return assign_clusters(df, keys, vector, state.select(*keys, centre(F.lit(0), 0).alias("c0"), centre(F.lit(0), 1).alias("c1")))
+    inertia = blocks.join(state, keys).select(*keys, F.posexplode(_inertias("_m", "_x", "_c", "_live")).alias("_start", "_i")).groupBy(*keys, "_start").agg(F.sum("_i").alias("_sum"))
+    best = inertia.groupBy(*keys).agg(F.min_by("_start", F.struct(F.round("_sum", 9), "_start")).alias("_start"))
+    both = state.join(best, keys).select(*keys, F.array_sort(F.array(centre(F.col("_start"), 0), centre(F.col("_start"), 1))).alias("_b"))
+    return assign_clusters(df, keys, vector, both.select(*keys, F.col("_b")[0].alias("c0"), F.col("_b")[1].alias("c1")))
 
 
 def silhouette_squared(rows: DataFrame, keys: Sequence[str], vector: str, cluster: str = "cluster") -> DataFrame:
@@ -165,40 +245,60 @@ def _silhouette(j: DataFrame, keys, own: Column, other: Column, n_own: Column, n
     return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette_k2"))
 
 
-def silhouette_k2(rows: DataFrame, keys: Sequence[str], row_id: str, vector: str, cluster: str = "cluster", block: int = 1024) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x2, y2 = (x * x).sum(1)[:, None], (y * y).sum(1)[None, :]
+    scale = x2 + y2
+    d2 = x @ y.T
+    d2 *= -2
+    d2 += scale
+    i, j = np.nonzero(d2 < 1e-7 * scale)  # the expanded form loses digits here
+    dist = np.sqrt(np.maximum(d2, 0.0, out=d2), out=d2)
+    for at in range(0, len(i), 65536):
+        p, q = i[at:at + 65536], j[at:at + 65536]
+        dist[p, q] = np.sqrt(((x[p] - y[q]) ** 2).sum(1))
+    return dist
+
+
+def silhouette_k2(rows: DataFrame, keys: Sequence[str], row_id: str, vector: str, cluster: str = "cluster", block: int = 8192, tile: int = 256) -> DataFrame:
     """Mean Euclidean silhouette, exact.
 
-    A group is cut into blocks of about ``block`` rows; each pair of blocks is one numpy distance
-    matrix that leaves only per-row sums, so a large group is many equal tasks and no pair is emitted.
+    A group is cut into blocks of about ``block`` rows; each unordered pair of blocks is one task's work in numpy, ``tile`` rows against a
+    block at a time, that leaves only per-row sums for both sides, so a large group is many equal tasks and no pair is emitted.
     Quadratic by nature: for very large groups use ``silhouette_squared``.
     """
     keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
     base = rows.select(*keys, F.col(row_id).alias("_id"), F.col(cluster).alias("_c"), F.col(vector).cast("array<double>").alias("_v"))
     base = base.join(sizes, keys).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("_nb") - 1)
-    left = base.withColumn("_o", F.explode(others)).select(*keys, F.col("_b").alias("_i"), F.col("_o").alias("_j"), "_id", "_c", "_v")
+    base = cut_lineage(base)  # the clusters are found once, not for either side
+    left = base.withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_nb") - 1))).select(*keys, F.col("_b").alias("_i"), "_j", "_id", "_c", "_v")
     rkeys = [f"_k{i}" for i in range(len(keys))]
-    right = base.withColumn("_o", F.explode(others)).select(
-        *[F.col(k).alias(r) for k, r in zip(keys, rkeys)], F.col("_o").alias("_ri"), F.col("_b").alias("_rj"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
+    right = base.where("_b > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).select(
+        *[F.col(k).alias(r) for k, r in zip(keys, rkeys)], F.col("_i").alias("_ri"), F.col("_b").alias("_rj"), F.col("_id").alias("_rid"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
     fields = [f for f in left.schema.fields if f.name in (*keys, "_id", "_c")]
     schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in ("t0", "t1", "n0", "n1")]])
 
-    def block_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
+    def block_sums(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        same = key[-2] == key[-1]
+        if a.empty or (b.empty and not same):
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        x, y = np.vstack(a["_v"].to_numpy()), np.vstack(b["_rv"].to_numpy())
-        d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        scale = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
-        close = np.argwhere(d2 < 1e-7 * scale)  # the expanded form loses digits here
-        dist = np.sqrt(np.maximum(d2, 0.0))
-        for i, j in close:
-            dist[i, j] = np.linalg.norm(x[i] - y[j])
-        c = b["_rc"].to_numpy()
-        out = a[[f.name for f in fields]].copy()
-        for k in (0, 1):
-            out[f"t{k}"], out[f"n{k}"] = dist[:, c == k].sum(1), float((c == k).sum())
-        return out
+        x, cx, ids = np.vstack(a["_v"].to_numpy()), a["_c"].to_numpy(), [a["_id"].to_numpy()]
+        y, cy = (x, cx) if same else (np.vstack(b["_rv"].to_numpy()), b["_rc"].to_numpy())
+        of_x, of_y = (np.stack([c == 0, c == 1], 1).astype(np.float64) for c in (cx, cy))
+        to_y, to_x = np.empty((len(x), 2)), np.zeros((len(y), 2))
+        for at in range(0, len(x), tile):
+            dist = _distances(x[at:at + tile], y)
+            to_y[at:at + tile] = dist @ of_y
+            if not same:
+                to_x += dist.T @ of_x[at:at + tile]
+        sides = [(cx, to_y, of_y)]
+        if not same:
+            ids.append(b["_rid"].to_numpy())
+            sides.append((cy, to_x, of_x))
+        n = [len(t) for _, t, _ in sides]
+        whole = {k: [v] * sum(n) for k, v in zip(keys, key)} | {"_id": np.concatenate(ids), "_c": np.concatenate([c for c, _, _ in sides])}
+        whole |= {f"t{k}": np.concatenate([t[:, k] for _, t, _ in sides]) for k in (0, 1)} | {f"n{k}": np.repeat([o[:, k].sum() for _, _, o in sides], n) for k in (0, 1)}
+        return pd.DataFrame(whole)[[f.name for f in schema.fields]]
 
     parts = left.groupBy(*keys, "_i", "_j").cogroup(right.groupBy(*rkeys, "_ri", "_rj")).applyInPandas(block_sums, schema)
     j = parts.groupBy(*keys, "_id", "_c").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "n0", "n1")])
