@@ -45,22 +45,24 @@ class Models:
         return np.einsum("mij,mj->mi", self.frame, coef)
 
 
-def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
-    rep = np.array(batch.column("_rep").to_pylist(), object)
-    own = batch.column("_own").to_pylist()
-    y = batch.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
-    x = batch.column("_x")
-    width = len(x[0]) if len(x) else 0
-    return rep, own, y, x.flatten().to_numpy(zero_copy_only=False).reshape(len(y), width)
+def _coded(column: pa.Array) -> tuple[np.ndarray, list]:
+    """Numbers of the texts of a column, and the texts."""
+    d = column.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
 
 
 def _per_replicate(batch: pa.RecordBatch, models: dict[str, list[Models]]) -> Iterator[tuple[Models, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(models, places of the rows, own model or -1, y, (1, x - low)) for each replicate in the batch and each of its model groups."""
-    rep, own, y, x = _matrices(batch)
-    for r in sorted(set(rep.tolist())):
-        at = np.flatnonzero(rep == r)
+    if not batch.num_rows:
+        return
+    rep, reps = _coded(batch.column("_rep"))
+    own, folds = _coded(batch.column("_own").flatten())
+    y = batch.column("_y").to_numpy(zero_copy_only=False).astype(np.float64)
+    own, x = own.reshape(len(y), -1), batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+    for r in sorted(reps):
+        at = np.flatnonzero(rep == reps.index(r))
         for m in models.get(r, ()):
-            held = np.array([m.folds.get(own[i][m.scheme], -1) for i in at], np.int64)
+            held = np.array([m.folds.get(f, -1) for f in folds], np.int64)[own[at, m.scheme]]
             yield m, at, held, y[at], np.concatenate([np.ones((len(at), 1)), x[at][:, m.cols] - m.low], 1)
 
 
@@ -74,10 +76,10 @@ def prepare(df: DataFrame, features: Sequence[str], schemes: Mapping[str, Column
     return cut_lineage(df.where(F.col(label).isNotNull()).select(rep.cast("string").alias("_rep"), own.alias("_own"), F.col(label).cast("double").alias("_y"), x.alias("_x"), *carry))
 
 
-def training_sets(data: DataFrame, features: Sequence[str], variants: Mapping[str, tuple[Sequence[str], float]], schemes: Mapping[str, Column | None], balanced: bool, min_test: int = MIN_TEST) -> list[Models]:
+def training_sets(data: DataFrame, features: Sequence[str], variants: Mapping[str, tuple[Sequence[str], float]], schemes: Mapping[str, Column | None], balanced: bool, min_test: int = MIN_TEST, held: str | None = None) -> list[Models]:
     """Standardisation and class weights of every usable model: sums of all rows less those of the model's own fold.
 
-    A fold is used if it leaves 5 rows of both classes to train on and has ``min_test`` rows itself.
+    A fold is used if it leaves 5 rows of both classes to train on and has ``min_test`` rows itself, and, with ``held``, if it has that name.
     """
     k = range(len(features))
     centre = data.agg(*[F.avg(F.col("_x")[j]).alias(f"m{j}") for j in k], *[F.min(F.col("_x")[j]).alias(f"l{j}") for j in k]).first()
@@ -99,6 +101,8 @@ def training_sets(data: DataFrame, features: Sequence[str], variants: Mapping[st
             cols = np.array([place[f] for f in names], np.int64)
             frames, weights, usable = [], [], {}
             for fold, own in sorted(by_fold.items()):
+                if held is not None and fold != held:
+                    continue
                 train = total if kept_whole[scheme] else total - own
                 n, pos = train[:2]
                 if n < MIN_TRAIN or own[0] < min_test or not 0 < pos < n:
@@ -208,18 +212,18 @@ def held_out(data: DataFrame, models: list[Models], schemes: Sequence[str], carr
 
 def cross_validate(
     df: DataFrame, variants: Mapping[str, Sequence[str] | tuple[Sequence[str], float]], schemes: Mapping[str, Column | None], label: str = "label",
-    rep: Column | None = None, carry: Sequence[str] = (), balanced: bool = True, min_test: int = MIN_TEST,
+    rep: Column | None = None, carry: Sequence[str] = (), balanced: bool = True, min_test: int = MIN_TEST, held: str | None = None,
 ) -> DataFrame:
     """Held-out predictions of logistic regressions for all variants x schemes x folds x replicates, in a fixed number of jobs.
 
     ``variants`` name feature lists, or pairs of a feature list and C (1 otherwise); ``schemes`` give the expression of a row's fold, or
     None to train on all rows; ``rep`` names the replicate a row belongs to.  Features are standardised on the training rows (population
     deviation; constant features stay), missing ones count as 0, classes weigh n / (2 n_class).  Rows without a label take no
-    part.  A replicate or scheme without a usable fold has no rows.
+    part.  A replicate or scheme without a usable fold has no rows.  ``held`` names the one fold to hold out, where the others only train.
     """
     chosen = {n: (list(v[0]), float(v[1])) if isinstance(v, tuple) and isinstance(v[1], float) else (list(v), 1.0) for n, v in variants.items()}
     features = sorted({f for names, _ in chosen.values() for f in names})
     data = prepare(df, features, schemes, label, F.lit("") if rep is None else rep, carry)
-    models = training_sets(data, features, chosen, schemes, balanced, min_test)
+    models = training_sets(data, features, chosen, schemes, balanced, min_test, held)
     newton(data, models)
     return held_out(data, models, list(schemes), carry)
