@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from levelscan.plans.session import cut_lineage
+
 KEYS = ("task", "model", "level")
 
 
@@ -33,6 +35,9 @@ def level_table(rows: DataFrame, keys: Sequence[str] = KEYS, x: str = "x", modes
 
     With ``modes`` also ``dip_pvalue`` and ``silhouette_k2`` of the rows' values (see indicators.modality): whether a cell has two modes.
     """
+    keys = list(keys)
+    if modes:
+        return _level_table_with_modes(rows, keys, x)
     v = F.col(x)
     moments = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -45,12 +50,53 @@ def level_table(rows: DataFrame, keys: Sequence[str] = KEYS, x: str = "x", modes
     moments = moments.withColumn(
         "bimodality_coefficient", bimodality(F.col("_skew"), F.col("_kurt"), F.col("n"))
     ).drop("_skew", "_kurt")
-    out = moments.join(disagreement(rows, keys, policy="all"), list(keys))
-    if not modes:
-        return out
-    from levelscan.operators.indicators import modality
-
-    return out.join(modality(rows, keys, x).drop("dip_statistic"), list(keys), "left")
+    return moments.join(disagreement(rows, keys, policy="all"), keys)
+
+
+def _level_table_with_modes(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Moments and modes both follow from the counts of each cell's distinct values, so the rows are read once for them."""
+    from levelscan.operators.indicators import modality_of_counts
+
+    cells = cut_lineage(rows.groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c"), F.count("correct").alias("_known"), F.count_if("correct").alias("_good")))
+    centres = cut_lineage(_centres_of_counts(cells, keys))
+    out = _moments_of_counts(cells, keys, centres).join(disagreement(rows, keys, policy="all"), keys)
+    return out.join(modality_of_counts(cells, keys, sizes=centres).drop("dip_statistic"), keys, "left")
+
+
+def _sides() -> dict[str, Column]:
+    """Weights of a distinct value: its rows, its correct rows, its incorrect rows."""
+    return {"all": F.col("_c"), "good": F.col("_good"), "bad": F.col("_known") - F.col("_good")}
+
+
+def _centres_of_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: rows, accuracy, distinct values, and the number and mean of the values of each side; equal values are their own mean."""
+    v = F.col("_x")
+    aggs = [F.sum("_c").alias("n"), F.sum("_good").alias("_ok"), F.sum("_known").alias("_judged"), F.count(v).alias("_k")]
+    for s, w in _sides().items():
+        has = v.isNotNull() & (w > 0)
+        lo, hi, total = F.min(F.when(has, v)), F.max(F.when(has, v)), F.sum(F.when(has, w))
+        aggs += [F.coalesce(total, F.lit(0)).alias(f"_n_{s}"), F.when(lo == hi, lo).otherwise(F.sum(F.when(has, w * v)) / total).alias(f"_mean_{s}")]
+    out = cells.groupBy(*keys).agg(*aggs)
+    return out.withColumn("accuracy", F.when(F.col("_judged") > 0, F.col("_ok") / F.col("_judged"))).drop("_ok", "_judged")
+
+
+def _moments_of_counts(cells: DataFrame, keys: list[str], centres: DataFrame) -> DataFrame:
+    """The columns of ``level_table`` that are moments, from sums of powers about the means."""
+    d = F.col("_x") - F.col("_mean_all")
+    apart = {s: F.col("_x") - F.col(f"_mean_{s}") for s in ("good", "bad")}
+    sums = cells.where(F.col("_x").isNotNull()).join(centres.select(*keys, *[f"_mean_{s}" for s in _sides()]), keys).groupBy(*keys).agg(
+        F.sum(F.col("_c") * d * d).alias("_m2"), F.sum(F.col("_c") * d * d * d).alias("_m3"), F.sum(F.col("_c") * d * d * d * d).alias("_m4"),
+        *[F.sum(w * apart[s] * apart[s]).alias(f"_m2_{s}") for s, w in _sides().items() if s in apart])
+    n, m2 = F.col("_n_all"), F.col("_m2")
+    skew = F.when(m2 > 0, F.sqrt(n) * F.col("_m3") / F.pow(m2, 1.5))
+    kurt = F.when(m2 > 0, n * F.col("_m4") / (m2 * m2) - 3)
+    gap = F.sqrt(F.lit(2.0)) * F.abs(F.col("_mean_good") - F.col("_mean_bad"))
+    two = (F.col("_n_good") >= 2) & (F.col("_n_bad") >= 2)
+    spread = F.when(two, F.sqrt(F.col("_m2_good") / F.col("_n_good") + F.col("_m2_bad") / F.col("_n_bad")))
+    return centres.join(sums, keys, "left").select(
+        *keys, "n", "accuracy", F.coalesce(F.when(n > 1, m2 / (n - 1)), F.lit(0.0)).alias("variance"),
+        F.when(two & (spread > 0), gap / spread).alias("ashman_d"), bimodality(skew, kurt, F.col("n")).alias("bimodality_coefficient"))
 
 
 def accuracy(rows: DataFrame, keys: Sequence[str], den: str = "all") -> DataFrame:

@@ -8,10 +8,11 @@ rows again, so a lost executor costs one round.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -311,13 +312,15 @@ def silhouette_k2(rows: DataFrame, keys: Sequence[str], row_id: str, vector: str
 
 # ---- dip ----------------------------------------------------------------------------------------
 
-def _hull_points(v: np.ndarray, f: np.ndarray) -> np.ndarray:
+def _hull_points(v: np.ndarray, f: np.ndarray, step: int | None = None) -> np.ndarray:
     """Corners of the greatest convex minorant of the points (v, f), v rising.
 
     Between neighbouring corners the point deepest under their chord is a corner too, and points on or above the chord are none, so all
-    chords are searched at once; what 64 such rounds leave is folded point by point.
+    chords are searched at once; what 64 such rounds leave is folded point by point.  With ``step`` the corners of each stretch of so many
+    points on its own; there, points that 64 rounds leave may be among them.
     """
-    at, inner = np.array([0, len(v) - 1]) if len(v) > 1 else np.arange(len(v)), np.arange(1, len(v) - 1)
+    at = np.unique(np.r_[np.arange(0, len(v), step or max(len(v), 1)), len(v) - 1]) if len(v) else np.arange(0)
+    inner = np.delete(np.arange(len(v)), at)
     for _ in range(64):
         a = np.searchsorted(at, inner) - 1
         left, right = at[a], at[a + 1]
@@ -331,6 +334,8 @@ def _hull_points(v: np.ndarray, f: np.ndarray) -> np.ndarray:
         deepest = deepest[np.r_[True, a[deepest][1:] != a[deepest][:-1]]]
         at, inner = np.sort(np.r_[at, inner[deepest]]), np.delete(inner, deepest)
     rest = np.sort(np.r_[at, inner])
+    if step is not None:
+        return rest
     keep = [rest[0]]
     for i in rest[1:]:
         while len(keep) > 1:
@@ -343,18 +348,13 @@ def _hull_points(v: np.ndarray, f: np.ndarray) -> np.ndarray:
     return np.array(keep)
 
 
-def _hull_values(v: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """The minorant at every v."""
-    keep = _hull_points(v, f)
-    return np.interp(v, v[keep], f[keep])
-
-
 def dip_of(values: np.ndarray, weights: np.ndarray | None = None) -> float:
     """Dip of a sample from distinct sorted values and counts.
 
     For a mode at v_m, the best convex part left of it misses F by half the largest gap to the convex
     minorant of the left limits, and likewise on the right with the concave majorant.  The left miss
-    grows and the right miss falls with m, so the best mode is found by bisection.
+    grows and the right miss falls with m, so the best mode is found by bisection.  Corners of any such part are corners of the
+    stretches of 512 values that it holds whole, found once, or lie in the one that the mode cuts.
     """
     v = np.asarray(values, float)
     w = np.ones(len(v)) if weights is None else np.asarray(weights, float)
@@ -367,11 +367,24 @@ def dip_of(values: np.ndarray, weights: np.ndarray | None = None) -> float:
     if k < 2:
         return 0.0
 
+    step = 512
+    low, high = (_hull_points(v, f, step) for f in (lo, -hi))
+
     def left(m):
-        return float((hi[:m] - _hull_values(v[: m + 1], lo[: m + 1])[:m]).max()) / 2 if m > 0 else 0.0
+        if m == 0:
+            return 0.0
+        cut = m // step * step
+        at = np.r_[low[: np.searchsorted(low, cut)], np.arange(cut, m + 1)]
+        at = at[_hull_points(v[at], lo[at])]
+        return float((hi[:m] - np.interp(v[:m], v[at], lo[at])).max()) / 2
 
     def right(m):
-        return float((-_hull_values(v[m:], -hi[m:])[1:] - lo[m + 1 :]).max()) / 2 if m < k - 1 else 0.0
+        if m == k - 1:
+            return 0.0
+        cut = min(-(-m // step) * step, k - 1)
+        at = np.r_[np.arange(m, cut), high[np.searchsorted(high, cut) :]]
+        at = at[_hull_points(v[at], -hi[at])]
+        return float((np.interp(v[m + 1 :], v[at], hi[at]) - lo[m + 1 :]).max()) / 2
 
     a, b = 0, k - 1
     while a < b:
@@ -500,10 +513,22 @@ def split_silhouette(values: np.ndarray, counts: np.ndarray) -> float:
     return float((c * np.where((own_n > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)).sum() / n[-1])
 
 
-@F.pandas_udf(T.StructType([T.StructField("dip", T.DoubleType()), T.StructField("silhouette", T.DoubleType())]))
-def _modality_of_cells(values: pd.Series, counts: pd.Series) -> pd.DataFrame:
-    cells = [(np.asarray(v), np.asarray(c)) for v, c in zip(values, counts)]
-    return pd.DataFrame({"dip": [dip_of(v, c) if c.sum() >= 4 else 0.0 for v, c in cells], "silhouette": [split_silhouette(v, c) for v, c in cells]})
+def _modality_of_cells(keys: list[str]):
+    """mapInArrow: lists of a group's distinct values and their counts, in any order -> its row count, dip and silhouette."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, dip, silhouette = [], [], []
+            for values, counts in zip(batch.column("_xs"), batch.column("_cs")):
+                v, c = values.values.to_numpy(), counts.values.to_numpy()
+                order = np.argsort(v)
+                v, c = v[order], c[order].astype(float)
+                n.append(int(c.sum()))
+                dip.append(dip_of(v, c) if n[-1] >= 4 else 0.0)
+                silhouette.append(split_silhouette(v, c))
+            found = [pa.array(n, pa.int64()), pa.array(dip, pa.float64()), pa.array(silhouette, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *found], [*keys, "n", "dip_statistic", "silhouette_k2"])
+
+    return run
 
 
 def _split_silhouette_in_parts(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -529,17 +554,31 @@ def _split_silhouette_in_parts(cells: DataFrame, keys: list[str]) -> DataFrame:
 def modality(rows: DataFrame, keys: Sequence[str], x: str = "x", limit: int = 500_000) -> DataFrame:
     """(keys, dip_statistic, dip_pvalue, silhouette_k2) of one-dimensional rows; null values take no part.
 
-    Rows are first counted by value on the map side.  A group of up to ``limit`` distinct values is one sorted array in one task; a
-    larger one goes through blocks and running sums, with the same result.
+    Rows are first counted by value on the map side; see ``modality_of_counts``.
+    """
+    known = rows.where(F.col(x).isNotNull())
+    return modality_of_counts(cut_lineage(known.groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))), keys, limit)
+
+
+def modality_of_counts(cells: DataFrame, keys: Sequence[str], limit: int = 500_000, sizes: DataFrame | None = None) -> DataFrame:
+    """The same from the table of distinct values ``_x`` and their counts ``_c``, which is read several times.
+
+    A group of up to ``limit`` distinct values is one list in one task; a larger one goes through blocks and running sums, with the
+    same result.  ``sizes``: the groups' numbers of distinct values as ``_k``, where they are known.
     """
     keys = list(keys)
-    cells = cut_lineage(rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    cells = cells.where(F.col("_x").isNotNull()).select(*keys, "_x", "_c")
+    if sizes is None:
+        sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     big = cut_lineage(sizes.where(F.col("_k") > limit).select(*keys))
-    packed = cells.join(big, keys, "left_anti").groupBy(*keys).agg(F.sum("_c").alias("n"), F.sort_array(F.collect_list(F.struct("_x", "_c"))).alias("_s"))
-    both = packed.withColumn("_m", _modality_of_cells(F.transform("_s", lambda s: s["_x"]), F.transform("_s", lambda s: s["_c"].cast("double"))))
-    out = both.select(*keys, "n", F.col("_m.dip").alias("dip_statistic"), F.col("_m.silhouette").alias("silhouette_k2"))
-    if not big.isEmpty():
+    some = not big.isEmpty()
+    small = cells.join(big, keys, "left_anti") if some else cells
+    doubles = [T.StructField(c, T.DoubleType()) for c in ("dip_statistic", "silhouette_k2")]
+    schema = T.StructType([*[f for k in keys for f in cells.schema.fields if f.name == k], T.StructField("n", T.LongType()), *doubles])
+    # dealt by group first: a task holds the lists of its own groups only, and needs no sort
+    lists = small.repartition(*keys).groupBy(*keys).agg(F.collect_list("_x").alias("_xs"), F.collect_list("_c").alias("_cs"))
+    out = lists.mapInArrow(_modality_of_cells(keys), schema)
+    if some:
         large = cells.join(big, keys, "left_semi")
         out = out.unionByName(_dip_in_blocks(large, keys, 200_000).join(_split_silhouette_in_parts(large, keys), keys))
     return out.select(*keys, "dip_statistic", dip_sf(F.col("dip_statistic"), F.col("n")).alias("dip_pvalue"), "silhouette_k2")
