@@ -7,6 +7,7 @@ rows again, so a lost executor costs one round.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -154,29 +155,132 @@ def _moved_centres(tol: float):
                 mean = s[:, :, 1:] / np.where(n > 0, n, 1)
                 mean = np.where(n > 0, mean, mean[:, ::-1])  # an empty cluster has the other's centre
                 new = np.where(li[:, None, None], mean, old)
-                ci, li = new.ravel(), li & ~(((new - old) ** 2).sum(2) <= tol).all(1)
+                moved = ((new - old) ** 2).sum(2) > tol * (new ** 2).sum((1, 2))[:, None]
+                ci, li = new.ravel(), li & moved.any(1)
             rows.append((ci, li))
         return pd.DataFrame(rows, columns=["c", "live"])
 
     return step
 
 
-def _lloyd(blocks: DataFrame, keys: list[str], centres: DataFrame, rounds: int, tol: float) -> DataFrame:
+def _ones(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which rows are nearer to c[1] than to c[0]; where the difference is lost in rounding, by the two distances themselves."""
+    w, y = c[1] - c[0], x - (c[0] + c[1]) / 2
+    side = y @ w
+    one = side > 0
+    close = np.flatnonzero(np.abs(side) <= 1e-9 * np.sqrt((y * y).sum(1) * (w @ w)))
+    d2 = [((x[close] - k) ** 2).sum(1) for k in c]
+    one[close] = d2[1] < d2[0]
+    return one
+
+
+def _near_rows(keys: list[str], share: int):
+    """mapInPandas over packed rows with their group's state and size ``_n``: one row per live start.
+
+    The rows nearest to the plane between the two centres go on as they are, ``share`` numbers a group at most (``_a``).  The others leave only their
+    number and sum per cluster (``_s``), and what a plane may turn and shift before one of them changes sides: all have a distance from the plane of
+    at least ``_tau`` times (1 + their distance from its foot, which is ``_lo`` to ``_hi``), in units of the distance between the centres.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                row = pdf.iloc[i]
+                live, x = np.asarray(row["_live"], bool), np.frombuffer(row["_x"], np.float64).reshape(row["_m"], -1)
+                m, dim = x.shape
+                kept = min(m, share // dim * m // row["_n"] + 1)
+                for start, c in enumerate(np.asarray(row["_c"], np.float64).reshape(len(live), 2, dim)):
+                    if not live[start]:
+                        continue
+                    w, y = c[1] - c[0], x - (c[0] + c[1]) / 2
+                    unit = max(np.sqrt(w @ w), 1e-300)
+                    far = np.sqrt((y * y).sum(1)) / unit
+                    score = np.nan_to_num(np.abs(y @ w) / unit ** 2 / (1 + far), nan=0.0)
+                    order = np.argpartition(score, kept) if kept < m else np.arange(m)
+                    near, rest = order[:kept], order[kept:]
+                    one = _ones(x[rest], c)
+                    sums = np.concatenate([np.r_[k.sum(), k.astype(np.float64) @ x[rest]] for k in (~one, one)])
+                    safe = (score[rest].min(), far[rest].min(), far[rest].max()) if len(rest) else (np.inf, np.inf, -np.inf)
+                    yield pd.DataFrame([(*row[keys], start, c.ravel(), sums, *safe, x[near].tobytes())], columns=[*keys, "_start", "_c", "_s", "_tau", "_lo", "_hi", "_a"])
+
+    return run
+
+
+def _rounds_of_near_rows(c: np.ndarray, n: np.ndarray, s: np.ndarray, tau: float, lo: float, hi: float, near: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Lloyd rounds on all rows, of which only the ``near`` ones can change sides: centres, and whether a round may still move them.
+
+    ``n`` and ``s`` are numbers and sums of the other rows.  At least one round is made; the last is the one after which another row might change sides.
+    """
+    foot, w = (c[0] + c[1]) / 2, c[1] - c[0]
+    unit = np.sqrt(w @ w)
+    one = _ones(near, c)
+    while True:
+        side = np.stack([~one, one]).astype(np.float64)
+        count = n + side.sum(1)
+        mean = (s + side @ near) / np.where(count > 0, count, 1)[:, None]
+        c = mean if (count > 0).all() else np.where(count[:, None] > 0, mean, mean[::-1])
+        v = c[1] - c[0]
+        if not v.any() or not np.isfinite(v).all():
+            return c, False  # one centre: all rows are in cluster 0 from now on
+        if lo <= hi:
+            along = w @ v
+            if along <= 0:
+                return c, True
+            turn = v * (along / (v @ v)) - w  # the plane has no length: the least change that gives its new direction
+            angle, shift = np.sqrt(turn @ turn) / unit, abs((((c[0] + c[1]) / 2 - foot) @ v)) * (along / (v @ v)) / unit ** 2
+            if min(tau * (1 + r) - (angle * r + shift) for r in (lo, hi)) <= 1e-9 * (1 + hi):
+                return c, True
+        now = _ones(near, c)
+        if (now == one).all():
+            return c, False
+        one = now
+
+
+def _settle(blocks: DataFrame, sizes: DataFrame, keys: list[str], state: DataFrame, share: int) -> DataFrame:
+    """New state of ``_lloyd`` after as many rounds as the rows near the planes alone decide, all groups and starts at once."""
+    working = F.exists("_live", lambda x: x)
+    met = blocks.join(state.where(working).join(sizes, keys), keys).select(*keys, "_m", "_x", "_c", "_live", "_n")
+    kf, dbl = [f for f in met.schema.fields if f.name in keys], T.DoubleType()
+    start = T.StructField("_start", T.IntegerType())
+    parts = met.mapInPandas(_near_rows(keys, share), T.StructType([*kf, start, *[T.StructField(x, T.ArrayType(dbl)) for x in ("_c", "_s")], *[T.StructField(x, dbl) for x in ("_tau", "_lo", "_hi")], T.StructField("_a", T.BinaryType())]))
+
+    def rounds(key, pdf):
+        c = np.asarray(pdf["_c"].iloc[0], np.float64).reshape(2, -1)
+        s = np.vstack(pdf["_s"].to_numpy()).sum(0).reshape(2, -1)
+        near = np.frombuffer(b"".join(pdf["_a"]), np.float64).reshape(-1, c.shape[1])
+        c, live = _rounds_of_near_rows(c, s[:, 0], s[:, 1:], pdf["_tau"].min(), pdf["_lo"].min(), pdf["_hi"].max(), near)
+        return pd.DataFrame([(*key, c.ravel(), live)], columns=[*keys, "_start", "_nc", "_on"])
+
+    made = parts.groupBy(*keys, "_start").applyInPandas(rounds, T.StructType([*kf, start, T.StructField("_nc", T.ArrayType(dbl)), T.StructField("_on", T.BooleanType())]))
+    made = made.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_start", F.struct("_nc", "_on")))).alias("_made"))
+    each = F.sequence(F.lit(0), F.size("_live") - 1)
+    dim = (F.size("_c") / F.size("_live")).cast("int")
+    centres = F.transform(each, lambda i: F.coalesce(F.try_element_at("_made", i)["_nc"], F.slice("_c", i * dim + 1, dim)))
+    return state.join(made, keys, "left").select(*keys, F.flatten(centres).alias("_c"), F.transform(each, lambda i: F.coalesce(F.try_element_at("_made", i)["_on"], F.lit(False))).alias("_live"))
+
+
+def _lloyd(blocks: DataFrame, keys: list[str], centres: DataFrame, rounds: int | None, tol: float, share: int) -> DataFrame:
     """(keys, _c, _live) with the centres, flat, that no round moves any more, of all groups and starts at once.
 
-    ``centres`` has one row (c0, c1) per group and ``_start``.  A round meets packed vectors with the centres of their group; only sums
-    per start and cluster leave the tasks and only the centres are kept.  Starts that are done take no part in later rounds.
+    ``centres`` has one row (c0, c1) per group and ``_start``.  A round over all rows meets packed vectors with the centres of their group; only sums
+    per start and cluster leave the tasks and only the centres are kept.  Between two of them come the rounds in which only rows near the plane
+    between the centres can change sides: these rows, ``share`` numbers at most of a group and start, meet in one task and make rounds there until
+    none moves or a row left out might (see ``_near_rows``).  The centres are those of plain rounds.  Starts that are done take no part in later rounds.
     """
     per = centres.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_start", "c0", "c1"))).alias("_s"))
     state = cut_lineage(per.select(*keys, F.flatten(F.transform("_s", lambda s: F.concat(s["c0"], s["c1"]))).alias("_c"), F.transform("_s", lambda s: F.lit(True)).alias("_live")))
+    sizes = cut_lineage(blocks.groupBy(*keys).agg(F.sum("_m").alias("_n")))
     step, working = _moved_centres(tol), F.exists("_live", lambda x: x)
-    for _ in range(rounds):
+    for done in itertools.count(1):
         met = blocks.join(state.where(working), keys).select(*keys, _cluster_sums("_m", "_x", "_c", "_live").alias("_s"))
         sums = met.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("_s"))).alias("_s"))
         state = cut_lineage(state.join(sums, keys, "left").select(*keys, step("_c", "_live", "_s").alias("_n")).select(*keys, F.col("_n.c").alias("_c"), F.col("_n.live").alias("_live")))
         if state.where(working).isEmpty():
             return state
-    raise RuntimeError(f"two-means has not converged in {rounds} rounds")
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"two-means has not converged in {rounds} rounds over all rows")
+        state = cut_lineage(_settle(blocks, sizes, keys, state, share))
+        if state.where(working).isEmpty():
+            return state
 
 
 def _spread_starts(rows: DataFrame, keys: list[str], vector: str, seed: int) -> DataFrame:
@@ -189,12 +293,13 @@ def _spread_starts(rows: DataFrame, keys: list[str], vector: str, seed: int) ->
     return first.join(second, keys, "left").select(*keys, "c0", F.coalesce("c1", "c0").alias("c1"))
 
 
-def kmeans2(df: DataFrame, keys: Sequence[str], vector: str, start: Column | None = None, starts: int = 10, rounds: int = 300, tol: float = 1e-12, seed: int = 42) -> DataFrame:
+def kmeans2(df: DataFrame, keys: Sequence[str], vector: str, start: Column | None = None, starts: int = 10, rounds: int | None = None, tol: float = 1e-28, seed: int = 42, share: int = 2**22) -> DataFrame:
     """Two clusters per group by Lloyd rounds on all groups at once, run until none moves.
 
     From ``start`` (0/1 column), or the best of ``starts`` k-means++ starts, which run together as (group, start) keys: the least sum of squared
     distances stays (ties: the first start).  Of its centres the one with the smaller first component is cluster 0.  A group
-    of equal vectors is one cluster.
+    of equal vectors is one cluster.  ``rounds``: rounds over all rows at most, beyond which it is an error; ``share``: numbers
+    of a group and start that meet in one task (see ``_lloyd``).
     """
     keys = list(keys)
     blocks = _packed(df, keys, vector)
@@ -203,7 +308,7 @@ def kmeans2(df: DataFrame, keys: Sequence[str], vector: str, start: Column | Non
     else:
         vectors = cut_lineage(df.select(*keys, F.col(vector).cast("array<double>").alias("_v")))
         first = _spread_starts(vectors.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))), [*keys, "_start"], "_v", seed)
-    state = _lloyd(blocks, keys, first, rounds, tol)
+    state = _lloyd(blocks, keys, first, rounds, tol, share)
     dim = (F.size("_c") / (2 * F.size("_live"))).cast("int")
 
     def centre(s, k):
