@@ -62,3 +62,22 @@ def test_rows_left_out_keep_their_side_until_a_round_may_move_them():
                 break
         side = I._ones(x, c)
         assert not live and np.allclose(c, [x[~side].mean(0), x[side].mean(0)], rtol=0, atol=1e-12)
+
+
+def test_ten_starts_of_hundreds_of_rounds(spark):
+    """The battery's two-means: all ten starts end, and the best of them is that of plain rounds."""
+    x = ellipse()
+    turn = 2 * np.pi * (F.col("id") + 0.37) / N
+    df = spark.range(0, N, 1, 4).select("id", F.lit("a").alias("g"), F.array(F.cos(turn), FLAT * F.sin(turn)).alias("v"))
+    starts = I._spread_starts(df.select("g", F.col("v").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("_start")), ["g", "_start"], "_v", 42).collect()
+    sums, most = [], 0
+    for r in starts:
+        c0, c1 = np.array(r["c0"]), np.array(r["c1"])
+        one, rounds = plain(x, ((x - c1) ** 2).sum(1) < ((x - c0) ** 2).sum(1))
+        sums.append(sum(((x[k] - x[k].mean(0)) ** 2).sum() for k in (one, ~one)))
+        most = max(most, rounds)
+    assert len(starts) == 10 and most > 300
+    got = I.kmeans2(df, ["g"], "v").collect()
+    one = np.zeros(N, bool)
+    one[[r["id"] for r in got if r["cluster"] == 1]] = True
+    assert len(got) == N and sum(((x[k] - x[k].mean(0)) ** 2).sum() for k in (one, ~one)) == pytest.approx(min(sums), rel=1e-9)
